@@ -1,0 +1,5 @@
+"""Empty on purpose: no streaming operator belongs to the covered catalogue.
+
+Every operator is a DataFrame-to-DataFrame function; batch jobs are re-run per
+landing folder, and finished batches are merged with ``operators.sets.replace_keys``.
+"""
