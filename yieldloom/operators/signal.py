@@ -137,6 +137,11 @@ def spectral_features(arrays: DataFrame, keys: Sequence[str] = KEYS, readings: s
     return arrays.withColumn("_s", spectrum(readings)).select(*keys, "_s.*")
 
 
+def _standardised(values: np.ndarray) -> np.ndarray:
+    spread = values.std()
+    return (values - values.mean()) / (spread if spread > 1e-10 else 1.0)
+
+
 def _resampled(values, points: int, normalise: bool):
     vector = np.array([np.nan if v is None else v for v in values], dtype=float)
     known = np.isfinite(vector)
@@ -145,10 +150,7 @@ def _resampled(values, points: int, normalise: bool):
     source = np.linspace(0.0, 1.0, len(vector))
     filled = np.interp(source, source[known], vector[known])
     out = np.interp(np.linspace(0.0, 1.0, points), source, filled)
-    if normalise:
-        spread = out.std()
-        out = (out - out.mean()) / (spread if spread > 1e-10 else 1.0)
-    return out
+    return _standardised(out) if normalise else out
 
 
 def interpolate_waveform(arrays: DataFrame, points: int = 256, *, readings: str = "readings", normalise: bool = False) -> DataFrame:
@@ -166,12 +168,12 @@ resample_trace = interpolate_waveform
 
 def normalize_waveform(arrays: DataFrame, column: str = "waveform") -> DataFrame:
     """Z-score of each array with its population std (1 when that is tiny)."""
-    a = F.col(column)
-    size = F.size(a)
-    mean = F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / size
-    var = F.aggregate(a, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean)) / size
-    spread = F.when(F.sqrt(var) > 1e-10, F.sqrt(var)).otherwise(1.0)
-    return arrays.withColumn(column, F.transform(a, lambda v: (v - mean) / spread))
+
+    @F.pandas_udf("array<double>")
+    def standardise(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else _standardised(np.asarray(v, dtype=float)))
+
+    return arrays.withColumn(column, standardise(column))
 
 
 def waveform_bank(arrays: DataFrame, keys: Sequence[str] = KEYS, points: int = 64, maximum: int = 30_000) -> DataFrame:
