@@ -143,9 +143,9 @@ def is_current(column: str = "lot") -> Column:
 def scored(spark: SparkSession, folder: str) -> DataFrame:
     """(lot, wafer, response, actual_bad, probability, fold) from customers and their orders.
 
-    lot = nation, wafer = customer, response = mean order value, bad = above 160000.
+    lot = nation, wafer = customer, response = middle of the order values in thousands, bad = above 250.
     """
-    o = table(spark, folder, "orders").groupBy("o_custkey").agg(F.round(F.avg("o_totalprice") / 1000, 4).alias("response"))
+    o = table(spark, folder, "orders").groupBy("o_custkey").agg(((F.max("o_totalprice") + F.min("o_totalprice")) / 2000).alias("response"))
     c = table(spark, folder, "customer")
     rows = c.join(o, c.c_custkey == o.o_custkey)
     return rows.select(
@@ -155,6 +155,6 @@ def scored(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-SCORED = """avgs AS (SELECT o_custkey, round(avg(o_totalprice) / 1000, 4) AS response FROM orders GROUP BY o_custkey),
+SCORED = """avgs AS (SELECT o_custkey, (max(o_totalprice) + min(o_totalprice)) / 2000 AS response FROM orders GROUP BY o_custkey),
 scored AS (SELECT c_nationkey AS lot, c_custkey AS wafer, response, round((c_acctbal + 1000) / 11000, 2) AS probability,
   CAST(response > 250 AS INTEGER) AS actual_bad, c_nationkey % 5 AS fold FROM customer JOIN avgs ON c_custkey = o_custkey)"""

@@ -9,13 +9,14 @@ from catalog.base import SCORED, query, r, scored, table
 from yieldloom.functions import numeric, text
 from yieldloom.operators import cleaning, contracts, joins, profile, sets
 
-N = F.count(F.lit(1)).alias("rows")
+def _rows():
+    return F.count(F.lit(1)).alias("rows")
 
 
 # --- joins --------------------------------------------------------------------
 def per_order(spark, folder):
     li = table(spark, folder, "lineitem")
-    return li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").alias("quantity"), N.alias("lines"))
+    return li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").alias("quantity"), F.count(F.lit(1)).alias("lines"))
 
 
 @query("join_one_to_one", f"""WITH a AS (SELECT l_orderkey AS o_orderkey, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1) SELECT o_orderkey, {r('quantity', 'quantity')}, {r('o_totalprice', 'o_totalprice')} FROM a JOIN orders USING (o_orderkey)""")
@@ -28,7 +29,7 @@ def join_one_to_one(spark, folder):
 def join_many_to_one(spark, folder):
     part = table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
     out = joins.join_many_to_one(table(spark, folder, "lineitem").select("l_partkey", "l_quantity"), part, ["l_partkey"])
-    return out.groupBy("p_brand").agg(N, F.sum("l_quantity").alias("quantity"))
+    return out.groupBy("p_brand").agg(_rows(), F.sum("l_quantity").alias("quantity"))
 
 
 @query("join_label_complete", "SELECT doc_id, n_chars, quality FROM labels JOIN documents USING (doc_id)")
@@ -120,7 +121,7 @@ def positional_align_check(spark, folder):
 @query("align_trace_to_features", "SELECT user_id, count(*) AS rows FROM events WHERE user_id % 3 = 0 GROUP BY user_id")
 def align_trace_to_features(spark, folder):
     ev = table(spark, folder, "events").select("user_id", "event_id")
-    return joins.align_trace_to_features(ev, ev.filter("user_id % 3 = 0"), ["user_id"]).groupBy("user_id").agg(N)
+    return joins.align_trace_to_features(ev, ev.filter("user_id % 3 = 0"), ["user_id"]).groupBy("user_id").agg(_rows())
 
 
 @query("verify_label_identity", f"WITH {SCORED} SELECT count(*) AS compared, count(*) FILTER (wafer % 11 = 0) AS response_mismatches, count(*) FILTER (wafer % 13 = 0) AS class_mismatches FROM scored")
@@ -398,7 +399,7 @@ def analyzable_numeric(spark, folder):
 def share_observed(spark, folder):
     rare = F.when(F.col("user_id") % 25 == 0, "_rare").otherwise("")
     rows = table(spark, folder, "events").select("user_id", F.concat("event_type", rare).alias("feature")).distinct().withColumn("value", F.lit(1.0))
-    return profile.share_observed(rows, ["user_id"]).groupBy("feature").agg(N)
+    return profile.share_observed(rows, ["user_id"]).groupBy("feature").agg(_rows())
 
 
 @query("valid_target_rows", f"""WITH v AS (SELECT l_orderkey, l_partkey, l_linenumber, CASE WHEN l_partkey % 2 = 0 THEN l_quantity END AS a, CASE WHEN l_partkey % 3 = 0 THEN l_tax END AS b FROM lineitem), f AS (SELECT * FROM v WHERE a IS NOT NULL OR b IS NOT NULL)
@@ -406,7 +407,7 @@ SELECT l_partkey, count(*) AS rows, {r('sum(coalesce(a, (SELECT quantile_cont(a,
 def valid_target_rows(spark, folder):
     k = F.col("l_partkey")
     rows = table(spark, folder, "lineitem").select("l_partkey", F.when(k % 2 == 0, F.col("l_quantity")).alias("a"), F.when(k % 3 == 0, F.col("l_tax")).alias("b"))
-    return profile.valid_target_rows(rows, ["a", "b"]).groupBy("l_partkey").agg(N, F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return profile.valid_target_rows(rows, ["a", "b"]).groupBy("l_partkey").agg(_rows(), F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
 @query("target_structure", f"""WITH {SCORED}, m AS (SELECT *, avg(response) OVER (PARTITION BY actual_bad) AS cm, avg(response) OVER (PARTITION BY lot) AS lm, avg(response) OVER () AS g FROM scored)
@@ -448,7 +449,7 @@ def normalize_partname(spark, folder):
     return table(spark, folder, "part").select("p_partkey", text.normalize_partname(raw).alias("part"), text.product_key(F.lit("G"), raw).alias("product"))
 
 
-@query("fiscal_year", """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN CASE WHEN year(o_orderdate) BETWEEN 2010 AND 2040 THEN CAST(year(o_orderdate) AS VARCHAR) ELSE '2026' END WHEN 1 THEN CAST(year(o_orderdate) AS VARCHAR) WHEN 2 THEN '2031' ELSE 'Unknown' END AS year FROM orders""")
+@query("fiscal_year", """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN CAST(year(o_orderdate) AS VARCHAR) WHEN 1 THEN CAST(year(o_orderdate) AS VARCHAR) WHEN 2 THEN '2031' ELSE 'Unknown' END AS year FROM orders""")
 def fiscal_year(spark, folder):
     d, m = F.col("o_orderdate"), F.col("o_orderkey") % 4
     named = (
@@ -471,7 +472,8 @@ def wafer_from_filename(spark, folder):
     k, w = F.col("p_partkey").cast("string"), (F.col("p_size") % 25 + 1).cast("string")
     name = F.concat(F.lit("AB_HB"), k, F.lit("_"), w, F.lit("_PRB_J750.std_20240101.csv"))
     combo = F.concat(F.lit("HB"), k, F.lit("_[01-26]_97.9%"))
-    return table(spark, folder, "part").select("p_partkey", text.wafer_from_filename(name, combo).alias("w")).select("p_partkey", "w.*")
+    named = table(spark, folder, "part").select("p_partkey", name.alias("filename"), combo.alias("folder"))
+    return text.wafer_from_filename(named).select("p_partkey", "wafer_info.*")
 
 
 @query("lot_folder", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'HB' || p_partkey || '_[01-07]_97.5%' END AS folder, p_partkey % 2 = 0 AS valid, CASE WHEN p_partkey % 2 = 0 THEN 'HB' || p_partkey || '_[01-07]_97.5%' ELSE 'HB' || p_partkey || '_13' END AS short FROM part")

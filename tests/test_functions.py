@@ -74,13 +74,18 @@ def test_text(spark, fn, raw, want):
     assert one(spark, fn(lit(raw))) == want
 
 
-def test_wafer_from_filename(spark):
-    got = one(spark, text.wafer_from_filename(lit("AB_HB025401_13_PRB_J750.std_1.csv"), lit("HB025401_[13]_97.9%")))
-    assert tuple(got) == ("HB025401", 13, "AB_", "PRB_J750_1")
-    got = one(spark, text.wafer_from_filename(lit("W55.07_20240101_x.csv"), lit("W55")))
-    assert tuple(got) == ("W55", 7, "", "WS")
-    got = one(spark, text.wafer_from_filename(lit("none.csv"), lit("W55")))
-    assert got.wafer is None
+@pytest.mark.parametrize(
+    "name, folder, want",
+    [
+        ("AB_HB025401_13_PRB_J750.std_1.csv", "HB025401_[13]_97.9%", ("HB025401", 13, "AB_", "PRB_J750_1")),
+        ("W55.07_20240101_x.csv", "W55", ("W55", 7, "", "WS")),
+        ("W55_w3x_FT_combined.csv", "W55_[01-05]", ("W55", 3, "", "FT")),
+        ("none.csv", "W55", ("W55", None, "", "WS")),
+    ],
+)
+def test_wafer_from_filename(spark, name, folder, want):
+    row = text.wafer_from_filename(spark.createDataFrame([(name, folder)], "filename string, folder string")).first()
+    assert tuple(row.wafer_info) == want
 
 
 def test_lots_codes_and_keys(spark):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Part numbers that stand for one and the same product.
@@ -102,7 +102,7 @@ def normalize_lot_id(lot: Column) -> Column:
 def normalize_partname(part: Column) -> Column:
     """First listed part, upper-case, without blanks, aliases, C/H prefix letter and -D/-L ending."""
     raw = F.trim(F.coalesce(part, F.lit("")))
-    tokens = F.filter(F.transform(F.split(raw, r"[\n,]+"), F.trim), lambda t: t != "")
+    tokens = F.filter(F.transform(F.split(raw, r"[\n,]+"), lambda t: F.trim(t)), lambda t: t != "")
     token = F.regexp_replace(F.upper(F.coalesce(F.get(tokens, F.lit(0)), F.lit(""))), r"\s+", "")
     aliases = F.create_map(*[F.lit(item) for pair in PART_ALIASES.items() for item in pair])
     short = F.regexp_replace(token, r"^(\d+)[CH]L", "$1L")
@@ -140,7 +140,7 @@ def _two_digits(number: Column) -> Column:
 def wafer_list(name: Column) -> Column:
     """``W1_[03-01]`` lists 03, 02, 01; ``W1_[1,2]`` lists 01, 02; otherwise empty."""
     inner = F.translate(F.regexp_extract(name, r"\[(.*?)\]", 1), ";", ",")
-    items = F.transform(F.split(inner, ","), F.trim)
+    items = F.transform(F.split(inner, ","), lambda t: F.trim(t))
     span = r"^(\d{1,3})\s*-\s*(\d{1,3})$"
 
     def expand(item: Column) -> Column:
@@ -179,50 +179,57 @@ def shorten_wafer_list(name: Column) -> Column:
     return F.when(name.rlike(shape) & (F.size(values) > 5), short).otherwise(name)
 
 
-def wafer_from_filename(file_name: Column, folder: Column) -> Column:
-    """struct(lot, wafer, prefix, suffix) by ranked token rules; wafer is NULL when no token fits."""
-    head = F.split(folder, r"_\[")
+def wafer_from_filename(files: DataFrame, file_name: str = "filename", folder: str = "folder", name: str = "wafer_info") -> DataFrame:
+    """Adds struct(lot, wafer, prefix, suffix) by ranked token rules; wafer is NULL when no token fits.
+
+    Each stage is its own column, so tokens and expected wafers are worked out once per row.
+    """
+    head = F.split(F.col(folder), r"_\[")
     before = F.split(head[0], "_")
     lot = F.when(F.size(head) > 1, F.get(before, F.size(before) - 1)).otherwise(
-        F.coalesce(_match(folder, r"(?i)W\d+(?:[.\-]\d+)?"), F.split(folder, "_")[0])
+        F.coalesce(_match(F.col(folder), r"(?i)W\d+(?:[.\-]\d+)?"), F.split(F.col(folder), "_")[0])
     )
-    expected = wafer_list(folder)
-    tokens = F.split(file_name, r"[_,\s\-]+")
-    starts = F.transform(tokens, lambda t: F.startswith(F.upper(t), F.upper(lot)))
-    at = F.array_position(starts, F.lit(True)).cast("int")  # 1-based, 0 when absent
-
-    def read(text: Column, position: Column, whole: int, partial: int) -> Column:
-        clean = F.regexp_replace(text, "^[wW]", "")
-        full = F.when(clean.rlike(r"^\d+$"), clean.try_cast("int"))
-        part = F.regexp_extract(text, r"^[wW]?(0*\d{1,2})", 1).try_cast("int")
-        fits = lambda v: (v <= 25) & ((F.size(expected) == 0) | F.array_contains(expected, _two_digits(v)))
-        entry = lambda rank, v: F.struct(F.lit(rank).alias("rank"), position.alias("at"), v.alias("wafer"))
-        return F.when(fits(full), entry(whole, full)).when(fits(part), entry(partial, part))
-
-    near = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: at + k)
-    later = F.transform(
-        F.filter(near, lambda i: i <= F.size(tokens)), lambda i: read(F.get(tokens, i - 1), i, 1, 3)
+    staged = files.withColumns(
+        {"_lot": lot, "_expected": wafer_list(F.col(folder)), "_tokens": F.split(F.col(file_name), r"[_,\s\-]+")}
     )
-    lot_token = F.get(tokens, at - 1)
-    rest = F.regexp_replace(F.regexp_replace(F.substr(lot_token, F.length(lot) + 1), r"^[_\-]+", ""), r"^\.+", "")
-    own = F.when(F.length(lot_token) > F.length(lot), read(rest, at, 2, 4))
-    best = F.when(at > 0, F.array_min(F.array_compact(F.concat(later, F.array(own)))))
-
+    tokens, size = F.col("_tokens"), F.size("_tokens")
+    starts = F.transform(tokens, lambda t: F.startswith(F.upper(t), F.upper(F.col("_lot"))))
+    staged = staged.withColumn("_at", F.array_position(starts, F.lit(True)).cast("int"))  # 1-based, 0 when absent
+
+    # Tokens that may hold the wafer: up to three after the lot (ranks 1, 3), then the rest of the lot token (2, 4).
+    own = F.get(tokens, F.col("_at") - 1)
+    rest = F.regexp_replace(F.regexp_replace(F.substr(own, F.length("_lot") + 1), r"^[_\-]+", ""), r"^\.+", "")
+    place = lambda text, at, bump: F.struct(text.alias("text"), at.alias("at"), F.lit(bump).alias("bump"))
+    later = [
+        F.when((F.col("_at") > 0) & (F.col("_at") + k <= size), place(F.get(tokens, F.col("_at") + k - 1), F.col("_at") + k, 0))
+        for k in (1, 2, 3)
+    ]
+    inside = F.when((F.col("_at") > 0) & (F.length(own) > F.length("_lot")), place(rest, F.col("_at"), 1))
+    staged = staged.withColumn("_places", F.array_compact(F.array(*later, inside)))
+
+    fits = lambda v: (v <= 25) & ((F.size("_expected") == 0) | F.array_contains("_expected", _two_digits(v)))
+    entry = lambda rank, p, v: F.struct(rank.alias("rank"), p["at"].alias("at"), v.alias("wafer"))
+
+    def read(p: Column) -> Column:
+        full = F.regexp_extract(p["text"], r"^[wW]?(\d+)$", 1).try_cast("int")
+        part = F.regexp_extract(p["text"], r"^[wW]?(0*\d{1,2})", 1).try_cast("int")
+        return F.when(fits(full), entry(p["bump"] + 1, p, full)).when(fits(part), entry(p["bump"] + 3, p, part))
+
+    best = F.array_min(F.array_compact(F.transform("_places", read)))
+    staged = staged.withColumn("_best", best)
     tail = F.transform(
-        F.slice(tokens, best["at"] + 1, F.greatest(F.size(tokens), F.lit(1))),
-        lambda t: F.split(t, r"(?i)\.std|\.csv")[0],
-    )
-    stops = F.transform(tail, lambda t: (t == "") | t.rlike(r"^\d{5,}$") | F.contains(F.lower(t), F.lit("combined")))
-    first_stop = F.array_position(stops, F.lit(True)).cast("int")
-    kept = F.when(first_stop > 0, F.slice(tail, 1, first_stop - 1)).otherwise(tail)
-    suffix = F.when(F.size(kept) > 0, F.array_join(kept, "_"))
-    prefix = F.when(F.contains(file_name, lot), F.split_part(file_name, lot, F.lit(1)))
-    return F.struct(
-        lot.alias("lot"),
-        best["wafer"].alias("wafer"),
-        F.coalesce(prefix, F.lit("")).alias("prefix"),
-        F.coalesce(suffix, F.lit("WS")).alias("suffix"),
+        F.slice(tokens, F.col("_best.at") + 1, F.greatest(size, F.lit(1))), lambda t: F.split(t, r"(?i)\.std|\.csv")[0]
     )
+    staged = staged.withColumn("_tail", tail)
+    stops = F.transform("_tail", lambda t: (t == "") | t.rlike(r"^\d{5,}$") | F.contains(F.lower(t), F.lit("combined")))
+    staged = staged.withColumn("_stop", F.array_position(stops, F.lit(True)).cast("int"))
+    kept = F.when(F.col("_stop") > 0, F.slice("_tail", F.lit(1), F.col("_stop") - 1)).otherwise(F.col("_tail"))
+    prefix = F.when(F.contains(F.col(file_name), F.col("_lot")), F.split_part(F.col(file_name), F.col("_lot"), F.lit(1)))
+    info = F.struct(
+        F.col("_lot").alias("lot"), F.col("_best.wafer").alias("wafer"), F.coalesce(prefix, F.lit("")).alias("prefix"),
+        F.coalesce(F.when(F.size(kept) > 0, F.array_join(kept, "_")), F.lit("WS")).alias("suffix"),
+    )
+    return staged.select(*files.columns, info.alias(name))
 
 
 def creation_timestamp(text: Column) -> Column:
@@ -295,10 +302,11 @@ def readable_feature_name(name: Column) -> Column:
     out = out.when(name.startswith("WP_"), F.initcap(F.translate(F.regexp_replace(name, "^WP_", ""), "_", " ")))
     out = out.when(bare.startswith("Principal Factor"), bare)
     out = out.when(bare.startswith("Factor"), F.replace(bare, F.lit("Factor"), F.lit("Principal Factor")))
-    for ending, label in STAT_LABELS.items():
-        base = F.substr(bare, F.lit(1), F.length(bare) - len(ending) - 2)
-        out = out.when(bare.endswith("__" + ending), F.concat(styled(base), F.lit(label)))
-    return out.otherwise(styled(bare))
+    shape = rf"^(.*)__({'|'.join(STAT_LABELS)})$"
+    labels = F.create_map(*[F.lit(x) for pair in STAT_LABELS.items() for x in pair])
+    ending = F.regexp_extract(bare, shape, 2)
+    base = F.when(ending != "", F.regexp_extract(bare, shape, 1)).otherwise(bare)
+    return out.otherwise(F.concat(styled(base), F.coalesce(F.try_element_at(labels, ending), F.lit(""))))
 
 
 def cert_id(lot: Column, generic: Column, score: Column) -> Column:

@@ -59,8 +59,8 @@ def _sort(order: Sequence[str], descending: Sequence[str]) -> list[Column]:
 
 
 def _prepare(df, keys, hot, hot_rows):
-    base = df if keys else df.withColumn("_all", F.lit(1))
-    by = list(keys) or ["_all"]
+    base = df if keys else df.withColumn("__group", F.lit(1))
+    by = list(keys) or ["__group"]
     return base, by, (find_hot(base, by, hot_rows) if hot is None else hot)
 
 
@@ -79,12 +79,12 @@ def row_index(
     ordering = _sort(order, descending)
     number = F.row_number().over(Window.partitionBy(*by).orderBy(*ordering)).cast("long")
     if not hot:
-        return base.withColumn(name, number).drop("_all")
+        return base.withColumn(name, number).drop("__group")
     cold, heavy = split_hot(base, hot)
     cut = _blocks(heavy, by, order[0], order[0] in descending, hot)
     inside = F.row_number().over(Window.partitionBy(*by, "_block").orderBy(*ordering))
     numbered = cut.withColumn(name, (F.col("_before") + inside).cast("long")).drop("_block", "_before")
-    return cold.withColumn(name, number).unionByName(numbered).drop("_all")
+    return cold.withColumn(name, number).unionByName(numbered).drop("__group")
 
 
 def running_totals(
@@ -110,7 +110,7 @@ def running_totals(
         return part.select("*", *sums).drop(*drop)
 
     if not hot:
-        return whole(base).drop("_all")
+        return whole(base).drop("__group")
     cold, heavy = split_hot(base, hot)
     cut = _blocks(heavy, by, order[0], order[0] in descending, hot)
     inner = Window.partitionBy(*by, "_block").orderBy(*ordering).rowsBetween(Window.unboundedPreceding, 0)
@@ -125,7 +125,7 @@ def running_totals(
         for i, n in enumerate(totals)
     ]
     done = joined.select("*", *sums).drop(*drop, *[f"_carry{m}" for m in drop], "_block", "_before")
-    return whole(cold).unionByName(done).drop("_all")
+    return whole(cold).unionByName(done).drop("__group")
 
 
 def nearby_rows(
@@ -151,7 +151,7 @@ def nearby_rows(
 
     whole = Window.partitionBy(*by).orderBy(*[F.col(c) for c in order])
     if not hot:
-        return apply(base, whole).drop("_all")
+        return apply(base, whole).drop("__group")
     cold, heavy = split_hot(base, hot)
     size = max(hot.limit, back + 1, ahead + 1)
     numbered = row_index(heavy, by, order, name="_pos", hot=hot)
@@ -166,4 +166,4 @@ def nearby_rows(
     spread = spread.withColumn("_block", F.col("_home.block")).withColumn("_own", F.col("_home.own")).drop("_home")
     local = Window.partitionBy(*by, "_block").orderBy("_pos")
     done = apply(spread, local).filter("_own").drop("_own", "_block", "_pos")
-    return apply(cold, whole).unionByName(done).drop("_all")
+    return apply(cold, whole).unionByName(done).drop("__group")

@@ -85,14 +85,14 @@ def group_stats(
     Without a hot key this is one aggregation. Otherwise ordinary keys keep that
     plan, and hot keys combine partial aggregates with bracketed selection.
     """
-    base = df if keys else df.withColumn("_all", F.lit(1))
-    by = list(keys) or ["_all"]
+    base = df if keys else df.withColumn("__group", F.lit(1))
+    by = list(keys) or ["__group"]
     if not quantiles:
-        return base.groupBy(*by).agg(*aggs).drop("_all")
+        return base.groupBy(*by).agg(*aggs).drop("__group")
     if hot is None:
         hot = find_hot(base, by, hot_rows)
     if not hot:
-        return _plain(base, by, value, aggs, quantiles).drop("_all")
+        return _plain(base, by, value, aggs, quantiles).drop("__group")
     cold, heavy = split_hot(base, hot)
     ordinary = _plain(cold, by, value, aggs, quantiles)
     chosen = _bracketed(heavy, by, value, quantiles, hot)
@@ -100,4 +100,4 @@ def group_stats(
         split = attach(heavy.groupBy(*by).agg(*aggs), chosen, by, "left")
     else:
         split = attach(heavy.select(*by).distinct(), chosen, by, "left")
-    return ordinary.unionByName(split.select(ordinary.columns)).drop("_all")
+    return ordinary.unionByName(split.select(ordinary.columns)).drop("__group")
