@@ -5,7 +5,9 @@ from __future__ import annotations
 import time
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -26,6 +28,10 @@ from pyspark.sql import functions as F
 from yieldloom.functions.numeric import clip
 from yieldloom.operators.metrics import ranking_scores, regression_metrics
 from yieldloom.operators.sets import chronological_holdout
+from yieldloom.session import pin
+
+PARALLEL_FITS = 4
+MAX_FOLDS = 100
 
 # Regularisation and forest grids of the three search profiles.
 SEARCH_PROFILES = {
@@ -74,7 +80,10 @@ def preprocessing(features: Sequence[str], label: str, *, select: int | None = N
 
 def pipeline(features: Sequence[str], label: str, model: Estimator, **options) -> Pipeline:
     *stages, last = preprocessing(features, label, **options)
-    return Pipeline(stages=[*stages, model.copy().setFeaturesCol(last).setLabelCol(label)])
+    last_stage = model.copy().setFeaturesCol(last).setLabelCol(label)
+    if hasattr(last_stage, "setProbabilityCol"):
+        last_stage = last_stage.setProbabilityCol("_probability").setRawPredictionCol("_raw_prediction")
+    return Pipeline(stages=[*stages, last_stage])
 
 
 def regressors(profile: str = "balanced", seed: int = 42) -> dict[str, tuple[Estimator, dict]]:
@@ -130,28 +139,44 @@ def balanced_weights(df: DataFrame, label: str, name: str = "weight") -> DataFra
     return out.withColumn(name, F.col("_n") / (2.0 * size)).drop("_n", "_bad")
 
 
+def _usable_features(df: DataFrame, features: Sequence[str], fold: str) -> dict[int, list[str]]:
+    """Per fold, the features with a value outside it, from one count per fold."""
+    counts = [F.count(F.col(f"`{f}`")).alias(f"_{i}") for i, f in enumerate(features)]
+    rows = df.groupBy(fold).agg(*counts).limit(MAX_FOLDS + 1).collect()
+    if len(rows) > MAX_FOLDS:
+        raise ValueError(f"more than {MAX_FOLDS} folds")
+    seen = lambda i, k: sum(r[f"_{i}"] for r in rows if r[fold] != k)
+    return {r[fold]: [f for i, f in enumerate(features) if seen(i, r[fold])] for r in rows}
+
+
 def _folds(df: DataFrame, fold: str) -> list[int]:
     """Fold numbers; a handful by construction, checked."""
-    rows = df.select(fold).distinct().limit(101).collect()
-    if len(rows) > 100:
-        raise ValueError("more than 100 folds")
+    rows = df.select(fold).distinct().limit(MAX_FOLDS + 1).collect()
+    if len(rows) > MAX_FOLDS:
+        raise ValueError(f"more than {MAX_FOLDS} folds")
     return sorted(r[0] for r in rows)
 
 
 def oof_ledger(df: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, candidates: Mapping[str, tuple[Estimator, dict]], *, fold: str = "fold", classify: bool = False) -> DataFrame:
     """(keys, fold, model, actual, predicted): each row predicted by a model that never saw its fold."""
     ready = indicator_columns(df.withColumns({f: F.col(f"`{f}`").cast("double") for f in features}), features)
-    ready = ready.withColumn(target, F.col(target).cast("double"))
-    parts = []
-    for k in _folds(df, fold):
+    # Every fold trains from the pinned table instead of recomputing the features.
+    ready = pin(ready.withColumn(target, F.col(target).cast("double")))
+
+    def one(job: tuple[int, str]) -> DataFrame:
+        k, name = job
+        model, options = candidates[name]
         train, held = ready.filter(F.col(fold) != k), ready.filter(F.col(fold) == k)
-        usable = observed_features(train, features)
-        for name, (model, options) in candidates.items():
-            fitted = pipeline(usable, target, model, **options).fit(train)
-            score = vector_to_array("probability")[1] if classify else F.col("prediction")
-            parts.append(
-                fitted.transform(held).select(*keys, F.col(fold).alias("fold"), F.lit(name).alias("model"), F.col(target).alias("actual"), score.alias("predicted"))
-            )
+        fitted = pipeline(usable[k], target, model, **options).fit(train)
+        score = vector_to_array("_probability")[1] if classify else F.col("prediction")
+        return fitted.transform(held).select(
+            *keys, F.col(fold).alias("fold"), F.lit(name).alias("model"), F.col(target).alias("actual"), score.alias("predicted")
+        )
+
+    usable = _usable_features(ready, features, fold)
+    folds = sorted(usable)
+    with ThreadPool(PARALLEL_FITS) as pool:  # independent fits share the cluster
+        parts = pool.map(inheritable_thread_target(df.sparkSession)(one), [(k, name) for k in folds for name in candidates])
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -160,13 +185,13 @@ def mean_baseline_ledger(df: DataFrame, keys: Sequence[str], target: str, fold:
     own = df.groupBy(fold).agg(F.sum(target).alias("_s"), F.count(target).alias("_n"))
     total = own.agg(F.sum("_s").alias("_ts"), F.sum("_n").alias("_tn"))
     means = own.crossJoin(total).select(fold, ((F.col("_ts") - F.col("_s")) / (F.col("_tn") - F.col("_n"))).alias("predicted"))
-    joined = df.join(F.broadcast(means.limit(100)), fold)  # one row per fold
+    joined = df.join(F.broadcast(means), fold)  # one row per fold
     return joined.select(*keys, F.col(fold).alias("fold"), F.lit("mean").alias("model"), F.col(target).cast("double").alias("actual"), "predicted")
 
 
 def nested_tuning(train: DataFrame, features: Sequence[str], target: str, model: Estimator, grid: Mapping[str, Sequence], *, fold: str = "inner_fold", k: int = 3, **options):
     """Best parameters by mean r2 over grouped inner folds, then refit; the first wins ties."""
-    ready = indicator_columns(train.withColumn(target, F.col(target).cast("double")), features)
+    ready = pin(indicator_columns(train.withColumn(target, F.col(target).cast("double")), features))
     pipe = pipeline(features, target, model, **options)
     last = pipe.getStages()[-1]
     builder = ParamGridBuilder()
@@ -181,7 +206,7 @@ def nested_tuning(train: DataFrame, features: Sequence[str], target: str, model:
 
 def benchmark_runs(df: DataFrame, keys: Sequence[str], feature_sets: Mapping[str, Sequence[str]], target: str, candidates: Mapping[str, tuple[Estimator, dict]], *, fold: str = "fold") -> DataFrame:
     """One row per candidate and feature set: pooled metrics, fold range, seconds, status; failures are recorded."""
-    rows = []
+    rows, df = [], pin(df)
     for set_name, features in feature_sets.items():
         for name, candidate in candidates.items():
             start = time.monotonic()
@@ -207,7 +232,7 @@ def spatial_metrology(points: DataFrame, keys: Sequence[str], process: Sequence[
 
 def chronological_benchmark(df: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, candidates: Mapping[str, tuple[Estimator, dict]], *, campaign: str = "campaign", fold: str = "fold", last: int = 4) -> DataFrame:
     """Select on development folds, predict the last campaigns once, add a mean baseline; ledger with split label."""
-    marked = chronological_holdout(df, campaign, last)
+    marked = pin(chronological_holdout(df, campaign, last))
     dev, hold = marked.filter("split = 'development'"), marked.filter("split = 'holdout'")
     ledger = oof_ledger(dev, keys, features, target, candidates, fold=fold)
     best = regression_metrics(ledger, ["model"]).orderBy(F.desc("r2"), "model").first()["model"]
@@ -262,11 +287,12 @@ def stacking(ledger: DataFrame, keys: Sequence[str], models: Sequence[str], *, s
     actual = ledger.groupBy(*keys).agg(F.first("actual").alias("actual"))
     table = meta_features(wide.join(actual, list(keys)), models)
     inputs = [*models, "meta_mean", "meta_std", "meta_min", "meta_max"]
-    assembled = VectorAssembler(inputCols=inputs, outputCol="_meta").transform(table)
+    assembled = pin(VectorAssembler(inputCols=inputs, outputCol="_meta").transform(table))
     parts = []
     for k in _folds(table, "fold"):
-        model = LogisticRegression(featuresCol="_meta", labelCol="actual", regParam=0.01).fit(assembled.filter(F.col("fold") != k))
-        parts.append(model.transform(assembled.filter(F.col("fold") == k)).select(*keys, "fold", "actual", vector_to_array("probability")[1].alias("predicted")))
+        meta = LogisticRegression(featuresCol="_meta", labelCol="actual", regParam=0.01, probabilityCol="_probability", rawPredictionCol="_raw_prediction")
+        model = meta.fit(assembled.filter(F.col("fold") != k))
+        parts.append(model.transform(assembled.filter(F.col("fold") == k)).select(*keys, "fold", "actual", vector_to_array("_probability")[1].alias("predicted")))
     return reduce(DataFrame.unionByName, parts).withColumn("model", F.lit("stacked"))
 
 
