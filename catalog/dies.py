@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog.base import DIES, LIMITS_SQL, TESTS, TESTS_SQL, die_tests, dies, is_current, limits, query, r, table
 from yieldloom.functions import grades
 from yieldloom.operators import die, golden, joins, monitor, profile, sets, spatial, traces
+from yieldloom.session import pin
 
 LT = ["lot", "test_id"]
 P7 = (("p01", 0.01), ("p05", 0.05), ("p25", 0.25), ("p50", 0.5), ("p75", 0.75), ("p95", 0.95), ("p99", 0.99))
@@ -298,7 +299,7 @@ def max_zscore(spark, folder):
 
 
 def _dispositions(spark, folder):
-    gold, cand = _gold(spark, folder), _candidates(spark, folder)
+    gold, cand = pin(_gold(spark, folder)), pin(_candidates(spark, folder))
     both = golden.golden_z_scores(cand, gold, ["lot"]).join(golden.golden_correlation(cand, gold, ["lot"]), "lot").join(lot_yield(spark, folder), "lot")
     corr, y, z, c = F.col("golden_correlation"), F.col("yield_pct") / 100, F.col("max_z"), F.col("closeness")
     score = grades.reliability_score(corr, y, probe_corr=corr, probe_closeness=c, final_corr=corr, final_closeness=c, probe_max_z=z, final_max_z=z)

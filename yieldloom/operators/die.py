@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from yieldloom.functions.text import normalize_colname
-from yieldloom.plans import HotKeys, group_stats
+from yieldloom.plans import HotKeys, find_hot, group_stats
+from yieldloom.plans.hot import bounded
 
 OUTLIER_SPAN = 3.0
+REFUSED_NAMES = 1_000
 NEAR_SHARE = 0.05
 NEAR_SIGMAS = 0.5
 
@@ -47,9 +49,16 @@ def valid_coordinates(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
 
 
 def test_columns(df: DataFrame, test: str = "test_id") -> DataFrame:
-    """Long rows whose test is a measurement, not a die attribute, coordinate or timing."""
+    """Long rows whose test is a measurement, not a die attribute, coordinate or timing.
+
+    Names are judged once per distinct name; rows are then only compared with the few refused ones.
+    """
     name = normalize_colname(F.col(test))
-    return df.filter(~name.isin(*META_COLUMNS) & ~name.rlike("|".join(NON_TEST_PARTS)))
+    refused = name.isin(*META_COLUMNS) | name.rlike("|".join(NON_TEST_PARTS))
+    names = df.select(test).distinct().filter(refused).limit(REFUSED_NAMES + 1).collect()
+    if len(names) > REFUSED_NAMES:
+        return df.filter(~refused)
+    return df.filter(F.col(test).isNotNull() & ~F.col(test).isin([row[0] for row in names]))
 
 
 def col_stats(df: DataFrame, keys: Sequence[str], value: str = "value", *, limits: DataFrame | None = None, test: str = "test_id", hot: HotKeys | None = None, hot_rows: int | None = None) -> DataFrame:
@@ -59,6 +68,7 @@ def col_stats(df: DataFrame, keys: Sequence[str], value: str = "value", *, limit
     so a second mergeable aggregation runs over rows joined with those.
     """
     v = F.col(value)
+    hot = find_hot(df, keys, hot_rows) if hot is None else hot
     first = group_stats(
         df, keys, value,
         [
@@ -68,11 +78,12 @@ def col_stats(df: DataFrame, keys: Sequence[str], value: str = "value", *, limit
             F.max(v).alias("max"),
             (1 - F.count(v) / F.count(F.lit(1))).alias("missing_rate"),
         ],
-        PERCENTILES, hot=hot, hot_rows=hot_rows,
+        PERCENTILES, hot=hot,
     )
     first = first.withColumns({"median": F.col("p50"), "iqr": F.col("p75") - F.col("p25")})
     fences = first.select(*keys, F.col("median").alias("_mid"), F.col("iqr").alias("_iqr"), F.col("std").alias("_std"))
-    rows = df.join(fences, list(keys))
+    # One fence row per key: small enough it is broadcast, so the rows are not shuffled again.
+    rows = df.join(bounded(fences, hot.groups), list(keys))
     reach = OUTLIER_SPAN * F.col("_iqr")
     outside = (v < F.col("_mid") - reach) | (v > F.col("_mid") + reach)
     shares = [F.avg(F.when(v.isNotNull(), (outside & (F.col("_iqr") > 0)).cast("double"))).alias("outlier_rate")]
@@ -82,7 +93,7 @@ def col_stats(df: DataFrame, keys: Sequence[str], value: str = "value", *, limit
         shares += spec_proximity_shares(v, F.col("_lsl"), F.col("_usl"), F.col("_std"))
         extra = ["near_lsl_pct", "near_usl_pct", "near_lsl_sigma", "near_usl_sigma"]
     second = rows.groupBy(*keys).agg(*shares)
-    return first.join(second, list(keys)).select(*keys, *STAT_COLUMNS, *extra)
+    return first.join(bounded(second, hot.groups), list(keys)).select(*keys, *STAT_COLUMNS, *extra)
 
 
 def spec_proximity_shares(v: Column, lsl: Column, usl: Column, sigma: Column) -> list[Column]:

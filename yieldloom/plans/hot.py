@@ -19,10 +19,14 @@ BROADCAST_ROWS = 50_000
 
 @dataclass(frozen=True)
 class HotKeys:
-    """Keys with more than ``limit`` rows; ``table`` is None when there are none."""
+    """Keys with more than ``limit`` rows; ``table`` is None when there are none.
+
+    ``groups`` is the number of distinct keys, the checked size of any per-key table.
+    """
 
     keys: tuple[str, ...]
     limit: int
+    groups: int
     count: int = 0
     table: DataFrame | None = None
 
@@ -34,12 +38,13 @@ def find_hot(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> Ho
     """One map-side combined count per key decides whether any key needs splitting."""
     limit = HOT_ROWS if limit is None else limit
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    over = sizes.agg(F.sum((F.col("_rows") > limit).cast("long")).alias("n")).first()["n"] or 0
+    facts = sizes.agg(F.count_if(F.col("_rows") > limit).alias("over"), F.count(F.lit(1)).alias("groups")).first()
+    over, groups = facts["over"], facts["groups"]
     if not over:
-        return HotKeys(tuple(keys), limit)
+        return HotKeys(tuple(keys), limit, groups)
     renamed = [F.col(key).alias(f"_hot_{i}") for i, key in enumerate(keys)]
     table = pin(sizes.filter(F.col("_rows") > limit).select(*renamed))
-    return HotKeys(tuple(keys), limit, int(over), table)
+    return HotKeys(tuple(keys), limit, groups, over, table)
 
 
 def bounded(small: DataFrame, rows: int) -> DataFrame:

@@ -30,28 +30,28 @@ def _order_code(df: DataFrame, name: str) -> Column:
 
 
 def _blocks(df: DataFrame, keys: Sequence[str], order: str, descending: bool, hot: HotKeys) -> DataFrame:
-    """Hot rows with ``_block`` and the number of rows of the key before it, ``_before``."""
+    """Hot rows with ``__block`` and the number of rows of the key before it, ``__before``."""
     code = _order_code(df, order)
-    coded = df.withColumn("_code", F.when(F.isnan(code), None).otherwise(code))
-    coded = coded.withColumn("_code", -F.col("_code") if descending else F.col("_code"))
+    coded = df.withColumn("__code", F.when(F.isnan(code), None).otherwise(code))
+    coded = coded.withColumn("__code", -F.col("__code") if descending else F.col("__code"))
     span = coded.groupBy(*keys).agg(
-        F.min("_code").alias("_low"), F.max("_code").alias("_high"), F.count(F.lit(1)).alias("_n")
+        F.min("__code").alias("__low"), F.max("__code").alias("__high"), F.count(F.lit(1)).alias("__n")
     )
-    bins = F.least(F.lit(MAX_BINS), F.ceil(F.col("_n") / F.lit(hot.limit)) * 64)
-    width = F.col("_high") - F.col("_low")
-    share = F.when(width > 0, (F.col("_code") - F.col("_low")) / width)
+    bins = F.least(F.lit(MAX_BINS), F.ceil(F.col("__n") / F.lit(hot.limit)) * 64)
+    width = F.col("__high") - F.col("__low")
+    share = F.when(width > 0, (F.col("__code") - F.col("__low")) / width)
     cell = F.coalesce(F.least(F.floor(share * bins), bins - 1), F.lit(0)).cast("long")
     if descending:  # nulls sort last in a descending order
-        cell = F.when(F.col("_code").isNull(), F.lit(MAX_BINS)).otherwise(cell)
-    placed = attach(coded, span, keys, rows=hot.count).withColumn("_cell", cell)
-    placed = placed.drop("_code", "_low", "_high", "_n")
+        cell = F.when(F.col("__code").isNull(), F.lit(MAX_BINS)).otherwise(cell)
+    placed = attach(coded, span, keys, rows=hot.count).withColumn("__cell", cell)
+    placed = placed.drop("__code", "__low", "__high", "__n")
 
-    sizes = placed.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_size"))
-    upto = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = sizes.withColumn("_start", F.coalesce(F.sum("_size").over(upto), F.lit(0)))
-    cells = cells.withColumn("_block", F.floor(F.col("_start") / F.lit(hot.limit)))
-    cells = cells.withColumn("_before", F.min("_start").over(Window.partitionBy(*keys, "_block")))
-    return attach(placed, cells.drop("_size", "_start"), [*keys, "_cell"]).drop("_cell")
+    sizes = placed.groupBy(*keys, "__cell").agg(F.count(F.lit(1)).alias("__size"))
+    upto = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = sizes.withColumn("__start", F.coalesce(F.sum("__size").over(upto), F.lit(0)))
+    cells = cells.withColumn("__block", F.floor(F.col("__start") / F.lit(hot.limit)))
+    cells = cells.withColumn("__before", F.min("__start").over(Window.partitionBy(*keys, "__block")))
+    return attach(placed, cells.drop("__size", "__start"), [*keys, "__cell"]).drop("__cell")
 
 
 def _sort(order: Sequence[str], descending: Sequence[str]) -> list[Column]:
@@ -82,8 +82,8 @@ def row_index(
         return base.withColumn(name, number).drop("__group")
     cold, heavy = split_hot(base, hot)
     cut = _blocks(heavy, by, order[0], order[0] in descending, hot)
-    inside = F.row_number().over(Window.partitionBy(*by, "_block").orderBy(*ordering))
-    numbered = cut.withColumn(name, (F.col("_before") + inside).cast("long")).drop("_block", "_before")
+    inside = F.row_number().over(Window.partitionBy(*by, "__block").orderBy(*ordering))
+    numbered = cut.withColumn(name, (F.col("__before") + inside).cast("long")).drop("__block", "__before")
     return cold.withColumn(name, number).unionByName(numbered).drop("__group")
 
 
@@ -100,31 +100,31 @@ def running_totals(
     """Sum of each measure from the first row of the key up to the current row."""
     base, by, hot = _prepare(df, keys, hot, hot_rows)
     for i, measure in enumerate(totals.values()):
-        base = base.withColumn(f"_m{i}", measure)
+        base = base.withColumn(f"__m{i}", measure)
     ordering = _sort(order, descending)
     frame = Window.partitionBy(*by).orderBy(*ordering).rowsBetween(Window.unboundedPreceding, 0)
-    drop = [f"_m{i}" for i in range(len(totals))]
+    drop = [f"__m{i}" for i in range(len(totals))]
 
     def whole(part: DataFrame) -> DataFrame:
-        sums = [F.sum(f"_m{i}").over(frame).alias(n) for i, n in enumerate(totals)]
+        sums = [F.sum(f"__m{i}").over(frame).alias(n) for i, n in enumerate(totals)]
         return part.select("*", *sums).drop(*drop)
 
     if not hot:
         return whole(base).drop("__group")
     cold, heavy = split_hot(base, hot)
     cut = _blocks(heavy, by, order[0], order[0] in descending, hot)
-    inner = Window.partitionBy(*by, "_block").orderBy(*ordering).rowsBetween(Window.unboundedPreceding, 0)
-    prior = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    block_sums = cut.groupBy(*by, "_block").agg(*[F.sum(m).alias(m) for m in drop])
+    inner = Window.partitionBy(*by, "__block").orderBy(*ordering).rowsBetween(Window.unboundedPreceding, 0)
+    prior = Window.partitionBy(*by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    block_sums = cut.groupBy(*by, "__block").agg(*[F.sum(m).alias(m) for m in drop])
     carried = block_sums.select(
-        *by, "_block", *[F.coalesce(F.sum(m).over(prior), F.lit(0)).alias(f"_carry{m}") for m in drop]
+        *by, "__block", *[F.coalesce(F.sum(m).over(prior), F.lit(0)).alias(f"__carry{m}") for m in drop]
     )
-    joined = attach(cut, carried, [*by, "_block"])
+    joined = attach(cut, carried, [*by, "__block"])
     sums = [
-        (F.col(f"_carry_m{i}") + F.coalesce(F.sum(f"_m{i}").over(inner), F.lit(0))).alias(n)
+        (F.col(f"__carry__m{i}") + F.coalesce(F.sum(f"__m{i}").over(inner), F.lit(0))).alias(n)
         for i, n in enumerate(totals)
     ]
-    done = joined.select("*", *sums).drop(*drop, *[f"_carry{m}" for m in drop], "_block", "_before")
+    done = joined.select("*", *sums).drop(*drop, *[f"__carry{m}" for m in drop], "__block", "__before")
     return whole(cold).unionByName(done).drop("__group")
 
 
@@ -154,16 +154,16 @@ def nearby_rows(
         return apply(base, whole).drop("__group")
     cold, heavy = split_hot(base, hot)
     size = max(hot.limit, back + 1, ahead + 1)
-    numbered = row_index(heavy, by, order, name="_pos", hot=hot)
-    block = F.floor((F.col("_pos") - 1) / F.lit(size))
-    offset = (F.col("_pos") - 1) % F.lit(size)
+    numbered = row_index(heavy, by, order, name="__pos", hot=hot)
+    block = F.floor((F.col("__pos") - 1) / F.lit(size))
+    offset = (F.col("__pos") - 1) % F.lit(size)
     homes = [F.struct(block.alias("block"), F.lit(True).alias("own"))]
     if back:
         homes.append(F.when(offset >= size - back, F.struct((block + 1).alias("block"), F.lit(False).alias("own"))))
     if ahead:
         homes.append(F.when(offset < ahead, F.struct((block - 1).alias("block"), F.lit(False).alias("own"))))
-    spread = numbered.withColumn("_home", F.explode(F.array_compact(F.array(*homes))))
-    spread = spread.withColumn("_block", F.col("_home.block")).withColumn("_own", F.col("_home.own")).drop("_home")
-    local = Window.partitionBy(*by, "_block").orderBy("_pos")
-    done = apply(spread, local).filter("_own").drop("_own", "_block", "_pos")
+    spread = numbered.withColumn("__home", F.explode(F.array_compact(F.array(*homes))))
+    spread = spread.withColumn("__block", F.col("__home.block")).withColumn("__own", F.col("__home.own")).drop("__home")
+    local = Window.partitionBy(*by, "__block").orderBy("__pos")
+    done = apply(spread, local).filter("__own").drop("__own", "__block", "__pos")
     return apply(cold, whole).unionByName(done).drop("__group")
