@@ -205,6 +205,12 @@ def lot_stability(spark, folder):
     return monitor.lot_stability(die_tests(spark, folder))
 
 
+@query("leave_one_out_baseline", f"""WITH {TESTS_SQL}, t AS (SELECT test_id, count(*) AS n, avg(value) AS g FROM tests GROUP BY test_id), o AS (SELECT lot, test_id, count(*) AS n, sum(value - g) AS s, sum((value - g) ** 2) AS q, any_value(g) AS g FROM tests JOIN t USING (test_id) GROUP BY ALL), a AS (SELECT test_id, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM o GROUP BY test_id)
+SELECT lot, test_id, CAST(a.n - o.n AS BIGINT) AS baseline_n, {r('g + (a.s - o.s) / (a.n - o.n)', 'baseline_mean')}, {r('sqrt(((a.q - o.q) - (a.s - o.s) ** 2 / (a.n - o.n)) / (a.n - o.n - 1))', 'baseline_std')} FROM o JOIN a USING (test_id)""")
+def leave_one_out_baseline(spark, folder):
+    return monitor.leave_one_out_baseline(die_tests(spark, folder))
+
+
 CPK = "least((usl - {m}) / (3 * greatest({s}, 1e-9)), ({m} - lsl) / (3 * greatest({s}, 1e-9)))"
 
 

@@ -181,6 +181,17 @@ def expand_archives(spark, folder):
     return found.groupBy(lot("archive")).agg(F.count(F.lit(1)).alias("members")).join(counts, "lot")
 
 
+@query("archive_lot_folder", "SELECT l_suppkey AS k, 'HB' || l_suppkey || CASE WHEN l_suppkey % 2 = 0 THEN '_[01]' ELSE '_[02]_95%' END AS lot_folder FROM lineitem GROUP BY l_suppkey")
+def archive_lot_folder(spark, folder):
+    k = F.col("l_suppkey").cast("string")
+    inside = F.when(F.col("l_suppkey") % 2 == 0, F.concat(F.lit("HB"), k, F.lit("_[01]/"))).otherwise("plain/")
+    members = table(spark, folder, "lineitem").select(
+        F.concat(F.lit("/d/HB"), k, F.lit("_[02]_95%/a.zip")).alias("archive"), F.concat(inside, F.col("l_orderkey").cast("string"), F.lit(".std")).alias("path")
+    )
+    out = inventory.archive_lot_folder(members)
+    return out.select(F.regexp_extract("archive", r"HB(\d+)", 1).cast("long").alias("k"), "lot_folder")
+
+
 # --- maps and inventories ---------------------------------------------------------
 @query("scan_limits", f"""SELECT p_partkey, 'T' || p_partkey || '.0' AS test_id, p_partkey || '_0' AS test_key, CASE WHEN p_partkey % 5 <> 0 THEN {r('CAST(p_size AS DOUBLE)', 'x').split(' AS x')[0]} END AS lsl, {r('p_retailprice', 'usl')} FROM part""")
 def scan_limits(spark, folder):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import HOUR_TRACE, HOURS, TRACE, hour_trace, query, r, table, trace
+from yieldloom.functions import text
 from yieldloom.functions.numeric import recover_spreadsheet_decimal
 from yieldloom.operators import cleaning, cmp, etch, profile, rul, sets, signal, traces
 
@@ -392,3 +393,38 @@ def chronological_holdout(spark, folder):
     return sets.chronological_holdout(rows).groupBy("campaign", "split").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query("timestamp_index", "SELECT event_id, CAST(event_id % 176 AS INTEGER) AS ts_idx FROM events")
+def timestamp_index(spark, folder):
+    name = F.concat(F.lit("timestamp_"), (F.col("event_id") % 176).cast("string"))
+    return table(spark, folder, "events").select("event_id", text.timestamp_index(name).alias("ts_idx"))
+
+
+@query("wafer_trace_view", f"""SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, unnest(['value', 'doubled']) AS sensor, unnest([{r('value', 'x').split(' AS x')[0]}, {r('value * 2', 'x').split(' AS x')[0]}]) AS value FROM events WHERE event_type = 'click' AND user_id = 7""")
+def wafer_trace_view(spark, folder):
+    wide = table(spark, folder, "events").select(
+        F.col("event_type").alias("lot"), F.col("user_id").cast("string").alias("wafer"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "value", (F.col("value") * 2).alias("doubled")
+    )
+    return traces.wafer_trace_view(wide, "click", "7", ["value", "doubled"])
+
+
+@query("etch_map_view", "SELECT l_orderkey AS \"X\", l_partkey AS \"Y\", l_quantity AS value FROM lineitem WHERE l_suppkey = 3")
+def etch_map_view(spark, folder):
+    points = table(spark, folder, "lineitem").select(F.col("l_suppkey").cast("string").alias("experiment_key"), F.col("l_orderkey").alias("X"), F.col("l_partkey").alias("Y"), F.col("l_quantity").alias("si_etch"))
+    return etch.etch_map_view(points, "3")
+
+
+@query("source_audit", f"""WITH {TRACE}, m AS (SELECT user_id, event_type, avg(value) AS m FROM trace GROUP BY ALL) SELECT (SELECT count(*) FROM trace) AS rows, CAST(0 AS BIGINT) AS blank_keys, (SELECT min(ts_idx) FROM trace) AS first_index, (SELECT max(ts_idx) FROM trace) AS last_index,
+ count(*) AS means_compared, count(*) FILTER (user_id % 10 = 0) AS mean_mismatches, 0.5::DOUBLE AS max_mean_gap FROM m""")
+def source_audit(spark, folder):
+    rows = trace(spark, folder)
+    cached = rows.groupBy(*UT).agg((F.avg("value") + F.when(F.col("user_id") % 10 == 0, 0.5).otherwise(0.0)).alias("mean"))
+    return cleaning.source_audit(rows, cached, ["user_id"], sensor="event_type")
+
+
+@query("cleaning_variants", f"""WITH cells AS (SELECT event_type AS sensor, {RAW} AS raw FROM events), typed AS (SELECT sensor, try_cast(raw AS DOUBLE) AS num, CASE WHEN raw = '01.Sep' THEN 1.09 WHEN raw <> 'n/a' THEN try_cast(replace(raw, ',', '.') AS DOUBLE) END AS value FROM cells)
+SELECT 'naive' AS variant, sensor, {r('avg(num)', 'mean')}, {r('1 - count(num) / count(*)', 'missing_rate')} FROM typed GROUP BY sensor UNION ALL SELECT 'recovered', sensor, {r('avg(value)', 'mean')}, {r('1 - count(value) / count(*)', 'missing_rate')} FROM typed GROUP BY sensor""")
+def cleaning_variants(spark, folder):
+    cells = raw_cells(spark, folder).withColumn("ts_idx", F.col("event_id"))
+    tables = cleaning.cleaning_variants(cells, ["sensor"])
+    part = lambda n: tables[n].select(F.lit(n).alias("variant"), "sensor", "mean", "missing_rate")
+    return part("naive").unionByName(part("recovered"))

@@ -79,3 +79,19 @@ def test_nearby_rows_split_equals_plain(skewed):
     split = nearby_rows(skewed, ["k"], ["t", "id"], build, back=24, ahead=3, hot_rows=40)
     assert split.count() == 1500
     assert _rows(plain, "id") == _rows(split.select(plain.columns), "id")
+
+
+@pytest.mark.parametrize("descending", [(), ("t",), ("t", "id")])
+def test_one_order_value_with_most_rows(skewed, descending):
+    clumped = skewed.withColumn("t", F.when(F.col("id") % 4 != 0, 200).otherwise(F.when(F.col("id") % 8 == 0, F.col("t"))))
+    plain = row_index(clumped, ["k"], ["t", "id"], descending=descending, hot_rows=10**9)
+    split = row_index(clumped, ["k"], ["t", "id"], descending=descending, hot_rows=25)
+    assert _rows(plain, "id") == _rows(split.select(plain.columns), "id")
+
+
+def test_crowded_cells_are_cut_by_the_next_column(spark):
+    from yieldloom.plans.ordered import _blocks
+
+    rows = spark.range(4000).select(F.lit("k").alias("k"), F.lit(5).alias("t"), "id")
+    blocks = _blocks(rows, ["k"], ["t", "id"], (), find_hot(rows, ["k"], 100))
+    assert blocks.groupBy("__block").count().agg(F.max("count")).first()[0] <= 300

@@ -149,3 +149,39 @@ def dataset_summary(df: DataFrame, *, lot: str = "lot", wafer: str = "wafer", ba
         F.count_if(~mixed).alias("single_class_lots"),
         (F.sum("_bad") / F.sum("_rows")).alias("bad_rate"),
     )
+
+
+def source_audit(raw: DataFrame, cached: DataFrame, keys: Sequence[str] = ("lot", "wafer"), *, sensor: str = "sensor", index: str = "ts_idx", value: str = "value", cached_mean: str = "mean", tolerance: float = 1e-8) -> DataFrame:
+    """Blank keys, index range, and how far cached sensor means are from means of the raw readings."""
+    blank = F.lit(False)
+    for k in keys:
+        blank = blank | F.coalesce(F.trim(F.col(k).cast("string")) == "", F.lit(True))
+    means = raw.groupBy(*keys, sensor).agg(F.avg(value).alias("_raw"))
+    gaps = means.join(cached.select(*keys, sensor, F.col(cached_mean).alias("_cached")), [*keys, sensor], "full_outer")
+    gap = F.abs(F.col("_raw") - F.col("_cached"))
+    one_sided = F.col("_raw").isNull() != F.col("_cached").isNull()
+    facts = raw.agg(F.count(F.lit(1)).alias("rows"), F.count_if(blank).alias("blank_keys"), F.min(index).alias("first_index"), F.max(index).alias("last_index"))
+    checks = gaps.agg(
+        F.count(F.lit(1)).alias("means_compared"), F.count_if(one_sided | (gap > tolerance)).alias("mean_mismatches"), F.max(gap).alias("max_mean_gap")
+    )
+    return facts.crossJoin(checks)  # one row each
+
+
+def cleaning_variants(long: DataFrame, keys: Sequence[str] = ("equipment", "lot", "wafer", "sensor"), raw: str = "raw", max_invalid_rate: float = 0.01, **options) -> dict[str, DataFrame]:
+    """Temporal features of three cleanings of the same cells, and the per-sensor formatted rates.
+
+    naive reads plain numbers only, recovered also repairs damaged decimals, cleaned further drops
+    sensors by the quality rules.
+    """
+    from yieldloom.operators.traces import temporal_features
+
+    typed = coerce_sensor(long, raw)
+    naive = typed.withColumn("value", F.when(~F.col("recovered"), F.col("value")))
+    sensor_keys = [k for k in ("equipment", "sensor") if k in long.columns]
+    quality = sensor_quality(long, keys=sensor_keys, raw=raw, max_invalid_rate=max_invalid_rate)
+    return {
+        "naive": temporal_features(naive, keys, **options),
+        "recovered": temporal_features(typed, keys, **options),
+        "cleaned": temporal_features(sensor_retention(typed, quality, sensor_keys), keys, **options),
+        "formatted_rates": quality.select(*sensor_keys, "source_formatted_rate", "status"),
+    }

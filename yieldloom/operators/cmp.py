@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from yieldloom.functions.numeric import inf_to_null
 from yieldloom.operators.contracts import require_columns
 from yieldloom.operators.traces import first_last
-from yieldloom.plans import HotKeys, find_hot, group_stats, nearby_rows, row_index
+from yieldloom.plans import HotKeys, bounded, find_hot, group_stats, nearby_rows, row_index
 
 KEYS = ("WAFER_ID", "STAGE")
 # Signals with phase and chamber features.
@@ -71,7 +71,7 @@ def phase_by_position(df: DataFrame, keys: Sequence[str] = KEYS, order: Sequence
     placed = row_index(df, keys, order, name="_pos", hot=hot)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
     third = F.floor(F.lit(phases) * (F.col("_pos") - 1) / F.col("_size"))
-    joined = placed.join(sizes, list(keys))
+    joined = placed.join(bounded(sizes, hot.groups), list(keys))
     return joined.withColumn("phase", F.least(third, F.lit(phases - 1)).cast("int")).drop("_pos", "_size")
 
 

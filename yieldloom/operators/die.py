@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from yieldloom.functions.text import normalize_colname
-from yieldloom.plans import HotKeys, find_hot, group_stats
-from yieldloom.plans.hot import bounded
+from yieldloom.plans import HotKeys, bounded, find_hot, group_stats, row_index
 
 OUTLIER_SPAN = 3.0
 REFUSED_NAMES = 1_000
@@ -188,10 +187,4 @@ def rename_to_test_ids(rows: DataFrame, test_dim: DataFrame, column: str = "colu
 
 def device_renumber(dies: DataFrame, keys: Sequence[str] = ("wafer", "site"), order: Sequence[str] = ("x_text", "y_text")) -> DataFrame:
     """Running device number per site in the given order."""
-    from yieldloom.plans import row_index
-
     return row_index(dies, keys, order, name="device_no")
-
-
-def newest_first(keys: Sequence[str], *order: Column):
-    return Window.partitionBy(*keys).orderBy(*order)

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from yieldloom.functions.grades import normalised_yield, zscore_closeness
-from yieldloom.functions.text import lot_from_path
 from yieldloom.operators.die import lot_test_stats, test_columns
 from yieldloom.operators.joins import golden_fallback, golden_overlap, limit_lookup
 
@@ -113,7 +112,3 @@ def baseline_yield(final_golden: Column, probe_golden: Column, historical: Colum
     """Golden final-test yield, else golden probe yield (both in percent), else the historical fraction."""
     positive = lambda c: F.when(c > 0, c / 100)
     return F.coalesce(positive(final_golden), positive(probe_golden), historical)
-
-
-def lots_of(files: DataFrame, folder: str = "folder", name: str = "filename") -> DataFrame:
-    return files.withColumn("lot_id", lot_from_path(F.col(folder), F.col(name)))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from yieldloom.functions.grades import cpk
-from yieldloom.plans import group_stats, running_totals
+from yieldloom.plans import group_stats, measured, running_totals
 
 BINS = 10
 EMPTY_SHARE = 1e-4
@@ -51,7 +51,7 @@ def psi(current: DataFrame, baseline: DataFrame, keys: Sequence[str] = ("test_id
     """
     side = lambda df, c: df.select(*keys, F.col(value).alias("_v"), F.lit(c).alias("_cur")).filter("_v IS NOT NULL")
     rows = side(current, True).unionByName(side(baseline, False))
-    span = rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    span = measured(rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
     slot = _bin(F.col("_v"), F.col("_lo"), F.col("_hi"), bins)
     binned = rows.join(span, list(keys)).withColumn("_b", slot)
     count = lambda cond: F.count_if(cond)
@@ -78,6 +78,7 @@ def psi_pairwise_min(current: DataFrame, history: DataFrame, *, lot: str = "lot"
     spans = spans.join(cur_span, test).select(
         lot, test, "_nc", "_nh", F.least("_hlo", "_clo").alias("_lo"), F.greatest("_hhi", "_chi").alias("_hi")
     )
+    spans = measured(spans)
     own = hist.join(spans, [lot, test]).withColumn("_b", _bin(F.col(value), F.col("_lo"), F.col("_hi"), bins))
     own = own.groupBy(lot, test).agg(*[F.count_if(F.col("_b") == i).alias(f"_h{i}") for i in range(bins)])
 
@@ -180,6 +181,24 @@ def distribution_shift(current: DataFrame, history: DataFrame, limits: DataFrame
     return shift_summary(current, history, limits, lot=lot, test=test, value=value, hot_rows=hot_rows)
 
 
+def leave_one_out_baseline(df: DataFrame, *, lot: str = "lot", test: str = "test_id", value: str = "value") -> DataFrame:
+    """Count, mean and std of every test over all lots but one, as totals minus the lot's own sums.
+
+    Sums are taken around the test's overall mean, which keeps the subtraction accurate.
+    """
+    known = df.filter(F.col(value).isNotNull())
+    centre = measured(known.groupBy(test).agg(F.avg(value).alias("_centre")))
+    d = F.col(value) - F.col("_centre")
+    own = known.join(centre, test).groupBy(test, lot).agg(F.count(F.lit(1)).alias("_n"), F.sum(d).alias("_s"), F.sum(d * d).alias("_q"))
+    total = own.groupBy(test).agg(*[F.sum(c).alias("_t" + c) for c in ("_n", "_s", "_q")])
+    joined = own.join(total, test).join(centre, test)
+    n, s, q = (F.col("_t" + c) - F.col(c) for c in ("_n", "_s", "_q"))
+    mean = F.col("_centre") + s / F.when(n > 0, n)
+    variance = (q - s * s / F.when(n > 0, n)) / F.when(n > 1, n - 1)
+    std = F.sqrt(F.greatest(variance, F.lit(0.0)))
+    return joined.select(lot, test, n.alias("baseline_n"), F.when(n > 0, mean).alias("baseline_mean"), F.when(n > 1, std).alias("baseline_std"))
+
+
 def lot_stability(df: DataFrame, *, lot: str = "lot", test: str = "test_id", value: str = "value", bins: int = BINS, min_lots: int = 5) -> DataFrame:
     """SPC and PSI of every lot against all other lots.
 
@@ -189,7 +208,7 @@ def lot_stability(df: DataFrame, *, lot: str = "lot", test: str = "test_id", val
     (test, lot, bin). Fewer than ``min_lots`` lots give no rows.
     """
     known = df.filter(F.col(value).isNotNull()).select(lot, test, F.col(value).alias("_v"))
-    span = known.groupBy(test).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.avg("_v").alias("_centre"))
+    span = measured(known.groupBy(test).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.avg("_v").alias("_centre")))
     d = F.col("_v") - F.col("_centre")
     slot = _bin(F.col("_v"), F.col("_lo"), F.col("_hi"), bins)
     rows = known.join(span, test).withColumns({"_d": d, "_b": slot})

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from yieldloom.plans import group_stats, row_index, running_totals
+from yieldloom.plans import group_stats, measured, row_index, running_totals
 
 
 def group_transform(df: DataFrame, columns: Sequence[str], group: str = "lot") -> DataFrame:
@@ -19,7 +19,7 @@ def group_transform(df: DataFrame, columns: Sequence[str], group: str = "lot") -
         *[F.avg(c).alias(f"lot_mean__{c}") for c in columns],
         *[F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"lot_std__{c}") for c in columns],
     )
-    out = df.join(facts, group)
+    out = df.join(measured(facts), group)
     for c in columns:
         mean, std = F.col(f"lot_mean__{c}"), F.col(f"lot_std__{c}")
         z = F.when(F.abs(std) > 1e-12, (F.col(c) - mean) / F.when(F.abs(std) > 1e-12, std))
@@ -32,7 +32,7 @@ def probability_context(df: DataFrame, group: str = "lot", probability: str = "p
     p = F.col(probability)
     aggs = [F.avg(p).alias("p_mean"), F.coalesce(F.stddev_samp(p), F.lit(0.0)).alias("p_std"), F.min(p).alias("p_min"), F.max(p).alias("p_max")]
     facts = group_stats(df, [group], probability, aggs, {"p_q25": 0.25, "p_q75": 0.75}, hot_rows=hot_rows)
-    return df.join(facts, group)
+    return df.join(measured(facts), group)
 
 
 def average_ranks(df: DataFrame, group: Sequence[str], score: str, hot_rows: int | None = None) -> DataFrame:
@@ -58,7 +58,7 @@ def percent_rank_avg(df: DataFrame, scores: Sequence[str], group: str = "lot", h
 def top_n_per_group_dynamic(df: DataFrame, group: str = "lot", *, bad: str = "actual_bad", probability: str = "probability", tie: Sequence[str] = ("row",), hot_rows: int | None = None) -> DataFrame:
     """Flags, per lot, as many of the most probable rows as the lot truly has bad ones; ties by row order."""
     ranked = row_index(df, [group], [probability, *tie], descending=[probability], name="_rank", hot_rows=hot_rows)
-    counts = df.groupBy(group).agg(F.sum(bad).alias("_bad"))
+    counts = measured(df.groupBy(group).agg(F.sum(bad).alias("_bad")))
     return ranked.join(counts, group).select(
         *df.columns, (F.col("_rank") <= F.coalesce("_bad", F.lit(0))).cast("int").alias("selected")
     )
@@ -73,7 +73,7 @@ def class_mean_prediction(df: DataFrame, *, response: str = "response", bad: str
     s = F.col("_ts") - F.coalesce("_s", F.lit(0.0))
     n = F.col("_tn") - F.coalesce("_n", F.lit(0))
     means = outside.select(fold, F.col(bad).alias(predicted), F.when(n > 0, s / F.when(n > 0, n)).alias("class_mean"))
-    return df.join(means, [fold, predicted], "left").select(*df.columns, "class_mean")
+    return df.join(measured(means), [fold, predicted], "left").select(*df.columns, "class_mean")
 
 
 def oracle_count_report(reference: DataFrame, probability: str = "probability", *, group: str = "lot", tie: Sequence[str] = ("row",), hot_rows: int | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from yieldloom.functions.text import natural_sort as natural_key
 from yieldloom.functions.text import test_order
+from yieldloom.plans import row_index
 
 
 def order_by_keys(df: DataFrame, *keys: str | Column) -> DataFrame:
@@ -52,9 +53,9 @@ best_per_group = latest_per_key
 
 
 def rank_models(results: DataFrame, slice_: Sequence[str] = ("task", "target"), score: str = "r2") -> DataFrame:
-    """1..n by score within a slice; candidates are a short table by construction."""
-    w = Window.partitionBy(*slice_).orderBy(F.desc(score), "model")
-    return results.withColumn("rank", F.row_number().over(w))
+    """1..n by score within a slice, ties by name."""
+    ranked = row_index(results, slice_, [score, "model"], descending=[score], name="rank")
+    return ranked.withColumn("rank", F.col("rank").cast("int"))
 
 
 def evidence_views(metrics: DataFrame, *, best_by: Sequence[str] = ("feature_set",), score: str = "r2", **filters: str) -> DataFrame:
@@ -120,8 +121,8 @@ def sanitize_feature_names(names: DataFrame, position: str = "position", name: s
     from yieldloom.functions.text import sanitize_name
 
     cleaned = names.withColumn("clean", sanitize_name(F.col(name)))
-    seen = F.row_number().over(Window.partitionBy("clean").orderBy(position)) - 1
-    return cleaned.withColumn("_seen", seen).select(
+    counted = row_index(cleaned, ["clean"], [position], name="_nth")
+    return counted.withColumn("_seen", F.col("_nth") - 1).select(
         position, name, F.when(F.col("_seen") > 0, F.concat("clean", F.lit("__"), F.col("_seen"))).otherwise(F.col("clean")).alias("clean")
     )
 

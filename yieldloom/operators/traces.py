@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from yieldloom.functions.numeric import inf_to_null
 from yieldloom.operators.cleaning import SAMPLES_PER_WAFER
-from yieldloom.plans import HotKeys, group_stats
+from yieldloom.plans import HotKeys, group_stats, measured
 
 TEMPORAL_STATS = (
     "mean", "std", "min", "max", "median", "q25", "q75", "range", "delta", "slope",
@@ -104,7 +104,7 @@ def wafer_trace_view(wide: DataFrame, lot: str, wafer: str, sensors: Sequence[st
 
 def trace_impute(df: DataFrame, train: Column, *, by: Sequence[str] = ("sensor",), value: str = "value", fallback: bool = True, hot_rows: int | None = None) -> DataFrame:
     """Missing readings become the training rows' median per ``by``, else their overall median, else 0."""
-    medians = group_stats(df.filter(train), by, value, [], {"_median": 0.5}, hot_rows=hot_rows)
+    medians = measured(group_stats(df.filter(train), by, value, [], {"_median": 0.5}, hot_rows=hot_rows))
     joined = df.join(medians, list(by), "left")
     if fallback:
         overall = group_stats(df.filter(train), [], value, [], {"_overall": 0.5}, hot_rows=hot_rows)
@@ -117,6 +117,6 @@ def trace_impute(df: DataFrame, train: Column, *, by: Sequence[str] = ("sensor",
 
 def trace_scale(df: DataFrame, train: Column, *, by: Sequence[str] = ("sensor",), value: str = "value") -> DataFrame:
     """(x - mean) / std with the training rows' population statistics; a tiny std counts as 1."""
-    facts = df.filter(train).groupBy(*by).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_std"))
+    facts = measured(df.filter(train).groupBy(*by).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_std")))
     spread = F.when(F.col("_std") < 1e-6, 1.0).otherwise(F.col("_std"))
     return df.join(facts, list(by), "left").withColumn(value, (F.col(value) - F.col("_mean")) / spread).select(*df.columns)

@@ -52,6 +52,12 @@ def bounded(small: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(small) if rows <= BROADCAST_ROWS else small
 
 
+def measured(small: DataFrame) -> DataFrame:
+    """Per-key facts computed once and counted, so the join with the rows can be a checked broadcast."""
+    table = pin(small)
+    return bounded(table, table.count())
+
+
 def same_keys(left: Sequence[str | Column], right: Sequence[str | Column]) -> Column:
     """Null-safe equality over two key lists."""
     as_col = lambda c: F.col(c) if isinstance(c, str) else c

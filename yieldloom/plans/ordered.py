@@ -29,29 +29,63 @@ def _order_code(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("double")
 
 
-def _blocks(df: DataFrame, keys: Sequence[str], order: str, descending: bool, hot: HotKeys) -> DataFrame:
-    """Hot rows with ``__block`` and the number of rows of the key before it, ``__before``."""
-    code = _order_code(df, order)
-    coded = df.withColumn("__code", F.when(F.isnan(code), None).otherwise(code))
-    coded = coded.withColumn("__code", -F.col("__code") if descending else F.col("__code"))
+def _cell(code: Column, low: Column, high: Column, rows: Column, limit: int) -> Column:
+    """Equal-width histogram cell of a code; 64 cells for every block the rows will need."""
+    bins = F.least(F.lit(MAX_BINS), F.ceil(rows / F.lit(limit)) * 64)
+    share = F.when(high > low, (code - low) / F.when(high > low, high - low))
+    return F.coalesce(F.least(F.floor(share * bins), bins - 1), F.lit(0)).cast("long")
+
+
+def _blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], descending: Sequence[str], hot: HotKeys) -> DataFrame:
+    """Hot rows with ``__block`` and the number of rows of the key before it, ``__before``.
+
+    Cells of the first order column that hold too many rows are cut again: by the same column
+    inside the cell, or by the next order column where all rows share one value.
+    """
+    coded = df
+    for i, name in enumerate(order[:2]):
+        code = _order_code(df, name)
+        code = F.when(F.isnan(code), None).otherwise(code)
+        # A null sorts first in ascending and last in descending order.
+        code = F.coalesce(-code, F.lit(float("inf"))) if name in descending else F.coalesce(code, F.lit(float("-inf")))
+        coded = coded.withColumn(f"__code{i}", code)
+    if len(order) == 1:
+        coded = coded.withColumn("__code1", F.lit(0.0))
+    finite = lambda c: F.when(F.abs(c) < float("inf"), c)
+
     span = coded.groupBy(*keys).agg(
-        F.min("__code").alias("__low"), F.max("__code").alias("__high"), F.count(F.lit(1)).alias("__n")
+        F.min(finite(F.col("__code0"))).alias("__low"), F.max(finite(F.col("__code0"))).alias("__high"), F.count(F.lit(1)).alias("__n")
+    )
+    c0 = F.col("__code0")
+    inner = _cell(c0, F.col("__low"), F.col("__high"), F.col("__n"), hot.limit)
+    outer = F.when(c0 == float("-inf"), -1).when(c0 == float("inf"), MAX_BINS).otherwise(inner).cast("long")
+    placed = attach(coded, span, keys, rows=hot.count).withColumn("__cell", outer).drop("__low", "__high", "__n")
+
+    first = F.col(order[0])
+    facts = placed.groupBy(*keys, "__cell").agg(
+        F.count(F.lit(1)).alias("__n"),
+        (F.min(first).eqNullSafe(F.max(first)) & ((F.count(first) == 0) | (F.count(first) == F.count(F.lit(1))))).alias("__same"),
+        *[f(finite(F.col(f"__code{i}"))).alias(f"__{n}{i}") for i in (0, 1) for f, n in ((F.min, "low"), (F.max, "high"))],
     )
-    bins = F.least(F.lit(MAX_BINS), F.ceil(F.col("__n") / F.lit(hot.limit)) * 64)
-    width = F.col("__high") - F.col("__low")
-    share = F.when(width > 0, (F.col("__code") - F.col("__low")) / width)
-    cell = F.coalesce(F.least(F.floor(share * bins), bins - 1), F.lit(0)).cast("long")
-    if descending:  # nulls sort last in a descending order
-        cell = F.when(F.col("__code").isNull(), F.lit(MAX_BINS)).otherwise(cell)
-    placed = attach(coded, span, keys, rows=hot.count).withColumn("__cell", cell)
-    placed = placed.drop("__code", "__low", "__high", "__n")
-
-    sizes = placed.groupBy(*keys, "__cell").agg(F.count(F.lit(1)).alias("__size"))
-    upto = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    spread = F.col("__high0") > F.col("__low0")
+    # Codes may coincide for different values (long texts, huge integers); then the cell stays whole.
+    crowded = facts.filter((F.col("__n") > hot.limit) & (spread | F.col("__same")))
+    low = F.when(spread, F.col("__low0")).otherwise(F.col("__low1"))
+    high = F.when(spread, F.col("__high0")).otherwise(F.col("__high1"))
+    crowded = crowded.select(*keys, "__cell", F.col("__n"), spread.alias("__spread"), low.alias("__low"), high.alias("__high"))
+    placed = attach(placed, crowded, [*keys, "__cell"], "left")
+    code = F.when(F.col("__spread"), c0).otherwise(F.col("__code1"))
+    fine = _cell(code, F.col("__low"), F.col("__high"), F.col("__n"), hot.limit)
+    fine = F.when(code == float("-inf"), -1).when(code == float("inf"), MAX_BINS).otherwise(fine)
+    placed = placed.withColumn("__fine", F.when(F.col("__n").isNull(), 0).otherwise(fine).cast("long"))
+    placed = placed.drop("__n", "__spread", "__low", "__high", "__code0", "__code1")
+
+    sizes = placed.groupBy(*keys, "__cell", "__fine").agg(F.count(F.lit(1)).alias("__size"))
+    upto = Window.partitionBy(*keys).orderBy("__cell", "__fine").rowsBetween(Window.unboundedPreceding, -1)
     cells = sizes.withColumn("__start", F.coalesce(F.sum("__size").over(upto), F.lit(0)))
     cells = cells.withColumn("__block", F.floor(F.col("__start") / F.lit(hot.limit)))
     cells = cells.withColumn("__before", F.min("__start").over(Window.partitionBy(*keys, "__block")))
-    return attach(placed, cells.drop("__size", "__start"), [*keys, "__cell"]).drop("__cell")
+    return attach(placed, cells.drop("__size", "__start"), [*keys, "__cell", "__fine"]).drop("__cell", "__fine")
 
 
 def _sort(order: Sequence[str], descending: Sequence[str]) -> list[Column]:
@@ -81,7 +115,7 @@ def row_index(
     if not hot:
         return base.withColumn(name, number).drop("__group")
     cold, heavy = split_hot(base, hot)
-    cut = _blocks(heavy, by, order[0], order[0] in descending, hot)
+    cut = _blocks(heavy, by, order, descending, hot)
     inside = F.row_number().over(Window.partitionBy(*by, "__block").orderBy(*ordering))
     numbered = cut.withColumn(name, (F.col("__before") + inside).cast("long")).drop("__block", "__before")
     return cold.withColumn(name, number).unionByName(numbered).drop("__group")
@@ -112,7 +146,7 @@ def running_totals(
     if not hot:
         return whole(base).drop("__group")
     cold, heavy = split_hot(base, hot)
-    cut = _blocks(heavy, by, order[0], order[0] in descending, hot)
+    cut = _blocks(heavy, by, order, descending, hot)
     inner = Window.partitionBy(*by, "__block").orderBy(*ordering).rowsBetween(Window.unboundedPreceding, 0)
     prior = Window.partitionBy(*by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     block_sums = cut.groupBy(*by, "__block").agg(*[F.sum(m).alias(m) for m in drop])

@@ -130,6 +130,14 @@ def sniff_metadata(files: DataFrame, tester_map: DataFrame) -> DataFrame:
     )
 
 
+def archive_lot_folder(members: DataFrame, archive: str = "archive", path: str = "path") -> DataFrame:
+    """Lot folder of each archive: its first top-level folder with a valid name, else one in the archive's own path."""
+    top = F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/")[0]
+    inside = F.min(F.when(text.combo_folder_valid(top) & (top != "__MACOSX"), top))
+    found = members.groupBy(archive).agg(inside.alias("_inside"))
+    return found.select(archive, F.coalesce("_inside", text.lot_folder(F.col(archive))).alias("lot_folder"))
+
+
 def expand_archives(files: DataFrame, endings: Sequence[str] = DATA_ENDINGS) -> DataFrame:
     """(archive, path, content) of every data file, nested zips opened in the task that holds them."""
     wanted = tuple(endings)

@@ -7,6 +7,10 @@ from collections.abc import Callable, Iterable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from yieldloom.plans import find_hot
+
+MAX_FILES = 1_000_000
+
 # What each data lane may be used for.
 LANES = {
     "real_open_source": ("data_quality", "feature_engineering", "regression", "classification", "explainability", "grouped_validation"),
@@ -27,7 +31,12 @@ def source_fingerprint(files: DataFrame) -> DataFrame:
 
 
 def dataset_version(fingerprints: DataFrame, keys: Iterable[str] = ()) -> DataFrame:
-    """First sixteen hex digits of the hash over the sorted ``name:digest`` list, per key."""
+    """First sixteen hex digits of the hash over the sorted ``name:digest`` list, per key.
+
+    One hash covers one list of files, so a list beyond ``MAX_FILES`` is refused instead of gathered.
+    """
+    if find_hot(fingerprints, list(keys), MAX_FILES):
+        raise ValueError(f"a dataset version covers at most {MAX_FILES} files")
     entries = F.array_sort(F.collect_list(F.concat_ws(":", "name", "digest")))
     return fingerprints.groupBy(*keys).agg(F.count(F.lit(1)).alias("files"), F.substring(F.sha2(F.array_join(entries, "|"), 256), 1, 16).alias("version"))
 
