@@ -13,6 +13,7 @@ from yieldloom.session import pin
 
 # Rows of one key that a single task may sort or hold comfortably.
 HOT_ROWS = 2_000_000
+HOT_ROWS_SETTING = "spark.yieldloom.hotRows"
 # Key tables up to this many rows may be broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 50_000
 
@@ -36,7 +37,7 @@ class HotKeys:
 
 def find_hot(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> HotKeys:
     """One map-side combined count per key decides whether any key needs splitting."""
-    limit = HOT_ROWS if limit is None else limit
+    limit = int(df.sparkSession.conf.get(HOT_ROWS_SETTING, str(HOT_ROWS))) if limit is None else limit
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     facts = sizes.agg(F.count_if(F.col("_rows") > limit).alias("over"), F.count(F.lit(1)).alias("groups")).first()
     over, groups = facts["over"], facts["groups"]
