@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import struct
 import zipfile
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -130,7 +131,7 @@ def _log_files(spark, folder, rows: int = 2_000):
     )
     placed = row_index(li, ["lot"], ["l_orderkey", "line", "q", "y"], name="pos").withColumn("chunk", F.floor((F.col("pos") - 1) / rows).cast("int"))
 
-    def encode(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def encode(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
         content = _binary_log(f"L{key[0]}", frame.sort_values("pos"))
         return pd.DataFrame({"lot": [key[0]], "path": [f"/logs/L{key[0]}_{key[1]}.std"], "content": [content]})
 

@@ -33,13 +33,14 @@ def f_score_importance(features: DataFrame, *, label: str = "bad", feature: str
     cells = features.filter(F.col(value).isNotNull()).groupBy(feature, label).agg(
         F.count(value).alias("_n"), F.avg(value).alias("_m"), F.var_pop(value).alias("_v")
     )
-    total = cells.groupBy(feature).agg(
-        F.sum("_n").alias("_t"), (F.sum(F.col("_n") * F.col("_m")) / F.sum("_n")).alias("_g"), F.count(F.lit(1)).alias("_k"),
-        F.sum(F.col("_n") * F.col("_v")).alias("_within"), F.sum(F.col("_n") * F.col("_m") * F.col("_m")).alias("_sq"),
-    )
-    between = (F.col("_sq") - F.col("_t") * F.col("_g") * F.col("_g")) / F.nullif(F.col("_k") - 1, F.lit(0))
+    centre = cells.groupBy(feature).agg((F.sum(F.col("_n") * F.col("_m")) / F.sum("_n")).alias("_g"))
+    gap = F.col("_m") - F.col("_g")
+    total = cells.join(centre, feature).groupBy(feature).agg(
+        F.sum("_n").alias("_t"), F.count(F.lit(1)).alias("_k"), F.sum(F.col("_n") * F.col("_v")).alias("_within"), F.sum(F.col("_n") * gap * gap).alias("_between")
+    )
+    between = F.col("_between") / F.nullif(F.col("_k") - 1, F.lit(0))
     within = F.col("_within") / F.nullif(F.col("_t") - F.col("_k"), F.lit(0))
-    score = F.coalesce(F.when(within > 1e-12, F.greatest(between, F.lit(0.0)) / F.when(within > 1e-12, within)), F.lit(0.0))
+    score = F.coalesce(F.when(within > 1e-12, between / F.when(within > 1e-12, within)), F.lit(0.0))
     scored = total.select(feature, score.alias("f_score"))
     overall = scored.agg(F.sum("f_score").alias("_sum"))
     return scored.crossJoin(F.broadcast(overall)).select(  # one row

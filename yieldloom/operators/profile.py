@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from yieldloom.functions.numeric import inf_to_null, to_number
-from yieldloom.plans import group_stats
+from yieldloom.plans import group_stats, measured
 
 
 def _numeric_names(df: DataFrame) -> list[str]:
@@ -114,7 +114,7 @@ def fold_local_observed(features: DataFrame, folds: DataFrame, key: Sequence[str
     """
     counts = features.join(folds.select(*key, fold), list(key)).groupBy(feature, fold).agg(F.count(value).alias("_own"))
     total = counts.groupBy(feature).agg(F.sum("_own").alias("_all"))
-    grid = total.crossJoin(F.broadcast(folds.select(fold).distinct().limit(1000)))  # folds are a handful
+    grid = total.crossJoin(measured(folds.select(fold).distinct()))
     pairs = grid.join(counts, [feature, fold], "left")
     kept = pairs.withColumn("train_values", F.col("_all") - F.coalesce("_own", F.lit(0)))
     return kept.filter(F.col("train_values") >= at_least).select(fold, feature, "train_values")

@@ -20,7 +20,8 @@ def neighbour_join(dies: DataFrame, wafer: Sequence[str] = ("wafer",), *, x: str
     most of the dies is spread over its positions. On repeated coordinates the
     later row is the neighbour state.
     """
-    state = dies.groupBy(*wafer, x, y).agg(F.max_by(is_pass, F.struct(*order)).alias("_pass"))
+    last = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    state = dies.groupBy(*wafer, x, y).agg(F.max_by(is_pass, last).alias("_pass"))
     hops = [F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in [(0, 0), *NEIGHBOURS]]
     sent = state.withColumn("_hop", F.explode(F.array(*hops)))
     away = (F.col("_hop.dx") != 0) | (F.col("_hop.dy") != 0)
