@@ -83,6 +83,10 @@ def test_stdf(spark, tmp_path, order):
     assert stdf.stdf_die_tests(records).count() == 12
 
 
+def test_overrunning_text_is_empty():
+    assert stdf._texts(b"\x02ab\x09cd", 0, 3) == (["ab", "", ""], 6)
+
+
 def test_archives(spark, tmp_path):
     inner = tmp_path / "inner.zip"
     with zipfile.ZipFile(inner, "w") as z:
