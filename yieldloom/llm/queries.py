@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from yieldloom.llm import bpe
+from yieldloom.llm import bpe, guess_cost, pseudonyms, quality, roles, wrappers
 from yieldloom.llm.common import read
 
 QUERIES, ORACLES = {}, {}
@@ -13,6 +13,31 @@ def query(fn):
     return fn
 
 
+@query
+def op3_host_quality(spark, folder):
+    return quality.quality_rules(read(spark, folder, "documents"))
+
+
+@query
+def op4_role_repair(spark, folder):
+    return roles.repair_roles(read(spark, folder, "conversations"))
+
+
+@query
+def op7_guess_cost(spark, folder):
+    return guess_cost.scan_secrets(read(spark, folder, "documents"))
+
+
+@query
+def op9_pseudonyms(spark, folder):
+    return pseudonyms.pseudonym_report(read(spark, folder, "documents"))
+
+
 @query
 def op8_bpe(spark, folder):
     return bpe.token_digests(read(spark, folder, "documents"))
+
+
+@query
+def op10_wrappers(spark, folder):
+    return wrappers.extract_main_text(read(spark, folder, "pages"))
