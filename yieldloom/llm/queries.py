@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from yieldloom.llm import bpe, guess_cost, jaccard, pseudonyms, quality, roles, wrappers
+from yieldloom.llm import bpe, guess_cost, jaccard, pseudonyms, quality, roles, templates, wrappers
 from yieldloom.llm.common import read
 
 QUERIES, ORACLES = {}, {}
@@ -18,6 +18,11 @@ def op1_ngram_join(spark, folder):
     return jaccard.jaccard_groups(read(spark, folder, "documents"))
 
 
+@query
+def op2_templates(spark, folder):
+    return templates.decontaminate(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
 @query
 def op3_host_quality(spark, folder):
     return quality.quality_rules(read(spark, folder, "documents"))
