@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from yieldloom.llm import bpe, guess_cost, jaccard, pseudonyms, quality, roles, templates, wrappers
+from yieldloom.llm import bpe, guess_cost, jaccard, language, pseudonyms, quality, roles, templates, wrappers
 from yieldloom.llm.common import read
 
 QUERIES, ORACLES = {}, {}
@@ -33,6 +33,11 @@ def op4_role_repair(spark, folder):
     return roles.repair_roles(read(spark, folder, "conversations"))
 
 
+@query
+def op5_segmentations(spark, folder):
+    return language.identify(read(spark, folder, "documents"))
+
+
 @query
 def op7_guess_cost(spark, folder):
     return guess_cost.scan_secrets(read(spark, folder, "documents"))
