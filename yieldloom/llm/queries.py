@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from yieldloom.llm import bpe, guess_cost, jaccard, language, pseudonyms, quality, roles, templates, wrappers
+from yieldloom.llm import bpe, guess_cost, hmm, jaccard, language, pseudonyms, quality, roles, templates, wrappers
 from yieldloom.llm.common import read
 
 QUERIES, ORACLES = {}, {}
@@ -38,6 +38,11 @@ def op5_segmentations(spark, folder):
     return language.identify(read(spark, folder, "documents"))
 
 
+@query
+def op6_hidden_markov(spark, folder):
+    return hmm.score_texts(read(spark, folder, "documents"))
+
+
 @query
 def op7_guess_cost(spark, folder):
     return guess_cost.scan_secrets(read(spark, folder, "documents"))
