@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from yieldloom.llm import bpe, guess_cost, hmm, jaccard, language, pseudonyms, quality, roles, templates, wrappers
+from yieldloom.llm import bpe, guess_cost, hmm, jaccard, language, pseudonyms, quality, roles, sql, templates, wrappers
 from yieldloom.llm.common import read
 
-QUERIES, ORACLES = {}, {}
+QUERIES = {}
+ORACLES = {"op1_ngram_join": sql.NGRAM_JOIN, "op2_templates": sql.TEMPLATES, "op3_host_quality": sql.HOST_QUALITY}
 
 
 def query(fn):
@@ -25,7 +26,7 @@ def op2_templates(spark, folder):
 
 @query
 def op3_host_quality(spark, folder):
-    return quality.quality_rules(read(spark, folder, "documents"))
+    return quality.quality_rules(read(spark, folder, "documents")).drop("host_rate")
 
 
 @query
