@@ -242,7 +242,7 @@ def final_test_inventory(spark, folder):
     return inventory.final_test_inventory(_files(spark, folder), "DDR4_MT40").select("norm_lot", "yield_pct")
 
 
-@query("discover_products", f"WITH {FILES} SELECT 'J750' AS family, 'DDR4' AS generic, 'MT40' AS partname, substr('MT40_' || lot || '_' || stage || '_04252026_' || k, 1, 15) AS lot_id, min(path) AS path FROM p WHERE stage = 'PRB' GROUP BY ALL")
+@query("discover_products", f"WITH {FILES} SELECT 'J750' AS family, 'DDR4' AS generic, 'MT40' AS partname, 'MT40_' || lot || '_' || stage || '_04252026_' || k AS lot_id, min(path) AS path FROM p WHERE stage = 'PRB' GROUP BY ALL")
 def discover_products(spark, folder):
     return inventory.discover_products(_files(spark, folder), "/data").select("family", "generic", "partname", "lot_id", "path")
 

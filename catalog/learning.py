@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import functions as F
 
-from catalog.base import query, scored, table
+from catalog.base import query, r, scored, table
 from yieldloom.functions.numeric import coordinate_columns
 from yieldloom.operators import importance, metrics, models, ranking
 
@@ -105,7 +105,9 @@ def nested_tuning(spark, folder):
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(search.avgMetrics)], "candidate int, mean_r2 double")
 
 
-@query("knn")
+@query("knn", f"""WITH e AS (SELECT vec_id AS row, embedding::DOUBLE[] AS v, label::DOUBLE AS y FROM embeddings), d AS (SELECT a.row, list_distance(a.v, b.v) AS d, b.y FROM e a JOIN e b ON a.row % 5 = 0 AND b.row % 5 <> 0),
+k AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY row ORDER BY d, y) <= 5)
+SELECT row, {r('coalesce(avg(y) FILTER (d = 0), sum(y / nullif(d, 0)) / sum(1 / nullif(d, 0)))', 'predicted')}, count(*) AS neighbours FROM k GROUP BY row""")
 def knn(spark, folder):
     e = table(spark, folder, "embeddings").select(F.col("vec_id").alias("row"), F.col("embedding").cast("array<double>").alias("vector"), F.col("label").cast("double").alias("target"))
     return importance.knn(e.filter("row % 5 <> 0"), e.filter("row % 5 = 0"))

@@ -127,24 +127,29 @@ def quality_gate(spark, folder):
 
 
 # --- folds and ledgers without a model ---------------------------------------------
-@query("group_kfold", f"""WITH RECURSIVE {SCORED}, z AS (SELECT lot, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, lot) AS i FROM scored GROUP BY lot),
-deal AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS INTEGER) AS lot, CAST(NULL AS INTEGER) AS fold, [0, 0, 0, 0, 0]::BIGINT[] AS load UNION ALL SELECT z.i, z.lot, CAST(list_position(load, list_min(load)) - 1 AS INTEGER), list_transform(load, lambda x, j: x + CASE WHEN j = list_position(load, list_min(load)) THEN z.n ELSE 0 END) FROM deal JOIN z ON z.i = deal.i + 1)
-SELECT lot, fold FROM deal WHERE lot IS NOT NULL""")
+def _deal(order: str) -> str:
+    return f"""WITH {SCORED}, z AS (SELECT lot, row_number() OVER (ORDER BY {order}, lot) - 1 AS p FROM scored GROUP BY lot)
+SELECT lot, CAST(CASE WHEN p // 5 % 2 = 0 THEN p % 5 ELSE 4 - p % 5 END AS INTEGER) AS fold FROM z"""
+
+
+@query("group_kfold", _deal("count(*) DESC"))
 def group_kfold(spark, folder):
     return folds.group_kfold(scored(spark, folder).drop("fold")).select("lot", "fold").distinct()
 
 
-@query("stratified_group_kfold")
+@query("stratified_group_kfold", _deal("sum(actual_bad) DESC, count(*) DESC"))
 def stratified_group_kfold(spark, folder):
     return folds.stratified_group_kfold(scored(spark, folder).drop("fold"), "actual_bad").select("lot", "fold").distinct()
 
 
-@query("group_shuffle_split")
+@query("group_shuffle_split", f"""WITH {SCORED}, g AS (SELECT DISTINCT lot FROM scored)
+SELECT lot, row_number() OVER (ORDER BY md5('42|' || lot), lot) <= ceil(count(*) OVER () * 0.2) AS is_test FROM g""")
 def group_shuffle_split(spark, folder):
     return folds.group_shuffle_split(scored(spark, folder)).select("lot", "is_test").distinct()
 
 
-@query("random_split_diagnostic")
+@query("random_split_diagnostic", f"""WITH {SCORED}
+SELECT CAST(CAST('0x' || substr(md5('42|' || lot || '|' || wafer), 1, 15) AS BIGINT) % 5 AS INTEGER) AS fold, count(*) AS rows FROM scored GROUP BY 1""")
 def random_split_diagnostic(spark, folder):
     return folds.random_split_diagnostic(scored(spark, folder).drop("fold"), ["lot", "wafer"]).groupBy("fold").agg(F.count(F.lit(1)).alias("rows"))
 
@@ -205,7 +210,24 @@ def group_confusion(spark, folder):
     return importance.group_confusion(scored(spark, folder).withColumn("predicted_bad", (F.col("probability") >= 0.5).cast("int")))
 
 
-@query("bootstrap_ci")
+RESAMPLED = """WITH {scored}, c AS (SELECT lot, {counts} FROM scored GROUP BY lot), g AS (SELECT *, row_number() OVER (ORDER BY lot) AS pos FROM c),
+i AS (SELECT n, unnest(range(0, 2000 * n)) AS i FROM (SELECT count(*) AS n FROM g)), p AS (SELECT i // n AS draw, CAST('0x' || substr(md5('42|' || i), 1, 15) AS BIGINT) % n + 1 AS pos FROM i),
+d AS (SELECT draw, {sums} FROM p JOIN g USING (pos) GROUP BY draw),
+m AS (SELECT {diffs} FROM d), l AS (SELECT 'accuracy' AS metric, accuracy AS d FROM m UNION ALL SELECT 'f1', f1 FROM m)
+SELECT metric, count(*) AS draws, {low}, {high} FROM l GROUP BY metric"""
+
+
+def _resampled() -> str:
+    cells = {"tp": "actual_bad = 1 AND probability >= {}", "fp": "actual_bad = 0 AND probability >= {}", "fn": "actual_bad = 1 AND probability < {}", "tn": "actual_bad = 0 AND probability < {}"}
+    counts = ", ".join(f"count(*) FILTER ({c.format(t)}) AS {s}{n}" for s, t in (("b_", 0.5), ("a_", 0.3)) for n, c in cells.items())
+    sums = ", ".join(f"sum({s}{n})::DOUBLE AS {s}{n}" for s in ("b_", "a_") for n in cells)
+    accuracy = lambda s: f"({s}tp + {s}tn) / ({s}tp + {s}fp + {s}fn + {s}tn)"
+    f1 = lambda s: f"coalesce(2 * {s}tp / nullif(2 * {s}tp + {s}fp + {s}fn, 0), 0)"
+    diffs = f"{accuracy('a_')} - {accuracy('b_')} AS accuracy, {f1('a_')} - {f1('b_')} AS f1"
+    return RESAMPLED.format(scored=SCORED, counts=counts, sums=sums, diffs=diffs, low=r("quantile_cont(d, 0.025)", "ci_low"), high=r("quantile_cont(d, 0.975)", "ci_high"))
+
+
+@query("bootstrap_ci", _resampled())
 def bootstrap_ci(spark, folder):
     rows = scored(spark, folder)
     at = lambda t: importance.group_confusion(rows.withColumn("predicted_bad", (F.col("probability") >= t).cast("int")))
@@ -217,7 +239,14 @@ def linear_attribution(spark, folder):
     return importance.linear_attribution(scored(spark, folder), ["wafer"], ["probability", "fold"], [3.5, -2.0], 1.0)
 
 
-@query("permutation_importance")
+def _moved(probability: str, fold: str) -> str:
+    return f"1 - sum((response - 200 - 100 * {probability} - {fold}) ** 2) / (var_pop(response) * count(*))"
+
+
+@query("permutation_importance", f"""WITH {SCORED}, p AS (SELECT *, row_number() OVER (ORDER BY md5('42|' || wafer), wafer) AS pos, count(*) OVER () AS n FROM scored),
+s AS (SELECT a.response, a.probability, a.fold, b.probability AS mp, b.fold AS mf FROM p a JOIN p b ON a.pos = b.pos % b.n + 1),
+i AS (SELECT {_moved('probability', 'fold')} AS whole, {_moved('mp', 'fold')} AS without_p, {_moved('probability', 'mf')} AS without_f FROM s)
+SELECT 'probability' AS feature, {r('whole - without_p', 'importance')} FROM i UNION ALL SELECT 'fold', {r('whole - without_f', 'importance')} FROM i""")
 def permutation_importance(spark, folder):
     rows = scored(spark, folder).withColumn("fold", F.col("fold").cast("double"))
 

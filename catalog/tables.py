@@ -388,11 +388,11 @@ def numeric_columns(spark, folder):
     return spark.createDataFrame([(c,) for c in profile.numeric_columns(part)], "column string")
 
 
-@query("analyzable_numeric", f"SELECT CAST(p_partkey AS DOUBLE) AS p_partkey, {r('p_retailprice', 'price_text')} FROM part ORDER BY part.p_partkey LIMIT 50000")
+@query("analyzable_numeric", f"SELECT CAST(p_partkey AS DOUBLE) AS p_partkey, {r('p_retailprice', 'price_text')} FROM part")
 def analyzable_numeric(spark, folder):
     price = F.replace(F.col("p_retailprice").cast("string"), F.lit("."), F.lit(","))
     part = table(spark, folder, "part").select("p_partkey", price.alias("price_text"), "p_brand", F.lit(1).alias("one"))
-    return profile.analyzable_numeric(part, "p_partkey")
+    return profile.analyzable_numeric(part)
 
 
 @query("share_observed", "WITH f AS (SELECT user_id, event_type || CASE WHEN user_id % 25 = 0 THEN '_rare' ELSE '' END AS feature FROM events), d AS (SELECT DISTINCT user_id, feature FROM f), t AS (SELECT count(DISTINCT user_id) AS n FROM f), k AS (SELECT feature FROM d, t GROUP BY feature, n HAVING count(*) >= greatest(5, n * 0.2)) SELECT feature, count(*) AS rows FROM d JOIN k USING (feature) GROUP BY feature")

@@ -202,7 +202,7 @@ def outlier_label_ceiling(spark, folder):
 
 
 # --- etch ---------------------------------------------------------------------
-@query("decode_dictionary", """SELECT l_orderkey, l_partkey, l_linenumber, p_retailprice AS value, count(*) AS rows FROM lineitem LEFT JOIN (SELECT p_partkey, any_value(p_retailprice) AS p_retailprice FROM part WHERE p_partkey < 65536 GROUP BY p_partkey) ON l_partkey = p_partkey GROUP BY ALL""")
+@query("decode_dictionary", """SELECT l_orderkey, l_partkey, l_linenumber, p_retailprice AS value, count(*) AS rows FROM lineitem LEFT JOIN (SELECT p_partkey, any_value(p_retailprice) AS p_retailprice FROM part GROUP BY p_partkey) ON l_partkey = p_partkey GROUP BY ALL""")
 def decode_dictionary(spark, folder):
     codes = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", F.col("l_partkey").alias("code"))
     dictionary = table(spark, folder, "part").select(F.col("p_partkey").alias("code"), F.col("p_retailprice").alias("value"))
@@ -330,12 +330,24 @@ def _filled(spark, folder):
     return signal.interpolate_waveform(arrays, HOURS).filter("waveform IS NOT NULL")
 
 
-@query("spectral_features")
+FILLED = f"""{HOUR_TRACE}, keys AS (SELECT DISTINCT wafer, sensor FROM grid), slots AS (SELECT wafer, sensor, i FROM keys, range(0, {HOURS}) AS g(i)),
+v AS (SELECT s.wafer, s.sensor, i, value FROM slots s LEFT JOIN grid g ON s.wafer = g.wafer AND s.sensor = g.sensor AND s.i = g.ts_idx),
+n AS (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN i END IGNORE NULLS) OVER back AS a, last_value(value IGNORE NULLS) OVER back AS va,
+ first_value(CASE WHEN value IS NOT NULL THEN i END IGNORE NULLS) OVER ahead AS b, first_value(value IGNORE NULLS) OVER ahead AS vb FROM v
+ WINDOW back AS (PARTITION BY wafer, sensor ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), ahead AS (PARTITION BY wafer, sensor ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+filled AS (SELECT wafer, sensor, i, CASE WHEN value IS NOT NULL THEN value WHEN a IS NULL THEN vb WHEN b IS NULL THEN va ELSE va + (vb - va) * (i - a) / (b - a) END AS x FROM n WHERE a IS NOT NULL OR b IS NOT NULL)"""
+
+
+@query("spectral_features", f"""WITH {FILLED}, c AS (SELECT wafer, sensor, i, x - avg(x) OVER (PARTITION BY wafer, sensor) AS x FROM filled),
+f AS (SELECT wafer, sensor, k, CASE WHEN k = 0 THEN 0 ELSE sum(x * cos(2 * pi() * k * i / {HOURS})) ** 2 + sum(x * sin(2 * pi() * k * i / {HOURS})) ** 2 END AS p FROM c, range(0, {HOURS // 2 + 1}) AS g(k) GROUP BY wafer, sensor, k),
+s AS (SELECT *, sum(p) OVER (PARTITION BY wafer, sensor) AS t FROM f), h AS (SELECT wafer, sensor, k, t, CASE WHEN t > 1e-12 THEN p / t ELSE 0 END AS s FROM s)
+SELECT wafer, sensor, {r('ln(1 + max(t))', 'spectral_total_power')}, {r('sum(s * k)', 'spectral_centroid')}, CAST(arg_max(k, round(s, 9) * 1000 - k * 1e-9) AS DOUBLE) AS spectral_dominant_frequency, {r('-sum(s * ln(s + 1e-12))', 'spectral_entropy')},
+ {', '.join(r(f'coalesce(sum(s) FILTER (k >= {a} AND k < {b}), 0)', f'spectral_band_{n}') for n, (a, b) in enumerate(((1, 3), (3, 6), (6, 11), (11, 21), (21, 41), (41, 999)), 1))} FROM h GROUP BY wafer, sensor""")
 def spectral_features(spark, folder):
     return signal.spectral_features(_filled(spark, folder), readings="waveform")
 
 
-@query("interpolate_waveform")
+@query("interpolate_waveform", f"WITH {FILLED} SELECT wafer, sensor, CAST(i AS INTEGER) AS point, {r('x', 'value')} FROM filled")
 def interpolate_waveform(spark, folder):
     return _filled(spark, folder).select("wafer", "sensor", F.posexplode("waveform").alias("point", "value"))
 
@@ -347,10 +359,13 @@ def normalize_waveform(spark, folder):
     return signal.normalize_waveform(rows).select("vec_id", F.posexplode("waveform").alias("point", "value"))
 
 
-@query("waveform_bank")
+@query("waveform_bank", f"""WITH {FILLED}, p AS (SELECT wafer, sensor, j, j * {HOURS - 1} / 31.0 AS place FROM keys, range(0, 32) AS g(j)), q AS (SELECT *, least(CAST(floor(place) AS BIGINT), {HOURS - 2}) AS lo FROM p),
+w AS (SELECT q.wafer, q.sensor, j, a.x + (b.x - a.x) * (place - lo) AS x FROM q JOIN filled a ON a.wafer = q.wafer AND a.sensor = q.sensor AND a.i = lo JOIN filled b ON b.wafer = q.wafer AND b.sensor = q.sensor AND b.i = lo + 1),
+z AS (SELECT *, avg(x) OVER (PARTITION BY wafer, sensor) AS m, stddev_pop(x) OVER (PARTITION BY wafer, sensor) AS s FROM w)
+SELECT wafer, sensor, CAST(j AS INTEGER) AS point, {r('(x - m) / CASE WHEN s > 1e-10 THEN s ELSE 1 END', 'value', 5)} FROM z""", digits=5)
 def waveform_bank(spark, folder):
     arrays = traces.trace_arrays(hour_trace(spark, folder), ["wafer", "sensor"], samples=HOURS)
-    bank = signal.waveform_bank(arrays, points=32, maximum=500)
+    bank = signal.waveform_bank(arrays, points=32)
     return bank.select("wafer", "sensor", F.posexplode("waveform").alias("point", "value"))
 
 

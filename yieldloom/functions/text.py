@@ -274,7 +274,10 @@ def test_order(name: Column) -> Column:
 def natural_sort(name: Column) -> Column:
     """Sort key that compares embedded digit runs by value."""
     runs = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), F.lpad(r, 20, "0")).otherwise(r)), "")
+    plain = lambda r: F.regexp_replace(r, r"^0+(?=\d)", "")
+    # The number of digits comes first, so runs of any length compare by value.
+    valued = lambda r: F.concat(F.lpad(F.length(plain(r)).cast("string"), 10, "0"), plain(r))
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), valued(r)).otherwise(r)), "")
 
 
 def parse_feature_name(name: Column) -> Column:

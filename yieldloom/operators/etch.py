@@ -8,17 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from yieldloom.functions.numeric import coordinate_columns, inf_to_null
+from yieldloom.operators.contracts import ContractError
 from yieldloom.operators.die import STAT_COLUMNS, col_stats
 from yieldloom.operators.traces import first_last
-from yieldloom.plans import find_hot, row_index
-
-CODES = 65_536  # a dictionary of 16-bit codes cannot have more rows
+from yieldloom.plans import find_hot, measured, row_index
 
 
 def decode_dictionary(codes: DataFrame, dictionary: DataFrame, code: str = "code") -> DataFrame:
-    """Replaces 16-bit codes by their dictionary values; one row per code bounds the broadcast."""
-    table = dictionary.filter(F.col(code).between(0, CODES - 1)).dropDuplicates([code])
-    return codes.join(F.broadcast(table), code, "left").drop(code)
+    """Replaces codes by their dictionary values; unknown codes become NULL. Two values for one code are an error."""
+    table = dictionary.distinct()
+    if not table.groupBy(code).count().filter("count > 1").isEmpty():
+        raise ContractError("the dictionary gives a code several values")
+    return codes.join(measured(table), code, "left").drop(code)
 
 
 def trace_slope(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str = "value", hot_rows: int | None = None) -> DataFrame:

@@ -2,73 +2,53 @@
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from yieldloom.plans import row_index
-from yieldloom.plans.hot import bounded
+from yieldloom.plans import measured, row_index
 
-# Greedy balancing looks at groups one after the other, so it runs on the driver for group tables up to this size.
-GREEDY_GROUPS = 10_000
 
+def _dealt(df: DataFrame, sizes: DataFrame, group: str, k: int, *order: str) -> DataFrame:
+    """Adds ``fold``: groups in falling order are dealt 0..k-1, then k-1..0 and so on.
 
-def _attach(df: DataFrame, table: DataFrame, group: str, rows: int) -> DataFrame:
-    return df.join(bounded(table, rows), group)
-
-
-def _snake(sizes: DataFrame, group: str, k: int, *order: str) -> DataFrame:
-    """Boustrophedon dealing of groups sorted by size: balanced without a sequential scan."""
+    Each lap gives every fold one group of about the same size, so folds stay balanced whatever the number of groups,
+    and places come from a distributed row index instead of a sequential scan.
+    """
     placed = row_index(sizes, [], [*order, group], descending=list(order), name="_pos")
     lap, seat = F.floor((F.col("_pos") - 1) / k), (F.col("_pos") - 1) % k
-    return placed.select(group, F.when(lap % 2 == 0, seat).otherwise(k - 1 - seat).cast("int").alias("fold"))
+    table = placed.select(group, F.when(lap % 2 == 0, seat).otherwise(k - 1 - seat).cast("int").alias("fold"))
+    return df.join(measured(table), group)
 
 
 def group_kfold(df: DataFrame, group: str = "lot", k: int = 5) -> DataFrame:
-    """Adds ``fold``: largest groups first, each into the lightest fold (ties: lowest fold, group order)."""
+    """Adds ``fold``: groups by falling size, dealt back and forth (ties by group)."""
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_rows"))
-    groups = sizes.count()
-    if groups > GREEDY_GROUPS:
-        return _attach(df, _snake(sizes, group, k, "_rows"), group, groups)
-    table = sizes.orderBy(F.desc("_rows"), group).toPandas()
-    load, folds = np.zeros(k), []
-    for rows in table["_rows"]:
-        fold = int(np.argmin(load))
-        load[fold] += rows
-        folds.append(fold)
-    placed = df.sparkSession.createDataFrame(list(zip(table[group].tolist(), folds)), f"`{group}` {sizes.schema[group].dataType.simpleString()}, fold int")
-    return _attach(df, placed, group, groups)
+    return _dealt(df, sizes, group, k, "_rows")
 
 
 def stratified_group_kfold(df: DataFrame, label: str, group: str = "lot", k: int = 5) -> DataFrame:
-    """Adds ``fold`` balancing both sizes and class shares; a fold with one class is an error."""
+    """Adds ``fold`` balancing positives first, then sizes; a fold with one class is an error."""
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_rows"), F.sum(label).cast("double").alias("_bad"))
-    groups = sizes.count()
-    if groups > GREEDY_GROUPS:
-        out = _attach(df, _snake(sizes, group, k, "_bad", "_rows"), group, groups)
-    else:
-        table = sizes.toPandas()
-        counts = np.column_stack([table["_rows"] - table["_bad"], table["_bad"]]).astype(float)
-        names = table[group].tolist()
-        total = np.maximum(counts.sum(axis=0), 1.0)
-        load, folds = np.zeros((k, 2)), {}
-        for i in sorted(range(len(names)), key=lambda i: (-counts[i].std(), str(names[i]))):
-            trial = [np.std((load + counts[i] * (np.arange(k) == f)[:, None]) / total, axis=0).mean() for f in range(k)]
-            best = min(range(k), key=lambda f: (round(trial[f], 12), load[f].sum()))
-            load[best] += counts[i]
-            folds[names[i]] = best
-        kind = sizes.schema[group].dataType.simpleString()
-        placed = df.sparkSession.createDataFrame(list(folds.items()), f"`{group}` {kind}, fold int")
-        out = _attach(df, placed, group, groups)
+    out = _dealt(df, sizes, group, k, "_bad", "_rows")
     single = out.groupBy("fold").agg(F.min(label).alias("_a"), F.max(label).alias("_b")).filter("_a = _b")
     if not single.isEmpty():
         raise ValueError("a fold holds a single class")
     return out
 
 
+def seeded_md5(seed: int, *columns: str) -> Column:
+    """A hash of the columns' texts that any engine can repeat: md5 of ``seed|a|b``."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]).cast("binary"))
+
+
+def seeded_number(seed: int, *columns: str) -> Column:
+    """The first 15 hexadecimal digits of ``seeded_md5`` as a number."""
+    return F.conv(F.substring(seeded_md5(seed, *columns), 1, 15), 16, 10).cast("long")
+
+
 def group_shuffle_split(df: DataFrame, group: str = "lot", share: float = 0.2, seed: int = 42) -> DataFrame:
-    """Adds ``is_test``: a seeded hash orders the groups, the first share of them is held out."""
-    groups = df.select(group).distinct().withColumn("_hash", F.xxhash64(F.lit(seed), F.col(group)))
+    """Adds ``is_test``: a seeded md5 orders the groups, the first share of them is held out."""
+    groups = df.select(group).distinct().withColumn("_hash", seeded_md5(seed, group))
     placed = row_index(groups, [], ["_hash", group], name="_pos")
     total = groups.agg(F.ceil(F.count(F.lit(1)) * share).alias("_held"))
     table = placed.crossJoin(F.broadcast(total)).select(group, (F.col("_pos") <= F.col("_held")).alias("is_test"))  # one row
@@ -77,4 +57,4 @@ def group_shuffle_split(df: DataFrame, group: str = "lot", share: float = 0.2, s
 
 def random_split_diagnostic(df: DataFrame, key: list[str], k: int = 5, seed: int = 42) -> DataFrame:
     """Row-level folds; they leak groups and only serve as a diagnostic."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(k)).cast("int"))
+    return df.withColumn("fold", (seeded_number(seed, *key) % k).cast("int"))

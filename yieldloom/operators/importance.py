@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from yieldloom.operators.metrics import confusion_rates
-from yieldloom.plans import row_index
+from yieldloom.operators.folds import seeded_md5, seeded_number
+from yieldloom.plans import measured, row_index
 
 BLOCK = 20_000
+TILE = 256
 
 
 def feature_importance(model, names: Sequence[str], spark) -> DataFrame:
@@ -82,7 +84,7 @@ def linear_attribution(df: DataFrame, keys: Sequence[str], features: Sequence[st
 def permutation_importance(df: DataFrame, features: Sequence[str], score: Callable[[DataFrame], float], *, order: Sequence[str], seed: int = 42) -> DataFrame:
     """Drop of a score when one column is taken from the next row of a seeded hash order."""
     reference = score(df)
-    shuffled = row_index(df.withColumn("_h", F.xxhash64(F.lit(seed), *order)), [], ["_h", *order], name="_pos")
+    shuffled = row_index(df.withColumn("_h", seeded_md5(seed, *order)), [], ["_h", *order], name="_pos")
     size = df.count()
     rows = []
     for f in features:
@@ -106,14 +108,22 @@ def knn(train: DataFrame, validation: DataFrame, *, key: str = "row", vector: st
     right = train.select(F.col(vector).alias("_x"), F.col(target).cast("double").alias("_y"), F.pmod(F.xxhash64(key), F.lit(blocks_t)).cast("int").alias("_tb"), grid(blocks_v).alias("_vb"))
 
     def nearest(v: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        out = {"_id": [], "_dist": [], "_y": []}
+        out, chosen = {"_id": [], "_dist": [], "_y": []}, []
         if len(v) and len(t):
             base, y = np.stack(t["_x"].to_numpy()).astype(float), t["_y"].to_numpy()
-            for row, x in zip(v["_id"], v["_x"]):
-                d = np.sqrt(((base - np.asarray(x, dtype=float)) ** 2).sum(axis=1))
-                best = np.argsort(d, kind="stable")[:k]
+            points = np.stack(v["_x"].to_numpy()).astype(float)
+            length = (base**2).sum(axis=1)
+            near, slack = min(k, len(base)), 1e-9 * (1 + length.max() + (points**2).sum(axis=1).max())
+            for at in range(0, len(points), TILE):  # one matrix product per tile narrows the choice
+                squares = length - 2 * points[at : at + TILE] @ base.T + (points[at : at + TILE] ** 2).sum(axis=1, keepdims=True)
+                limits = np.partition(squares, near - 1, axis=1)[:, near - 1] + slack
+                chosen += [np.flatnonzero(s <= t) for s, t in zip(squares, limits)]
+            for row, x, some in zip(v["_id"], points, chosen):
+                d = np.sqrt(((base[some] - x) ** 2).sum(axis=1))
+                order = np.lexsort((y[some], d))[:k]
+                best, d = some[order], d[order]
                 out["_id"].extend([row] * len(best))
-                out["_dist"].extend(d[best])
+                out["_dist"].extend(d)
                 out["_y"].extend(y[best])
         return pd.DataFrame(out)
 
@@ -144,9 +154,9 @@ def bootstrap_ci(before: DataFrame, after: DataFrame, group: str = "lot", *, dra
     groups = row_index(side(before, "b_").join(side(after, "a_"), group), [], [group], name="_pos")
     n = groups.count()
     picks = before.sparkSession.range(draws * n).select(
-        F.floor(F.col("id") / n).alias("_draw"), (F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(n)) + 1).alias("_pos")
+        F.floor(F.col("id") / n).alias("_draw"), (seeded_number(seed, "id") % n + 1).alias("_pos")
     )
-    drawn = picks.join(groups, "_pos").groupBy("_draw").agg(*[F.sum(p + c).alias(p + c) for p in ("b_", "a_") for c in counts])
+    drawn = picks.join(measured(groups), "_pos").groupBy("_draw").agg(*[F.sum(p + c).alias(p + c) for p in ("b_", "a_") for c in counts])
 
     def rates(p):
         named = drawn.select("_draw", *[F.col(p + c).alias(c) for c in counts])

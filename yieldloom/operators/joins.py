@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from yieldloom.functions.text import normalize_colname, normalize_lot_id
 from yieldloom.operators.contracts import ContractError, duplicate_keys, require_empty
+from yieldloom.plans import measured
 
 
 def join_one_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -210,8 +211,7 @@ def resolve_limits(wafers: DataFrame, candidates: DataFrame) -> DataFrame:
 
     ``wafers`` has (product, lot), ``candidates`` has (product, lot or NULL, limit_file).
     """
-    joined = wafers.join(candidates.withColumnRenamed("lot", "_clot"), "product")
-    eligible = joined.filter(F.col("_clot").isNull() | (F.col("_clot") == F.col("lot")))
-    best = Window.partitionBy("product", "lot").orderBy(F.col("_clot").isNull(), "limit_file")
-    chosen = eligible.withColumn("_rank", F.row_number().over(best)).filter("_rank = 1")
-    return wafers.join(chosen.select("product", "lot", "limit_file"), ["product", "lot"], "left")
+    own = candidates.filter("lot IS NOT NULL").groupBy("product", "lot").agg(F.min("limit_file").alias("_own"))
+    shared = candidates.filter("lot IS NULL").groupBy("product").agg(F.min("limit_file").alias("_shared"))
+    joined = wafers.join(measured(own), ["product", "lot"], "left").join(measured(shared), "product", "left")
+    return joined.select("product", "lot", *[c for c in wafers.columns if c not in ("product", "lot")], F.coalesce("_own", "_shared").alias("limit_file"))

@@ -48,7 +48,7 @@ def column_profile(df: DataFrame) -> DataFrame:
     counts = texts.groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n"))
     rank = F.row_number().over(Window.partitionBy("column").orderBy(F.asc_nulls_last("value")))
     ranked = counts.withColumn("_rank", rank).filter("_rank <= 3 AND value IS NOT NULL")
-    examples = ranked.groupBy("column").agg(F.array_sort(F.collect_list(F.substring("value", 1, 60))).alias("_ex"))
+    examples = ranked.groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("_ex"))
     facts = counts.groupBy("column").agg(
         F.sum(F.when(F.col("value").isNotNull(), F.col("_n")).otherwise(0)).alias("non_null"),
         F.sum(F.when(F.col("value").isNull(), F.col("_n")).otherwise(0)).alias("missing"),
@@ -78,9 +78,8 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in others or row[c]]
 
 
-def analyzable_numeric(df: DataFrame, *order: str, rows: int = 50_000, minimum: float = 0.8) -> DataFrame:
-    """Mostly numeric, varying columns as doubles (comma read as point) of the first rows of the preview."""
-    head = df.orderBy(*order).limit(rows)
+def analyzable_numeric(df: DataFrame, *, minimum: float = 0.8) -> DataFrame:
+    """Mostly numeric, varying columns as doubles (comma read as point), judged on all rows."""
     typed = {
         c: F.col(c).cast("double") if c in _numeric_names(df) else to_number(F.replace(F.trim(F.col(c).cast("string")), F.lit(","), F.lit(".")))
         for c in df.columns
@@ -89,8 +88,8 @@ def analyzable_numeric(df: DataFrame, *order: str, rows: int = 50_000, minimum:
     for c, v in typed.items():
         share = F.count(v) / F.when(F.count(c) > 0, F.count(c))
         checks.append(((share >= (0.0 if c in _numeric_names(df) else minimum)) & (F.min(v) < F.max(v))).alias(c))
-    row = head.agg(*checks).first()
-    return head.select(*[typed[c].alias(c) for c in df.columns if row[c]])
+    row = df.agg(*checks).first()
+    return df.select(*[typed[c].alias(c) for c in df.columns if row[c]])
 
 
 def sufficiently_observed(features: DataFrame, at_least: int = 20, feature: str = "feature", value: str = "value") -> DataFrame:

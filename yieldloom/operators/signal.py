@@ -110,16 +110,15 @@ def sensor_correlation(df: DataFrame, sensors: Sequence[str], wafer: Sequence[st
     return one.select(*wafer, F.explode(pairs).alias("_p")).select(*wafer, F.col("_p.left").alias("sensor_a"), F.col("_p.right").alias("sensor_b"), F.col("_p.r").alias("correlation"))
 
 
-def _spectrum(values: np.ndarray) -> tuple:
-    """Power features of one trace around its mean."""
-    power = np.abs(np.fft.rfft(values - values.mean())) ** 2
-    power[0] = 0.0
-    total = power.sum()
-    ok = total > 1e-12
-    share = power / total if ok else np.zeros_like(power)
-    entropy = -np.sum(np.where(share > 0, share * np.log(share + 1e-12), 0.0))
-    bands = [share[a:b].sum() for a, b in BANDS]
-    return (np.log1p(total), float(share @ np.arange(len(power))), float(np.argmax(power)), entropy, *bands)
+def _spectra(values: np.ndarray) -> np.ndarray:
+    """Power features of traces of one length (rows) around their means; shares are 0 without power."""
+    power = np.abs(np.fft.rfft(values - values.mean(axis=1, keepdims=True), axis=1)) ** 2
+    power[:, 0] = 0.0
+    total = power.sum(axis=1)
+    share = np.where(total[:, None] > 1e-12, power / np.where(total > 1e-12, total, 1.0)[:, None], 0.0)
+    entropy = -np.sum(np.where(share > 0, share * np.log(share + 1e-12), 0.0), axis=1)
+    bands = [share[:, a:b].sum(axis=1) for a, b in BANDS]
+    return np.stack([np.log1p(total), share @ np.arange(power.shape[1]), share.argmax(axis=1), entropy, *bands], axis=1)
 
 
 SPECTRAL = ("total_power", "centroid", "dominant_frequency", "entropy", *[f"band_{i}" for i in range(1, 7)])
@@ -131,8 +130,11 @@ def spectral_features(arrays: DataFrame, keys: Sequence[str] = KEYS, readings: s
 
     @F.pandas_udf(fields)
     def spectrum(column: pd.Series) -> pd.DataFrame:
-        rows = [_spectrum(np.asarray(v, dtype=float)) for v in column]
-        return pd.DataFrame(rows, columns=[f"spectral_{n}" for n in SPECTRAL])
+        out, sizes = np.zeros((len(column), len(SPECTRAL))), np.array([len(v) for v in column])
+        for n in np.unique(sizes):  # one transform for all traces of a length
+            some = np.flatnonzero(sizes == n)
+            out[some] = _spectra(np.stack([np.asarray(column.iloc[k], dtype=float) for k in some]))
+        return pd.DataFrame(out, columns=[f"spectral_{n}" for n in SPECTRAL])
 
     return arrays.withColumn("_s", spectrum(readings)).select(*keys, "_s.*")
 
@@ -171,17 +173,22 @@ def normalize_waveform(arrays: DataFrame, column: str = "waveform") -> DataFrame
 
     @F.pandas_udf("array<double>")
     def standardise(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else _standardised(np.asarray(v, dtype=float)))
+        out, sizes = [None] * len(values), np.array([-1 if v is None else len(v) for v in values])
+        for n in np.unique(sizes[sizes >= 0]):  # all arrays of a length at once
+            some = np.flatnonzero(sizes == n)
+            x = np.stack([np.asarray(values.iloc[k], dtype=float) for k in some])
+            spread = x.std(axis=1, keepdims=True)
+            for k, row in zip(some, (x - x.mean(axis=1, keepdims=True)) / np.where(spread > 1e-10, spread, 1.0)):
+                out[k] = row
+        return pd.Series(out, dtype=object)
 
     return arrays.withColumn(column, standardise(column))
 
 
-def waveform_bank(arrays: DataFrame, keys: Sequence[str] = KEYS, points: int = 64, maximum: int = 30_000) -> DataFrame:
-    """Normalised waveforms of many groups, evenly sampled down to ``maximum``."""
-    from yieldloom.operators.rul import even_sample
-
+def waveform_bank(arrays: DataFrame, keys: Sequence[str] = KEYS, points: int = 64) -> DataFrame:
+    """Normalised waveforms of all groups; a basis is fitted to every one of them."""
     shaped = interpolate_waveform(arrays, points, normalise=True).filter("waveform IS NOT NULL")
-    return even_sample(shaped.select(*keys, "waveform"), list(keys), maximum)
+    return shaped.select(*keys, "waveform")
 
 
 def waveform_pca(train: DataFrame, apply: DataFrame, components: int, column: str = "waveform") -> DataFrame:

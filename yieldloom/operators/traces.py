@@ -82,9 +82,12 @@ def trace_grid(df: DataFrame, keys: Sequence[str], *, index: str = "ts_idx", val
 def trace_arrays(df: DataFrame, keys: Sequence[str], *, index: str = "ts_idx", value: str = "value", samples: int = SAMPLES_PER_WAFER) -> DataFrame:
     """Ordered readings per key, one slot per index, gaps NULL.
 
-    A key holds at most ``samples`` cells because equal indices are reduced first.
+    A key holds at most ``samples`` cells because equal indices are reduced first; a reading without an index from
+    0 to ``samples`` - 1 has no slot and fails the job.
     """
-    grid = trace_grid(df.filter(F.col(index).between(0, samples - 1)), keys, index=index, value=value)
+    refused = F.raise_error(F.concat(F.lit("reading outside the trace: index "), F.coalesce(F.col(index).cast("string"), F.lit("missing"))))
+    placed = df.withColumn(index, F.when(F.col(index).between(0, samples - 1), F.col(index)).otherwise(refused.cast(df.schema[index].dataType)))
+    grid = trace_grid(placed, keys, index=index, value=value)
     cells = F.map_from_entries(F.collect_list(F.struct(F.col(index).cast("int"), F.col(value))))
     slots = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda i: F.try_element_at(F.col("_cells"), i))
     return grid.groupBy(*keys).agg(cells.alias("_cells")).select(*keys, slots.alias("readings"))

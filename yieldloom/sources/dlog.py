@@ -79,7 +79,7 @@ def scan_dlog(lines: DataFrame) -> DataFrame:
     joined = dies.join(header, "source_file")
     cell = lambda i: F.get("_f", F.lit(i))
     tests = F.transform(
-        F.slice("test_ids", len(FIXED) + 1, 1_000_000),
+        F.slice("test_ids", F.lit(len(FIXED) + 1), F.greatest(F.size("test_ids"), F.lit(0))),
         lambda t, i: F.struct(t.alias("test_id"), F.get("_f", i + len(FIXED)).try_cast("double").alias("value")),
     )
     listed = lambda c: F.filter(F.split(c, r"\s*,\s*"), lambda t: t != "")

@@ -91,7 +91,7 @@ def discover_products(files: DataFrame, root: str) -> DataFrame:
     is_data = (low.endswith(".csv") | low.endswith(".stdf")) & ~low.endswith("_limits.csv") & ~low.startswith("limit") & ~low.startswith("merged_features")
     rows = files.withColumn("_p", rest).filter(is_data & (F.size("_p") >= 3))
     syn = F.regexp_extract(F.concat_ws(" ", _folder(F.col("path")), name), r"(SYN_\d+)", 1)
-    stem = F.substring(F.regexp_replace(name, r"\.[^.]*$", ""), 1, 15)
+    stem = F.regexp_replace(name, r"\.[^.]*$", "")
     upper = F.upper(name)
     final = F.contains(upper, F.lit("_FIN_")) | F.contains(upper, F.lit("FINAL")) | F.contains(upper, F.lit("FT_"))
     described = rows.select(

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterable, Mapping
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yieldloom.plans import find_hot
-
-MAX_FILES = 1_000_000
-
 # What each data lane may be used for.
 LANES = {
     "real_open_source": ("data_quality", "feature_engineering", "regression", "classification", "explainability", "grouped_validation"),
@@ -33,12 +31,33 @@ def source_fingerprint(files: DataFrame) -> DataFrame:
 def dataset_version(fingerprints: DataFrame, keys: Iterable[str] = ()) -> DataFrame:
     """First sixteen hex digits of the hash over the sorted ``name:digest`` list, per key.
 
-    One hash covers one list of files, so a list beyond ``MAX_FILES`` is refused instead of gathered.
+    The list is sorted by Spark and streamed through the hash, so a list of any length is read in constant memory.
     """
-    if find_hot(fingerprints, list(keys), MAX_FILES):
-        raise ValueError(f"a dataset version covers at most {MAX_FILES} files")
-    entries = F.array_sort(F.collect_list(F.concat_ws(":", "name", "digest")))
-    return fingerprints.groupBy(*keys).agg(F.count(F.lit(1)).alias("files"), F.substring(F.sha2(F.array_join(entries, "|"), 256), 1, 16).alias("version"))
+    keys = list(keys)
+    entries = fingerprints.select(*keys, F.concat_ws(":", "name", "digest").alias("_entry"))
+    dealt = entries.repartition(*keys) if keys else entries.repartition(1)
+    ordered = dealt.sortWithinPartitions(*keys, "_entry")
+    schema = ", ".join([*(f"`{k}` {fingerprints.schema[k].dataType.simpleString()}" for k in keys), "files long", "version string"])
+
+    def stream(batches):
+        at, digest, files = None, None, 0
+
+        def done():
+            return pa.RecordBatch.from_arrays([*at, pa.array([files]), pa.array([digest.hexdigest()[:16]])], names=[*keys, "files", "version"])
+
+        for batch in batches:
+            for k, entry in enumerate(batch.column(len(keys)).to_pylist()):
+                own = [batch.column(c).slice(k, 1) for c in range(len(keys))]
+                if digest is None or own != at:
+                    if digest is not None:
+                        yield done()
+                    at, digest, files = own, hashlib.sha256(), 0
+                digest.update((b"|" if files else b"") + entry.encode())
+                files += 1
+        if digest is not None:
+            yield done()
+
+    return ordered.mapInArrow(stream, schema)
 
 
 def assert_functions_allowed(lane: str, functions: Iterable[str]) -> None:
