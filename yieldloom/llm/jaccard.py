@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from yieldloom.llm.common import by_batch, once, pin
+from yieldloom.llm.common import by_batch, pin
 from yieldloom.llm.components import connected
 
 WIDTH, PERCENT = 4, 85
@@ -26,21 +26,10 @@ GROUP_TOKENS, FLUSH_TOKENS = 1 << 22, 1 << 21
 SHORT_LIST, BLOCK = 64, 2048
 #: Document ids of at most so many candidates are broadcast to read their texts again.
 BROADCAST_IDS = 500_000
-WORDS_HELD = 400_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SHIFTS = [np.uint64(k * int(MIX) % (1 << 64)) for k in range(ORDERS)]
 
 
-class WordCodes(dict):
-    """64-bit codes of words, remembered within bounds."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS_HELD:
-            self.clear()
-        code = self[word] = xxhash.xxh3_64_intdigest(word)
-        return code
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A one-to-one scramble of 64-bit numbers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -53,13 +42,13 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     words = text.encode("utf-8").lower().split() if text else []  # bytes: A-Z only, ASCII white space only
     if not words:
         return np.empty(0, np.uint64)
-    codes = once("word codes", WordCodes)
-    code = np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
+    code = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
     size = min(width, len(words))
     total = np.full(len(words) - size + 1, size, np.uint64)
     for k in range(size):
-        total = mixed(total * MIX + code[k : len(words) - size + 1 + k])
-    return np.unique(total)
+        total = total * MIX + code[k : len(words) - size + 1 + k]
+    total = np.sort(mixed(total))
+    return total[np.append(True, total[1:] != total[:-1])]
 
 
 def set_key(tokens: np.ndarray) -> int | None:
@@ -84,7 +73,7 @@ class Orders:
         self.tokens, self.levels = tokens, levels  # sorted 32-bit heads of frequent tokens
 
     def prefixes(self, tokens: np.ndarray, percent: int = PERCENT) -> list[np.ndarray]:
-        """Of each order the first tokens, in order; two linked sets share one under every order."""
+        """Of each order the first tokens (the first order's in order); two linked sets share one under every order."""
         level = np.zeros(len(tokens), np.uint64)
         if len(self.tokens):
             head = (tokens >> np.uint64(32)).astype(np.uint32)
@@ -95,7 +84,7 @@ class Orders:
         for k in range(ORDERS):
             rank = (level << np.uint64(56)) | (mixed(tokens + SHIFTS[k]) >> np.uint64(8))
             first = np.argpartition(rank, size - 1)[:size] if size < len(tokens) else np.arange(len(tokens))
-            out.append(tokens[first[np.argsort(rank[first], kind="stable")]])
+            out.append(tokens[first[np.argsort(rank[first])]] if k == 0 else tokens[first])
         return out
 
 
