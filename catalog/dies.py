@@ -76,7 +76,7 @@ pc AS (SELECT lot, wafer, count(DISTINCT (l_orderkey, l_partkey, l_linenumber))
 def wafer_features(spark, folder):
     wide = dies(spark, folder).filter("is_pass").withColumn("die_id", F.struct("l_orderkey", "l_partkey", "l_linenumber"))
     long = wide.select("lot", "wafer", "die_id", *TESTS).unpivot(["lot", "wafer", "die_id"], list(TESTS), "test_id", "value")
-    return die.wafer_features(long, limits=limits(spark))
+    return die.wafer_features(long, limits=limits(spark), wide=wide)
 
 
 @query("lot_weighted_features", f"""WITH {WF}, f AS (SELECT lot, wafer, test_id, any_value(pass_count) AS w, unnest(['max', 'mean', 'min']) AS s, unnest([max(value), avg(value), min(value)]) AS v FROM tests JOIN pc USING (lot, wafer) GROUP BY lot, wafer, test_id)

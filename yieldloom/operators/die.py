@@ -110,10 +110,14 @@ def spec_proximity(df: DataFrame, keys: Sequence[str], limits: DataFrame, *, val
     return rows.groupBy(*keys).agg(*spec_proximity_shares(F.col(value), F.col("lsl"), F.col("usl"), F.col("_std")))
 
 
-def wafer_features(dies: DataFrame, keys: Sequence[str] = ("lot", "wafer"), *, test: str = "test_id", value: str = "value", die: str = "die_id", limits: DataFrame | None = None, hot_rows: int | None = None) -> DataFrame:
-    """Distribution and proximity statistics of passing dies per wafer and test, with the pass count."""
+def wafer_features(dies: DataFrame, keys: Sequence[str] = ("lot", "wafer"), *, test: str = "test_id", value: str = "value", die: str = "die_id", limits: DataFrame | None = None, wide: DataFrame | None = None, hot_rows: int | None = None) -> DataFrame:
+    """Distribution and proximity statistics of passing dies per wafer and test, with the pass count.
+
+    Dies are counted on ``wide``, the table before it was made long, where there is one: each die is then shuffled
+    once and not once per test.
+    """
     stats = col_stats(test_columns(dies, test), [*keys, test], value, limits=limits, test=test, hot_rows=hot_rows)
-    counts = dies.select(*keys, die).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("pass_count"))
+    counts = (dies if wide is None else wide).select(*keys, die).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("pass_count"))
     return stats.join(counts, list(keys))
 
 

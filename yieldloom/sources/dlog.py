@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from yieldloom.functions.text import creation_timestamp
-from yieldloom.plans import row_index
+from yieldloom.plans import measured, row_index
 
 FIXED = ("Device #", "Bin", "Site", "X", "Y", "Fails", "Alarms")
 DIE_FIELDS = ("device_no", "bin", "site", "x", "y", "fails", "alarms")
 BLANKS = r"^(?:\s*,){7}"
-QUOTED_SPLIT = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+QUOTED_FIELD = r',((?:"[^"]*+"|"|[^,"])*+)'
 ROWS_PER_FILE = 1_000_000
 
 
@@ -33,17 +33,25 @@ def decoded_text(raw: Column) -> Column:
 
 
 def read_lines(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
-    """(source_file, line) of text files, read in splits."""
+    """(source_file, place, line) of text files, read in splits; the place rises within a file."""
     raw = spark.read.text(paths if isinstance(paths, str) else list(paths), recursiveFileLookup=True)
-    return raw.select(F.col("_metadata.file_path").alias("source_file"), decoded_text(F.col("value")).alias("line"))
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return raw.select(F.col("_metadata.file_path").alias("source_file"), place.alias("place"), decoded_text(F.col("value")).alias("line"))
 
 
 def fields(line: Column) -> Column:
     """Trimmed comma fields; quotes only matter on lines that have any."""
-    quoted = F.transform(F.split(line, QUOTED_SPLIT), lambda c: F.trim(F.regexp_replace(F.trim(c), '^"|"$', "")))
+    cells = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(QUOTED_FIELD), F.lit(1))
+    quoted = F.transform(cells, lambda c: F.trim(F.btrim(F.trim(c), F.lit('"'))))
     return F.when(F.contains(line, F.lit('"')), quoted).otherwise(F.transform(F.split(line, ","), lambda c: F.trim(c)))
 
 
+def placed(lines: DataFrame) -> DataFrame:
+    """``lines`` with the place that ``read_lines`` gives; rows from elsewhere are taken in their order."""
+    order = F.struct(F.lit(0).cast("long").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return lines if "place" in lines.columns else lines.withColumn("place", order)
+
+
 def _kind(line: Column) -> Column:
     low = F.lower(line)
     names = F.contains(low, F.lit("device")) & F.contains(low, F.lit("bin")) & F.contains(line, F.lit(","))
@@ -57,26 +65,31 @@ def _kind(line: Column) -> Column:
 
 
 def scan_dlog_header(lines: DataFrame) -> DataFrame:
-    """One row per file: creation time, program, test ids, names and units; ``names`` is NULL without a name row."""
-    kind = _kind(F.col("line"))
+    """One row per file: creation time, program, test ids, names and units; ``names`` is NULL without a name row.
+
+    Of several rows of a kind the first in the file counts. ``start`` is the place of the name row.
+    """
+    lines = placed(lines).withColumn("_kind", _kind(F.col("line")))
+    kind = F.col("_kind")
     meta = lambda label: F.max(F.when(F.contains("line", F.lit(label)), F.trim(F.regexp_replace(F.split_part("line", F.lit(label), F.lit(2)), ",+$", ""))))
-    row = lambda k: F.first(F.when(kind == k, fields(F.col("line"))), ignorenulls=True)
+    row = lambda k: F.min_by(F.when(kind == k, fields(F.col("line"))), F.when(kind == k, F.col("place")))
     header = lines.filter(kind != "die").groupBy("source_file").agg(
         meta("File Creation Date:").alias("_created"), meta("Test Program:").alias("program"),
-        row("names").alias("names"), row("codes").alias("codes"), row("units").alias("units"),
+        row("names").alias("names"), row("codes").alias("codes"), row("units").alias("units"), F.min(F.when(kind == "names", F.col("place"))).alias("start"),
     )
     ids = F.transform("names", lambda n, i: F.coalesce(F.nullif(F.get("codes", i), F.lit("")), n))
-    return header.select("source_file", creation_timestamp(F.col("_created")).alias("created_ts"), "program", "names", ids.alias("test_ids"), "units")
+    return header.select("source_file", creation_timestamp(F.col("_created")).alias("created_ts"), "program", "names", ids.alias("test_ids"), "units", "start")
 
 
 def scan_dlog(lines: DataFrame) -> DataFrame:
     """Die rows with their ordered test values: (source_file, created_ts, die fields, tests array of (test_id, value)).
 
-    Files without a name row have no rows here; ``dlog_rejected`` lists them.
+    Files without a name row have no rows here; ``dlog_rejected`` lists them. Dies stand below the name row. The files'
+    headers are counted first: few are broadcast, so die rows are not shuffled to meet them.
     """
-    header = scan_dlog_header(lines).filter("names IS NOT NULL").select("source_file", "created_ts", "test_ids")
-    dies = lines.filter(_kind(F.col("line")) == "die").select("source_file", fields(F.col("line")).alias("_f"))
-    joined = dies.join(header, "source_file")
+    header = measured(scan_dlog_header(lines).filter("names IS NOT NULL").select("source_file", "created_ts", "test_ids", "start"))
+    dies = placed(lines).filter(_kind(F.col("line")) == "die").select("source_file", "place", fields(F.col("line")).alias("_f"))
+    joined = dies.join(header, "source_file").filter(F.col("place") > F.col("start"))
     cell = lambda i: F.get("_f", F.lit(i))
     tests = F.transform(
         F.slice("test_ids", F.lit(len(FIXED) + 1), F.greatest(F.size("test_ids"), F.lit(0))),
