@@ -310,3 +310,11 @@ def feature_cache(spark, folder):
     build = lambda: table(spark, folder, "lineitem").groupBy("l_suppkey").agg(F.avg("l_quantity").alias("mean"))
     provenance.feature_cache(spark, path, build)
     return provenance.feature_cache(spark, path, lambda: build().filter("false"))
+
+
+@query("provenance_record", "WITH d AS (SELECT item_id || ':' || sha256(text) AS e FROM benchmark) SELECT 'benchmark' AS dataset, substr(sha256(string_agg(e, '|' ORDER BY e)), 1, 16) AS version, false AS is_synthetic, count(*) AS files FROM d")
+def provenance_record(spark, folder):
+    items = table(spark, folder, "benchmark").select(F.col("item_id").cast("string").alias("name"), F.sha2("text", 256).alias("digest"))
+    found = provenance.dataset_version(items).first()
+    record = provenance.provenance_record(spark, "real_open_source", "benchmark", ["benchmark"], ["data_quality"], found["version"])
+    return record.select("dataset", "version", "is_synthetic", F.lit(found["files"]).alias("files"))

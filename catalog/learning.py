@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import functions as F
 
-from catalog.base import query, r, scored, table
+from catalog.base import SCORED, query, r, scored, table
 from yieldloom.functions.numeric import coordinate_columns
 from yieldloom.operators import importance, metrics, models, ranking
 
@@ -65,9 +67,9 @@ def spatial_metrology(spark, folder):
 @query("stacking")
 def stacking(spark, folder):
     rows = feature_table(spark, folder)
-    base = models.oof_ledger(rows, ["wafer"], FEATURES, "actual_bad", {"logistic": models.classifiers("quick")["logistic"]}, classify=True)
-    score = rows.select("wafer", F.col("fold").cast("int").alias("fold"), F.lit("score").alias("model"), F.col("actual_bad").cast("double").alias("actual"), F.col("probability").alias("predicted"))
-    return models.stacking(base.withColumn("fold", F.col("fold").cast("int")).unionByName(score), ["wafer"], ["logistic", "score"])
+    table = models.classifiers("quick")
+    rows = rows.withColumn("fold", (F.col("fold") % 3).cast("int"))
+    return models.stacking(rows, ["wafer"], FEATURES, "actual_bad", {n: table[n] for n in ("logistic", "random_forest")})
 
 
 @query("lot_severity")
@@ -94,15 +96,14 @@ def score_new_traces(spark, folder):
 def feature_importance(spark, folder):
     rows = feature_table(spark, folder)
     model = models.pipeline(FEATURES, "response", LinearRegression(regParam=1.0), scale=True).fit(models.indicator_columns(rows, FEATURES))
-    names = [f"component_{i}" for i in range(len(model.stages[-1].coefficients))]
+    names = models.input_names(model, FEATURES)
     return importance.feature_importance(model.stages[-1], names, spark)
 
 
 @query("nested_tuning")
 def nested_tuning(spark, folder):
-    rows = feature_table(spark, folder).withColumn("inner_fold", (F.col("lot") % 3).cast("int"))
-    search = models.nested_tuning(rows, FEATURES, "response", LinearRegression(), {"regParam": [0.1, 10.0]}, scale=True)
-    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(search.avgMetrics)], "candidate int, mean_r2 double")
+    rows = feature_table(spark, folder).withColumn("fold", (F.col("lot") % 3).cast("int"))
+    return models.nested_tuning(rows, ["wafer"], FEATURES, "response", LinearRegression(), models.search_grids("balanced")["ridge"], scale=True)
 
 
 @query("knn", f"""WITH e AS (SELECT vec_id AS row, embedding::DOUBLE[] AS v, label::DOUBLE AS y FROM embeddings), d AS (SELECT a.row, list_distance(a.v, b.v) AS d, b.y FROM e a JOIN e b ON a.row % 5 = 0 AND b.row % 5 <> 0),
@@ -111,3 +112,40 @@ SELECT row, {r('coalesce(avg(y) FILTER (d = 0), sum(y / nullif(d, 0)) / sum(1 /
 def knn(spark, folder):
     e = table(spark, folder, "embeddings").select(F.col("vec_id").alias("row"), F.col("embedding").cast("array<double>").alias("vector"), F.col("label").cast("double").alias("target"))
     return importance.knn(e.filter("row % 5 <> 0"), e.filter("row % 5 = 0"))
+
+
+# --- preprocessing steps ---------------------------------------------------------------
+@query("median_impute", f"""WITH {SCORED}, g AS (SELECT wafer, CASE WHEN lot % 3 <> 0 THEN probability END AS a, response AS b FROM scored)
+SELECT wafer, {r('coalesce(a, (SELECT quantile_disc(a, 0.5) FROM g))', 'a__filled')}, {r('b', 'b__filled')} FROM g""")
+def median_impute(spark, folder):
+    rows = scored(spark, folder).select("wafer", F.when(F.col("lot") % 3 != 0, F.col("probability")).alias("a"), F.col("response").alias("b"))
+    return models.median_impute(["a", "b"]).fit(rows).transform(rows).select("wafer", "a__filled", "b__filled")
+
+
+def _fitted(spark, folder, features, **options):
+    rows = scored(spark, folder).withColumns({f: F.col(f).cast("double") for f in features})
+    rows = models.indicator_columns(rows, features)
+    *stages, last = models.preprocessing(features, "response", **options)
+    return Pipeline(stages=stages).fit(rows), rows, last
+
+
+@query("standardize", f"WITH {SCORED} SELECT wafer, {r('(probability - avg(probability) OVER ()) / stddev_samp(probability) OVER ()', 'scaled')} FROM scored")
+def standardize(spark, folder):
+    model, rows, last = _fitted(spark, folder, ["probability"], scale=True)
+    return model.transform(rows).select("wafer", vector_to_array(last)[0].alias("scaled"))
+
+
+@query("select_k_best", f"""WITH {SCORED}, c AS (SELECT abs(corr(probability, response)) AS probability, abs(corr(fold, response)) AS fold, abs(corr(lot, response)) AS lot FROM scored)
+SELECT feature FROM (UNPIVOT c ON probability, fold, lot INTO NAME feature VALUE v) ORDER BY v DESC LIMIT 2""")
+def select_k_best(spark, folder):
+    features = ["probability", "fold", "lot"]
+    model, _, _ = _fitted(spark, folder, features, select=2)
+    return spark.createDataFrame([(n,) for n in models.input_names(model, features)], "feature string")
+
+
+@query("pca", f"""WITH {SCORED}, c AS (SELECT abs(corr(probability, lot)) AS r FROM scored)
+SELECT CAST(1 AS INTEGER) AS component, {r('(1 + r) / 2', 'explained')} FROM c UNION ALL SELECT 2, {r('(1 - r) / 2', 'explained')} FROM c""")
+def pca(spark, folder):
+    model, _, _ = _fitted(spark, folder, ["probability", "lot"], scale=True, components=2)
+    shares = model.stages[-1].explainedVariance.toArray()
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(shares, 1)], "component int, explained double")

@@ -352,6 +352,16 @@ def interpolate_waveform(spark, folder):
     return _filled(spark, folder).select("wafer", "sensor", F.posexplode("waveform").alias("point", "value"))
 
 
+@query("resample_trace", f"""WITH {TRACE}, v AS (SELECT user_id, event_type, us::DOUBLE AS t, avg(value) AS v FROM trace GROUP BY ALL), k AS (SELECT user_id, event_type, min(t) AS lo, max(t) AS hi FROM v GROUP BY ALL),
+p AS (SELECT user_id, event_type, j, CASE WHEN j = 15 THEN hi ELSE lo + (hi - lo) / 15 * j END AS t FROM k, range(0, 16) AS g(j)),
+a AS (SELECT p.user_id, p.event_type, j, p.t, v.t AS ta, v.v AS va FROM p ASOF JOIN v ON p.user_id = v.user_id AND p.event_type = v.event_type AND p.t >= v.t),
+b AS (SELECT a.*, v.t AS tb, v.v AS vb FROM a ASOF LEFT JOIN v ON a.user_id = v.user_id AND a.event_type = v.event_type AND a.t <= v.t)
+SELECT user_id, event_type, CAST(j AS INTEGER) AS point, {r('CASE WHEN tb IS NULL OR tb = ta THEN va ELSE va + (vb - va) * (t - ta) / (tb - ta) END', 'value', 5)} FROM b""", digits=5)
+def resample_trace(spark, folder):
+    rows = trace(spark, folder)
+    return signal.resample_trace(rows, UT, 16, time="us").select("user_id", "event_type", F.posexplode("waveform").alias("point", "value"))
+
+
 @query("normalize_waveform", f"""WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), m AS (SELECT vec_id, avg(x) AS m, stddev_pop(x) AS s FROM v GROUP BY vec_id)
 SELECT vec_id, CAST(i AS INTEGER) AS point, {r('(x - m) / CASE WHEN s > 1e-10 THEN s ELSE 1 END', 'value', 5)} FROM v JOIN m USING (vec_id)""", digits=5)
 def normalize_waveform(spark, folder):

@@ -99,8 +99,32 @@ def test_classifier_stacking_and_hurdle(regression):
     ledger = models.oof_ledger(regression, ["row"], ["a", "b", "c"], "bad", logistic, classify=True)
     aucs = {r.model: r.roc_auc for r in models.oof_classification_scores(ledger).collect()}
     assert aucs["logistic"] > 0.9
-    stacked = models.stacking(ledger, ["row"], ["logistic", "forest"])
-    assert stacked.count() == 60
+    stacked = models.stacking(regression, ["row"], ["a", "b", "c"], "bad", {"logistic": logistic["logistic"]})
+    scores = {r.row: r.predicted for r in stacked.collect()}
+    assert len(scores) == 60 and metrics.ranking_scores(stacked, ["model"], actual="actual", score="predicted").first().roc_auc > 0.85
+    # Labels of a held-out fold are never read: turning them over leaves its scores as they are.
+    turned = regression.withColumn("bad", F.when(F.col("fold") == 1, 1 - F.col("bad")).otherwise(F.col("bad")))
+    again = models.stacking(turned, ["row"], ["a", "b", "c"], "bad", {"logistic": logistic["logistic"]}).filter("fold = 1")
+    assert all(r.predicted == pytest.approx(scores[r.row]) for r in again.collect())
+
+
+def test_nested_tuning_searches_every_fold(regression):
+    ledger = models.nested_tuning(regression, ["row"], ["a", "b", "c"], "y", LinearRegression(), models.search_grids("balanced")["ridge"], scale=True)
+    assert ledger.count() == 60 and metrics.regression_metrics(ledger).first().r2 > 0.9
+    assert {r.params for r in ledger.select("params").distinct().collect()} == {"regParam=0.1"}
+    turned = regression.withColumn("y", F.when(F.col("fold") == 2, -F.col("y")).otherwise(F.col("y")))
+    again = models.nested_tuning(turned, ["row"], ["a", "b", "c"], "y", LinearRegression(), {"regParam": [0.1]}, scale=True).filter("fold = 2")
+    first = {r.row: r.predicted for r in ledger.collect()}
+    assert all(r.predicted == pytest.approx(first[r.row]) for r in again.collect())
+
+
+def test_input_names_follow_the_filters(regression):
+    fitted = models.pipeline(["a", "b", "c"], "y", LinearRegression(), select=2).fit(models.indicator_columns(regression.withColumn("y", F.col("y").cast("double")), ["a", "b", "c"]))
+    assert models.input_names(fitted, ["a", "b", "c"]) == ["a", "b"]
+    assert [models.component_count(n) for n in (1, 10, 1000)] == [1, 7, 25]
+
+
+def test_hurdle_means(regression):
     means = models.fold_class_means(regression, response="y", bad="bad")
     joined = regression.join(means, "fold")
     out = models.hurdle(joined, F.lit(0.5), F.col("good_mean"), F.col("bad_mean"), 1.0).first()

@@ -93,11 +93,15 @@ def replace_keys(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFra
 
 
 def limit_lookup(tests: DataFrame, limits: DataFrame, test: str = "test_id") -> DataFrame:
-    """Adds (lsl, usl) by exact test id, else by normalised name."""
-    exact = limits.groupBy(F.col(test).alias("_test")).agg(F.first("lsl").alias("_l0"), F.first("usl").alias("_u0"), F.lit(True).alias("_hit"))
-    loose = limits.groupBy(normalize_colname(F.col(test)).alias("_norm")).agg(
-        F.min_by("lsl", test).alias("_l1"), F.min_by("usl", test).alias("_u1")
-    )
+    """Adds (lsl, usl) by exact test id, else by normalised name; of several rows the least (id, lsl, usl) counts.
+
+    Both tables have one row per name and are counted, so that tests are shuffled only for very long lists of limits.
+    """
+    least = F.min(F.struct(F.col(test).alias("id"), "lsl", "usl"))
+    exact = limits.groupBy(F.col(test).alias("_test")).agg(least.alias("_e"))
+    loose = limits.groupBy(normalize_colname(F.col(test)).alias("_norm")).agg(least.alias("_n"))
+    exact = measured(exact.select("_test", F.col("_e.lsl").alias("_l0"), F.col("_e.usl").alias("_u0"), F.lit(True).alias("_hit")))
+    loose = measured(loose.select("_norm", F.col("_n.lsl").alias("_l1"), F.col("_n.usl").alias("_u1")))
     out = tests.join(exact, F.col(test) == F.col("_test"), "left")
     out = out.join(loose, normalize_colname(F.col(test)) == F.col("_norm"), "left")
     pick = lambda a, b: F.when(F.col("_hit"), F.col(a)).otherwise(F.col(b))

@@ -8,6 +8,7 @@ from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -57,6 +58,20 @@ def observed_features(df: DataFrame, features: Sequence[str]) -> list[str]:
     return [f for i, f in enumerate(features) if row[f"_{i}"]]
 
 
+def component_count(rows: int, most: int = 25) -> int:
+    """Principal components for a table of so many rows: seven tenths of them, at most ``most``, at least one."""
+    return max(1, min(int(rows * 0.7), most))
+
+
+def input_names(model, features: Sequence[str]) -> list[str]:
+    """Names of a fitted pipeline's model inputs, followed back through its variance filter and its selector."""
+    names = [*features, *(f"{f}__missing" for f in features)]
+    for stage in model.stages:
+        if hasattr(stage, "selectedFeatures"):
+            names = [names[i] for i in stage.selectedFeatures]
+    return names
+
+
 def preprocessing(features: Sequence[str], label: str, *, select: int | None = None, scale: bool = False, components: int | None = None, categorical_label: bool = False) -> list:
     """Imputation, missing indicators, zero-variance filter, F-test filter, scaling and PCA as stages."""
     stages: list = [
@@ -185,19 +200,38 @@ def mean_baseline_ledger(df: DataFrame, keys: Sequence[str], target: str, fold:
     return joined.select(*keys, F.col(fold).alias("fold"), F.lit("mean").alias("model"), F.col(target).cast("double").alias("actual"), "predicted")
 
 
-def nested_tuning(train: DataFrame, features: Sequence[str], target: str, model: Estimator, grid: Mapping[str, Sequence], *, fold: str = "inner_fold", k: int = 3, **options):
-    """Best parameters by mean r2 over grouped inner folds, then refit; the first wins ties."""
-    ready = pin(indicator_columns(train.withColumn(target, F.col(target).cast("double")), features))
-    pipe = pipeline(features, target, model, **options)
-    last = pipe.getStages()[-1]
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        builder = builder.addGrid(last.getParam(name), list(values))
-    search = CrossValidator(
-        estimator=pipe, estimatorParamMaps=builder.build(), evaluator=RegressionEvaluator(labelCol=target, metricName="r2"),
-        numFolds=k, foldCol=fold,
-    )
-    return search.fit(ready)
+def search_grids(profile: str = "balanced") -> dict[str, dict[str, Sequence]]:
+    """Parameter grids of a search profile by model name."""
+    grid = SEARCH_PROFILES[profile]
+    forest = {"numTrees": grid["trees"], "maxDepth": grid["depth"]}
+    return {"ridge": {"regParam": grid["alpha"]}, "random_forest": forest}
+
+
+def nested_tuning(df: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, model: Estimator, grid: Mapping[str, Sequence], *, fold: str = "fold", **options) -> DataFrame:
+    """(keys, fold, params, actual, predicted): the whole grid is searched anew for each outer fold.
+
+    The other outer folds serve as grouped inner folds; the parameters of the best mean r2 (the first wins ties) are
+    refitted on all of them and predict the outer fold, whose rows no part of the search has seen.
+    """
+    ready = pin(indicator_columns(df.withColumns({f: F.col(f"`{f}`").cast("double") for f in features}).withColumn(target, F.col(target).cast("double")), features))
+    usable, parts = _usable_features(ready, features, fold), []
+    for k in sorted(usable):
+        others = [j for j in sorted(usable) if j != k]
+        number = F.create_map(*[F.lit(x) for pair in ((j, i) for i, j in enumerate(others)) for x in pair])
+        train = ready.filter(F.col(fold) != k).withColumn("_inner", number[F.col(fold)].cast("int"))
+        pipe = pipeline(usable[k], target, model, **options)
+        last = pipe.getStages()[-1]
+        builder = ParamGridBuilder()
+        for name, values in grid.items():
+            builder = builder.addGrid(last.getParam(name), list(values))
+        grids = builder.build()
+        evaluator = RegressionEvaluator(labelCol=target, metricName="r2")
+        search = CrossValidator(estimator=pipe, estimatorParamMaps=grids, evaluator=evaluator, numFolds=len(others), foldCol="_inner").fit(train)
+        best = grids[max(range(len(grids)), key=lambda i: search.avgMetrics[i])]
+        chosen = ", ".join(f"{p.name}={v}" for p, v in sorted(best.items(), key=lambda x: x[0].name))
+        held = search.bestModel.transform(ready.filter(F.col(fold) == k))
+        parts.append(held.select(*keys, F.col(fold).alias("fold"), F.lit(chosen).alias("params"), F.col(target).alias("actual"), F.col("prediction").alias("predicted")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def benchmark_runs(df: DataFrame, keys: Sequence[str], feature_sets: Mapping[str, Sequence[str]], target: str, candidates: Mapping[str, tuple[Estimator, dict]], *, fold: str = "fold") -> DataFrame:
@@ -212,7 +246,7 @@ def benchmark_runs(df: DataFrame, keys: Sequence[str], feature_sets: Mapping[str
                 pooled = regression_metrics(ledger).first()
                 spread = regression_metrics(ledger, ["fold"]).agg(F.min("r2").alias("lo"), F.max("r2").alias("hi")).first()
                 base.update(r2=pooled["r2"], rmse=pooled["rmse"], mae=pooled["mae"], fold_r2_min=spread["lo"], fold_r2_max=spread["hi"])
-            except Exception as problem:  # noqa: BLE001 - a failing candidate is a result of the study
+            except (ValueError, IllegalArgumentException, AnalysisException) as problem:  # a candidate that doesn't fit the data; everything else is a fault
                 base.update(status="failed", error=str(problem))
             rows.append({**base, "seconds": time.monotonic() - start})
     schema = "feature_set string, model string, status string, error string, r2 double, rmse double, mae double, fold_r2_min double, fold_r2_max double, seconds double"
@@ -277,18 +311,50 @@ def meta_features(df: DataFrame, scores: Sequence[str]) -> DataFrame:
     return df.withColumns({"meta_mean": mean, "meta_std": F.sqrt(var), "meta_min": low, "meta_max": high})
 
 
-def stacking(ledger: DataFrame, keys: Sequence[str], models: Sequence[str], *, seed: int = 42) -> DataFrame:
-    """Out-of-fold base scores side by side, each calibrated, then a logistic meta model per outer fold."""
-    wide = ledger.groupBy(*keys, "fold").pivot("model", list(models)).agg(F.first("predicted"))
-    actual = ledger.groupBy(*keys).agg(F.first("actual").alias("actual"))
-    table = meta_features(wide.join(actual, list(keys)), models)
-    inputs = [*models, "meta_mean", "meta_std", "meta_min", "meta_max"]
-    assembled = pin(VectorAssembler(inputCols=inputs, outputCol="_meta").transform(table))
+def calibrator(scores: DataFrame, score: str = "predicted", actual: str = "actual"):
+    """A logistic model of the outcome on one score; use with ``calibrated``."""
+    return LogisticRegression(featuresCol="_score", labelCol=actual, probabilityCol="_calibrated", rawPredictionCol="_raw", predictionCol="_class").fit(
+        VectorAssembler(inputCols=[score], outputCol="_score").transform(scores)
+    )
+
+
+def calibrated(scores: DataFrame, model, score: str = "predicted") -> DataFrame:
+    """``scores`` with ``score`` replaced by its calibrated probability."""
+    out = model.transform(VectorAssembler(inputCols=[score], outputCol="_score").transform(scores))
+    return out.withColumn(score, vector_to_array("_calibrated")[1]).drop("_score", "_calibrated", "_raw", "_class")
+
+
+def stacking(df: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, candidates: Mapping[str, tuple[Estimator, dict]], *, fold: str = "fold") -> DataFrame:
+    """(keys, fold, actual, predicted, model): a logistic meta model on calibrated base scores, fitted apart for each outer fold.
+
+    For outer fold k the base models are cross-fitted over the other folds, one calibrator per base model is fitted to
+    those scores, and so is the meta model. The base models are then refitted on all other folds and score fold k,
+    whose labels are never read.
+    """
+    ready = pin(df.select(*dict.fromkeys([*keys, *features, target, fold])).withColumn(target, F.col(target).cast("double")))
+    names = list(candidates)
+    inputs = [*names, "meta_mean", "meta_std", "meta_min", "meta_max"]
+    prepared = indicator_columns(ready.withColumns({f: F.col(f"`{f}`").cast("double") for f in features}), features)
+    usable = _usable_features(ready, features, fold)
+
+    def wide(ledger: DataFrame, scale: Mapping) -> DataFrame:
+        parts = [calibrated(ledger.filter(F.col("model") == n), scale[n]).select(*keys, "fold", "actual", F.lit(n).alias("model"), "predicted") for n in names]
+        table = reduce(DataFrame.unionByName, parts).groupBy(*keys, "fold", "actual").pivot("model", names).agg(F.first("predicted"))
+        return VectorAssembler(inputCols=inputs, outputCol="_meta").transform(meta_features(table, names))
+
     parts = []
-    for k in _folds(table, "fold"):
-        meta = LogisticRegression(featuresCol="_meta", labelCol="actual", regParam=0.01, probabilityCol="_probability", rawPredictionCol="_raw_prediction")
-        model = meta.fit(assembled.filter(F.col("fold") != k))
-        parts.append(model.transform(assembled.filter(F.col("fold") == k)).select(*keys, "fold", "actual", vector_to_array("_probability")[1].alias("predicted")))
+    for k in sorted(usable):
+        inner = pin(oof_ledger(ready.filter(F.col(fold) != k), keys, features, target, candidates, fold=fold, classify=True))
+        scale = {n: calibrator(inner.filter(F.col("model") == n)) for n in names}
+        meta = LogisticRegression(featuresCol="_meta", labelCol="actual", regParam=0.01, probabilityCol="_probability", rawPredictionCol="_raw_prediction").fit(wide(inner, scale))
+        held = []
+        for n in names:
+            model, options = candidates[n]
+            fitted = pipeline(usable[k], target, model, **options).fit(prepared.filter(F.col(fold) != k))
+            scored = fitted.transform(prepared.filter(F.col(fold) == k))
+            held.append(scored.select(*keys, F.col(fold).alias("fold"), F.lit(n).alias("model"), F.col(target).alias("actual"), vector_to_array("_probability")[1].alias("predicted")))
+        final = meta.transform(wide(reduce(DataFrame.unionByName, held), scale))
+        parts.append(final.select(*keys, "fold", "actual", vector_to_array("_probability")[1].alias("predicted")))
     return reduce(DataFrame.unionByName, parts).withColumn("model", F.lit("stacked"))
 
 

@@ -165,7 +165,20 @@ def interpolate_waveform(arrays: DataFrame, points: int = 256, *, readings: str
     return arrays.withColumn("waveform", resample(readings))
 
 
-resample_trace = interpolate_waveform
+def resample_trace(df: DataFrame, keys: Sequence[str] = KEYS, points: int = 256, *, time: str = "t", value: str = "value") -> DataFrame:
+    """(keys, waveform): values at ``points`` even times over each channel's own time range, linear between readings.
+
+    Readings without time or value are left out and equal times averaged; a channel with one time keeps its value.
+    """
+    known = df.filter(F.col(time).isNotNull() & F.col(value).isNotNull()).groupBy(*keys, time).agg(F.avg(value).alias("_v"))
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(time).cast("double").alias("t"), F.col("_v").alias("v"))))
+    traces = known.groupBy(*keys).agg(pairs.alias("_pairs"))
+
+    @F.pandas_udf("array<double>")
+    def resample(times: pd.Series, values: pd.Series) -> pd.Series:
+        return pd.Series([np.interp(np.linspace(t[0], t[-1], points), t, v) for t, v in zip(times, values)], dtype=object)
+
+    return traces.select(*keys, resample(F.col("_pairs.t"), F.col("_pairs.v")).alias("waveform"))
 
 
 def normalize_waveform(arrays: DataFrame, column: str = "waveform") -> DataFrame:

@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Callable, Iterable, Mapping
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 LANES = {
     "real_open_source": ("data_quality", "feature_engineering", "regression", "classification", "explainability", "grouped_validation"),
     "cmp_virtual_metrology": ("data_quality", "feature_engineering", "regression", "explainability", "grouped_validation", "prospective_campaign_validation"),
-    "plasma_etch": ("data_quality", "feature_engineering", "regression", "classification", "explainability", "grouped_validation", "spatial_virtual_metrology"),
+    "bosch_plasma_etch": ("data_quality", "feature_engineering", "regression", "classification", "explainability", "grouped_validation", "spatial_virtual_metrology"),
     "local_demonstration": ("stdf_parsing", "historical_baseline", "spc", "psi", "cpk", "gdbn", "alerts", "dashboard"),
     "real_stdf_sample": ("stdf_parsing", "feature_extraction", "gdbn"),
 }
@@ -91,10 +92,14 @@ def export_decoded_samples(samples: DataFrame, path: str, form: str = "csv") ->
     samples.write.mode("overwrite").format(form).option("header", "true").save(path)
 
 
-def feature_cache(spark: SparkSession, path: str, build: Callable[[], DataFrame], refresh: bool = False) -> DataFrame:
-    """Stored features when they exist, else built, written and read back."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    exists = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-    if refresh or not exists:
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+def feature_cache(spark: SparkSession, path: str, build: Callable[[], DataFrame], refresh: bool = False, version: str = "") -> DataFrame:
+    """Features stored for this version of their inputs (see ``dataset_version``), else built, written and read back."""
+    place = f"{path.rstrip('/')}/version={version}" if version else path
+    if not refresh:
+        try:
+            return spark.read.parquet(place)
+        except AnalysisException as absent:
+            if absent.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+    build().write.mode("overwrite").parquet(place)
+    return spark.read.parquet(place)
