@@ -9,10 +9,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from yieldloom.llm.common import fold_of, pin
+from yieldloom.session import scratch_path
 
 FOLDS, HELD_OUT = 7, 2
 STATES, ROUNDS = 8, 4
@@ -21,17 +22,20 @@ OWN_SYMBOLS, CLASSES, CLASS_LETTERS = 20_000, 512, 3
 END = 0  # symbol of the end of a text; then come the classes, then the words of their own
 SYMBOLS = 1 + CLASSES + OWN_SYMBOLS
 #: Tokens of a block: its distinct words are looked up together.
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 1 << 22
 #: Texts processed side by side, and cells (texts by longest length) of such a group.
 LANES, CELLS = 256, 1 << 18
 SMOOTHING, STAY, NOISE, SEED = 0.05, 0.9, 0.3, 6
 BLOCK = pa.schema([("block", pa.int64()), ("docs", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("tokens", pa.binary()), ("words", pa.binary())])
-WORD = pa.schema([("block", pa.int64()), ("at", pa.int64()), ("word", pa.binary()), ("sort", pa.int64()), ("n", pa.int64())])
+WORD = pa.schema([("place", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
+#: A place is a block's number and, in the lowest bits, a word's number in the block's list.
+PLACE_BITS = 24
 CODED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, within double, symbols binary"
 
 
 def word_class(word: bytes) -> int:
-    return 1 + zlib.crc32(word[-CLASS_LETTERS:]) % CLASSES
+    """Symbol of a word that has none of its own; the empty word is the end."""
+    return 1 + zlib.crc32(word[-CLASS_LETTERS:]) % CLASSES if word else END
 
 
 def blocks(docs: DataFrame, text: str) -> DataFrame:
@@ -78,50 +82,58 @@ def token_array(packed: bytes) -> np.ndarray:
 
 
 def block_words(packed: DataFrame) -> DataFrame:
-    """block, at, word, sort (its class), n (in the block's training texts) for each distinct word of each block."""
+    """place, word, n (in the block's training texts) for each distinct word of each block."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 words = zlib.decompress(row["words"]).split(b" ")
-                train = np.repeat(~np.array(row["held"], bool), row["sizes"])
-                n = np.bincount(token_array(row["tokens"])[train], minlength=len(words))
-                sort = [word_class(w) if w else END for w in words]
-                data = [np.full(len(words), row["block"]), np.arange(len(words)), words, sort, n]
+                data = [(row["block"] << PLACE_BITS) + np.arange(len(words)), words, trained(row, len(words))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(data, WORD.types)], schema=WORD)
 
-    return packed.select("block", "held", "sizes", "tokens", "words").mapInArrow(run, "block long, at long, word binary, sort long, n long")
+    return packed.select("block", "held", "sizes", "tokens", "words").mapInArrow(run, "place long, word binary, n long")
 
 
-def coded_texts(packed: DataFrame, words: DataFrame, counts: DataFrame, vocabulary: dict) -> DataFrame:
+def trained(row: dict, words: int) -> np.ndarray:
+    """Counts of a block's words in its training texts."""
+    train = np.repeat(~np.array(row["held"], bool), row["sizes"])
+    return np.bincount(token_array(row["tokens"])[train], minlength=words)
+
+
+def coded_texts(packed: DataFrame, vocabulary: dict) -> DataFrame:
     """One row per document: base score and counts of known tokens, ln P(words | symbols), and the symbols' numbers.
 
-    Counts come back to the blocks by a join on the word, so no list of all words is ever in one place.
+    Counts of words that several blocks have come back to each of them; a block knows those of all its other words.
+    So no list of all words is ever in one place.
     """
-    found = words.select("block", "at", "word", "sort").join(counts.select("word", "n", "own"), "word", "left")
-    answers = found.select("block", "at", F.coalesce("n", F.lit(0)).alias("c"), F.coalesce(F.col("own") + 1 + CLASSES, F.col("sort")).alias("symbol"))
+    words = block_words(packed)
+    every = Window.partitionBy("word")
+    found = words.select("place", F.sum("n").over(every).alias("c"), F.count("*").over(every).alias("blocks")).filter("blocks > 1")
+    answers = found.select(F.shiftright("place", PLACE_BITS).alias("block"), F.expr(f"place & {(1 << PLACE_BITS) - 1}").alias("at"), "c")
     total, distinct = vocabulary["total"], vocabulary["distinct"]
     rest = np.array(vocabulary["rest"], float)  # tokens and words of each class without those of their own
+    shared_own = packed.sparkSession.sparkContext.broadcast(vocabulary["own"])
 
     def code(blocks_: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        replies = replies.sort_values("at")
-        c, symbol = replies["c"].to_numpy(), replies["symbol"].to_numpy()
-        base = np.log10((c + 1) / (total + distinct + 1))
-        shared = (symbol > END) & (symbol <= CLASSES)
-        group = np.where(shared, symbol, 0)
-        within = np.where(shared, np.log((c + 1) / (rest[0][group] + rest[1][group] + 1)), 0.0)
-        out = []
-        for row in blocks_.itertuples():
-            ids, at = token_array(row.tokens), 0
-            for doc, held, size in zip(row.docs, row.held, row.sizes):
+        own, out = shared_own.value, []
+        for row in blocks_.to_dict("records"):
+            names = zlib.decompress(row["words"]).split(b" ")
+            c = trained(row, len(names))
+            c[replies["at"].to_numpy()] = replies["c"].to_numpy()
+            symbol = np.array([own.get(w) or word_class(w) for w in names])
+            base = np.log10((c + 1) / (total + distinct + 1))
+            shared = (symbol > END) & (symbol <= CLASSES)
+            group = np.where(shared, symbol, 0)
+            within = np.where(shared, np.log((c + 1) / (rest[0][group] + rest[1][group] + 1)), 0.0)
+            ids, at = token_array(row["tokens"]), 0
+            for doc, held, size in zip(row["docs"], row["held"], row["sizes"]):
                 t = ids[at : at + size]
                 at += size
                 out.append((doc, held, size, int((c[t] > 0).sum()), base[t].sum(), within[t].sum(), zlib.compress(symbol[t].astype(np.uint16).tobytes(), 1)))
         frame = pd.DataFrame(out, columns=[f.split(" ")[0] for f in CODED.split(", ")])
         return frame.astype({"doc_id": "Int64"})
 
-    pairs = packed.select("block", "docs", "held", "sizes", "tokens").groupBy("block").cogroup(answers.groupBy("block"))
-    return pairs.applyInPandas(code, CODED)
+    return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(code, CODED)
 
 
 class Model:
@@ -188,7 +200,7 @@ def groups(symbols: list[np.ndarray]):
         yield some, table, sizes
 
 
-def first_model(own: int, shares: np.ndarray) -> Model:
+def first_model(shares: np.ndarray) -> Model:
     """Words' shares with a fixed noise by state, and states that tend to stay: rounds then tell states apart."""
     random = np.random.default_rng(SEED)
     emit = (shares[:, None] + 1e-9) * np.exp(NOISE * random.standard_normal((SYMBOLS, STATES)))
@@ -246,28 +258,30 @@ def score_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     unknown words are one. A null or empty text is one end. Without training documents all counts are 0 and the model is
     its first guess. Repeated rows give repeated rows; other columns are ignored; whole texts are read.
 
-    Blocks of about two million tokens list their distinct words once; counts are summed and sent back by joins on the
-    word, so memory is bounded by a block and the symbols, however many words there are.
+    Blocks of about four million tokens list their distinct words once; counts are summed by word and sent back to the
+    blocks that share a word, so memory is bounded by a block and the symbols, however many words there are.
     """
     packed = pin(blocks(docs, text))
-    words = block_words(packed).repartition("word")
-    counts = words.groupBy("word", "sort").agg(F.sum("n").alias("n")).filter("n > 0")
+    # Written as a table: it is read twice, and its compressed columns are far smaller than a checkpoint's rows.
+    path = scratch_path(docs.sparkSession, "words")
+    sort = F.when(F.octet_length("word") == 0, F.lit(END)).otherwise(1 + F.crc32(F.expr(f"substring(word, -{CLASS_LETTERS})")) % CLASSES)
+    summed = block_words(packed).filter("n > 0").groupBy("word").agg(F.sum("n").alias("n"))
+    summed.select("word", "n", sort.cast("long").alias("sort")).write.parquet(path)
+    counts = docs.sparkSession.read.parquet(path)
     by_class = {r["sort"]: (r["n"], r["words"]) for r in counts.groupBy("sort").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()}
     top = counts.filter(F.col("sort") > END).orderBy(F.desc("n"), "word").limit(OWN_SYMBOLS).collect()  # the model's size
     total, distinct = (sum(v[k] for v in by_class.values()) for k in (0, 1))
     rest = np.zeros((2, CLASSES + 1))
-    for sort, (n, types) in by_class.items():
-        rest[:, sort] = n, types
+    for k, (n, types) in by_class.items():
+        rest[:, k] = n, types
     shares = np.zeros(SYMBOLS)
     for k, r in enumerate(top):
         rest[:, r["sort"]] -= r["n"], 1
         shares[1 + CLASSES + k] = r["n"]
     shares[: CLASSES + 1] = rest[0]
-    schema = "word binary, own long"
-    own = docs.sparkSession.createDataFrame([(bytearray(r["word"]), k) for k, r in enumerate(top)], schema)
-    known = counts.join(F.broadcast(own), "word", "left")  # at most OWN_SYMBOLS rows
-    coded = pin(coded_texts(packed, words, known, {"total": total, "distinct": distinct, "rest": rest.tolist()}))
-    model = first_model(len(top), (shares + 1) / (shares + 1).sum())
+    own = {bytes(r["word"]): 1 + CLASSES + k for k, r in enumerate(top)}
+    coded = pin(coded_texts(packed, {"total": total, "distinct": distinct, "rest": rest.tolist(), "own": own}))
+    model = first_model((shares + 1) / (shares + 1).sum())
     for _ in range(ROUNDS if total else 0):
         model = baum_welch(coded, model)
     shared = docs.sparkSession.sparkContext.broadcast(model)
