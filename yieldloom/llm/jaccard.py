@@ -257,14 +257,33 @@ def block_pairs(percent: int, forest: bool):
     return run
 
 
-def long_list_pairs(lists: DataFrame, facts: DataFrame, comps: DataFrame | None, percent: int) -> DataFrame:
+def texts_of(keys: DataFrame, docs: DataFrame, classes: DataFrame, text: str) -> DataFrame:
+    """doc_id and text of one document of each set; ids are broadcast where they were counted to be few."""
+    wanted = pin(classes.join(keys.distinct(), "key", "left_semi").select(F.col("first_id").alias("doc_id")))
+    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.select("doc_id", text).join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
+
+
+def bitmaps(keys: DataFrame, docs: DataFrame, classes: DataFrame, text: str, width: int) -> DataFrame:
+    """key and parity bits of the sets that lie in long lists."""
+
+    def make():
+        def work(ids, values):
+            sets = [shingles(v, width) for v in values]
+            return [[set_key(s) for s in sets], [parity_bits(s) if len(s) else None for s in sets]]
+
+        return work
+
+    return by_batch(texts_of(keys, docs, classes, text), "key long, bits binary", make).filter("bits is not null").dropDuplicates(["key"])
+
+
+def long_list_pairs(lists: DataFrame, bits: DataFrame, comps: DataFrame | None, percent: int) -> DataFrame:
     """Candidate pairs of long lists (token, key, n): members meet in blocks of bounded size, one task per two blocks.
 
     A first call (no ``comps``) gives spanning forests of likely links; a second one all pairs that are still in
     different components.
     """
     sizes = lists.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    bits = facts.join(lists.select("key").distinct(), "key", "left_semi").select("key", "bits").dropDuplicates(["key"])
     rows = lists.join(bits, "key")
     rows = rows.join(comps, "key", "left") if comps is not None else rows.withColumn("comp", F.lit(None).cast("long"))
     rows = rows.withColumn("comp", F.coalesce("comp", "key"))
@@ -298,10 +317,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, text: str, w
     sorting, so a task holds two sets at a time.
     """
     sides = pairs.select(F.col("a").alias("key"), "a", "b").union(pairs.select(F.col("b").alias("key"), "a", "b"))
-    wanted = classes.join(sides.select("key").distinct(), "key", "left_semi").select(F.col("first_id").alias("doc_id"))
-    wanted = pin(wanted)
-    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    texts = docs.select("doc_id", text).join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
+    texts = texts_of(sides.select("key"), docs, classes, text)
 
     def make():
         def work(ids, values):
@@ -371,24 +387,25 @@ def jaccard_groups(docs: DataFrame, text: str = "text", width: int = WIDTH, perc
                     seen.add(key)
                     first, *others = orders.prefixes(tokens, percent)
                     heads = [(p >> np.uint64(32)).astype(np.uint32).view(np.int32) for p in others]  # heads may only let more pass
-                    out.append((key, len(tokens), first.view(np.int64), *heads, parity_bits(tokens)))
-            return [list(c) for c in zip(*out)] if out else [[]] * (4 + ORDERS)
+                    out.append((key, len(tokens), first.view(np.int64), *heads))
+            return [list(c) for c in zip(*out)] if out else [[]] * (2 + ORDERS)
 
         return work
 
     prefix_fields = ", ".join(f"p{k} array<int>" for k in range(1, ORDERS))
-    facts = pin(by_batch(docs.select(text), f"key long, n long, p0 array<long>, {prefix_fields}, bits binary", make_prefixes))
+    facts = pin(by_batch(docs.select(text), f"key long, n long, p0 array<long>, {prefix_fields}", make_prefixes))
     postings = facts.select(F.posexplode("p0").alias("pos", "token"), "key", "n").select("token", "key", "n", F.col("pos").cast("long").alias("pos"))
     lists = postings.repartition("token").sortWithinPartitions("token", "n", "key").mapInArrow(short_lists(percent), "kind int, token long, a long, b long")
     lists = pin(lists)
     long_lists = lists.filter("kind = 1").select("token", F.col("a").alias("key"), F.col("b").alias("n")).distinct()
     short_pairs = lists.filter("kind = 0").select("a", "b")
     some_long = not long_lists.isEmpty()
-    pairs = short_pairs.union(long_list_pairs(long_lists, facts, None, percent)) if some_long else short_pairs
+    bits = pin(bitmaps(long_lists.select("key"), docs, classes, text, width)) if some_long else None
+    pairs = short_pairs.union(long_list_pairs(long_lists, bits, None, percent)) if some_long else short_pairs
     links = pin(verified(pin(surviving(pairs.distinct(), facts)), docs, classes, text, width, percent))
     comps = connected(links)
     if some_long:
-        rest = pin(long_list_pairs(long_lists, facts, comps.select(F.col("node").alias("key"), F.col("root").alias("comp")), percent).distinct())
+        rest = pin(long_list_pairs(long_lists, bits, comps.select(F.col("node").alias("key"), F.col("root").alias("comp")), percent).distinct())
         more = pin(verified(pin(surviving(rest, facts)), docs, classes, text, width, percent))
         comps = connected(comps.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     named = classes.join(comps.withColumnRenamed("node", "key"), "key", "left")
