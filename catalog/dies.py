@@ -356,10 +356,13 @@ def golden_overlap(spark, folder):
     return joins.golden_overlap(_candidates(spark, folder), _gold(spark, folder)).select("lot", "test_id", "mean", "golden_mean")
 
 
-@query("golden_fallback", f"WITH {GOLD}, c AS (SELECT test_id, avg(value) AS m FROM tests WHERE lot % 10 = 0 AND test_id <> 'tax' GROUP BY test_id) SELECT test_id, {r('gm', 'golden_mean')}, {r('coalesce(m, gm)', 'mean')} FROM gold LEFT JOIN c USING (test_id)")
+@query("golden_fallback", f"""WITH {GOLD}, c AS (SELECT test_id, avg(value) AS m FROM tests WHERE lot % 10 = 0 AND test_id NOT IN ('tax', 'discount') GROUP BY test_id), a AS (SELECT test_id, avg(value) AS am FROM tests WHERE lot % 10 = 1 AND test_id <> 'discount' GROUP BY test_id)
+SELECT test_id, {r('gm', 'golden_mean')}, {r('coalesce(m, am, gm)', 'mean')} FROM gold LEFT JOIN c USING (test_id) LEFT JOIN a USING (test_id)""")
 def golden_fallback(spark, folder):
-    cur = die.current_param_stats(die_tests(spark, folder).filter(is_current())).filter("test_id <> 'tax'")
-    return joins.golden_fallback(_gold(spark, folder), cur, cur.limit(0)).select("test_id", "golden_mean", "mean")
+    rows = die_tests(spark, folder)
+    current = die.current_param_stats(rows.filter(is_current())).filter("test_id NOT IN ('tax', 'discount')")
+    actual = die.current_param_stats(rows.filter("lot % 10 = 1")).filter("test_id <> 'discount'")
+    return joins.golden_fallback(_gold(spark, folder), current, actual).select("test_id", "golden_mean", "mean")
 
 
 @query("yield_ensemble", f"""WITH {DIES}, s AS (SELECT lot, count(*) FILTER (is_pass) / count(*) AS share FROM dies GROUP BY lot), m AS (SELECT lot, share, unnest([share, share * 100, -1.0]) AS p FROM s)

@@ -95,3 +95,15 @@ def test_crowded_cells_are_cut_by_the_next_column(spark):
     rows = spark.range(4000).select(F.lit("k").alias("k"), F.lit(5).alias("t"), "id")
     blocks = _blocks(rows, ["k"], ["t", "id"], (), find_hot(rows, ["k"], 100))
     assert blocks.groupBy("__block").count().agg(F.max("count")).first()[0] <= 300
+
+
+@pytest.mark.parametrize("value", ["'a prefix of twenty ch' || lpad(id, 6, '0')", "9007199254740992 + id", "DATE '2020-01-01' + INT(id % 50)"])
+def test_blocks_are_even_whatever_the_values(spark, value):
+    from yieldloom.plans.ordered import _blocks
+
+    rows = spark.range(2_000).selectExpr("1 AS k", f"{value} AS v", "id").repartition(4)
+    blocks = _blocks(rows, ["k"], ["v", "id"], (), find_hot(rows, ["k"], 100))
+    sizes = [r["count"] for r in blocks.groupBy("__block").count().collect()]
+    assert len(sizes) >= 15 and max(sizes) <= 300 and sum(sizes) == 2_000
+    numbered = row_index(rows, ["k"], ["v", "id"], name="n", hot_rows=100).orderBy("v", "id").collect()
+    assert [r.n for r in numbered] == list(range(1, 2_001))

@@ -1,8 +1,8 @@
 """Ordered computations (position, running total, lag, rolling frame) over keys of any size.
 
 Ordinary keys use one window. A hot key is cut into consecutive blocks of its
-order column: an exact histogram fixes the cuts, so every attempt of every task
-sees the same blocks, and block totals carry results across the cuts.
+order columns that are written down once, so every attempt of every task sees
+the same blocks, and block totals carry results across the cuts.
 """
 
 from __future__ import annotations
@@ -11,81 +11,25 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from yieldloom.plans.hot import HotKeys, attach, find_hot, split_hot
-
-MAX_BINS = 65_536
-
-
-def _order_code(df: DataFrame, name: str) -> Column:
-    """A double that never decreases along the sort order of the column."""
-    kind = df.schema[name].dataType
-    if isinstance(kind, T.StringType):
-        head = F.rpad(F.hex(F.substring(F.encode(F.col(name), "utf-8"), 1, 7)), 14, "0")
-        return F.conv(head, 16, 10).cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(F.col(name)).cast("double")
-    return F.col(name).cast("double")
-
-
-def _cell(code: Column, low: Column, high: Column, rows: Column, limit: int) -> Column:
-    """Equal-width histogram cell of a code; 64 cells for every block the rows will need."""
-    bins = F.least(F.lit(MAX_BINS), F.ceil(rows / F.lit(limit)) * 64)
-    share = F.when(high > low, (code - low) / F.when(high > low, high - low))
-    return F.coalesce(F.least(F.floor(share * bins), bins - 1), F.lit(0)).cast("long")
-
+from yieldloom.session import pin
 
 def _blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], descending: Sequence[str], hot: HotKeys) -> DataFrame:
     """Hot rows with ``__block`` and the number of rows of the key before it, ``__before``.
 
-    Cells of the first order column that hold too many rows are cut again: by the same column
-    inside the cell, or by the next order column where all rows share one value.
+    Rows are dealt into ranges of (keys, all order columns), compared as the values themselves, about ``limit`` rows
+    each. The cuts come from a sample and are written down with the rows (a checkpoint), so every later read sees the
+    same blocks. Rows that are equal in all of these columns stay together.
     """
-    coded = df
-    for i, name in enumerate(order[:2]):
-        code = _order_code(df, name)
-        code = F.when(F.isnan(code), None).otherwise(code)
-        # A null sorts first in ascending and last in descending order.
-        code = F.coalesce(-code, F.lit(float("inf"))) if name in descending else F.coalesce(code, F.lit(float("-inf")))
-        coded = coded.withColumn(f"__code{i}", code)
-    if len(order) == 1:
-        coded = coded.withColumn("__code1", F.lit(0.0))
-    finite = lambda c: F.when(F.abs(c) < float("inf"), c)
-
-    span = coded.groupBy(*keys).agg(
-        F.min(finite(F.col("__code0"))).alias("__low"), F.max(finite(F.col("__code0"))).alias("__high"), F.count(F.lit(1)).alias("__n")
-    )
-    c0 = F.col("__code0")
-    inner = _cell(c0, F.col("__low"), F.col("__high"), F.col("__n"), hot.limit)
-    outer = F.when(c0 == float("-inf"), -1).when(c0 == float("inf"), MAX_BINS).otherwise(inner).cast("long")
-    placed = attach(coded, span, keys, rows=hot.count).withColumn("__cell", outer).drop("__low", "__high", "__n")
-
-    first = F.col(order[0])
-    facts = placed.groupBy(*keys, "__cell").agg(
-        F.count(F.lit(1)).alias("__n"),
-        (F.min(first).eqNullSafe(F.max(first)) & ((F.count(first) == 0) | (F.count(first) == F.count(F.lit(1))))).alias("__same"),
-        *[f(finite(F.col(f"__code{i}"))).alias(f"__{n}{i}") for i in (0, 1) for f, n in ((F.min, "low"), (F.max, "high"))],
-    )
-    spread = F.col("__high0") > F.col("__low0")
-    # Codes may coincide for different values (long texts, huge integers); then the cell stays whole.
-    crowded = facts.filter((F.col("__n") > hot.limit) & (spread | F.col("__same")))
-    low = F.when(spread, F.col("__low0")).otherwise(F.col("__low1"))
-    high = F.when(spread, F.col("__high0")).otherwise(F.col("__high1"))
-    crowded = crowded.select(*keys, "__cell", F.col("__n"), spread.alias("__spread"), low.alias("__low"), high.alias("__high"))
-    placed = attach(placed, crowded, [*keys, "__cell"], "left")
-    code = F.when(F.col("__spread"), c0).otherwise(F.col("__code1"))
-    fine = _cell(code, F.col("__low"), F.col("__high"), F.col("__n"), hot.limit)
-    fine = F.when(code == float("-inf"), -1).when(code == float("inf"), MAX_BINS).otherwise(fine)
-    placed = placed.withColumn("__fine", F.when(F.col("__n").isNull(), 0).otherwise(fine).cast("long"))
-    placed = placed.drop("__n", "__spread", "__low", "__high", "__code0", "__code1")
-
-    sizes = placed.groupBy(*keys, "__cell", "__fine").agg(F.count(F.lit(1)).alias("__size"))
-    upto = Window.partitionBy(*keys).orderBy("__cell", "__fine").rowsBetween(Window.unboundedPreceding, -1)
-    cells = sizes.withColumn("__start", F.coalesce(F.sum("__size").over(upto), F.lit(0)))
-    cells = cells.withColumn("__block", F.floor(F.col("__start") / F.lit(hot.limit)))
-    cells = cells.withColumn("__before", F.min("__start").over(Window.partitionBy(*keys, "__block")))
-    return attach(placed, cells.drop("__size", "__start"), [*keys, "__cell", "__fine"]).drop("__cell", "__fine")
+    parts = max(1, -(-df.count() // hot.limit))
+    by_key = [F.col(k).asc() for k in keys]
+    dealt = df.repartitionByRange(int(parts), *by_key, *_sort(order, descending))
+    cut = pin(dealt.withColumn("__block", F.spark_partition_id().cast("long")))
+    sizes = cut.groupBy(*keys, "__block").agg(F.count(F.lit(1)).alias("__size"))
+    upto = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(upto), F.lit(0))).drop("__size")
+    return attach(cut, starts, [*keys, "__block"], rows=int(parts) + hot.count)
 
 
 def _sort(order: Sequence[str], descending: Sequence[str]) -> list[Column]:
