@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import numpy as np
@@ -12,7 +13,9 @@ from pyspark.sql import functions as F
 
 from yieldloom.llm.common import PIECES, by_batch, fold_of, once
 
-WORDS = regex.compile(r"\p{L}+").findall
+LETTERS = regex.compile(r"\p{L}+").findall
+#: Faster, but it also takes numerals that are no digits; such runs are split again.
+RUNS = re.compile(r"[^\W\d_]+").findall
 MARK = "▁"  # begins a word in the vocabulary
 FOLDS, HELD_OUT = 4, 2
 #: Pseudo-count of each piece in each language.
@@ -22,6 +25,8 @@ ROUNDS = 1
 #: Words scored at a time, words remembered by a process, and words whose probability is kept in logarithms.
 AT_A_TIME, HELD, LONG = 20_000, 400_000, 48
 UNDETERMINED = "und"
+#: Bits of a piece's length and id within a span's number.
+LENGTH_BITS, ID_BITS = 6, 20
 
 
 class Pieces:
@@ -30,26 +35,31 @@ class Pieces:
     def __init__(self, pieces: list[str]):
         self.ids = {p: k for k, p in enumerate(pieces)}
         self.size = len(pieces) + 1  # the last id is any single character that is no piece
-        self.heads = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
-
-    def spans(self, word: str) -> tuple[list[int], list[int], list[int]]:
-        """Starts, ends and ids of all pieces in a word with its mark. The mark alone always is one."""
+        self.tree: list = [-1, {}]  # id of the piece that ends here, and what may follow
+        for p, k in self.ids.items():
+            node = self.tree
+            for c in p:
+                node = node[1].setdefault(c, [-1, {}])
+            node[0] = k
+        if max(map(len, self.ids)) >= 1 << LENGTH_BITS or self.size > 1 << ID_BITS:
+            raise ValueError("the vocabulary has too many or too long pieces")
+
+    def spans(self, word: str) -> list[int]:
+        """Start, length and id of all pieces in a word with its mark, each in one number. A character that is no piece is one, too."""
         text = MARK + word
-        starts, ends, found = [], [], []
-        ids, heads, n = self.ids, self.heads, len(text)
+        out, n, other = [], len(text), self.size - 1
+        add, first = out.append, self.tree[1]
         for i in range(n):
-            j, first = i + 1, len(found)
-            while j <= n and (part := text[i:j]) in heads:
-                if (k := ids.get(part)) is not None:
-                    starts.append(i)
-                    ends.append(j)
-                    found.append(k)
+            place, j = i << (LENGTH_BITS + ID_BITS), i + 1
+            node = first.get(text[i])
+            if node is None or node[0] < 0:
+                add(place | 1 << ID_BITS | other)
+            while node is not None:
+                if node[0] >= 0:
+                    add(place | (j - i) << ID_BITS | node[0])
+                node = node[1].get(text[j]) if j < n else None
                 j += 1
-            if text[i] not in ids:
-                starts.insert(first, i)
-                ends.insert(first, i + 1)
-                found.insert(first, self.size - 1)
-        return starts, ends, found
+        return out
 
 
 def load_pieces(path: str = PIECES) -> Pieces:
@@ -67,15 +77,15 @@ class Lattice:
     """All pieces of a batch of words as one set of edges."""
 
     def __init__(self, words: list[str], pieces: Pieces):
-        starts, ends, ids, counts = [], [], [], []
+        found, counts = [], []
         for w in words:
-            s, e, k = pieces.spans(w)
-            starts += s
-            ends += e
-            ids += k
-            counts.append(len(k))
+            some = pieces.spans(w)
+            found += some
+            counts.append(len(some))
+        spans = np.array(found, np.int64)
         self.word = np.repeat(np.arange(len(words)), counts)
-        self.start, self.end, self.id = (np.array(x, np.int64) for x in (starts, ends, ids))
+        self.start, self.id = spans >> (LENGTH_BITS + ID_BITS), spans & ((1 << ID_BITS) - 1)
+        self.end = self.start + ((spans >> ID_BITS) & ((1 << LENGTH_BITS) - 1))
         self.length = np.array([len(w) + 1 for w in words])
         self.words = len(words)
 
@@ -116,11 +126,11 @@ class Lattice:
 
 def log_probability(word: str, pieces: Pieces, logs: np.ndarray) -> np.ndarray:
     """ln of the summed probability of one word by model, in logarithms: for words of any length."""
-    starts, ends, ids = pieces.spans(word)
     total = [np.zeros(logs.shape[1])]
     ending: dict[int, list[tuple[int, int]]] = {}
-    for s, e, k in zip(starts, ends, ids):
-        ending.setdefault(e, []).append((s, k))
+    for span in pieces.spans(word):
+        start, length = span >> (LENGTH_BITS + ID_BITS), (span >> ID_BITS) & ((1 << LENGTH_BITS) - 1)
+        ending.setdefault(start + length, []).append((start, span & ((1 << ID_BITS) - 1)))
     for j in range(1, len(word) + 2):
         total.append(np.logaddexp.reduce([total[s] + logs[k] for s, k in ending[j]]))
     return total[-1]
@@ -159,7 +169,9 @@ class Scorer:
 
 
 def letters(text: str | None) -> list[str]:
-    return WORDS(text.lower()) if text else []
+    """Runs of letters of the text's lower case."""
+    runs = RUNS(text.lower()) if text else []
+    return runs if "".join(runs).isalpha() else [w for r in runs for w in LETTERS(r)]
 
 
 def expected_pieces(docs: DataFrame, text: str, lang: str, path: str, langs: list[str] | None, p: np.ndarray | None) -> DataFrame:
