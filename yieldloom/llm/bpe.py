@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from yieldloom.llm.common import WORD_BPE, by_batch, once
 
 #: Entries of a task's memory of fragments and words before it starts afresh.
-MEMORY = 400_000
+MEMORY = 150_000
 #: From so many symbols a fragment is merged with a heap instead of repeated scans.
 LONG = 40
 END = "</w>"

@@ -8,13 +8,12 @@ import types
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from yieldloom.session import pin, shared_folder
 
-__all__ = ["PIECES", "WORD_BPE", "by_batch", "fold_of", "keep", "measured_join", "once", "pin", "read", "shared_folder"]
+__all__ = ["PIECES", "WORD_BPE", "by_batch", "fold_of", "measured_join", "once", "pin", "read", "shared_folder"]
 
 #: Folder with the public tokenizers' files; a parameter of every operator that needs one.
 TOKENIZERS = os.environ.get("YIELDLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -76,7 +75,3 @@ def measured_join(rows: DataFrame, facts: DataFrame, key: str, how: str = "left"
     salted = facts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).join(salted, [key, "__salt"], how).drop("__salt")
 
-
-def keep(df: DataFrame) -> DataFrame:
-    """Keeps a reused table on the executors' disks; a lost part is computed again."""
-    return df.persist(StorageLevel.DISK_ONLY)

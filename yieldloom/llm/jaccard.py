@@ -26,6 +26,8 @@ GROUP_TOKENS, FLUSH_TOKENS = 1 << 22, 1 << 21
 SHORT_LIST, BLOCK = 64, 2048
 #: Document ids of at most so many candidates are broadcast to read their texts again.
 BROADCAST_IDS = 500_000
+#: Sets that a comparing task turns into Python objects at a time.
+SETS_AT_A_TIME = 256
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SHIFTS = [np.uint64(k * int(MIX) % (1 << 64)) for k in range(ORDERS)]
 
@@ -331,7 +333,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, text: str, w
 
     def compare(batches):
         held = None
-        for batch in batches:
+        for batch in (whole.slice(at, SETS_AT_A_TIME) for whole in batches for at in range(0, whole.num_rows, SETS_AT_A_TIME)):
             a_out, b_out = [], []
             for a, b, key, tokens in zip(*[batch.column(k).to_pylist() for k in range(4)]):
                 if held and held[:2] == (a, b) and held[2] != key:
