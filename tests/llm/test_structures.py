@@ -90,6 +90,20 @@ def test_pages(spark):
     assert wrappers.extract_main_text(df.limit(0)).collect() == []
 
 
+def test_constant_text_of_a_host(spark):
+    """Text that all pages of a host share is left out, within a marked main element too; slots stay."""
+    said = [" ".join(f"w{k}x{i}" for i in range(20)) for k in range(4)]
+    shared = "<p>Follow our shop for offers.</p>"
+    marked = "<body><article><h1>t{0}</h1>" + shared + "<p>{1}</p><ul><li>Print</li><li>Send</li></ul></article></body>"
+    plain = "<body><div id='a'><div id='b'>Since 1999</div><p>{1}</p>" + shared + "<p>{1} again</p><div id='b'>note {0}</div></div></body>"
+    shell = "<body><main>Loading</main><div id='a'><p>{1}</p></div></body>"
+    rows = [(10 * h + k, f"http://h{h}.example/{k}", page.format(k, said[k])) for h, page in enumerate((marked, plain, shell)) for k in range(4)]
+    got = {r.page_id: r.text for r in wrappers.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    for k in range(4):
+        assert got[k] == f"t{k}\n\n{said[k]}" and got[20 + k] == said[k]
+        assert got[10 + k] == f"{said[k]}\n\n{said[k]} again\n\nnote {k}"
+
+
 def test_alignment():
     own = lambda html: wrappers.expression(wrappers.parse(html))
     a, b = own("<body><h1>x</h1><p>one</p><p>two</p><hr><div>same</div></body>"), own("<body><h1>y</h1><h2>s</h2><p>one</p><div>same</div></body>")

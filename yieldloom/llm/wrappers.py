@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -39,19 +41,21 @@ SPACES = re.compile(r"\s+")
 #: A child that holds at least this share of its parent's variable text is entered in search of the main part.
 SHARE = 0.6
 SALTS = 64
-#: Hosts whose wrappers a task keeps in memory before it hands them on.
-HOSTS_HELD = 2_000
+#: Hosts whose wrappers a task keeps in memory before it hands them on, or as objects while it cuts pages.
+HOSTS_HELD, WRAPPERS_HELD = 2_000, 256
+#: Text on so many pages of a host, and on all that have its element, is boilerplate; within a marked main element on so many.
+LEAST_PAGES, LEAST_PAGES_MAIN = 2, 3
 #: Elements deeper than this are read as children of the last one.
 DEEPEST = 200
 
 
 class Node:
-    """An element: its signature, its own text blocks and its children in order."""
+    """An element: its signature, its own text blocks and its children in order, and digests of its text (see ``signed``)."""
 
-    __slots__ = ("sig", "name", "words", "items")
+    __slots__ = ("sig", "name", "words", "items", "own", "whole")
 
     def __init__(self, sig: str, name: str, words: frozenset):
-        self.sig, self.name, self.words, self.items = sig, name, words, []
+        self.sig, self.name, self.words, self.items, self.own, self.whole = sig, name, words, [], "", ""
 
 
 def opened(name: str, attributes: str) -> Node:
@@ -108,6 +112,19 @@ def parse(text: str) -> Node:
     return root
 
 
+def digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).hexdigest()
+
+
+def signed(node: Node) -> Node:
+    """Sets the digests of an element's own text and of all text below it; empty without text."""
+    texts = [i for i in node.items if isinstance(i, str)]
+    wholes = [i if isinstance(i, str) else signed(i).whole for i in node.items]
+    node.own = "=" + digest("\n".join(texts)) if texts else ""
+    node.whole = digest("\n".join(w for w in wholes if w)) if any(wholes) else ""
+    return node
+
+
 def is_main(node: Node) -> bool:
     return node.name in MAIN or "main" in node.words
 
@@ -116,18 +133,31 @@ def is_furniture(node: Node, inside: bool) -> bool:
     return node.name in FURNITURE or bool(node.words & CLASSES) or (not inside and (node.name in OUTSIDE or bool(node.words & OUTSIDE)))
 
 
-# A wrapper is nested lists: [signature, optional, repeated, text, characters, furniture, children]. ``text`` is "" for
-# no text, "=" and the text for the same text everywhere, "#" for a slot of any text.
-SIG, OPTIONAL, REPEATED, TEXT, CHARS, ASIDE, PARTS = range(7)
+# A wrapper is nested lists: [signature, optional, repeated, text, characters, furniture, children, pages, same]. ``text``
+# is "" for no text, "=" and the text for the same text everywhere, "#" for a slot of any text. ``same`` has the digests
+# of text that each of the ``pages`` with this element has there.
+SIG, OPTIONAL, REPEATED, TEXT, CHARS, ASIDE, PARTS, PAGES, SAME = range(9)
 
 
 def same_text(a: str, b: str) -> str:
     return a if a == b or not b else b if not a else "#"
 
 
-def fused(a: list, b: list, again: bool = False) -> list:
-    """One expression for two with the same signature: differing texts become a slot."""
-    return [a[SIG], a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED] or again, same_text(a[TEXT], b[TEXT]), a[CHARS] + b[CHARS], a[ASIDE], aligned(a[PARTS], b[PARTS])]
+def fused(a: list, b: list, again: bool = False, one_page: bool = False) -> list:
+    """One expression for two with the same signature: differing texts become a slot.
+
+    Of two pages only common text is constant; elements repeated within a page have the constant text of each.
+    """
+    if not one_page:
+        pages, same = a[PAGES] + b[PAGES], set(a[SAME]).intersection(b[SAME])
+    elif a[PAGES] == b[PAGES]:
+        pages, same = a[PAGES], set(a[SAME]).union(b[SAME])
+    else:
+        pages, same = max((a[PAGES], a[SAME]), (b[PAGES], b[SAME]), key=lambda x: x[0])
+    return [
+        a[SIG], a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED] or again, same_text(a[TEXT], b[TEXT]), a[CHARS] + b[CHARS], a[ASIDE],
+        aligned(a[PARTS], b[PARTS], one_page), pages, same,
+    ]
 
 
 def folded(parts: list) -> list:
@@ -139,15 +169,15 @@ def folded(parts: list) -> list:
             while len(out) >= 2 * width and all(out[-k - width][SIG] == out[-k][SIG] for k in range(1, width + 1)):
                 last = out[-width:]
                 del out[-width:]
-                out[-width:] = [fused(a, b, True) for a, b in zip(out[-width:], last)]
+                out[-width:] = [fused(a, b, True, True) for a, b in zip(out[-width:], last)]
         parts = out
     return parts
 
 
-def aligned(a: list, b: list) -> list:
+def aligned(a: list, b: list, one_page: bool = False) -> list:
     """Aligns two sequences by their longest common subsequence of signatures; what one of them lacks is optional."""
     if [p[SIG] for p in a] == [p[SIG] for p in b]:
-        return [fused(x, y) for x, y in zip(a, b)]
+        return [fused(x, y, False, one_page) for x, y in zip(a, b)]
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
@@ -156,7 +186,7 @@ def aligned(a: list, b: list) -> list:
     out, i, j = [], 0, 0
     while i < n or j < m:
         if i < n and j < m and a[i][SIG] == b[j][SIG]:
-            out.append(fused(a[i], b[j]))
+            out.append(fused(a[i], b[j], False, one_page))
             i, j = i + 1, j + 1
         elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
             out.append([a[i][SIG], True, *a[i][REPEATED:]])
@@ -168,14 +198,14 @@ def aligned(a: list, b: list) -> list:
 
 
 def expression(node: Node, inside: bool = False) -> list:
-    """A page's own expression. Main elements' furniture is marked, so that its text never counts."""
+    """A signed page's own expression. Main elements' furniture is marked, so that its text never counts."""
     inside = inside or is_main(node)
     texts = [i for i in node.items if isinstance(i, str)]
     text = "=" + " ".join(texts) if texts else ""
     if len(text) > 200:
-        text = "#"  # long text is never page furniture
+        text = "#"  # long text counts in search of the region, where a host has one page only; ``same`` has its digest
     parts = folded([expression(i, inside) for i in node.items if isinstance(i, Node)])
-    return [node.sig, False, False, text, sum(map(len, texts)), is_furniture(node, inside), parts]
+    return [node.sig, False, False, text, sum(map(len, texts)), is_furniture(node, inside), parts, 1, {d for d in (node.own, node.whole) if d}]
 
 
 def variable(part: list) -> int:
@@ -195,47 +225,117 @@ def region(wrapper: list) -> list[str]:
         at = inner
 
 
+def dumped(wrapper: list) -> str:
+    return json.dumps(wrapper, default=sorted)
+
+
+def with_sets(wrapper: list) -> list:
+    return [*wrapper[:PARTS], [with_sets(p) for p in wrapper[PARTS]], wrapper[PAGES], frozenset(wrapper[SAME])]
+
+
 def host_of(url: Column) -> Column:
     """Host of a URL in lower case without user and port; empty where there is none."""
     return F.coalesce(F.regexp_extract(F.lower(F.trim(url)), "^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))
 
 
-def blocks(node: Node, inside: bool) -> Iterator[str]:
+def matched(nodes: list[Node], parts: list) -> list:
+    """The part of an expression that each of these elements matches, in order; None where there is none.
+
+    A repeated part may match again, and so may a run of repeated parts. Of all such ways the one with most matches and
+    most constant text in its place is taken.
+    """
+    places: dict[str, list[int]] = {}
+    for j, part in enumerate(parts):
+        places.setdefault(part[SIG], []).append(j)
+    options = [places.get(n.sig, ()) for n in nodes]
+    if all(len(o) < 2 for o in options):
+        return [parts[o[0]] if o else None for o in options]
+    start: list[int] = []  # of the run of repeated parts that ends here
+    for j, part in enumerate(parts):
+        start.append(j + 1 if not part[REPEATED] else start[-1] if j and parts[j - 1][REPEATED] else j)
+    best: dict[int, tuple] = {-1: (0, None)}
+    for k, (node, option) in enumerate(zip(nodes, options)):
+        new = dict(best)
+        for j in option:
+            gain = 2 + (node.whole in parts[j][SAME])
+            for i, (score, way) in best.items():
+                if (i < j or j >= start[i]) and (j not in new or score + gain > new[j][0]):
+                    new[j] = (score + gain, (way, k, j))
+        best = new
+    out: list = [None] * len(nodes)
+    way = max(best.values(), key=lambda b: b[0])[1]
+    while way:
+        way, k, j = way
+        out[k] = parts[j]
+    return out
+
+
+def children(node: Node, part: list | None) -> dict[int, list | None]:
+    """The part of each child element, by its place among the items."""
+    places = [k for k, i in enumerate(node.items) if isinstance(i, Node)]
+    return dict(zip(places, matched([node.items[k] for k in places], part[PARTS] if part else [])))
+
+
+def constant(text: str, part: list | None, least: float) -> bool:
+    """Whether all pages with this part of the expression, and at least so many, have this text there."""
+    return part is not None and part[PAGES] >= least and text in part[SAME]
+
+
+def blocks(node: Node, part: list | None, inside: bool, least: tuple = (float("inf"),) * 2) -> Iterator[str]:
+    """Text in the slots of the expression; constant text and furniture are left out."""
     inside = inside or is_main(node)
-    for item in node.items:
+    below, own = children(node, part), constant(node.own, part, least[inside])
+    for k, item in enumerate(node.items):
         if isinstance(item, str):
-            yield item
-        elif not is_furniture(item, inside):
-            yield from blocks(item, inside)
+            if not own:
+                yield item
+        elif not is_furniture(item, inside) and not constant(item.whole, below[k], least[inside]):
+            yield from blocks(item, below[k], inside, least)
+
 
+def mains(node: Node, part: list | None, least: float) -> Iterator[tuple[Node, list | None]]:
+    """Outermost main elements outside of furniture, with their parts; an article within <main> is the main element.
 
-def mains(node: Node) -> Iterator[Node]:
-    """Outermost main elements outside of furniture; an article within <main> is the main element."""
-    for item in node.items:
-        if isinstance(item, Node) and not is_furniture(item, False):
+    One whose whole text is constant is none.
+    """
+    for k, of in children(node, part).items():
+        item = node.items[k]
+        if not is_furniture(item, False) and not constant(item.whole, of, least):
             if is_main(item):
-                yield from ([*mains(item)] if item.name != "article" else []) or [item]
+                yield from ([*mains(item, of, least)] if item.name != "article" else []) or [(item, of)]
             else:
-                yield from mains(item)
+                yield from mains(item, of, least)
 
 
-def at_region(root: Node, way: list[str]) -> list[Node]:
-    found = [root]
+def at_region(root: Node, wrapper: list | None, way: list[str]) -> list[tuple[Node, list | None]]:
+    found = [(root, wrapper)]
     for sig in way:
-        below = [i for node in found for i in node.items if isinstance(i, Node) and i.sig == sig]
+        below = [(node.items[k], of) for node, part in found for k, of in children(node, part).items() if node.items[k].sig == sig]
         if not below:
             break
         found = below
     return found
 
 
-def main_text(page: str | None, way: list[str]) -> str:
-    """Blocks of the marked main element, or else of the wrapper's region, without furniture."""
+def main_text(page: str | None, wrapper: list | None, way: list[str]) -> str:
+    """Blocks of a page in the text slots of its host's expression, without constant text and furniture.
+
+    The slots are those of the marked main elements that hold variable text, or else of the host's region. Where whole
+    pages are the same, and where two pages are for the most part, they are copies and tell nothing of constant text.
+    """
     if not page:
         return ""
-    root = parse(page)
-    chosen = [*mains(root)]
-    return "\n\n".join(b for node in chosen or at_region(root, way) for b in blocks(node, bool(chosen)))
+    root = signed(parse(page))
+    least = (LEAST_PAGES, LEAST_PAGES_MAIN)
+    if constant(root.whole, wrapper, 1):
+        least = (float("inf"),) * 2
+    marked = [*mains(root, wrapper, least[1])]
+    chosen = marked or at_region(root, wrapper, way)
+    text = "\n\n".join(b for node, part in chosen for b in blocks(node, part, bool(marked), least))
+    if wrapper and wrapper[PAGES] == LEAST_PAGES:
+        every = "\n\n".join(b for node, part in chosen for b in blocks(node, part, bool(marked)))
+        return text if 2 * len(text) >= len(every) else every
+    return text
 
 
 def infer_wrappers(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
@@ -250,7 +350,7 @@ def infer_wrappers(pages: DataFrame, url: str = "url", source: str = "html") ->
         for batch in batches:
             for host, page in zip(*[c.to_pylist() for c in batch.columns]):
                 if page:
-                    own = expression(parse(page))
+                    own = expression(signed(parse(page)))
                     held[host] = fused(held[host], own) if host in held else own
                     if len(held) > HOSTS_HELD:
                         yield handed(held)
@@ -259,13 +359,13 @@ def infer_wrappers(pages: DataFrame, url: str = "url", source: str = "html") ->
             yield handed(held)
 
     def handed(held):
-        return pa.RecordBatch.from_pydict({"host": [*held], "wrapper": [json.dumps(w) for w in held.values()]})
+        return pa.RecordBatch.from_pydict({"host": [*held], "wrapper": [dumped(w) for w in held.values()]})
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         total = None
         for w in sorted(group["wrapper"]):
             total = fused(total, json.loads(w)) if total else json.loads(w)
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [json.dumps(total)]})
+        return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [dumped(total)]})
 
     partial = pages.select(host_of(F.col(url)).alias("host"), source).mapInArrow(fold, "host string, wrapper string")
     salted = partial.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
@@ -277,18 +377,23 @@ def infer_wrappers(pages: DataFrame, url: str = "url", source: str = "html") ->
 def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
     """One row per page: page_id, url, text (blocks joined by two line feeds, empty if none), n_chars (code points).
 
-    Wrappers are inferred first; each page is then cut by its marked main element or its host's region. A null or
-    empty page has an empty text; pages without a host share one wrapper. Repeated rows give repeated rows, other
-    columns are ignored. Regions are broadcast when hosts were counted to be few, and joined with salt otherwise.
+    Wrappers are inferred first; each page is then matched against its host's, whose slots and constant texts decide
+    which blocks stay. A null or empty page has an empty text; pages without a host share one wrapper. Repeated rows give
+    repeated rows, other columns are ignored. Wrappers are broadcast when hosts were counted to be few, and joined with
+    salt otherwise.
     """
-    facts = infer_wrappers(pages, url, source).select("host", "region")
+    facts = infer_wrappers(pages, url, source).select("host", "wrapper", "region")
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(source).alias("html"), host_of(F.col(url)).alias("host"))
 
     def make():
-        def work(ids, urls, sources, regions):
-            texts = [main_text(s, json.loads(r) if r else []) for s, r in zip(sources, regions)]
+        @lru_cache(WRAPPERS_HELD)
+        def loaded(wrapper, region):
+            return (with_sets(json.loads(wrapper)), json.loads(region)) if wrapper else (None, [])
+
+        def work(ids, urls, sources, wrappers, regions):
+            texts = [main_text(s, *loaded(w, r)) for s, w, r in zip(sources, wrappers, regions)]
             return [ids, urls, texts, [len(t) for t in texts]]
 
         return work
 
-    return by_batch(measured_join(rows, facts, "host").select("page_id", "url", "html", "region"), "page_id long, url string, text string, n_chars long", make)
+    return by_batch(measured_join(rows, facts, "host", limit=HOSTS_HELD).select("page_id", "url", "html", "wrapper", "region"), "page_id long, url string, text string, n_chars long", make)
