@@ -104,6 +104,20 @@ def test_constant_text_of_a_host(spark):
         assert got[10 + k] == f"{said[k]}\n\n{said[k]} again\n\nnote {k}"
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body class='no-sidebar'><p>{}</p></body>", "<body class='fixed-header'><p>{}</p></body>", "<main class='site-main has-sidebar'><p>{}</p></main>",
+        "<body class='sidebar'><article class='post comments-open comments'><p>{}</p><div class='comments'>bad</div></article></body>",
+        "<html><head><meta charset='utf-8'><title>T</title><body><p>{}</p></body></html>", "<head><title>T</title><p>{}</p>", "<head><title>T</title>\n{}",
+        "<svg viewBox='0 0 1 1'/><p>{}</p>", "<p>{}</p><math/>", "<iframe src=http://a.example/>x</iframe><p>{}</p>", "<svg hidden/><p>{}</p><svg><text>bad</text></svg>",
+        "<div class='cookie-banner'>bad</div><div id='ad-12'>bad</div><p>{}</p>", "<p>{}</p><script>bad",
+    ],
+)
+def test_no_article_is_lost(page):
+    assert wrappers.main_text(page.format("said &lt; x"), None, []) == "said < x"
+
+
 def test_alignment():
     own = lambda html: wrappers.expression(wrappers.parse(html))
     a, b = own("<body><h1>x</h1><p>one</p><p>two</p><hr><div>same</div></body>"), own("<body><h1>y</h1><h2>s</h2><p>one</p><div>same</div></body>")

@@ -28,14 +28,22 @@ CLASSES = frozenset(
 )
 OUTSIDE = frozenset("header masthead topbar".split())
 MAIN = frozenset("article main".split())
+MAIN_CLASSES = frozenset("main main-content maincontent site-main".split())
+#: Class names never make these furniture.
+NEVER_ASIDE = frozenset("body main article".split())
+#: All that a head holds besides raw elements; anything else opens the body.
+HEAD_ONLY = frozenset("head meta link base basefont bgsound".split())
 CLOSED_BY = {"p": frozenset(("p",)), "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr", "td", "th")), "td": frozenset(("td", "th")), "th": frozenset(("td", "th")), "option": frozenset(("option",))}
 
 ATTRIBUTES = r"""(?:[^"'>]|"[^"]*"|'[^']*')*+"""
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>]){ATTRIBUTES}>(?:.*?</(?P=raw)\s*>|.*\Z)"
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])(?P<marks>{ATTRIBUTES})>"
     rf"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*)(?P<attributes>{ATTRIBUTES})>|<[a-z/!?][^>]*>|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
+RAW_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW.split("|")}
+#: The slash of a self-closed element; one that ends a value without quotes is none.
+CLOSED = re.compile(r"""(?:^|[\s"']|(?:^|\s)[^\s"'=>]+)/\Z""")
 NAMED = re.compile(r"""(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 SPACES = re.compile(r"\s+")
 #: A child that holds at least this share of its parent's variable text is entered in search of the main part.
@@ -61,7 +69,7 @@ class Node:
 def opened(name: str, attributes: str) -> Node:
     named = {k.lower(): (a or b or c).lower() for k, a, b, c in NAMED.findall(attributes)} if attributes else {}
     marks = f"{named.get('class', '')} {named.get('id', '')}".strip()
-    words = frozenset(re.split(r"[^a-z]+", marks)) if marks else frozenset()
+    words = frozenset(w.rstrip("0123456789-_") for w in marks.split())  # whole names but for their numbers
     if named.get("role") == "main" or named.get("itemprop") == "articlebody":
         words |= {"main"}
     sig = name + "".join(f".{w}" for w in sorted(re.sub(r"\d+", "9", marks).split()))
@@ -80,21 +88,27 @@ def parse(text: str) -> Node:
             if block:
                 stack[-1].items.append(block)
 
-    for m in TOKEN.finditer(text):
-        kind = m.lastgroup
+    at = 0
+    while m := TOKEN.match(text, at):
+        at = m.end()
         if m["text"] is not None:
+            if stack[-1].name == "head" and not m["text"].isspace():
+                stack.pop()
             pieces.append(m["text"])
         elif m["name"] is not None:
             name = m["name"].lower()
+            if stack[-1].name == "head" and not m["close"] and name not in HEAD_ONLY:
+                flush()
+                stack.pop()
             if name in INLINE or name == "html":
                 if name == "br":
                     pieces.append(" ")
                 continue
             flush()
             if m["close"]:
-                at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name), 0)
-                if at:
-                    del stack[at:]
+                inner = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name), 0)
+                if inner:
+                    del stack[inner:]
                 continue
             ends = CLOSED_BY.get(name)
             if ends is None and stack[-1].name == "p":
@@ -104,10 +118,13 @@ def parse(text: str) -> Node:
             if name not in VOID:
                 node = opened(name, m["attributes"])
                 stack[-1].items.append(node)
-                if not m["attributes"].endswith("/") and len(stack) < DEEPEST:
+                if not (m["attributes"].endswith("/") and CLOSED.search(m["attributes"])) and len(stack) < DEEPEST:
                     stack.append(node)
-        elif kind == "raw":
+        elif m["raw"] is not None:
             flush()
+            if not (m["marks"].endswith("/") and CLOSED.search(m["marks"])):
+                end = RAW_ENDS[m["raw"].lower()].search(text, at)
+                at = end.end() if end else len(text)
     flush()
     return root
 
@@ -126,11 +143,18 @@ def signed(node: Node) -> Node:
 
 
 def is_main(node: Node) -> bool:
-    return node.name in MAIN or "main" in node.words
+    return node.name in MAIN or bool(node.words & MAIN_CLASSES)
+
+
+def is_aside(word: str) -> bool:
+    """Whether a class or id name is furniture: the whole name, or all words that make it up (cookie-banner)."""
+    return word in CLASSES or (("-" in word or "_" in word) and all(w in CLASSES for w in re.split("[-_]+", word)))
 
 
 def is_furniture(node: Node, inside: bool) -> bool:
-    return node.name in FURNITURE or bool(node.words & CLASSES) or (not inside and (node.name in OUTSIDE or bool(node.words & OUTSIDE)))
+    if node.name in NEVER_ASIDE:
+        return False
+    return node.name in FURNITURE or any(map(is_aside, node.words)) or (not inside and (node.name in OUTSIDE or bool(node.words & OUTSIDE)))
 
 
 # A wrapper is nested lists: [signature, optional, repeated, text, characters, furniture, children, pages, same]. ``text``
