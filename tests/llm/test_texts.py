@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -299,6 +300,30 @@ def test_hidden_markov_base(docs, none):
     assert hmm.score_texts(none).collect() == []
 
 
+def test_every_word_has_counts_of_its_own(spark, monkeypatch):
+    """Scores over many blocks are those of a model with all training words, in one table of words by states."""
+    monkeypatch.setattr(hmm, "BLOCK_TOKENS", 300)
+    rng = np.random.default_rng(3)
+    rows = [(d, " ".join(f"w{x}end" for x in rng.zipf(1.3, 40) % 500)) for d in range(60)] + [(None, None)]
+    got = {r.doc_id: r.score for r in hmm.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    held = {d: zlib.crc32(str("" if d is None else d).encode()) % 7 == 2 for d, _ in rows}
+    tokens = {d: [*(t or "").encode().split(), b""] for d, t in rows}
+    count = Counter(w for d, ws in tokens.items() if not held[d] for w in ws)
+    number = {w: k for k, w in enumerate(count)}
+    emit = np.array([c + 1 for c in count.values()] + [1.0])[:, None] * np.exp(np.vstack([hmm.noise(hmm.hashes_of([*count])), np.zeros(hmm.STATES)]))
+    step = np.full((hmm.STATES, hmm.STATES), (1 - hmm.STAY) / (hmm.STATES - 1))
+    np.fill_diagonal(step, hmm.STAY)
+    m = hmm.Model(np.full(hmm.STATES, 1 / hmm.STATES), step, emit / emit.sum(axis=0))
+    symbols = {d: np.array([number.get(w, len(count)) for w in ws]) for d, ws in tokens.items()}
+    for _ in range(hmm.ROUNDS):
+        sums = [m.expected(table, sizes)[:3] for _, table, sizes in hmm.groups([s for d, s in symbols.items() if not held[d]])]
+        start, steps, emitted = (sum(x) + hmm.SMOOTHING for x in zip(*sums))
+        m = hmm.Model(start / start.sum(), steps / steps.sum(axis=1, keepdims=True), emitted / emitted.sum(axis=0))
+    want = {d: m.log_likelihood(s[:, None], np.array([len(s)]))[0] / math.log(10) for d, s in symbols.items()}
+    assert len(count) > 200 and any(held.values()) and got.keys() == want.keys()
+    assert all(math.isclose(got[d], want[d], rel_tol=1e-5) for d in want)
+
+
 def small_model(states=3, symbols=4, seed=2):
     rng = np.random.default_rng(seed)
     norm = lambda x, axis: x / x.sum(axis=axis, keepdims=True)

@@ -8,19 +8,18 @@ from math import log
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from yieldloom.llm.common import fold_of, pin
-from yieldloom.session import scratch_path
+from yieldloom.llm.jaccard import MIX, mixed
 
 FOLDS, HELD_OUT = 7, 2
 STATES, ROUNDS = 8, 4
-#: The most frequent words are symbols of their own; all others share symbols by their last letters.
-OWN_SYMBOLS, CLASSES, CLASS_LETTERS = 20_000, 512, 3
-END = 0  # symbol of the end of a text; then come the classes, then the words of their own
-SYMBOLS = 1 + CLASSES + OWN_SYMBOLS
+#: Words whose counts are summed in one group.
+GROUP_WORDS = 1 << 19
 #: Tokens of a block: its distinct words are looked up together.
 BLOCK_TOKENS = 1 << 22
 #: Texts processed side by side, and cells (texts by longest length) of such a group.
@@ -30,12 +29,22 @@ BLOCK = pa.schema([("block", pa.int64()), ("docs", pa.list_(pa.int64())), ("held
 WORD = pa.schema([("place", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
 #: A place is a block's number and, in the lowest bits, a word's number in the block's list.
 PLACE_BITS = 24
-CODED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, within double, symbols binary"
+CODED = "block long, docs array<long>, held array<boolean>, sizes array<long>, tokens binary, counts binary, ids binary, hashes binary, shared long"
+COUNTED = "part long, block long, at binary, ids binary, counts binary"
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+#: Parts of the counts that are no sums of shared words: the sums of starts, steps and states' emissions; a block's own words follow.
+SUMS = -1
 
 
-def word_class(word: bytes) -> int:
-    """Symbol of a word that has none of its own; the empty word is the end."""
-    return 1 + zlib.crc32(word[-CLASS_LETTERS:]) % CLASSES if word else END
+def noise(hashes: np.ndarray) -> np.ndarray:
+    """A fixed number for each word and state, of mean 0 and standard deviation NOISE."""
+    shifts = np.array([(SEED * STATES + k + 1) * int(MIX) % (1 << 64) for k in range(STATES)], np.uint64)
+    even = (mixed(hashes[:, None] + shifts) >> np.uint64(11)) / float(1 << 53)
+    return NOISE * 12**0.5 * (even - 0.5)
+
+
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
 
 
 def blocks(docs: DataFrame, text: str) -> DataFrame:
@@ -100,38 +109,50 @@ def trained(row: dict, words: int) -> np.ndarray:
     return np.bincount(token_array(row["tokens"])[train], minlength=words)
 
 
-def coded_texts(packed: DataFrame, vocabulary: dict) -> DataFrame:
-    """One row per document: base score and counts of known tokens, ln P(words | symbols), and the symbols' numbers.
+def packed_array(x: np.ndarray) -> bytes:
+    return zlib.compress(np.ascontiguousarray(x).tobytes(), 1)
+
+
+def unpacked(x: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(x), kind)
+
+
+def first_sums(words: DataFrame) -> tuple[int, int, np.ndarray]:
+    """Tokens and distinct words of the training texts, and the sum over all words of a state's first emissions."""
+    names = [f"s{k}" for k in range(STATES)]
+
+    def run(batches):
+        for batch in batches:
+            n = batch.column("n").to_numpy()
+            first = ((n + 1)[:, None] * np.exp(noise(hashes_of(batch.column("word").to_pylist())))).sum(axis=0)
+            data = [[int(n.sum())], [len(n)], *[[x] for x in first]]
+            yield pa.RecordBatch.from_pydict(dict(zip(["total", "distinct", *names], data)))
+
+    summed = words.filter("n > 0").groupBy("word").agg(F.sum("n").alias("n"))
+    parts = summed.mapInArrow(run, "total long, distinct long, " + ", ".join(f"{x} double" for x in names))
+    row = parts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in parts.columns]).first()
+    return row["total"], row["distinct"], np.array([row[x] for x in names])
 
-    Counts of words that several blocks have come back to each of them; a block knows those of all its other words.
-    So no list of all words is ever in one place.
+
+def coded_blocks(packed: DataFrame) -> DataFrame:
+    """One row per block: its texts with counts in all training texts, numbers and hashes of its words.
+
+    Counts of words that several blocks have come back to each of them, with the smallest place as the word's number; a
+    block knows those of all its other words (number -1). So no list of all words is ever in one place.
     """
     words = block_words(packed)
     every = Window.partitionBy("word")
-    found = words.select("place", F.sum("n").over(every).alias("c"), F.count("*").over(every).alias("blocks")).filter("blocks > 1")
-    answers = found.select(F.shiftright("place", PLACE_BITS).alias("block"), F.expr(f"place & {(1 << PLACE_BITS) - 1}").alias("at"), "c")
-    total, distinct = vocabulary["total"], vocabulary["distinct"]
-    rest = np.array(vocabulary["rest"], float)  # tokens and words of each class without those of their own
-    shared_own = packed.sparkSession.sparkContext.broadcast(vocabulary["own"])
+    found = words.select("place", F.sum("n").over(every).alias("c"), F.min("place").over(every).alias("id"), F.count("*").over(every).alias("blocks"))
+    answers = found.filter("blocks > 1").select(F.shiftright("place", PLACE_BITS).alias("block"), F.expr(f"place & {(1 << PLACE_BITS) - 1}").alias("at"), "c", "id")
 
     def code(blocks_: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        own, out = shared_own.value, []
+        out, at = [], replies["at"].to_numpy()
         for row in blocks_.to_dict("records"):
             names = zlib.decompress(row["words"]).split(b" ")
-            c = trained(row, len(names))
-            c[replies["at"].to_numpy()] = replies["c"].to_numpy()
-            symbol = np.array([own.get(w) or word_class(w) for w in names])
-            base = np.log10((c + 1) / (total + distinct + 1))
-            shared = (symbol > END) & (symbol <= CLASSES)
-            group = np.where(shared, symbol, 0)
-            within = np.where(shared, np.log((c + 1) / (rest[0][group] + rest[1][group] + 1)), 0.0)
-            ids, at = token_array(row["tokens"]), 0
-            for doc, held, size in zip(row["docs"], row["held"], row["sizes"]):
-                t = ids[at : at + size]
-                at += size
-                out.append((doc, held, size, int((c[t] > 0).sum()), base[t].sum(), within[t].sum(), zlib.compress(symbol[t].astype(np.uint16).tobytes(), 1)))
-        frame = pd.DataFrame(out, columns=[f.split(" ")[0] for f in CODED.split(", ")])
-        return frame.astype({"doc_id": "Int64"})
+            c, ids = trained(row, len(names)), np.full(len(names), -1)
+            c[at], ids[at] = replies["c"].to_numpy(), replies["id"].to_numpy()
+            out.append((*[row[x] for x in ("block", "docs", "held", "sizes", "tokens")], packed_array(c), packed_array(ids), packed_array(hashes_of(names)), len(at)))
+        return pd.DataFrame(out, columns=[f.split(" ")[0] for f in CODED.split(", ")])
 
     return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(code, CODED)
 
@@ -200,52 +221,91 @@ def groups(symbols: list[np.ndarray]):
         yield some, table, sizes
 
 
-def first_model(shares: np.ndarray) -> Model:
-    """Words' shares with a fixed noise by state, and states that tend to stay: rounds then tell states apart."""
-    random = np.random.default_rng(SEED)
-    emit = (shares[:, None] + 1e-9) * np.exp(NOISE * random.standard_normal((SYMBOLS, STATES)))
-    step = np.full((STATES, STATES), (1 - STAY) / (STATES - 1))
-    np.fill_diagonal(step, STAY)
-    return Model(np.full(STATES, 1 / STATES), step, emit / emit.sum(axis=0))
+class Round:
+    """What all blocks need of a round: start and step probabilities and, by state, the sum of all words' emissions."""
 
+    def __init__(self, number: int, start: np.ndarray, step: np.ndarray, sums: np.ndarray, distinct: int):
+        self.number, self.start, self.step, self.sums, self.distinct = number, start, step, sums, distinct
 
-def symbol_array(packed: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(packed), np.uint16).astype(np.int64)
+    def model(self, row: dict, replies: pd.DataFrame) -> tuple[Model, np.ndarray]:
+        """The model with emissions of this block's words, and their counts. Unknown words are one."""
+        c = unpacked(row["counts"], np.int64)
+        if not self.number:
+            emit = (c + 1)[:, None] * np.exp(noise(unpacked(row["hashes"], np.uint64)))
+            emit[c == 0] = 1
+            return Model(self.start, self.step, emit / (self.sums + 1)), c
+        counts = np.zeros((len(c), STATES))
+        for at, values in zip(replies["at"], replies["counts"]):
+            counts[unpacked(at, np.uint32)] = unpacked(values, np.float32).reshape(-1, STATES)
+        return Model(self.start, self.step, (counts + SMOOTHING) / (self.sums + SMOOTHING * (self.distinct + 1))), c
 
 
-def baum_welch(coded: DataFrame, model: Model) -> Model:
-    """One round over all training texts. Each task sums its counts; one row per symbol and task is shuffled."""
-    shared = coded.sparkSession.sparkContext.broadcast(model)
-    names = [f"s{k}" for k in range(STATES)]
-    schema = pa.schema([("symbol", pa.int64()), *[(n, pa.float64()) for n in names]])
+def texts_in(row: dict, some: np.ndarray) -> list[np.ndarray]:
+    ends = np.cumsum(row["sizes"])
+    tokens = token_array(row["tokens"]).astype(np.int64)
+    return [tokens[ends[k] - row["sizes"][k] : ends[k]] for k in some]
 
-    def run(batches):
-        own = shared.value
-        start, steps, emitted = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((SYMBOLS, STATES))
-        for batch in batches:
-            for _, table, sizes in groups([symbol_array(s) for s in batch.column(0).to_pylist()]):
-                a, b, c, _ = own.expected(table, sizes)
-                start, steps, emitted = start + a, steps + b, emitted + c
-        met = np.flatnonzero(emitted.sum(axis=1))
-        # Negative numbers: the starts, then a row of steps for each state.
-        number = np.concatenate([met, -1 - np.arange(STATES + 1)])
-        values = np.concatenate([emitted[met], start[None], steps])
-        yield pa.RecordBatch.from_arrays([pa.array(number), *[pa.array(values[:, k]) for k in range(STATES)]], schema=schema)
-
-    fields = ", ".join(f"{n} double" for n in names)
-    counts = coded.filter("not held_out").select("symbols").mapInArrow(run, f"symbol long, {fields}")
-    rows = counts.groupBy("symbol").agg(*[F.sum(n).alias(n) for n in names]).collect()  # at most SYMBOLS + STATES + 1 rows
-    start, steps, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((SYMBOLS, STATES))
-    for r in rows:
-        k, values = r["symbol"], [r[n] for n in names]
-        if k >= 0:
-            emit[k] = values
-        elif k == -1:
-            start[:] = values
-        else:
-            steps[-2 - k] = values
+
+def by_block(coded: DataFrame, replies: DataFrame | None, work, schema: str) -> DataFrame:
+    """Applies ``work`` to each block's row and the counts of its words."""
+    names = [f.split(" ")[0] for f in schema.split(", ")]
+
+    def run(blocks_: pd.DataFrame, answers: pd.DataFrame | None = None) -> pd.DataFrame:
+        frame = pd.DataFrame([out for row in blocks_.to_dict("records") for out in work(row, answers)], columns=names)
+        return frame.astype({"doc_id": "Int64"}) if "doc_id" in names else frame
+
+    if replies is None:
+        return coded.groupBy("block").applyInPandas(lambda rows: run(rows), schema)
+    return coded.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(run, schema)
+
+
+def baum_welch(coded: DataFrame, replies: DataFrame | None, now: Round, parts: int) -> tuple[DataFrame, Round]:
+    """One round over all training texts: counts by word and state for the blocks that have the word, and the next round.
+
+    Each block sends the counts of the words it shares, packed by part; a part's counts are summed by word and go back to
+    each of these blocks. Words of one block only are not summed, but take the same way.
+    """
+    shared = coded.sparkSession.sparkContext.broadcast(now)
+
+    def count(row: dict, answers: pd.DataFrame | None):
+        model, c = shared.value.model(row, answers)
+        start, steps, emitted = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((len(c), STATES))
+        texts = texts_in(row, np.flatnonzero(~np.array(row["held"], bool)))
+        for _, table, sizes in groups(texts):
+            met, local = np.unique(table, return_inverse=True)
+            a, b, e, _ = Model(model.start, model.step, model.emit[met]).expected(local.reshape(table.shape), sizes)
+            start, steps = start + a, steps + b
+            emitted[met] += e
+        sums = np.concatenate([start, steps.ravel(), emitted.sum(axis=0)])
+        yield SUMS, row["block"], b"", b"", sums.tobytes()
+        ids, known = unpacked(row["ids"], np.int64), c > 0
+        part = np.where(ids < 0, parts + row["block"], (mixed(ids.astype(np.uint64)) % np.uint64(parts)).astype(np.int64))
+        at = np.flatnonzero(known)
+        at = at[np.argsort(part[at], kind="stable")]
+        for some in np.split(at, np.flatnonzero(np.diff(part[at])) + 1):
+            if len(some):
+                yield part[some[0]], row["block"], packed_array(some.astype(np.uint32)), packed_array(ids[some]), packed_array(emitted[some].astype(np.float32))
+
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("block")
+        part = group["part"].iloc[0]
+        if part == SUMS:
+            total = np.sum([np.frombuffer(x) for x in group["counts"]], axis=0)
+            return group.head(1).assign(block=SUMS, counts=[total.tobytes()])
+        if part < parts:
+            ids = [unpacked(x, np.int64) for x in group["ids"]]
+            _, word = np.unique(np.concatenate(ids), return_inverse=True)
+            counts = np.concatenate([unpacked(x, np.float32) for x in group["counts"]]).reshape(-1, STATES)
+            sums = np.stack([np.bincount(word, counts[:, k]) for k in range(STATES)], axis=1).astype(np.float32)[word]
+            cuts = np.cumsum([len(x) for x in ids])[:-1]
+            group = group.assign(counts=[packed_array(x) for x in np.split(sums, cuts)])
+        return group.assign(ids=b"")
+
+    summed = pin(by_block(coded, replies, count, COUNTED).groupBy("part").applyInPandas(merge, COUNTED))
+    sums = np.frombuffer(summed.filter(F.col("part") == SUMS).first()["counts"])
+    start, steps, emitted = sums[:STATES], sums[STATES : STATES + STATES**2].reshape(STATES, STATES), sums[-STATES:]
     smooth = lambda x, axis: (x + SMOOTHING) / (x + SMOOTHING).sum(axis=axis, keepdims=True)
-    return Model(smooth(start, 0), smooth(steps, 1), smooth(emit, 0))
+    return summed.filter(F.col("part") != SUMS), Round(now.number + 1, smooth(start, 0), smooth(steps, 1), emitted, now.distinct)
 
 
 def score_texts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -253,49 +313,33 @@ def score_texts(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Tokens are the words in lower case (A-Z) and one end. ``base_score`` is the add-one unigram score. ``score`` is log10
     of the exact probability of the text under a hidden Markov model trained by Baum-Welch on all documents outside the
-    held-out fold (crc32 of doc_id modulo 7 is 2): its states emit symbols, which are the OWN_SYMBOLS most frequent
-    words and classes of the other words by their last letters; within a class a word has its add-one share, and all
-    unknown words are one. A null or empty text is one end. Without training documents all counts are 0 and the model is
-    its first guess. Repeated rows give repeated rows; other columns are ignored; whole texts are read.
+    held-out fold (crc32 of doc_id modulo 7 is 2): its states emit words, every training word with counts of its own by
+    state; all unknown words are one. A null or empty text is one end. Without training documents all counts are 0 and
+    the model is its first guess. Repeated rows give repeated rows; other columns are ignored; whole texts are read.
 
-    Blocks of about four million tokens list their distinct words once; counts are summed by word and sent back to the
-    blocks that share a word, so memory is bounded by a block and the symbols, however many words there are.
+    Blocks of about four million tokens list their distinct words once; each round's counts are summed by word and state
+    and sent back to the blocks that have the word, so memory is bounded by a block, however many words there are.
     """
     packed = pin(blocks(docs, text))
-    # Written as a table: it is read twice, and its compressed columns are far smaller than a checkpoint's rows.
-    path = scratch_path(docs.sparkSession, "words")
-    sort = F.when(F.octet_length("word") == 0, F.lit(END)).otherwise(1 + F.crc32(F.expr(f"substring(word, -{CLASS_LETTERS})")) % CLASSES)
-    summed = block_words(packed).filter("n > 0").groupBy("word").agg(F.sum("n").alias("n"))
-    summed.select("word", "n", sort.cast("long").alias("sort")).write.parquet(path)
-    counts = docs.sparkSession.read.parquet(path)
-    by_class = {r["sort"]: (r["n"], r["words"]) for r in counts.groupBy("sort").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()}
-    top = counts.filter(F.col("sort") > END).orderBy(F.desc("n"), "word").limit(OWN_SYMBOLS).collect()  # the model's size
-    total, distinct = (sum(v[k] for v in by_class.values()) for k in (0, 1))
-    rest = np.zeros((2, CLASSES + 1))
-    for k, (n, types) in by_class.items():
-        rest[:, k] = n, types
-    shares = np.zeros(SYMBOLS)
-    for k, r in enumerate(top):
-        rest[:, r["sort"]] -= r["n"], 1
-        shares[1 + CLASSES + k] = r["n"]
-    shares[: CLASSES + 1] = rest[0]
-    own = {bytes(r["word"]): 1 + CLASSES + k for k, r in enumerate(top)}
-    coded = pin(coded_texts(packed, {"total": total, "distinct": distinct, "rest": rest.tolist(), "own": own}))
-    model = first_model((shares + 1) / (shares + 1).sum())
+    total, distinct, sums = first_sums(block_words(packed))
+    coded = pin(coded_blocks(packed))
+    shared_words = coded.agg(F.coalesce(F.sum("shared"), F.lit(0))).first()[0]
+    parts = max(16, -(-shared_words // GROUP_WORDS))
+    step = np.full((STATES, STATES), (1 - STAY) / (STATES - 1))
+    np.fill_diagonal(step, STAY)  # states that tend to stay, and words' shares with a fixed noise: rounds then tell states apart
+    now, replies = Round(0, np.full(STATES, 1 / STATES), step, sums, distinct), None
     for _ in range(ROUNDS if total else 0):
-        model = baum_welch(coded, model)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-
-    def score(batches):
-        own_model = shared.value
-        for batch in batches:
-            symbols = [symbol_array(s) for s in batch.column("symbols").to_pylist()]
-            result = np.zeros(len(symbols))
-            for some, table, sizes in groups(symbols):
-                result[some] = own_model.log_likelihood(table, sizes)
-            total_score = (result + batch.column("within").to_numpy()) / log(10)
-            columns = [batch.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(symbols), total)), batch.column("base_score"), pa.array(total_score)], schema=out)
-
-    return coded.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        replies, now = baum_welch(coded, replies, now, parts)
+    shared = docs.sparkSession.sparkContext.broadcast(now)
+
+    def score(row: dict, answers: pd.DataFrame | None):
+        model, c = shared.value.model(row, answers)
+        base = np.log10((c + 1) / (total + distinct + 1))
+        texts = texts_in(row, np.arange(len(row["sizes"])))
+        result = np.zeros(len(texts))
+        for some, table, sizes in groups(texts):
+            result[some] = model.log_likelihood(table, sizes)
+        for doc, held, t, like in zip(row["docs"], row["held"], texts, result / log(10)):
+            yield doc, bool(held), len(t), int((c[t] > 0).sum()), total, base[t].sum(), like
+
+    return by_block(coded, replies, score, SCORED)
