@@ -383,6 +383,22 @@ def test_pseudonyms(spark, none, docs):
     assert pseudonyms.pseudonym_report(none).collect() == [] and pseudonyms.pseudonymise(docs).count() == len(ROWS)
 
 
+@pytest.mark.parametrize("value", ["4111 1111 1111 1111", "4111111111111111", "5500 0000 0000 0004", "GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00", "AT61 1904 3002 3457 3201"])
+@pytest.mark.parametrize("around", ["{} 123", "7 {}", "12 {} 345", "{} OK", "{} 123-45-6789", "{}", "no 1234 {} 07", "+1 {}", "{} PAID ON 2024-01-31"])
+def test_valid_values_beside_others(value, around):
+    hidden, kinds = pseudonyms.Pseudonyms().replace(text := around.format(value))
+    assert value not in hidden and {"card", "iban"} & {*kinds}
+    assert pseudonyms.Pseudonyms(undo=True).replace(hidden) == (text, kinds)
+
+
+def test_undo_beside_others():
+    rng = random.Random(9)
+    for _ in range(300):
+        text = " ".join(rng.choice(["4111 1111 1111 1111", "123-45-6789", "10.2.3.4", "GB82WEST12345698765432", "AB12", "2024-01-31", str(rng.randrange(10 ** rng.randrange(1, 7))), "+1 743 555 3824"]) for _ in range(8))
+        hidden, kinds = pseudonyms.Pseudonyms().replace(text)
+        assert pseudonyms.Pseudonyms(undo=True).replace(hidden) == (text, kinds)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.integers(2, 400), st.binary(min_size=1, max_size=8))
 def test_feistel_is_a_derangement(n, key):

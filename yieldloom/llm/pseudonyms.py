@@ -20,16 +20,22 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Only texts with one of these are searched.
 DIGITS = bytes(0x64 if chr(b) in "0123456789" else 0x20 for b in range(256))
 
-FOUND = re.compile(
-    r"(?P<email>(?<![\w.%+-])[\w.%+-]+@(?:[\w-]+\.)+[A-Za-z]{2,}(?![\w-]))"
-    r"|(?P<iban>(?<!\w)[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w))"
-    r"|(?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9]))"
-    r"|(?P<iso>(?<![\w-])[0-9]{4}([-/.])[0-9]{2}\5[0-9]{2}(?![\w-]))"
-    r"|(?P<day>(?<![\w-])[0-9]{2}([-/.])[0-9]{2}\7[0-9]{4}(?![\w-]))"
-    r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
-    r"|(?P<phone>(?<![\w+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}|(?:\([0-9]{3}\)[ ]?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4})(?![\w]))"
-    r"|(?P<card>(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]))"
-)
+PATTERNS = {
+    "email": r"(?<![\w.%+-])[\w.%+-]+@(?:[\w-]+\.)+[A-Za-z]{2,}(?![\w-])",
+    "iban": r"(?<!\w)[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w)",
+    "ip": r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
+    "iso": r"(?<![\w-])[0-9]{4}(?P<iso_sign>[-/.])[0-9]{2}(?P=iso_sign)[0-9]{2}(?![\w-])",
+    "day": r"(?<![\w-])[0-9]{2}(?P<day_sign>[-/.])[0-9]{2}(?P=day_sign)[0-9]{4}(?![\w-])",
+    "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
+    "phone": r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}|(?:\([0-9]{3}\)[ ]?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4})(?![\w])",
+    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+}
+FOUND = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS.items()))
+ONE = {kind: re.compile(pattern) for kind, pattern in PATTERNS.items()}
+#: Kinds in groups of any number: a match may hold a shorter value and its neighbours.
+GROUPED = ("iban", "card", "phone")
+#: Characters on both sides of a value in which new matches could arise.
+AROUND = 200
 
 
 class Feistel:
@@ -197,13 +203,80 @@ class Pseudonyms:
         """The text with all valid values replaced, and the kinds found in order. Everything else stays as it is."""
         if not text or (b"d" not in text.encode("ascii", "replace").translate(DIGITS) and "@" not in text):
             return text, []
-        out, at, kinds = [], 0, []
-        for m in FOUND.finditer(text):
-            if (new := getattr(self, m.lastgroup)(m[0])) is not None:
-                out += [text[at : m.start()], new]
-                at = m.end()
-                kinds.append(m.lastgroup)
-        return "".join([*out, text[at:]]), kinds
+        found = spans(text)
+        # A new value must leave all values where they are, or they could not be found again. Undoing goes backwards, so
+        # that each value meets the same neighbours both times.
+        for k, (kind, start, end) in reversed([*enumerate(found)]) if self.step < 0 else enumerate(found):
+            old = new = text[start:end]
+            head, tail = text[max(0, start - AROUND) : start], text[end : end + AROUND]
+            places = placed(head, old, tail)
+            while True:
+                new = getattr(self, kind)(new)
+                if new == old or placed(head, new, tail) == places:
+                    break
+            text = text[:start] + new + text[end:]
+            if self.step > 0 and len(new) != len(old):
+                found[k + 1 :] = [(x, a + len(new) - len(old), b + len(new) - len(old)) for x, a, b in found[k + 1 :]]
+        return text, [kind for kind, _, _ in found]
+
+
+class Checked(Pseudonyms):
+    """Validation alone: every valid value is its own pseudonym."""
+
+    def _of(self, kind: str, x: int, n: int) -> int:
+        return x
+
+
+CHECKED = Checked()
+
+
+def valid_span(kind: str, text: str, start: int, end: int) -> bool:
+    return getattr(CHECKED, kind)(text[start:end]) is not None
+
+
+def value_at(m: re.Match) -> tuple[str, int, int] | None:
+    """The first valid value that starts where ``m`` does: the whole match of each kind, then shorter ones at group borders."""
+    text, start = m.string, m.start()
+    if valid_span(m.lastgroup, text, start, m.end()):
+        return m.lastgroup, start, m.end()
+    whole = [(kind, one.match(text, start)) for kind, one in ONE.items()]
+    whole = [(kind, w.end()) for kind, w in whole if w]
+    for kind, end in whole:
+        if valid_span(kind, text, start, end):
+            return kind, start, end
+    for kind, end in whole:
+        if kind not in GROUPED or (kind == "phone" and card_within(text, start + 1, end)):
+            continue
+        for cut in range(end - 1, start, -1):
+            if text[cut] in " -." and ONE[kind].fullmatch(text, start, cut) and valid_span(kind, text, start, cut):
+                return kind, start, cut
+    return None
+
+
+def card_within(text: str, start: int, end: int) -> bool:
+    """Whether a valid card number starts in this part of a text."""
+    while (m := ONE["card"].search(text, start)) and m.start() < end:
+        if valid_span("card", text, m.start(), m.end()):
+            return True
+        start = m.start() + 1
+    return False
+
+
+def spans(text: str) -> list[tuple[str, int, int]]:
+    """Kind, start and end of all valid values. After a match without one the search goes on one character further."""
+    out, at = [], 0
+    while m := FOUND.search(text, at):
+        hit = value_at(m)
+        at = hit[2] if hit else m.start() + 1
+        if hit:
+            out.append(hit)
+    return out
+
+
+def placed(head: str, value: str, tail: str) -> list[tuple]:
+    """Where values lie in a text, those after ``value`` counted from its end."""
+    start, end = len(head), len(head) + len(value)
+    return [(kind, *[("before", x) if x <= start else ("after", x - end) for x in (a, b)]) for kind, a, b in spans(head + value + tail)]
 
 
 def pseudonymise(docs: DataFrame, text: str = "text", key: bytes = KEY, undo: bool = False) -> DataFrame:
@@ -211,7 +284,8 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: bytes = KEY, undo: bo
 
     E-mail addresses (local part), IBANs, IPv4 addresses, dates, social security numbers, telephone numbers and payment
     card numbers are validated (check digits, ranges, calendar) and permuted within their format, so equal values have
-    equal pseudonyms in all documents and pseudonyms are valid too. Invalid numbers stay. A null text stays null, an empty
+    equal pseudonyms in all documents and pseudonyms are valid too. Where a match fails, shorter ones and later starts are
+    tried; a pseudonym that would make such a match valid is permuted again (the one case of unequal pseudonyms). Invalid numbers stay. A null text stays null, an empty
     one empty. One narrow pass without any shuffle, over whole texts.
     """
     return docs.withColumn(text, replaced_texts(key, undo)(docs[text]))
