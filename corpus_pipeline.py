@@ -10,6 +10,10 @@ from yieldloom.llm.common import read
 from yieldloom.session import scratch_path
 
 
+#: The stage of near copies compares sets of five words at a similarity of 0.8; the op1 query has its own contract.
+WIDTH, PERCENT = 5, 80
+
+
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` without the rows of these doc_ids; a null id is an id of its own. Ids are broadcast where counted to be few."""
     ids = templates.few(ids.select(F.col("doc_id").alias("gone")).distinct())
@@ -22,13 +26,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each group of near copies, once. Rows without a doc_id all stay."""
-    groups = jaccard.jaccard_groups(docs)
+    """Keeps the document of the smallest doc_id of each group of near copies, once. Rows without a doc_id all stay.
+
+    Of rows that share a doc_id those with different texts stay.
+    """
+    groups = jaccard.jaccard_groups(docs, width=WIDTH, percent=PERCENT)
     kept = without(docs, groups.filter("component_id <> doc_id"))
     again = groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
     if again.isEmpty():
         return kept
-    once = kept.join(again.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    once = kept.join(again.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return without(kept, again).unionByName(once)
 
 

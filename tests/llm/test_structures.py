@@ -178,6 +178,15 @@ def test_stages_on_awkward_rows(spark):
         assert sorted(ids, key=str) == ([5, None] if data is docs else [])
 
 
+def test_near_copies_of_the_stage(spark):
+    """One changed word of 51: 42 of 52 sets of five words are common, but only 44 of 52 of four. Equal ids keep different texts."""
+    words = [f"w{k}" for k in range(51)]
+    texts = {1: " ".join(words), 2: " ".join([*words[:25], "x", *words[26:]])}
+    rows = [*texts.items(), (5, "one text of a kind"), (5, "quite another text here"), (5, "one text of a kind")]
+    got = corpus_pipeline.ngram_jaccard_join(spark, spark.createDataFrame(rows, "doc_id long, text string"), FOLDER).collect()
+    assert Counter(map(tuple, got)) == Counter([(1, texts[1]), *rows[2:4]])
+
+
 def test_registered():
     names = entry.queries()
     assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
