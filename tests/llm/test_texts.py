@@ -162,6 +162,15 @@ def test_templates(spark, none):
     assert templates.decontaminate(none, items).collect() == []
 
 
+def test_items_of_few_literals(spark):
+    """Items of numbers and names, and short ones inside a sentence, are found; other values are not the item's."""
+    items = ["12 + 7 = 19, 19 - 4 = 15, 15 x 2 = 30, 30 : 5 = 6", "Anna Bert Carl Dora Emil Fritz Gustav Hans Ida Jan Karl", "What is the sum of these numbers", "What is 7 plus 9 apples"]
+    texts = [f"quiz {i} end" for i in items] + ["quiz What is 8 plus 3 apples", items[0].replace("15", "16"), "Anna Bert Carl Dora Emma Fritz Gustav Hans Ida Jan Karl", "what is the sum of numbers"]
+    made = [spark.createDataFrame([*enumerate(x)], f"{c} long, text string") for c, x in (("doc_id", texts), ("item_id", items))]
+    got = {(r.doc_id, r.item_id): r.n_changed for r in templates.decontaminate(*made).collect()}
+    assert got == {(0, 0): 0, (1, 1): 0, (2, 2): 0, (3, 3): 0, (4, 3): 2}
+
+
 def test_inconsistent_slots(spark):
     item = "take 3 cups of flour then add 3 spoons of sugar and stir for 3 minutes"
     docs = spark.createDataFrame([(1, item.replace("3", "8")), (2, item.replace("3", "8", 1).replace("3", "9", 1))], "doc_id long, text string")

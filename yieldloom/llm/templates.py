@@ -14,6 +14,8 @@ LEAST_LITERAL = 5
 LEAST_WINDOWS = 3
 #: Signs between words that carry no template token.
 NOISE = r"[^\p{L}\p{M}\p{N}.,:;!?'/\x20\x09-\x0D-]+"
+#: How a document's window meets an item's: by its template, by that of a text's start, or by all its words.
+AS_READ, AS_START, SAME_WORDS = range(3)
 SPACE = r"[\x20\x09-\x0D]+"
 EDGES = ".,:;!?'/-"
 NUMBER = "^[0-9][0-9.,:/-]*$"
@@ -59,33 +61,41 @@ def literal(t: Column) -> Column:
     return ~t.isin(NUM, UNIT, PERSON) & (t != "")
 
 
+def said(words: Column) -> Column:
+    return F.array_join(F.transform(words, lambda w: F.lower(bare(w))), " ")
+
+
 def pair_key(first: Column, second: Column) -> Column:
     return F.xxhash64(F.lower(bare(first)), F.lower(bare(second)))
 
 
 def benchmark_windows(items: DataFrame, text: str = "text") -> DataFrame:
-    """item_id, start, size, windows (of the item), template, words (of the window), and an anchor: the key and offset of
+    """item_id, start, size, windows (strong ones of the item), total (all of them), strong, template, words (of the
 
-    the longest two neighbouring literal words.
+    window), and an anchor: the key and offset of the longest two neighbouring literal words. A window with too few
+    literals for that is not strong: it counts where all its words are the item's, and any two neighbours anchor it.
     """
     worded = items.select("item_id", words_of(F.col(text)).alias("all")).filter(F.size("all") > 0).distinct()
     size = F.least(F.lit(WINDOW), F.size("all"))
     starts = worded.select("item_id", "all", size.alias("size"), F.explode(F.sequence(F.lit(0), F.size("all") - size)).alias("start"))
     made = starts.withColumn("tokens", tokens_from(F.col("all"), F.col("start"), F.col("size")))
     literals = F.size(F.filter("tokens", literal))
-    made = made.filter(literals >= F.when(F.col("size") == WINDOW, LEAST_LITERAL).otherwise(F.floor(F.col("size") / 2) + 1))
+    enough = literals >= F.when(F.col("size") == WINDOW, LEAST_LITERAL).otherwise(F.floor(F.col("size") / 2) + 1)
     first, second = lambda k: F.get("tokens", k), lambda k: F.get("tokens", k + 1)
     sites = F.transform(
         F.filter(F.sequence(F.lit(0), F.greatest(F.col("size") - 2, F.lit(0))), lambda k: literal(first(k)) & literal(F.coalesce(second(k), F.lit("")))),
         lambda k: F.struct((F.length(first(k)) + F.length(second(k))).alias("chars"), (-k).alias("back")),
     )
-    made = made.withColumn("anchor", F.array_max(sites)).filter("anchor is not null").withColumn("offset", -F.col("anchor.back"))
+    word = lambda k: F.length(bare(F.coalesce(F.get("all", F.col("start") + k), F.lit(""))))
+    any_two = F.transform(F.sequence(F.lit(0), F.greatest(F.col("size") - 2, F.lit(0))), lambda k: F.struct((word(k) + word(k + 1)).alias("chars"), (-k).alias("back")))
+    made = made.withColumn("site", F.array_max(sites)).withColumn("strong", enough & F.col("site").isNotNull()).filter("strong or size > 1")
+    made = made.withColumn("anchor", F.when(F.col("strong"), F.col("site")).otherwise(F.array_max(any_two))).withColumn("offset", -F.col("anchor.back"))
     words = F.slice("all", F.col("start") + 1, F.col("size"))
     kept = made.select(
-        "item_id", "start", "size", F.array_join("tokens", " ").alias("template"), "tokens", words.alias("item_words"), "offset",
-        pair_key(F.get("all", F.col("start") + F.col("offset")), F.get("all", F.col("start") + F.col("offset") + 1)).alias("key"),
+        "item_id", "start", "size", "strong", F.array_join("tokens", " ").alias("template"), "tokens", words.alias("item_words"), "offset",
+        pair_key(F.get("all", F.col("start") + F.col("offset")), F.when(F.col("size") > 1, F.get("all", F.col("start") + F.col("offset") + 1))).alias("key"),
     )
-    totals = kept.groupBy("item_id").agg(F.count("*").alias("windows"))
+    totals = kept.groupBy("item_id").agg(F.sum(F.col("strong").cast("long")).alias("windows"), F.count("*").alias("total"))
     return kept.join(totals, "item_id")
 
 
@@ -103,6 +113,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text") -> Data
     document. n_changed counts the slots with another value than the item's, over zero in re-parameterised questions.
     The best alignment of a document and an item is reported.
 
+    Pairs that this doesn't find are looked at again with all windows: those with few literals count where their words are
+    the item's, and an item's first window also where the document's first word is read without its left neighbour.
+
     Null and empty texts match nothing; repeated documents count as one where they have the same doc_id; null ids are
     kept as an id of their own; extra columns are ignored. Items with fewer words than a window match as a whole.
 
@@ -119,22 +132,37 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text") -> Data
     met = met.filter((F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.size("words")))
     met = met.select(
         "doc_id", "at", F.slice("words", F.col("at") + 1, F.col("size")).alias("doc_words"),
-        F.array_join(tokens_from(F.col("words"), F.col("at"), F.col("size")), " ").alias("template"),
+        tokens_from(F.col("words"), F.col("at"), F.col("size")).alias("doc_tokens"),
     ).distinct()
-    facts = windows.select("item_id", "start", "windows", "template", "tokens", "item_words")
-    joined = met.join(few(facts), "template")
+    fresh = F.concat(F.array(token(F.get("doc_words", F.lit(0)), F.lit("."))), F.slice("doc_tokens", 2, WINDOW))
+    probe = lambda sort, text: F.struct(F.lit(sort).alias("sort"), text.alias("template"))
+    probes = F.array(probe(AS_READ, F.array_join("doc_tokens", " ")), probe(AS_START, F.array_join(fresh, " ")), probe(SAME_WORDS, said(F.col("doc_words"))))
+    met = met.select("doc_id", "at", "doc_words", F.inline(probes))
+    facts = windows.select("item_id", "start", "windows", "total", "tokens", "item_words", F.inline(F.filter(F.array(
+        F.when(F.col("strong"), probe(AS_READ, F.col("template"))),
+        F.when(F.col("strong") & (F.col("start") == 0), probe(AS_START, F.col("template"))),
+        F.when(~F.col("strong"), probe(SAME_WORDS, said(F.col("item_words")))),
+    ), lambda p: p.isNotNull())))
+    joined = met.join(few(facts), ["sort", "template"])
     slots = F.filter(
         F.transform(F.arrays_zip("tokens", "item_words", "doc_words"), lambda z: F.struct(
             z["tokens"].alias("kind"), F.lower(bare(z["item_words"])).alias("was"), F.lower(bare(z["doc_words"])).alias("now"))),
         lambda s: s["kind"].isin(NUM, UNIT, PERSON),
     )
-    shifts = joined.groupBy("doc_id", "item_id", (F.col("at") - F.col("start")).alias("shift"), "windows").agg(
-        F.count("*").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set(slots.alias("s")))).alias("slots")
-    )
-    sources = F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["was"]))))
-    changed = F.size(F.filter("slots", lambda s: s["was"] != s["now"]))
-    judged = shifts.filter((sources == F.size("slots")) & (F.col("n_windows") >= F.least(F.lit(LEAST_WINDOWS), F.col("windows"))))
-    best = judged.select("doc_id", "item_id", F.struct("n_windows", "windows", F.size("slots").alias("n_slots"), changed.alias("n_changed"), (-F.col("shift")).alias("order")).alias("best"))
+    first = F.col("sort") == AS_READ
+    gathered = lambda rows: F.array_distinct(F.flatten(F.collect_set(rows)))
+    shifts = joined.groupBy("doc_id", "item_id", (F.col("at") - F.col("start")).alias("shift"), "windows", "total").agg(
+        F.count(F.when(first, 1)).alias("n_read"), gathered(F.when(first, slots)).alias("read_slots"),
+        F.size(F.collect_set("start")).cast("long").alias("n_every"), gathered(slots).alias("every_slots"),
+    )
+
+    def judged(n: str, of: str, slots: str) -> Column:
+        sources = F.size(F.array_distinct(F.transform(slots, lambda s: F.struct(s["kind"], s["was"]))))
+        changed = F.size(F.filter(slots, lambda s: s["was"] != s["now"]))
+        found = F.struct(F.lit(n == "n_read").alias("read"), F.col(n).alias("n_windows"), F.col(of).alias("windows"), F.size(slots).alias("n_slots"), changed.alias("n_changed"), (-F.col("shift")).alias("order"))
+        return F.when((F.col(n) > 0) & (sources == F.size(slots)) & (F.col(n) >= F.least(F.lit(LEAST_WINDOWS), F.col(of))), found)
+
+    best = shifts.withColumn("best", F.coalesce(judged("n_read", "windows", "read_slots"), judged("n_every", "total", "every_slots"))).filter("best is not null")
     best = best.groupBy("doc_id", "item_id").agg(F.max("best").alias("best"))
     return best.select(
         "doc_id", "item_id", "best.n_windows", F.col("best.windows").alias("n_item_windows"),
