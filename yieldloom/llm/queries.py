@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from yieldloom.llm import bpe, guess_cost, hmm, jaccard, language, pseudonyms, quality, roles, sql, templates, wrappers
+from yieldloom.llm import bpe, guess_cost, hmm, jaccard, language, pseudonyms, quality, roles, runs, sql, templates, wrappers
 from yieldloom.llm.common import read
 
 QUERIES = {}
@@ -62,3 +62,9 @@ def op8_bpe(spark, folder):
 @query
 def op10_wrappers(spark, folder):
     return wrappers.extract_main_text(read(spark, folder, "pages"))
+
+
+@query
+def op13_periodic_runs(spark, folder):
+    """``runs.run_report`` states how nulls, empty texts and repeated rows come out."""
+    return runs.run_report(read(spark, folder, "documents"))
