@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from yieldloom.llm import bpe, guess_cost, hmm, jaccard, language, pseudonyms, quality, roles, runs, simhash, sql, templates, wrappers
+from yieldloom.llm import alignment, bpe, guess_cost, hmm, jaccard, language, pseudonyms, quality, roles, runs, simhash, sql, templates, wrappers
 from yieldloom.llm.common import read
 
 QUERIES = {}
@@ -64,6 +64,12 @@ def op10_wrappers(spark, folder):
     return wrappers.extract_main_text(read(spark, folder, "pages"))
 
 
+@query
+def op11_merge_path(spark, folder):
+    """``alignment.align_tokens`` states how nulls, empty texts and repeated rows come out."""
+    return alignment.align_tokens(read(spark, folder, "documents"))
+
+
 @query
 def op12_simhash(spark, folder):
     """``simhash.simhash_groups`` states how nulls, empty texts and repeated rows come out."""
