@@ -75,8 +75,16 @@ def brute(rows, libraries):
                 offsets.append(found)
             cut = sorted(offsets[0].keys() & offsets[1].keys())
             links = [(offsets[0][e], offsets[1][e]) for e in cut]
-            for s, e in zip([0, *cut], cut):
-                groups.append("|".join(",".join(str(f[x]) for x in sorted(f) if s < x <= e) for f in offsets))
+            at, listed = [0, 0], [sorted(f) for f in offsets]
+            for e in cut:
+                sides = []
+                for k, f in enumerate(offsets):
+                    start = at[k]
+                    while listed[k][at[k]] != e:
+                        at[k] += 1
+                    at[k] += 1
+                    sides.append(",".join(str(f[x]) for x in listed[k][start : at[k]]))
+                groups.append("|".join(sides))
         count.update(links)
         walked.append((both, links, groups))
     highest = defaultdict(int)

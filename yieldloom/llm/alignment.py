@@ -20,7 +20,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Ends of both tokenizers that one piece merges.
 PIECE = 1 << 13
 #: Characters of the texts that a task encodes at a time, pieces that it aligns at a time, pairs that it counts at a time.
-CHARACTERS, PIECES_AT_A_TIME, PAIRS_AT_A_TIME = 1 << 19, 256, 1 << 20
+CHARACTERS, PIECES_AT_A_TIME, PAIRS_AT_A_TIME = 1 << 18, 128, 1 << 19
 #: Pairs whose counts are broadcast, most frequent first (17 bytes each); counts of rarer pairs are joined.
 BROADCAST_PAIRS = 1 << 20
 #: Digests of documents without tokens are this.
@@ -61,6 +61,8 @@ class Tokenizers:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.a_sizes, self.b_sizes = (np.fromiter(map(len, t), np.int64, len(t)) for t in (self.a_bytes, self.b_bytes))
+        #: Ids travel in as few bytes as the vocabularies allow.
+        self.dtype = np.dtype(np.uint16 if self.size <= 1 << 16 else np.uint32)
         # An entry for each way a token can be followed: A within a group, A at its end, B within it, B at its end.
         self.entries = [b"%d%c" % (i, end) for end in b",|,;" for i in range(self.size)]
 
@@ -80,7 +82,7 @@ class Tokenizers:
                 continue
             a = self.a.encode_ordinary(" " + text)
             if b"".join(map(self.a_bytes.__getitem__, a)) == raw:
-                found[k] = np.array(a, np.uint32), np.array(b, np.uint32)
+                found[k] = np.array(a, self.dtype), np.array(b, self.dtype)
         return found
 
 
@@ -124,7 +126,7 @@ def common_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def overlaps(pieces: list[tuple], known: Tokenizers):
     """For each piece its ids and the indices of its common ends: every link lies inside one piece."""
     for row in pieces:
-        a, b = np.frombuffer(row[6], np.uint32), np.frombuffer(row[7], np.uint32)
+        a, b = np.frombuffer(row[6], known.dtype), np.frombuffer(row[7], known.dtype)
         yield row, a, b, *common_ends(ends(a, known.a_sizes, row[4]), ends(b, known.b_sizes, row[5]))
 
 
@@ -270,7 +272,7 @@ def aligned_pieces(pieces: DataFrame, shared, a_path: str, b_path: str) -> DataF
     return pieces.mapInArrow(run, PART)
 
 
-def stitched(parts: DataFrame) -> DataFrame:
+def stitched(parts: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """TOTALS: pieces of a document in order; a group that a cut divides is put together from the tail and the next head.
 
     A task reads its pieces sorted and holds one of them, whatever the document's length.
@@ -282,7 +284,7 @@ def stitched(parts: DataFrame) -> DataFrame:
         return (row, doc_id, *sums[:3], sums[2], *sums[3:], groups)
 
     def run(batches):
-        state = None
+        state, dtype = None, tokenizers(a_path, b_path).dtype
         for batch in batches:
             out = []
             for row, doc_id, _, _, n_a, n_b, n_groups, n_best, count_sum, head_a, head_b, closed, tail_a, tail_b in zip(*[c.to_pylist() for c in batch.columns]):
@@ -294,7 +296,7 @@ def stitched(parts: DataFrame) -> DataFrame:
                 open_a, open_b = state[5] + head_a, state[6] + head_b
                 written = b""
                 if head_a or head_b:
-                    written = group_text(np.frombuffer(open_a, np.uint32), np.frombuffer(open_b, np.uint32))
+                    written = group_text(np.frombuffer(open_a, dtype), np.frombuffer(open_b, dtype))
                     open_a = open_b = b""
                 if written + closed:
                     # The separator before a group is written with it, so that none follows the last one.
@@ -341,9 +343,9 @@ def align_tokens(docs: DataFrame, text: str = "text", a_path: str = BYTES_BPE, b
     pairs = aligned_pairs(pieces, a_path, b_path)
     least, table = frequent(pairs, room)
     shared = docs.sparkSession.sparkContext.broadcast(table)
-    whole = stitched(aligned_pieces(pieces.filter("pieces = 1"), shared, a_path, b_path))
+    whole = stitched(aligned_pieces(pieces.filter("pieces = 1"), shared, a_path, b_path), a_path, b_path)
     parts = aligned_pieces(pieces.filter("pieces > 1"), shared, a_path, b_path)
-    totals = whole.unionByName(stitched(parts.repartition("row").sortWithinPartitions("row", "piece")))
+    totals = whole.unionByName(stitched(parts.repartition("row").sortWithinPartitions("row", "piece"), a_path, b_path))
     if not pairs.filter(F.col("n") < F.lit(least)).isEmpty():
         rare = rare_links(pieces, pairs, shared, least, a_path, b_path)
         totals = totals.join(rare, "row", "left")
