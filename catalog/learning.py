@@ -1,4 +1,4 @@
-"""Spark ML queries; values are tested in pytest, the driver sees row counts."""
+"""Model queries. Linear ones have SQL that solves the normal equations; the others are value-tested in pytest."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import functions as F
 
 from catalog.base import SCORED, query, r, scored, table
+from catalog.linear_sql import line, ridge
 from yieldloom.functions.numeric import coordinate_columns
 from yieldloom.operators import importance, metrics, models, ranking
 
@@ -21,11 +22,39 @@ def feature_table(spark, folder):
     return ranking.probability_context(rows, hot_rows=None).join(sizes, "lot")
 
 
+CONTEXT = ["p_mean", "p_std", "p_min", "p_max", "p_q25", "p_q75"]
+FT = f"""{SCORED}, lots AS (SELECT lot, avg(probability) AS p_mean, coalesce(stddev_samp(probability), 0) AS p_std, min(probability) AS p_min, max(probability) AS p_max,
+  quantile_cont(probability, 0.25) AS p_q25, quantile_cont(probability, 0.75) AS p_q75, CAST(count(*) AS DOUBLE) AS lot_size FROM scored GROUP BY lot),
+ft AS (SELECT * FROM scored JOIN lots USING (lot))"""
+#: Every row beside every fold: fold <> g are the training rows of g, fold = g those it predicts.
+GRID = "grid AS (SELECT h.fold AS g, t.* FROM {rows} t CROSS JOIN (SELECT DISTINCT fold FROM {rows}) h)"
+TRAIN = "SELECT * FROM grid WHERE fold <> g"
+
+
+def _held(name: str, features: list[str], keep: str = "*", target: str = "response") -> str:
+    """Held-out rows with actual a and prediction p by the lines of ``name``."""
+    return f"SELECT {keep}, {target} AS a, {line(features)} AS p FROM grid JOIN {name} USING (g) WHERE fold = g"
+
+
+METRICS = f"count(*) AS rows, {r('avg(abs(a - p))', 'mae')}, {r('sqrt(avg((a - p) ** 2))', 'rmse')}, {r('1 - sum((a - p) ** 2) / (var_pop(a) * count(*))', 'r2')}"
+
+
+def _runs(ledgers: dict[str, str]) -> str:
+    """One row per feature set from its held-out rows."""
+    parts = []
+    for name, ledger in ledgers.items():
+        parts.append(f"""SELECT '{name}' AS feature_set, 'ridge' AS model, 'ok' AS status, '' AS error, {r('1 - sum((a - p) ** 2) / (var_pop(a) * count(*))', 'r2')}, {r('sqrt(avg((a - p) ** 2))', 'rmse')},
+  {r('avg(abs(a - p))', 'mae')}, (SELECT {r('min(x)', 'x')} FROM (SELECT 1 - sum((a - p) ** 2) / (var_pop(a) * count(*)) AS x FROM ({ledger}) GROUP BY fold)) AS fold_r2_min,
+  (SELECT {r('max(x)', 'x')} FROM (SELECT 1 - sum((a - p) ** 2) / (var_pop(a) * count(*)) AS x FROM ({ledger}) GROUP BY fold)) AS fold_r2_max FROM ({ledger})""")
+    return " UNION ALL ".join(parts)
+
+
 def _ridge():
     return {"ridge": models.regressors("quick")["ridge"]}
 
 
-@query("oof_ledger")
+@query("oof_ledger", f"""WITH {FT}, {GRID.format(rows='ft')}, {ridge('m', TRAIN, FEATURES)}, h AS ({_held('m', FEATURES, 'wafer, fold')})
+SELECT wafer, fold, 'ridge' AS model, {r('a', 'actual')}, {r('p', 'predicted')} FROM h""")
 def oof_ledger(spark, folder):
     return models.oof_ledger(feature_table(spark, folder), ["wafer"], FEATURES, "response", _ridge())
 
@@ -41,21 +70,34 @@ def classifier_ledger(spark, folder):
     return models.oof_ledger(feature_table(spark, folder), ["wafer"], FEATURES, "actual_bad", logistic, classify=True)
 
 
-@query("benchmark_runs")
+@query("benchmark_runs", f"""WITH {FT}, {GRID.format(rows='ft')}, {ridge('m', TRAIN, FEATURES)}, {ridge('o', TRAIN, FEATURES[:1])}
+{_runs({'context': _held('m', FEATURES, 'fold'), 'own': _held('o', FEATURES[:1], 'fold')})}""")
 def benchmark_runs(spark, folder):
     sets = {"context": FEATURES, "own": ["probability"]}
     out = models.benchmark_runs(feature_table(spark, folder), ["wafer"], sets, "response", _ridge())
     return out.drop("seconds")
 
 
-@query("chronological_benchmark")
+@query("chronological_benchmark", f"""WITH {FT}, c AS (SELECT *, CAST(floor(wafer / 100) AS INTEGER) AS campaign FROM ft), last AS (SELECT DISTINCT campaign FROM c ORDER BY 1 DESC LIMIT 3),
+dev AS (SELECT * FROM c WHERE campaign NOT IN (FROM last)), {GRID.format(rows='dev')}, {ridge('m', TRAIN, FEATURES)}, {ridge('f', 'SELECT 0 AS g, * FROM dev', FEATURES)},
+l AS (SELECT 'development' AS split, 'ridge' AS model, a, p FROM ({_held('m', FEATURES, 'fold')}) UNION ALL
+  SELECT 'holdout', 'ridge', response, {line(FEATURES)} FROM c CROSS JOIN f WHERE campaign IN (FROM last) UNION ALL
+  SELECT 'holdout', 'mean', response, (SELECT avg(response) FROM dev) FROM c WHERE campaign IN (FROM last))
+SELECT split, model, {METRICS} FROM l GROUP BY split, model""")
 def chronological_benchmark(spark, folder):
     rows = feature_table(spark, folder).withColumn("campaign", F.floor(F.col("wafer") / 100).cast("int"))
     ledger = models.chronological_benchmark(rows, ["wafer"], FEATURES, "response", _ridge(), last=3)
     return metrics.regression_metrics(ledger, ["split", "model"])
 
 
-@query("spatial_metrology")
+PLACES = ["coordinate__x", "coordinate__y", "coordinate__radius", "coordinate__radius2"]
+POINTS = """xy AS (SELECT o_orderkey, o_totalprice, o_custkey % 3 AS fold, ln(o_totalprice) AS process, (o_orderkey % 200 - 100) * 1000 / 100000.0 AS coordinate__x, (o_custkey % 200 - 100) * 1000 / 100000.0 AS coordinate__y FROM orders),
+points AS (SELECT *, sqrt(coordinate__x * coordinate__x + coordinate__y * coordinate__y) AS coordinate__radius, coordinate__x * coordinate__x + coordinate__y * coordinate__y AS coordinate__radius2 FROM xy)"""
+SPOTS = {"process": ["process"], "coordinate": PLACES, "process_and_coordinate": ["process", *PLACES]}
+
+
+@query("spatial_metrology", f"""WITH {POINTS}, {GRID.format(rows='points')}, {', '.join(ridge(f'm_{n}', TRAIN, fs, 'o_totalprice') for n, fs in SPOTS.items())},
+runs AS ({_runs({n: _held(f'm_{n}', fs, 'fold', 'o_totalprice') for n, fs in SPOTS.items()})}) SELECT *, 'o_totalprice' AS target FROM runs""")
 def spatial_metrology(spark, folder):
     orders = table(spark, folder, "orders").withColumn("X", (F.col("o_orderkey") % 200 - 100) * 1000).withColumn("Y", (F.col("o_custkey") % 200 - 100) * 1000)
     coords = coordinate_columns(F.col("X"), F.col("Y"))
@@ -72,13 +114,21 @@ def stacking(spark, folder):
     return models.stacking(rows, ["wafer"], FEATURES, "actual_bad", {n: table[n] for n in ("logistic", "random_forest")})
 
 
-@query("lot_severity")
+@query("lot_severity", f"""WITH {FT}, t AS (SELECT 0 AS g, lots.*, severity FROM (SELECT lot, avg(response) AS severity FROM scored WHERE fold <> 0 AND actual_bad = 1 GROUP BY lot) JOIN lots USING (lot)), {ridge('m', 'SELECT * FROM t', CONTEXT, 'severity', '0.1')}
+SELECT DISTINCT lot, {r(f'least(greatest({line(CONTEXT)}, 0.75), 2.1)', 'severity')} FROM ft CROSS JOIN m WHERE fold = 0""")
 def lot_severity(spark, folder):
     rows = ranking.probability_context(scored(spark, folder))
     return models.lot_severity(rows.filter("fold <> 0"), rows.filter("fold = 0"), bad="actual_bad")
 
 
-@query("cleaning_ablation")
+NAIVE = ["probability", "p_mean", "filled", "lot_size", "missing"]
+
+
+@query("cleaning_ablation", f"""WITH {FT}, n AS (SELECT * EXCLUDE (p_std), CASE WHEN lot % 3 <> 0 THEN p_std END AS gap FROM ft), clean_grid AS (SELECT h.fold AS g, t.* FROM ft t CROSS JOIN (SELECT DISTINCT fold FROM ft) h),
+{ridge('m', 'SELECT * FROM clean_grid WHERE fold <> g', FEATURES)}, raw AS (SELECT h.fold AS g, t.* FROM n t CROSS JOIN (SELECT DISTINCT fold FROM n) h), middle AS (SELECT g, median(gap) AS middle FROM raw WHERE fold <> g GROUP BY g),
+grid AS (SELECT raw.*, coalesce(gap, middle) AS filled, CAST(gap IS NULL AS INTEGER)::DOUBLE AS missing FROM raw JOIN middle USING (g)), {ridge('v', TRAIN, NAIVE)},
+l AS (SELECT 'clean' AS variant, response AS a, {line(FEATURES)} AS p FROM clean_grid JOIN m USING (g) WHERE fold = g UNION ALL SELECT 'naive', a, p FROM ({_held('v', NAIVE, 'fold')}))
+SELECT variant, {METRICS} FROM l GROUP BY variant""")
 def cleaning_ablation(spark, folder):
     rows = feature_table(spark, folder)
     naive = rows.withColumn("p_std", F.when(F.col("lot") % 3 == 0, None).otherwise(F.col("p_std")))
@@ -92,7 +142,8 @@ def score_new_traces(spark, folder):
     return models.score_new_traces(rows.filter("fold = 0").drop("lot_size"), model, ["wafer"], FEATURES)
 
 
-@query("feature_importance")
+@query("feature_importance", f"""WITH {FT}, {ridge('m', 'SELECT 0 AS g, * FROM ft', FEATURES)}, s AS (SELECT {', '.join(f'abs(x{i}) AS {f}' for i, f in enumerate(FEATURES))} FROM m_x)
+SELECT feature, {r('v / sum(v) OVER ()', 'importance')}, 'absolute_standardized_coefficient' AS importance_method FROM (UNPIVOT s ON {', '.join(FEATURES)} INTO NAME feature VALUE v)""")
 def feature_importance(spark, folder):
     rows = feature_table(spark, folder)
     model = models.pipeline(FEATURES, "response", LinearRegression(regParam=1.0), scale=True).fit(models.indicator_columns(rows, FEATURES))
@@ -100,7 +151,13 @@ def feature_importance(spark, folder):
     return importance.feature_importance(model.stages[-1], names, spark)
 
 
-@query("nested_tuning")
+@query("nested_tuning", f"""WITH {FT}, t AS (SELECT * REPLACE (lot % 3 AS fold) FROM ft), alphas AS (SELECT unnest([0.1, 1.0, 10.0]::DOUBLE[]) AS alpha), folds AS (SELECT DISTINCT fold FROM t),
+cases AS (SELECT row_number() OVER (ORDER BY k.fold, j.fold, alpha) AS g, k.fold AS k, j.fold AS j, alpha FROM folds k JOIN folds j ON k.fold <> j.fold CROSS JOIN alphas),
+inner_rows AS (SELECT cases.*, t.* FROM cases JOIN t ON fold <> k AND fold <> j), {ridge('i', 'SELECT * FROM inner_rows', FEATURES, penalty='alpha')},
+tried AS (SELECT k, j, alpha, 1 - sum((response - ({line(FEATURES)})) ** 2) / (var_pop(response) * count(*)) AS r2 FROM cases JOIN i USING (g) JOIN t ON fold = j GROUP BY ALL),
+best AS (SELECT k AS g, alpha FROM (SELECT k, alpha, avg(r2) AS r2 FROM tried GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY k ORDER BY r2 DESC, alpha) = 1),
+grid AS (SELECT best.*, t.* FROM best CROSS JOIN t), {ridge('o', TRAIN, FEATURES, penalty='alpha')}
+SELECT wafer, fold, 'regParam=' || alpha AS params, {r('response', 'actual')}, {r(line(FEATURES), 'predicted')} FROM grid JOIN o USING (g) WHERE fold = g""")
 def nested_tuning(spark, folder):
     rows = feature_table(spark, folder).withColumn("fold", (F.col("lot") % 3).cast("int"))
     return models.nested_tuning(rows, ["wafer"], FEATURES, "response", LinearRegression(), models.search_grids("balanced")["ridge"], scale=True)
@@ -116,7 +173,7 @@ def knn(spark, folder):
 
 # --- preprocessing steps ---------------------------------------------------------------
 @query("median_impute", f"""WITH {SCORED}, g AS (SELECT wafer, CASE WHEN lot % 3 <> 0 THEN probability END AS a, response AS b FROM scored)
-SELECT wafer, {r('coalesce(a, (SELECT quantile_disc(a, 0.5) FROM g))', 'a__filled')}, {r('b', 'b__filled')} FROM g""")
+SELECT wafer, {r('coalesce(a, (SELECT median(a) FROM g))', 'a__filled')}, {r('b', 'b__filled')} FROM g""")
 def median_impute(spark, folder):
     rows = scored(spark, folder).select("wafer", F.when(F.col("lot") % 3 != 0, F.col("probability")).alias("a"), F.col("response").alias("b"))
     return models.median_impute(["a", "b"]).fit(rows).transform(rows).select("wafer", "a__filled", "b__filled")

@@ -14,7 +14,6 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import (
     PCA,
-    Imputer,
     StandardScaler,
     UnivariateFeatureSelector,
     VarianceThresholdSelector,
@@ -27,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from yieldloom.functions.numeric import clip
+from yieldloom.operators.imputation import MedianImputer
+from yieldloom.operators.linear import ridge_ledger, ridge_tuning
 from yieldloom.operators.metrics import ranking_scores, regression_metrics
 from yieldloom.operators.sets import chronological_holdout
 from yieldloom.plans import measured
@@ -47,9 +48,9 @@ def indicator_columns(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.withColumns({f"{f}__missing": F.col(f"`{f}`").isNull().cast("double") for f in features})
 
 
-def median_impute(features: Sequence[str]) -> Imputer:
-    """Exact medians (relative error 0)."""
-    return Imputer(strategy="median", relativeError=0.0, inputCols=list(features), outputCols=[f"{f}__filled" for f in features])
+def median_impute(features: Sequence[str]) -> MedianImputer:
+    """Exact medians; an even number of values has the mean of its middle two."""
+    return MedianImputer(inputCols=list(features), outputCols=[f"{f}__filled" for f in features])
 
 
 def observed_features(df: DataFrame, features: Sequence[str]) -> list[str]:
@@ -168,8 +169,30 @@ def _folds(df: DataFrame, fold: str) -> list[int]:
     return sorted(r[0] for r in df.select(fold).distinct().collect())
 
 
+def is_ridge(model: Estimator, options: Mapping, parameters: Sequence[str] = ()) -> bool:
+    """Whether a candidate is plain ridge regression (or becomes one with these parameters set), which needs no fitting to rows."""
+    if not isinstance(model, LinearRegression) or model.isDefined("weightCol") or set(options) - {"scale", "select"}:
+        return False
+    plain = model.getElasticNetParam() == 0.0 and model.getFitIntercept() and model.getStandardization() and model.getLoss() == "squaredError"
+    return plain and set(parameters) <= {"regParam"} and ("regParam" in parameters or model.getRegParam() > 0)
+
+
 def oof_ledger(df: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, candidates: Mapping[str, tuple[Estimator, dict]], *, fold: str = "fold", classify: bool = False) -> DataFrame:
-    """(keys, fold, model, actual, predicted): each row predicted by a model that never saw its fold."""
+    """(keys, fold, model, actual, predicted): each row predicted by a model that never saw its fold.
+
+    Ridge candidates are solved from sums of products of the folds; all others are fitted to each fold's training rows.
+    """
+    linear = {} if classify else {n: c for n, c in candidates.items() if is_ridge(*c)}
+    if linear:
+        slim = pin(df.select(*dict.fromkeys([*keys, *features, target, fold])))
+        parts = []
+        for select in dict.fromkeys(options.get("select") for _, options in linear.values()):
+            same = {n: model.getRegParam() for n, (model, options) in linear.items() if options.get("select") == select}
+            parts.append(ridge_ledger(slim, keys, features, target, same, fold=fold, select=select))
+        rest = {n: c for n, c in candidates.items() if n not in linear}
+        if rest:
+            parts.append(oof_ledger(slim, keys, features, target, rest, fold=fold))
+        return reduce(DataFrame.unionByName, parts)
     ready = indicator_columns(df.withColumns({f: F.col(f"`{f}`").cast("double") for f in features}), features)
     # Every fold trains from the pinned table instead of recomputing the features.
     ready = pin(ready.withColumn(target, F.col(target).cast("double")))
@@ -213,6 +236,9 @@ def nested_tuning(df: DataFrame, keys: Sequence[str], features: Sequence[str], t
     The other outer folds serve as grouped inner folds; the parameters of the best mean r2 (the first wins ties) are
     refitted on all of them and predict the outer fold, whose rows no part of the search has seen.
     """
+    if is_ridge(model, options, list(grid)) and all(v > 0 for v in grid["regParam"]):
+        slim = pin(df.select(*dict.fromkeys([*keys, *features, target, fold])))
+        return ridge_tuning(slim, keys, features, target, list(grid["regParam"]), fold=fold, select=options.get("select"))
     ready = pin(indicator_columns(df.withColumns({f: F.col(f"`{f}`").cast("double") for f in features}).withColumn(target, F.col(target).cast("double")), features))
     usable, parts = _usable_features(ready, features, fold), []
     for k in sorted(usable):
@@ -242,7 +268,7 @@ def benchmark_runs(df: DataFrame, keys: Sequence[str], feature_sets: Mapping[str
             start = time.monotonic()
             base = {"feature_set": set_name, "model": name, "status": "ok", "error": "", "r2": None, "rmse": None, "mae": None, "fold_r2_min": None, "fold_r2_max": None}
             try:
-                ledger = oof_ledger(df, keys, features, target, {name: candidate}, fold=fold)
+                ledger = pin(oof_ledger(df, keys, features, target, {name: candidate}, fold=fold))  # read twice below
                 pooled = regression_metrics(ledger).first()
                 spread = regression_metrics(ledger, ["fold"]).agg(F.min("r2").alias("lo"), F.max("r2").alias("hi")).first()
                 base.update(r2=pooled["r2"], rmse=pooled["rmse"], mae=pooled["mae"], fold_r2_min=spread["lo"], fold_r2_max=spread["hi"])
