@@ -7,10 +7,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import functions as F
 
-from catalog.base import SCORED, query, r, scored, table
+from catalog.base import SCORED, TRACE, query, r, scored, table, trace
 from catalog.linear_sql import line, ridge
 from yieldloom.functions.numeric import coordinate_columns
-from yieldloom.operators import importance, metrics, models, ranking
+from yieldloom.operators import bundles, importance, metrics, models, ranking
+from yieldloom.session import scratch_path
 
 FEATURES = ["probability", "p_mean", "p_std", "lot_size"]
 
@@ -135,11 +136,68 @@ def cleaning_ablation(spark, folder):
     return models.cleaning_ablation({"clean": rows, "naive": naive}, ["wafer"], {"clean": FEATURES, "naive": FEATURES}, "response", _ridge()["ridge"])
 
 
-@query("score_new_traces")
+SIGNALS = ["VALUE__mean", "VALUE__std", "sample_count", "HOUR__mean"]
+CONTRACT = bundles.TraceContract(columns=("WAFER_ID", "STAGE", "TIMESTAMP", "VALUE", "HOUR"))
+
+
+def stage_traces(spark, folder, new: bool):
+    """Events as traces: a fifth of the users is the new batch, which lacks the HOUR signal; stages by event."""
+    rows = trace(spark, folder).filter((F.col("user_id") % 5 == 0) if new else (F.col("user_id") % 5 != 0))
+    stage = F.when(F.col("event_id") % 2 == 0, " a ").otherwise("B")
+    hour = F.lit(None).cast("double") if new else F.floor(F.col("us") / 3_600_000_000) % 24
+    return rows.select(
+        F.col("user_id").alias("WAFER_ID"), stage.alias("STAGE"), (F.col("us") / 1e6).alias("TIMESTAMP"), F.col("value").alias("VALUE"),
+        hour.cast("double").alias("HOUR"), F.col("event_id").alias("_source_index"),
+    )
+
+
+def published(spark, folder):
+    """A bundle learned from the older users: three ridge penalties compete, the response is the highest value plus the count."""
+    clean = bundles.validate_traces(stage_traces(spark, folder, False), CONTRACT)
+    facts = bundles.Facts("", "highest", tuple(SIGNALS), "signals", CONTRACT)
+    response = clean.groupBy("WAFER_ID", "STAGE").agg((4 * F.avg("VALUE") + F.count(F.lit(1)) + F.max("VALUE") / 10).alias("highest"))
+    rows = bundles.batch_features(clean, facts).join(response, ["WAFER_ID", "STAGE"]).withColumn("fold", (F.col("WAFER_ID") % 5).cast("int"))
+    penalties = {f"ridge_{a}": (LinearRegression(regParam=a), {"scale": True}) for a in (0.1, 1.0, 10.0)}
+    root = scratch_path(spark, "bundle")
+    bundles.publish_champion(rows, ["WAFER_ID", "STAGE"], SIGNALS, "highest", penalties, root, recipe="signals", contract=CONTRACT)
+    return rows, bundles.load_bundle(spark, root, minimum_r2=0.5)
+
+
+_ALPHAS = {"ridge_0.1": 0.1, "ridge_1.0": 1.0, "ridge_10.0": 10.0}
+_SHORT = ["v_mean", "v_std", "n", "h_mean"]
+CHAMPION = f"""{TRACE}, raw AS (SELECT user_id AS wafer, CASE WHEN event_id % 2 = 0 THEN 'A' ELSE 'B' END AS stage, value, (us // 3600000000) % 24 AS hour FROM trace),
+old AS (SELECT wafer, stage, avg(value) AS v_mean, stddev_samp(value) AS v_std, CAST(count(*) AS DOUBLE) AS n, avg(hour) AS h_mean, 4 * avg(value) + count(*) + max(value) / 10 AS response, wafer % 5 AS fold
+  FROM raw WHERE wafer % 5 <> 0 GROUP BY wafer, stage),
+alphas AS (SELECT * FROM (VALUES {', '.join(f"('{n}', {a}::DOUBLE)" for n, a in _ALPHAS.items())}) AS t(model, alpha)),
+cases AS (SELECT row_number() OVER (ORDER BY model, held) AS g, * FROM alphas CROSS JOIN (SELECT DISTINCT fold AS held FROM old)),
+tuned AS (SELECT cases.*, old.* FROM cases CROSS JOIN old), {ridge('t', 'SELECT * FROM tuned WHERE fold <> held', _SHORT, penalty='alpha')},
+won AS (SELECT model, any_value(alpha) AS alpha, 1 - sum((response - ({line(_SHORT)})) ** 2) / (var_pop(response) * count(*)) AS r2 FROM tuned JOIN t USING (g) WHERE fold = held GROUP BY model ORDER BY r2 DESC, model LIMIT 1),
+{ridge('f', 'SELECT 0 AS g, * FROM old CROSS JOIN won', _SHORT, penalty='alpha')}"""
+
+
+@query("champion_refit", f"""WITH {CHAMPION} SELECT wafer AS WAFER_ID, stage AS STAGE, model, {r('r2', 'model_r2')}, {r(line(_SHORT), 'predicted')} FROM old CROSS JOIN f CROSS JOIN won""")
+def champion_refit(spark, folder):
+    rows, bundle = published(spark, folder)
+    out = bundle.model.transform(bundles.prepared(rows, bundle.facts.features, ["WAFER_ID", "STAGE"]))
+    return out.select(F.col("WAFER_ID").cast("long"), "STAGE", F.lit(bundle.facts.name).alias("model"), F.lit(bundle.facts.metrics["r2"]).alias("model_r2"), F.col("prediction").alias("predicted"))
+
+
+_NEW = f"""new AS (SELECT wafer, stage, avg(value) AS v_mean, coalesce(stddev_samp(value), (SELECT median(v_std) FROM old)) AS v_std, CAST(count(*) AS DOUBLE) AS n, (SELECT median(h_mean) FROM old) AS h_mean FROM raw WHERE wafer % 5 = 0 GROUP BY wafer, stage)"""
+
+
+@query("score_new_traces", f"""WITH {CHAMPION}, {_NEW} SELECT wafer AS WAFER_ID, stage AS STAGE, {r(line(_SHORT), 'predicted')}, {r('r2', 'model_r2')} FROM new CROSS JOIN f CROSS JOIN won""")
 def score_new_traces(spark, folder):
-    rows = feature_table(spark, folder)
-    model = models.pipeline(FEATURES, "response", LinearRegression(regParam=1.0), scale=True).fit(models.indicator_columns(rows.filter("fold <> 0"), FEATURES))
-    return models.score_new_traces(rows.filter("fold = 0").drop("lot_size"), model, ["wafer"], FEATURES)
+    _, bundle = published(spark, folder)
+    out = bundles.score_new_traces(stage_traces(spark, folder, True), bundle)
+    return out.predictions.withColumn("WAFER_ID", F.col("WAFER_ID").cast("long"))
+
+
+@query("score_report", f"""WITH {TRACE}, raw AS (SELECT user_id AS wafer, CASE WHEN event_id % 2 = 0 THEN 'A' ELSE 'B' END AS stage FROM trace WHERE user_id % 5 = 0)
+SELECT count(*) AS trace_rows, array_to_string(list_sort(list(DISTINCT stage)), ',') AS stages, count(DISTINCT (wafer, stage)) AS samples, 'HOUR__mean' AS absent_features, false AS target_in_input FROM raw""")
+def score_report(spark, folder):
+    _, bundle = published(spark, folder)
+    report = bundles.score_new_traces(stage_traces(spark, folder, True), bundle).report
+    return report.withColumns({c: F.array_join(c, ",") for c in ("stages", "absent_features")})
 
 
 @query("feature_importance", f"""WITH {FT}, {ridge('m', 'SELECT 0 AS g, * FROM ft', FEATURES)}, s AS (SELECT {', '.join(f'abs(x{i}) AS {f}' for i, f in enumerate(FEATURES))} FROM m_x)

@@ -36,9 +36,10 @@ class FoldSums:
     """
 
     def __init__(self, df: DataFrame, features: Sequence[str], target: str, fold: str):
-        self.df, self.features, self.target, self.fold = df, list(features), target, fold
+        self.df = df.filter(present(target).isNotNull())  # other rows teach nothing
+        self.features, self.target, self.fold = list(features), target, fold
         columns = [*self.features, target]
-        means = df.agg(*[F.avg(present(c)).alias(f"_{i}") for i, c in enumerate(columns)]).first()
+        means = self.df.agg(*[F.avg(present(c)).alias(f"_{i}") for i, c in enumerate(columns)]).first()
         self.shift = np.array([means[f"_{i}"] or 0.0 for i in range(len(columns))])
         self.sums = self._collect()
         self.total = sum(self.sums.values())
@@ -64,7 +65,7 @@ class FoldSums:
                 n = len(upper[0])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k, np.int64)), pa.array(upper[0].astype(np.int32)), pa.array(upper[1].astype(np.int32)), pa.array(matrix[upper])], schema=schema)
 
-        known = self.df.filter(present(self.target).isNotNull()).select(F.col(self.fold).cast("long"), *[present(c).alias(f"_{i}") for i, c in enumerate([*self.features, self.target])])
+        known = self.df.select(F.col(self.fold).cast("long"), *[present(c).alias(f"_{i}") for i, c in enumerate([*self.features, self.target])])
         parts = known.mapInArrow(products, "fold long, i int, j int, value double").groupBy("fold", "i", "j").agg(F.sum("value").alias("value"))
         out: dict[int, np.ndarray] = {}
         for fold, i, j, value in parts.collect():  # one number per fold and pair of columns, however many rows
@@ -85,8 +86,7 @@ class FoldSums:
         if not gaps or not left_out:
             return
         sets = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.array(*[F.lit(k) for k in s]).cast("array<long>").alias("folds")) for n, s in enumerate(left_out)]))
-        known = self.df.filter(present(self.target).isNotNull())
-        rows = long_values(known.withColumn("_fold", F.col(self.fold).cast("long")), [self.features[i] for i in gaps], ["_fold"])
+        rows = long_values(self.df.withColumn("_fold", F.col(self.fold).cast("long")), [self.features[i] for i in gaps], ["_fold"])
         rows = rows.select("*", sets.alias("_set")).filter(~F.array_contains("_set.folds", F.col("_fold")))
         found = group_stats(rows.select(F.col("_set.n").alias("set"), "feature", "value"), ["set", "feature"], "value", [], {"median": 0.5})
         for row in found.collect():  # one number per set and feature

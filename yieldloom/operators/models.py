@@ -393,14 +393,6 @@ def lot_severity(train: DataFrame, validation: DataFrame, *, lot: str = "lot", r
     return model.transform(lots(validation)).select(lot, clip(F.col("prediction"), 0.75, 2.1).alias("severity"))
 
 
-def score_new_traces(features: DataFrame, model, keys: Sequence[str], stored: Sequence[str]) -> DataFrame:
-    """Aligns new features to the stored schema and predicts with a fitted pipeline."""
-    from yieldloom.operators.sets import align_feature_schema
-
-    aligned = align_feature_schema(features, stored, keys)
-    return model.transform(indicator_columns(aligned, stored)).select(*keys, F.col("prediction").alias("predicted"))
-
-
 def cleaning_ablation(variants: Mapping[str, DataFrame], keys: Sequence[str], features: Mapping[str, Sequence[str]], target: str, candidate: tuple[Estimator, dict], fold: str = "fold") -> DataFrame:
     """The same folds and model over differently cleaned feature tables."""
     parts = []
