@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from catalog.base import SCORED, TRACE, query, r, scored, table, trace
 from catalog.linear_sql import line, ridge
 from yieldloom.functions.numeric import coordinate_columns
-from yieldloom.operators import bundles, importance, metrics, models, ranking
+from yieldloom.operators import bundles, importance, metrics, models, ranking, trees
 from yieldloom.session import scratch_path
 
 FEATURES = ["probability", "p_mean", "p_std", "lot_size"]
@@ -65,6 +66,31 @@ def oof_ledger_forest(spark, folder):
     return models.oof_ledger(feature_table(spark, folder), ["wafer"], FEATURES, "response", {"random_forest": (RandomForestRegressor(numTrees=10, maxDepth=4, seed=42), {})})
 
 
+BOOSTED = ["gappy", "lot_size", "p_std"]
+
+
+@query("hist_boosting", f"""WITH {FT}, c AS (SELECT *, CASE WHEN wafer % 7 <> 0 THEN probability END AS gappy, response - avg(response) OVER () AS g, avg(response) OVER () AS base FROM ft),
+f AS ({' UNION ALL '.join(f"SELECT wafer, {i} AS feature, {n} AS x, g, base FROM c" for i, n in enumerate(BOOSTED))}),
+edges AS (SELECT DISTINCT feature, unnest(list_append(quantile_cont(x, [{', '.join(f'{k}/16.0' for k in range(1, 16))}]), 'infinity'::DOUBLE)) AS edge FROM f WHERE x IS NOT NULL GROUP BY feature),
+tried AS (SELECT feature, edge, m, count(*) AS n, sum(g) AS t, count(*) FILTER (coalesce(x <= edge, m)) AS ln, sum(g) FILTER (coalesce(x <= edge, m)) AS lt, count(*) FILTER (x IS NULL) AS gaps
+  FROM edges JOIN f USING (feature) CROSS JOIN (VALUES (false), (true)) AS s(m) GROUP BY ALL),
+best AS (SELECT * FROM tried WHERE ln >= 10 AND n - ln >= 10 AND (gaps > 0 OR NOT m) ORDER BY round(lt ** 2 / ln + (t - lt) ** 2 / (n - ln) - t ** 2 / n, 3) DESC, feature, edge, m LIMIT 1)
+SELECT f.wafer, {r('base + CASE WHEN coalesce(x <= edge, m) THEN lt / ln ELSE (t - lt) / (n - ln) END', 'predicted')} FROM f JOIN best USING (feature)""")
+def hist_boosting(spark, folder):
+    """The first tree's cut and leaves; a seventh of one feature is missing."""
+    rows = feature_table(spark, folder).withColumn("gappy", F.when(F.col("wafer") % 7 != 0, F.col("probability")))
+    rows = VectorAssembler(inputCols=BOOSTED, outputCol="features", handleInvalid="keep").transform(rows)
+    model = trees.HistBoostingRegressor(trees=1, maxDepth=1, bins=16, rate=1.0, minLeaf=10).setLabelCol("response").fit(rows)
+    return model.transform(rows).select("wafer", F.col("prediction").alias("predicted"))
+
+
+@query("extra_trees")
+def extra_trees(spark, folder):
+    """Held-out predictions of a small forest of extremely randomised trees."""
+    rows = feature_table(spark, folder).withColumn("fold", (F.col("fold") % 2).cast("int"))
+    return models.oof_ledger(rows, ["wafer"], FEATURES, "response", {"extra_trees": (trees.ExtraTreesRegressor(trees=8, maxDepth=4), {})})
+
+
 @query("classifier_ledger")
 def classifier_ledger(spark, folder):
     logistic = {"logistic": models.classifiers("quick")["logistic"]}

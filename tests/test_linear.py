@@ -30,7 +30,7 @@ def fitted(rows, k, model, **options):
     return {r.row: r.prediction for r in out.select("row", "prediction").collect()}
 
 
-@pytest.mark.parametrize(("penalty", "select"), [(0.01, None), (3.0, None), (0.5, 2)])
+@pytest.mark.parametrize(("penalty", "select"), [(0.01, None), (0.5, 2)])
 def test_ledger_equals_fitted_pipelines(rows, penalty, select):
     got = {r.row: r.predicted for r in linear.ridge_ledger(rows, ["row"], NAMES, "y", {"m": penalty}, select=select).collect()}
     want = {}
@@ -65,14 +65,15 @@ def test_partitions_and_odd_rows(spark, rows):
 
 def test_tuning_scores_from_sums(rows):
     """The chosen penalty is that of the best mean r2 of models fitted to rows."""
-    grid = [0.1, 20.0, 500.0]
+    grid = [0.1, 500.0]
+    rows = rows.withColumn("fold", F.least("fold", F.lit(2)))
     got = {r.fold: r.params for r in linear.ridge_tuning(rows, ["row"], NAMES, "y", grid).select("fold", "params").distinct().collect()}
     actual = {r.row: (r.fold, r.y) for r in rows.collect()}
-    for k in range(4):
+    for k in range(3):
         scores = []
         for penalty in grid:
             inner = []
-            for j in set(range(4)) - {k}:
+            for j in set(range(3)) - {k}:
                 p = fitted(rows.filter(F.col("fold") != k), j, LinearRegression(regParam=penalty), scale=True)
                 y = np.array([actual[i][1] for i in p])
                 inner.append(1 - sum((y - list(p.values())) ** 2) / sum((y - y.mean()) ** 2))

@@ -6,12 +6,18 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import keyword_only
+from pyspark.ml import Estimator, Model
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from yieldloom.operators.metrics import confusion_rates
 from yieldloom.operators.folds import seeded_md5, seeded_number
 from yieldloom.plans import measured, row_index
+from yieldloom.session import pin
 
 BLOCK = 20_000
 TILE = 256
@@ -170,3 +176,37 @@ def bootstrap_ci(before: DataFrame, after: DataFrame, group: str = "lot", *, dra
     return long.groupBy("metric").agg(F.count(F.lit(1)).alias("draws"), q.alias("_q")).select("metric", "draws", F.col("_q")[0].alias("ci_low"), F.col("_q")[1].alias("ci_high"))
 
 
+class NeighbourModel(Model, HasFeaturesCol, HasPredictionCol):
+    """Predicts with ``knn`` from the kept training vectors."""
+
+    def __init__(self, train: DataFrame, k: int):
+        super().__init__()
+        self.train, self.k = train, k
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        rows = pin(dataset.withColumn("_row", F.monotonically_increasing_id()))  # numbers must not change between the two uses
+        found = knn(self.train, rows.select(F.col("_row").alias("row"), vector_to_array(F.col(self.getFeaturesCol())).alias("vector")), k=self.k)
+        return rows.join(found.select(F.col("row").alias("_row"), F.col("predicted").alias(self.getPredictionCol())), "_row", "left").drop("_row")
+
+
+class NeighbourRegressor(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol):
+    """Distance-weighted mean of the k nearest training rows, as a pipeline's last stage."""
+
+    k = Param(Params._dummy(), "k", "neighbours", typeConverter=TypeConverters.toInt)
+
+    @keyword_only
+    def __init__(self, *, k: int = 5):
+        super().__init__()
+        self._setDefault(k=5)
+        self._set(**self._input_kwargs)
+
+    def setFeaturesCol(self, value: str):
+        return self._set(featuresCol=value)
+
+    def setLabelCol(self, value: str):
+        return self._set(labelCol=value)
+
+    def _fit(self, dataset: DataFrame) -> NeighbourModel:
+        label = F.col(self.getLabelCol()).cast("double")
+        train = dataset.select(F.monotonically_increasing_id().alias("row"), vector_to_array(F.col(self.getFeaturesCol())).alias("vector"), label.alias("target"))
+        return self._copyValues(NeighbourModel(pin(train.filter("target is not null")), self.getOrDefault(self.k)))

@@ -12,7 +12,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from yieldloom.plans import group_stats
+from yieldloom.plans import find_hot, group_stats
 
 
 def present(column: str) -> Column:
@@ -33,7 +33,12 @@ def column_medians(df: DataFrame, columns: Sequence[str], hot_rows: int | None =
     Values are counted before they meet and a long column is cut into brackets, so no task and not the driver holds a column:
     one row per column is collected.
     """
-    found = group_stats(long_values(df, columns), ["feature"], "value", [], {"median": 0.5}, hot_rows=hot_rows)
+    cells = long_values(df, columns)
+    if find_hot(cells, ["feature"], hot_rows):
+        found = group_stats(cells, ["feature"], "value", [], {"median": 0.5}, hot_rows=hot_rows)
+    else:
+        counted = cells.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("_n"))
+        found = counted.groupBy("feature").agg(F.percentile("value", F.lit(0.5), F.col("_n")).alias("median"))
     by_place = {row["feature"]: row["median"] for row in found.collect()}
     return [by_place.get(i) for i in range(len(columns))]
 

@@ -27,9 +27,11 @@ from pyspark.sql import functions as F
 
 from yieldloom.functions.numeric import clip
 from yieldloom.operators.imputation import MedianImputer
+from yieldloom.operators.importance import NeighbourRegressor
 from yieldloom.operators.linear import ridge_ledger, ridge_tuning
 from yieldloom.operators.metrics import ranking_scores, regression_metrics
 from yieldloom.operators.sets import chronological_holdout
+from yieldloom.operators.trees import ExtraTreesRegressor, HistBoostingRegressor
 from yieldloom.plans import measured
 from yieldloom.session import pin
 
@@ -104,16 +106,25 @@ def pipeline(features: Sequence[str], label: str, model: Estimator, **options) -
 
 
 def regressors(profile: str = "balanced", seed: int = 42) -> dict[str, tuple[Estimator, dict]]:
-    """Named regressors with preprocessing options; Spark forests and boosting stand in for native tree libraries."""
+    """Named regressors with preprocessing options.
+
+    ``hist_boosting`` keeps the best leaves first, ``level_boosting`` and ``leaf_boosting`` draw four fifths of rows and
+    features for each tree with a small rate, the first without a limit of leaves and with a penalty.
+    """
     grid = SEARCH_PROFILES[profile]
     trees, depth = grid["trees"][0], grid["depth"][0]
-    linear = {"scale": True}
+    linear, drawn = {"scale": True}, {"rate": 0.05, "rowShare": 0.8, "columnShare": 0.8, "maxDepth": 6, "seed": seed}
     return {
         "ridge": (LinearRegression(regParam=grid["alpha"][0], elasticNetParam=0.0), linear),
         "lasso": (LinearRegression(regParam=0.01, elasticNetParam=1.0), linear),
         "elastic_net": (LinearRegression(regParam=0.01, elasticNetParam=0.5), linear),
         "random_forest": (RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed), {}),
         "gradient_boosting": (GBTRegressor(maxIter=max(trees // 3, 5), maxDepth=3, seed=seed), {}),
+        "knn": (NeighbourRegressor(k=5), linear),
+        "extra_trees": (ExtraTreesRegressor(trees=trees, maxDepth=depth, minLeaf=2, seed=seed), {}),
+        "hist_boosting": (HistBoostingRegressor(trees=trees, maxDepth=min(depth, 8), minLeaf=10, seed=seed), {}),
+        "level_boosting": (HistBoostingRegressor(trees=trees, minLeaf=1, maxLeaves=0, penalty=1.0, **drawn), {}),
+        "leaf_boosting": (HistBoostingRegressor(trees=trees, minLeaf=20, maxLeaves=31, **drawn), {}),
     }
 
 
@@ -132,6 +143,7 @@ def classifiers(profile: str = "balanced", seed: int = 42, weight: str | None =
 
 # Candidate names of each study, all drawn from the two tables above.
 CANDIDATE_SETS = {
+    "equipment": ("ridge", "lasso", "elastic_net", "knn", "extra_trees", "random_forest", "hist_boosting", "level_boosting", "leaf_boosting"),
     "cmp": ("ridge", "lasso", "elastic_net", "random_forest", "gradient_boosting"),
     "run_to_failure": ("ridge", "random_forest", "gradient_boosting"),
     "response_first": ("ridge", "elastic_net", "random_forest", "gradient_boosting"),
