@@ -244,21 +244,56 @@ def test_secrets(spark, none):
     assert guess_cost.scan_secrets(none).collect() == []
 
 
-def plain_cost(value, model):
-    each = math.log10(sum(n for c, n in guess_cost.CLASSES if c.search(value)) or 1)
-    edges = [*model.segments(value), *((k, k + 1, each) for k in range(len(value)))]
-    way = lambda at: 0 if at == len(value) else min(c + way(j) for i, j, c in edges if i == at)
-    return way(0)
+def plain_cost(value, rank):
+    """Least cost over every segmentation; each stretch of characters is judged by itself."""
+    pool = sum(n for c, n in ((r"[a-z]", 26), (r"[A-Z]", 26), (r"[0-9]", 10), (r"[!-/:-@\[-`{-~]", 33), (r"[^!-~]", 100)) if re.search(c, value))
+    keyboard = ["`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./"]
+    place = {c: (y, x) for y, row in enumerate(keyboard) for x, c in enumerate(row)}
+
+    def beside(a, b):
+        if a not in place or b not in place:
+            return False
+        (y, x), (v, u) = sorted((place[a], place[b]))
+        return (y == v and abs(x - u) == 1) or (v == y + 1 and x - u in (1, 2))
+
+    def stretch(part):
+        low = part.lower()
+        costs = [math.log10(pool)] if len(part) == 1 else []
+        if low in rank:
+            costs.append(math.log10(rank[low] + 1) + (0 if part == low else math.log10(2) if part.isupper() or part.istitle() else len(part) * math.log10(2)))
+        if re.fullmatch(r"(19|20)[0-9][0-9]", part):
+            costs.append(math.log10(120))
+        day, month, year = r"(0[1-9]|[12][0-9]|3[01])", r"(0[1-9]|1[0-2])", r"(19|20)[0-9][0-9]"
+        if any(re.fullmatch(f"{year}{s}{month}{s}{day}|{day}{s}{month}{s}{year}", part) for s in ("", "-", "/", r"\.")):
+            costs.append(math.log10(120 * 372 * 8))
+        if len(part) >= 3 and len(set(low)) == 1:
+            costs.append(2 + math.log10(len(part)))
+        if len(part) >= 3 and all(beside(a, b) for a, b in zip(low, low[1:])):
+            costs.append(2.5 + math.log10(len(part)))
+        return costs
+
+    best = [0.0]
+    for j in range(1, len(value) + 1):
+        best.append(min(best[i] + c for i in range(j) for c in stretch(value[i:j])))
+    return best[-1]
+
+
+@pytest.mark.parametrize("value", ["summer2020", "aaaa1111", "qwertz", "P@ss1", "19991231x", "thehouse", "zX9", "sssssssecurity", "qwertyear", "asdfghouse", "aaaaaaapple", "passssssss", "12-03-1999qaz", "ASDFasdf", "é" * 9])
+def test_guess_cost_is_least(value):
+    model = guess_cost.guesser()
+    assert math.isclose(model.cost(value), plain_cost(value, model.rank))
 
 
-@pytest.mark.parametrize("value", ["summer2020", "aaaa1111", "qwertz", "P@ss1", "19991231x", "thehouse", "zX9"])
-def test_guess_cost_is_least(value):
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["aaa", "ssss", "qwe", "rty", "asd", "sword", "pass", "year", "the", "1", "19", "99", "x", "TREE", "-", "wsx"]), min_size=1, max_size=8))
+def test_guess_cost_of_joined_parts(parts):
     model = guess_cost.guesser()
-    assert math.isclose(model.cost(value), plain_cost(value, model))
+    assert math.isclose(model.cost("".join(parts)), plain_cost("".join(parts), model.rank))
 
 
 def test_guess_order():
     cost = guess_cost.guesser().cost
+    assert cost("a" * 300_000) < 8 and cost("qwertrew" * 20_000) < 8 and max(map(len, guess_cost.guesser().rank)) == guess_cost.guesser().longest
     assert cost("") == 0 and cost("password") < cost("pasxword") < cost("kQ8#vZ2!") and cost("a" * 10_000) < 8
 
 
@@ -291,12 +326,50 @@ def test_all_segmentations_are_summed():
     words = ["a", "ab", "abab", "babab", "axb", "bbaabab"]
     want = np.array([np.log(brute("▁" + w)) for w in words])
     assert np.allclose(language.Scorer(pieces, p).words(words), want)
-    assert np.allclose([language.log_probability(w, pieces, np.log(p)) for w in words], want)
     lattice = language.Lattice(words, pieces)
     total = lattice.expected(p, np.ones((len(words), 2)))
     assert np.allclose((total[:-1].T * [len(s) for s in pieces.ids] + 0).sum(axis=1) + total[-1], sum(len(w) + 1 for w in words))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("abxyz", min_size=1, max_size=200), min_size=1, max_size=6), st.sampled_from([1e-3, 1e-9, 1e-14]))
+def test_words_of_any_length(words, rare):
+    """Sums and expected counts by logarithms; rare pieces make doubles underflow within a few dozen letters."""
+    pieces = language.Pieces(["▁", "a", "b", "ab", "▁a", "ba", "bab", "abababababab", "x"])
+    p = np.stack([np.linspace(1, 2, pieces.size) * 0.1, np.full(pieces.size, rare)], axis=1)
+    p[-1] *= rare
+    logs = np.log(p)
+
+    def sums(text):
+        """ln of the sums over the first positions, and (start, end, id) of all pieces."""
+        edges = [(i, i + len(s), k) for s, k in pieces.ids.items() for i in range(len(text)) if text.startswith(s, i)]
+        edges += [(i, i + 1, pieces.size - 1) for i, c in enumerate(text) if c not in pieces.ids]
+        total = [np.zeros(2)]
+        for j in range(1, len(text) + 1):
+            total.append(np.logaddexp.reduce([total[i] + logs[k] for i, e, k in edges if e == j]))
+        rest = {len(text): np.zeros(2)}
+        for j in range(len(text) - 1, -1, -1):
+            rest[j] = np.logaddexp.reduce([rest[e] + logs[k] for i, e, k in edges if i == j])
+        return total, rest, edges
+
+    want, counts = [], np.zeros((pieces.size, 2))
+    for w in words:
+        total, rest, edges = sums("▁" + w)
+        want.append(total[-1])
+        for i, e, k in edges:
+            counts[k] += np.exp(total[i] + logs[k] + rest[e] - total[-1])
+    assert np.allclose(language.Scorer(pieces, p).words(words), want, rtol=1e-9)
+    assert np.allclose(language.Lattice(words, pieces).expected(p, np.ones((len(words), 2))), counts, rtol=1e-7)
+
+
+def test_scores_of_long_words(spark):
+    """Words of 44 to 5,000 unseen letters have scores from 0 to 1, beside short ones in one batch."""
+    rows = [(k, "the house " * 30, "en") for k in range(40)] + [(k, "das haus " * 30, "de") for k in range(40, 80)]
+    rows += [(100 + n, "ж" * n, None) for n in (1, 30, 44, 47, 48, 49, 60, 5000)] + [(900, "q" * 300 + " the house", None)]
+    got = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert all(0 <= r.score <= 1 and not math.isnan(r.score) for r in got) and {r.lang_pred for r in got} == {"en", "de"}
+
+
 def test_hidden_markov_base(docs, none):
     got = hmm.score_texts(docs).collect()
     crc = lambda d: __import__("zlib").crc32(str(d if d is not None else "").encode()) % 7 == 2

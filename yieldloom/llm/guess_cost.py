@@ -26,8 +26,10 @@ CONTEXT = re.compile(
 HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer")
 #: A value is a secret from so many guesses (log10) and so many characters on.
 LEAST_GUESSES, LEAST_VALUE = 8.0, 6
-#: Words of at most so many characters come from the vocabulary; its order stands for frequency.
-SHORTEST_WORD, LONGEST_WORD = 3, 24
+#: Words from so many characters on come from the vocabulary; its order stands for frequency. Runs have at least so many, too.
+SHORTEST_WORD = SHORTEST_RUN = 3
+#: log10 of the guesses of a repeat and of a walk, to which that of its length is added.
+REPEAT, WALK = 2.0, 2.5
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 CLASSES = ((re.compile("[a-z]"), 26), (re.compile("[A-Z]"), 26), (re.compile("[0-9]"), 10), (re.compile("[!-/:-@\\[-`{-~]"), 33), (re.compile("[^!-~]"), 100))
 YEARS, DAYS = 120, 372
@@ -47,6 +49,7 @@ class GuessCost:
 
     Segments are vocabulary words (rank times the variants of their case), dates, repeats of one character, keyboard
     walks, and single characters guessed by brute force among the value's character classes. Costs of segments add up.
+    Repeats and walks may begin and end anywhere in a run.
     """
 
     def __init__(self, words: str = WORD_BPE):
@@ -55,15 +58,15 @@ class GuessCost:
         with open(words, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
         whole = (t[:-4] for t, _ in sorted(vocab.items(), key=lambda x: x[1]) if t.endswith("</w>"))
-        self.rank = {w: k for k, w in enumerate((w for w in whole if SHORTEST_WORD <= len(w) <= LONGEST_WORD and w.isascii() and w.isalpha()), 1)}
+        self.rank = {w: k for k, w in enumerate((w for w in whole if len(w) >= SHORTEST_WORD and w.isascii() and w.isalpha()), 1)}
+        self.longest = max(map(len, self.rank), default=0)
         self.keys = neighbours()
 
-    def segments(self, value: str):
-        """(start, end, cost) of every segment but single characters."""
-        low = value.lower() if len(value.lower()) == len(value) else value
+    def segments(self, value: str, low: str):
+        """(start, end, cost) of every word and date."""
         n = len(value)
         for i in range(n):
-            for j in range(i + SHORTEST_WORD, min(n, i + LONGEST_WORD) + 1):
+            for j in range(i + SHORTEST_WORD, min(n, i + self.longest) + 1):
                 if (rank := self.rank.get(low[i:j])) is not None:
                     word = value[i:j]
                     case = 0.0 if word == low[i:j] else log10(2) if word.isupper() or word.istitle() else (j - i) * log10(2)
@@ -71,23 +74,33 @@ class GuessCost:
             for date, guesses in ((DATE, YEARS * DAYS * 8), (YEAR, YEARS)):
                 if m := date.match(value, i):
                     yield i, m.end(), log10(guesses)
-        for joined, single in ((lambda a, b: a == b, 2.0), (lambda a, b: (a, b) in self.keys, 2.5)):
-            start = 0
-            for k in range(1, n + 1):
-                if k == n or not joined(low[k - 1], low[k]):
-                    for i in range(start, k - 2):  # from any place in the run to its end
-                        yield i, k, single + log10(k - i)
-                    start = k
 
     def cost(self, value: str) -> float:
-        """log10 of the guesses; 0 for an empty value. Time is linear in the value's length."""
+        """log10 of the guesses; 0 for an empty value.
+
+        The state of the program is the place and, for each kind of run, the starts inside the open run that can still
+        be the best ones: a later start is kept only if it is cheaper than going on from an earlier one. Such starts
+        are few, so time is linear in the value's length.
+        """
+        low = value.lower() if len(value.lower()) == len(value) else value
         each = log10(sum(size for sort, size in CLASSES if sort.search(value)) or 1)
         ending: dict[int, list[tuple[int, float]]] = {}
-        for i, j, c in self.segments(value):
+        for i, j, c in self.segments(value, low):
             ending.setdefault(j, []).append((i, c))
         best = [0.0]
+        kinds = ((REPEAT, lambda a, b: a == b), (WALK, lambda a, b: (a, b) in self.keys))
+        open_: list[list[int]] = [[0], [0]]
         for j in range(1, len(value) + 1):
-            best.append(min([best[j - 1] + each, *(best[i] + c for i, c in ending.get(j, ()))]))
+            ways = [best[j - 1] + each, *(best[i] + c for i, c in ending.get(j, ()))]
+            for kind, (single, joined) in enumerate(kinds):
+                if j > 1 and not joined(low[j - 2], low[j - 1]):
+                    open_[kind] = [j - 1]  # the run begins with the character before this place
+                ways += [best[i] + single + log10(j - i) for i in open_[kind] if j - i >= SHORTEST_RUN]
+            best.append(min(ways))
+            for starts in open_:
+                # From here on an earlier start costs most more than this one at the first place where this one may end.
+                if all(best[j] < best[i] + log10((j + SHORTEST_RUN - i) / SHORTEST_RUN) for i in starts):
+                    starts.append(j)
         return best[-1]
 
 

@@ -22,8 +22,10 @@ FOLDS, HELD_OUT = 4, 2
 SMOOTHING = 0.1
 #: Passes of expectation-maximisation; the first one starts from equal pieces, the same for all languages.
 ROUNDS = 1
-#: Words scored at a time, words remembered by a process, and words whose probability is kept in logarithms.
-AT_A_TIME, HELD, LONG = 20_000, 400_000, 48
+#: Cells (words times positions) of one lattice, words remembered by a process.
+CELLS, HELD = 400_000, 400_000
+#: Sums below this are scaled up, which is looked after every so many positions, far from the least double.
+TINY, EVERY = 1e-60, 4
 UNDETERMINED = "und"
 #: Bits of a piece's length and id within a span's number.
 LENGTH_BITS, ID_BITS = 6, 20
@@ -73,8 +75,23 @@ def load_pieces(path: str = PIECES) -> Pieces:
     return once(("pieces", path), make)
 
 
+def lots(words: list[str]):
+    """The words' places in lots of similar lengths and at most CELLS cells; a longer word is a lot of its own."""
+    order = sorted(range(len(words)), key=lambda k: len(words[k]))
+    start = 0
+    for at in range(1, len(order) + 1):
+        if at == len(order) or (at - start + 1) * (len(words[order[at]]) + 2) > CELLS:
+            yield order[start:at]
+            start = at
+
+
 class Lattice:
-    """All pieces of a batch of words as one set of edges."""
+    """All pieces of a batch of words as one set of edges.
+
+    Sums over segmentations shrink with a word's length. They are kept as doubles and logarithms of scales: as soon as all sums of
+    the last positions that pieces can still start from are tiny, these are scaled up together. So words of
+    any length have a probability.
+    """
 
     def __init__(self, words: list[str], pieces: Pieces):
         found, counts = [], []
@@ -88,72 +105,84 @@ class Lattice:
         self.end = self.start + ((spans >> ID_BITS) & ((1 << LENGTH_BITS) - 1))
         self.length = np.array([len(w) + 1 for w in words])
         self.words = len(words)
-
-    def forward(self, p: np.ndarray) -> np.ndarray:
-        """alpha[word, position, model]: the sum over all segmentations of the first positions. p: piece by model."""
-        top = int(self.length.max())
-        alpha = np.zeros((self.words, top + 1, p.shape[1]))
+        self.reach = int((self.end - self.start).max()) if len(spans) else 1
+
+    def _scaled(self, sums: np.ndarray, scale: np.ndarray | None, j: int, window: slice) -> np.ndarray | None:
+        """Scales the window's sums up, by word and model, where all of them are tiny. scale: ln of what was multiplied, None for nothing."""
+        rows = np.flatnonzero(((sums[:, j] < TINY) & (sums[:, j] > 0)).any(axis=1))
+        if not len(rows):
+            return scale
+        if scale is None:
+            scale = np.zeros_like(sums)
+        top = sums[rows, window].max(axis=1)
+        factor = np.where((top < TINY) & (top > 0), 1 / np.where(top > 0, top, 1.0), 1.0)
+        sums[rows, window] *= factor[:, None]
+        scale[rows, window] += np.log(factor)[:, None]
+        return scale
+
+    def _walk(self, p: np.ndarray, sums: np.ndarray, back: bool) -> np.ndarray | None:
+        """Fills the sums position by position and returns their scales."""
+        top, models, scale = int(self.length.max()), p.shape[1], None
+        here, there = (self.start, self.end) if back else (self.end, self.start)
+        order = np.argsort(here, kind="stable")
+        cuts = np.searchsorted(here[order], np.arange(top + 2))
+        step = -1 if back else 1
+        for j in range(top - 1, -1, -1) if back else range(1, top + 1):
+            e = order[cuts[j] : cuts[j + 1]]
+            add = sums[self.word[e], there[e]] * p[self.id[e]]
+            for m in range(models):
+                sums[:, j, m] += np.bincount(self.word[e], add[:, m], self.words)
+            if scale is not None:  # a word's end has scale 0 on the way back, other positions their neighbour's
+                going = self.length > j if back else slice(None)
+                scale[going, j] = scale[going, j - step]
+            if j % EVERY == 0:
+                scale = self._scaled(sums, scale, j, slice(j, min(top, j + self.reach) + 1) if back else slice(max(0, j - self.reach), j + 1))
+        return scale
+
+    def forward(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+        """Sums over all segmentations of the first positions [word, position, model] and ln of their scales. p: piece by model."""
+        alpha = np.zeros((self.words, int(self.length.max()) + 1, p.shape[1]))
         alpha[:, 0] = 1
-        order = np.argsort(self.end, kind="stable")
-        cuts = np.searchsorted(self.end[order], np.arange(1, top + 2))
-        for j in range(1, top + 1):
-            e = order[cuts[j - 1] : cuts[j]]
-            add = alpha[self.word[e], self.start[e]] * p[self.id[e]]
-            for m in range(p.shape[1]):
-                alpha[:, j, m] = np.bincount(self.word[e], add[:, m], self.words)
-        return alpha
-
-    def backward(self, p: np.ndarray) -> np.ndarray:
-        top = int(self.length.max())
-        beta = np.zeros((self.words, top + 1, p.shape[1]))
+        return alpha, self._walk(p, alpha, False)
+
+    def backward(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        beta = np.zeros((self.words, int(self.length.max()) + 1, p.shape[1]))
         beta[np.arange(self.words), self.length] = 1
-        order = np.argsort(self.start, kind="stable")
-        cuts = np.searchsorted(self.start[order], np.arange(top + 2))
-        for j in range(top - 1, -1, -1):
-            e = order[cuts[j] : cuts[j + 1]]
-            add = beta[self.word[e], self.end[e]] * p[self.id[e]]
-            for m in range(p.shape[1]):
-                beta[:, j, m] += np.bincount(self.word[e], add[:, m], self.words)
-        return beta
+        return beta, self._walk(p, beta, True)
+
+    def log_probabilities(self, p: np.ndarray) -> np.ndarray:
+        alpha, scale = self.forward(p)
+        whole = np.arange(self.words), self.length
+        return np.log(alpha[whole]) - (0.0 if scale is None else scale[whole])
+
+    def shares(self, p: np.ndarray) -> np.ndarray:
+        """Of each edge and model, the share of the word's probability that runs through it."""
+        (alpha, up), (beta, down) = self.forward(p), self.backward(p)
+        whole = np.arange(self.words), self.length
+        share = alpha[self.word, self.start] * p[self.id] * beta[self.word, self.end] / alpha[whole][self.word]
+        if up is None and down is None:
+            return share
+        up, down = (np.zeros_like(alpha) if s is None else s for s in (up, down))
+        return share * np.exp(up[whole][self.word] - up[self.word, self.start] - down[self.word, self.end])
 
     def expected(self, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Expected piece counts by model; weight: word by model."""
-        alpha, beta = self.forward(p), self.backward(p)
-        whole = alpha[np.arange(self.words), self.length]
-        share = alpha[self.word, self.start] * p[self.id] * beta[self.word, self.end] / whole[self.word]
+        share = self.shares(p)
         return np.stack([np.bincount(self.id, share[:, m] * weight[self.word, m], len(p)) for m in range(p.shape[1])], axis=1)
 
 
-def log_probability(word: str, pieces: Pieces, logs: np.ndarray) -> np.ndarray:
-    """ln of the summed probability of one word by model, in logarithms: for words of any length."""
-    total = [np.zeros(logs.shape[1])]
-    ending: dict[int, list[tuple[int, int]]] = {}
-    for span in pieces.spans(word):
-        start, length = span >> (LENGTH_BITS + ID_BITS), (span >> ID_BITS) & ((1 << LENGTH_BITS) - 1)
-        ending.setdefault(start + length, []).append((start, span & ((1 << ID_BITS) - 1)))
-    for j in range(1, len(word) + 2):
-        total.append(np.logaddexp.reduce([total[s] + logs[k] for s, k in ending[j]]))
-    return total[-1]
-
-
 class Scorer:
     """ln P(word | language) for whole words, remembered within bounds."""
 
     def __init__(self, pieces: Pieces, p: np.ndarray):
-        self.pieces, self.p, self.logs = pieces, p, np.log(p)
+        self.pieces, self.p = pieces, p
         self.row: dict[str, int] = {}
         self.table = np.empty((0, p.shape[1]))
 
     def words(self, words: list[str]) -> np.ndarray:
         out = np.empty((len(words), self.p.shape[1]))
-        short = [k for k, w in enumerate(words) if len(w) <= LONG]
-        for k in (k for k, w in enumerate(words) if len(w) > LONG):
-            out[k] = log_probability(words[k], self.pieces, self.logs)
-        short.sort(key=lambda k: len(words[k]))
-        for at in range(0, len(short), AT_A_TIME):
-            some = short[at : at + AT_A_TIME]
-            lattice = Lattice([words[k] for k in some], self.pieces)
-            out[some] = np.log(lattice.forward(self.p)[np.arange(len(some)), lattice.length])
+        for some in lots(words):
+            out[some] = Lattice([words[k] for k in some], self.pieces).log_probabilities(self.p)
         return out
 
     def texts(self, texts: list[list[str]]) -> np.ndarray:
@@ -190,13 +219,12 @@ def expected_pieces(docs: DataFrame, text: str, lang: str, path: str, langs: lis
             words = sorted({w for c in seen.values() for w in c}, key=len)
             total = np.zeros((pieces.size, len(names)))
             equal = np.full((pieces.size, len(names)), 1 / pieces.size) if p is None else p[:, [langs.index(n) for n in names]]
-            for at in range(0, len(words), AT_A_TIME):
-                some = words[at : at + AT_A_TIME]
+            for places in lots(words):
+                some = [words[k] for k in places]
                 weight = np.array([[seen[n][w] for n in names] for w in some], float)
                 lattice = Lattice(some, pieces)
                 if p is None:  # one lattice pass serves all languages
-                    alpha, beta, whole = one_model(lattice, 1 / pieces.size)
-                    share = alpha[lattice.word, lattice.start] * beta[lattice.word, lattice.end] / pieces.size / whole[lattice.word]
+                    share = lattice.shares(np.full((pieces.size, 1), 1 / pieces.size))[:, 0]
                     for m in range(len(names)):
                         total[:, m] += np.bincount(lattice.id, share * weight[lattice.word, m], pieces.size)
                 else:
@@ -205,14 +233,9 @@ def expected_pieces(docs: DataFrame, text: str, lang: str, path: str, langs: lis
             seen.clear()
             return pa.RecordBatch.from_arrays([pa.array([names[x] for x in m], pa.string()), pa.array(k), pa.array(total[k, m])], schema=schema)
 
-        def one_model(lattice, each):
-            flat = np.full((pieces.size, 1), each)
-            alpha, beta = lattice.forward(flat)[:, :, 0], lattice.backward(flat)[:, :, 0]
-            return alpha, beta, alpha[np.arange(lattice.words), lattice.length]
-
         for batch in batches:
             for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen.setdefault(name, Counter()).update(w[k : k + LONG] for w in letters(value) for k in range(0, len(w), LONG))
+                seen.setdefault(name, Counter()).update(letters(value))
             if sum(map(len, seen.values())) > HELD:
                 yield flushed()
         if seen:
@@ -225,8 +248,7 @@ def expected_pieces(docs: DataFrame, text: str, lang: str, path: str, langs: lis
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", path: str = PIECES, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages in order, piece probabilities (piece by language) and ln of the languages' shares of documents.
 
-    What reaches the driver is one row per language and piece of the fixed vocabulary. Letter runs of more than LONG
-    letters are learnt from in parts of that length (and scored whole).
+    What reaches the driver is one row per language and piece of the fixed vocabulary.
     """
     labelled = docs.filter(F.col(lang).isNotNull())
     shares = {r[lang]: r["n"] for r in labelled.groupBy(lang).agg(F.count("*").alias("n")).collect()}
