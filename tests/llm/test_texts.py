@@ -82,7 +82,7 @@ def test_jaccard_groups(docs, none):
 def test_jaccard_long_lists(spark, monkeypatch):
     """A large group of near copies, some linked only through others, meets in blocks and stays whole."""
     monkeypatch.setattr(jaccard, "SHORT_LIST", 6)
-    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "BLOCK_TOKENS", 600)
     base = prose(80, 7)
     rows = [(k, edited(base, k % 5, k), None, None, None, None) for k in range(60)]
     got = jaccard.jaccard_groups(spark.createDataFrame(rows, SCHEMA).repartition(4))
@@ -99,10 +99,21 @@ def test_prefixes_meet_under_each_order():
         orders = jaccard.Orders(often, np.full(len(often), 4, np.uint8))
         if 100 * common >= 85 * (len(a) + len(b) - common):
             assert all(len(np.intersect1d(x, y)) for x, y in zip(orders.prefixes(a), orders.prefixes(b)))
-        x, y = jaccard.parity_bits(a), jaccard.parity_bits(b)
-        size = min(len(x), len(y))
-        differ = int(np.bitwise_count(jaccard.folded(x, size) ^ jaccard.folded(y, size)).sum())
-        assert (len(a) + len(b) - differ) // 2 >= common
+        sets = jaccard.Ragged([a, b, a])
+        assert sets.common(0, np.array([1, 2])).tolist() == [common, len(a)] and not sets.mark.any()
+
+
+@pytest.mark.parametrize("edits", [3, 9])
+def test_long_list_rows(spark, monkeypatch, edits):
+    """One large group of copies, linked (few edits) or likely but mostly not (many): blocks give no more links than members."""
+    found, real = [], jaccard.connected
+    monkeypatch.setattr(jaccard, "BLOCK_TOKENS", 12_000)
+    monkeypatch.setattr(jaccard, "connected", lambda links: real(found.append(links.count()) or links))
+    base = " ".join(f"w{k}" for k in range(120))
+    rows = [(k, edited(base, edits, k), None, None, None, None) for k in range(500)]
+    got = jaccard.jaccard_groups(spark.createDataFrame(rows, SCHEMA).repartition(4))
+    assert Counter(map(tuple, got.collect())) == plain_components(rows)
+    assert max(found) <= 30 * len(rows)
 
 
 def test_frequent_tokens_cover_all(spark):

@@ -22,8 +22,8 @@ ORDERS = 3
 FREQUENT, FREQUENT_ENTRIES = 8, 1 << 20
 #: Tokens counted in one group, and tokens a task sorts at a time.
 GROUP_TOKENS, FLUSH_TOKENS = 1 << 22, 1 << 21
-#: Token lists up to this size are compared pair by pair; longer ones by bitmaps, in blocks.
-SHORT_LIST, BLOCK = 64, 2048
+#: Token lists up to this size are compared pair by pair; longer ones in blocks of about so many tokens in all.
+SHORT_LIST, BLOCK_TOKENS = 64, 1 << 20
 #: Document ids of at most so many candidates are broadcast to read their texts again.
 BROADCAST_IDS = 500_000
 #: Sets that a comparing task turns into Python objects at a time.
@@ -90,19 +90,6 @@ class Orders:
         return out
 
 
-def parity_bits(tokens: np.ndarray) -> bytes:
-    """Each token flips one of at least 4 n bits (a power of two); bits that differ bound the tokens that differ."""
-    size = max(64, 1 << int(4 * len(tokens) - 1).bit_length())
-    flips = np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
-    return np.packbits(flips.astype(np.uint8)).tobytes()
-
-
-def folded(bits: bytes, size: int) -> np.ndarray:
-    """The bitmap over fewer bits: halves are added modulo two."""
-    x = np.frombuffer(bits, np.uint8)
-    return np.bitwise_xor.reduce(x.reshape(-1, size), axis=0)
-
-
 def frequent_tokens(docs: DataFrame, text: str, width: int, total: int) -> tuple[np.ndarray, np.ndarray]:
     """32-bit heads and levels (log2 of the document count) of the most frequent tokens, counted over all documents.
 
@@ -219,46 +206,67 @@ def short_lists(percent: int):
     return run
 
 
-def block_pairs(percent: int, forest: bool):
-    """Compares two blocks of a long list by size and bitmap. With ``forest`` only edges that join what earlier ones
+def block_links(percent: int):
+    """Links between a group's members and probes, compared in full: only those that join what was apart leave.
 
-    left apart are given; else all pairs of different components.
+    Rows: key, comp (its component so far), n, tokens, the prefixes of the further orders, member, probe, twice (a member that
+    is a probe of another group, too). Two sets are compared when one is a member and one a probe, their components
+    differ, their sizes allow a link and their prefixes share a token under each further order.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates(["key", "block"]).sort_values(["n", "key"], kind="stable").reset_index(drop=True)
-        size, key, block, comp = (group[c].to_numpy() for c in ("n", "key", "block", "comp"))
-        bits = group["bits"].tolist()
-        width = np.array([len(b) for b in bits])
-        label = np.arange(len(key))  # of likely links found so far
-        out_a, out_b = [], []
-        narrow: dict[int, np.ndarray] = {}
+        roles = group.groupby("key")[["member", "probe"]].max()
+        group = group.drop_duplicates("key").drop(columns=["member", "probe"]).join(roles, on="key")
+        group = group.sort_values(["n", "key"], kind="stable").reset_index(drop=True)
+        key, n = group["key"].to_numpy(), group["n"].to_numpy()
+        member, probe, twice = group["member"].to_numpy() > 0, group["probe"].to_numpy() > 0, group["twice"].to_numpy()
+        label = np.unique(group["comp"].to_numpy(), return_inverse=True)[1]
+        sets = Ragged([np.frombuffer(t, np.uint64) for t in group["tokens"]])
+        orders = [Ragged([np.asarray(h, np.int32) for h in group[f"p{k}"]]) for k in range(1, ORDERS)]
+        out: list[tuple[int, int]] = []
         for i in range(len(key) - 1):
-            end = np.searchsorted(size, 100 * size[i] // percent, side="right")
+            end = np.searchsorted(n, 100 * n[i] // percent, side="right")
             others = np.arange(i + 1, end)
-            if group["cross"].iloc[0]:
-                others = others[block[others] != block[i]]
-            others = others[comp[others] != comp[i]]
+            # Two probes meet as member and probe in two groups; that of the member with the smaller key counts.
+            as_member = member[i] & probe[others] & ((twice[i] == 0) | (key[i] < key[others]))
+            as_probe = probe[i] & member[others] & ((twice[others] == 0) | (key[others] < key[i]))
+            others = others[(label[others] != label[i]) & (as_member | as_probe)]
+            for order in orders:
+                if len(others):
+                    others = others[order.common(i, others) > 0]
             if not len(others):
                 continue
-            w = int(width[i])
-            if w not in narrow:  # larger sets' bitmaps, folded to this width
-                narrow = {w: np.stack([folded(b, w) if len(b) >= w else np.zeros(w, np.uint8) for b in bits])}
-            differ = np.bitwise_count(narrow[w][others] ^ narrow[w][i]).sum(axis=1)
-            most = (size[i] + size[others] - differ) // 2
-            likely = others[most >= least_overlap(size[i], size[others], percent)]
-            if forest and len(likely):
-                labels, first = np.unique(label[likely], return_index=True)
-                likely = likely[first[labels != label[i]]]
-                label[np.isin(label, labels)] = label[i]
-            out_a.append(np.minimum(key[i], key[likely]))
-            out_b.append(np.maximum(key[i], key[likely]))
-        none = [np.empty(0, np.int64)]
-        return pd.DataFrame({"a": np.concatenate(out_a or none), "b": np.concatenate(out_b or none)})
+            common = sets.common(i, others)
+            linked = others[100 * common >= percent * (n[i] + n[others] - common)]
+            for k in linked.tolist():
+                if label[k] != label[i]:
+                    out.append((min(key[i], key[k]), max(key[i], key[k])))
+                    label[label == label[k]] = label[i]
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
     return run
 
 
+class Ragged:
+    """Sets of numbers one after the other; counts what one shares with some others at once."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets])
+        self.starts = np.r_[0, np.cumsum(self.sizes)[:-1]]
+        distinct, self.numbers = np.unique(np.concatenate(sets), return_inverse=True)
+        self.mark = np.zeros(len(distinct), np.int64)
+
+    def common(self, i: int, others: np.ndarray) -> np.ndarray:
+        own = self.numbers[self.starts[i] : self.starts[i] + self.sizes[i]]
+        self.mark[own] = 1
+        sizes = self.sizes[others]
+        ends = np.cumsum(sizes)
+        places = np.arange(ends[-1]) + np.repeat(self.starts[others] - np.r_[0, ends[:-1]], sizes)
+        total = np.add.reduceat(self.mark[self.numbers[places]], np.r_[0, ends[:-1]])
+        self.mark[own] = 0
+        return total
+
+
 def texts_of(keys: DataFrame, docs: DataFrame, classes: DataFrame, text: str) -> DataFrame:
     """doc_id and text of one document of each set; ids are broadcast where they were counted to be few."""
     wanted = pin(classes.join(keys.distinct(), "key", "left_semi").select(F.col("first_id").alias("doc_id")))
@@ -266,37 +274,53 @@ def texts_of(keys: DataFrame, docs: DataFrame, classes: DataFrame, text: str) ->
     return docs.select("doc_id", text).join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
 
 
-def bitmaps(keys: DataFrame, docs: DataFrame, classes: DataFrame, text: str, width: int) -> DataFrame:
-    """key and parity bits of the sets that lie in long lists."""
+def listed_sets(keys: DataFrame, docs: DataFrame, classes: DataFrame, facts: DataFrame, text: str, width: int) -> DataFrame:
+    """key, tokens and the further orders' prefixes of the sets that lie in long lists."""
 
     def make():
         def work(ids, values):
             sets = [shingles(v, width) for v in values]
-            return [[set_key(s) for s in sets], [parity_bits(s) if len(s) else None for s in sets]]
+            return [[set_key(s) for s in sets], [s.tobytes() for s in sets]]
 
         return work
 
-    return by_batch(texts_of(keys, docs, classes, text), "key long, bits binary", make).filter("bits is not null").dropDuplicates(["key"])
+    sets = by_batch(texts_of(keys, docs, classes, text), "key long, tokens binary", make).filter("key is not null").dropDuplicates(["key"])
+    orders = facts.select("key", *[f"p{k}" for k in range(1, ORDERS)]).join(keys.distinct(), "key", "left_semi").dropDuplicates(["key"])
+    return sets.join(orders, "key")
 
 
-def long_list_pairs(lists: DataFrame, bits: DataFrame, comps: DataFrame | None, percent: int) -> DataFrame:
-    """Candidate pairs of long lists (token, key, n): members meet in blocks of bounded size, one task per two blocks.
+def dealt(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among rows (token, key, n, comp, probe) of lists: between probes and all, between probes once.
 
-    A first call (no ``comps``) gives spanning forests of likely links; a second one all pairs that are still in
-    different components.
+    Members are cut into blocks, and so are the probes among them; each block of the one meets each of the other in a
+    group of bounded size. A row travels as often as the other side has blocks: once for most lists, whose probes fill one block.
     """
-    sizes = lists.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = lists.join(bits, "key")
-    rows = rows.join(comps, "key", "left") if comps is not None else rows.withColumn("comp", F.lit(None).cast("long"))
-    rows = rows.withColumn("comp", F.coalesce("comp", "key"))
-    if comps is not None:  # lists within one component are done
-        mixed_lists = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
-        sizes = sizes.join(mixed_lists.select("token"), "token", "left_semi")
-    placed = rows.join(sizes, "token").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("token", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "key", "n", "bits", "comp")
-    met = met.withColumn("cross", F.col("x") != F.col("y"))
-    return met.groupBy("token", "x", "y").applyInPandas(block_pairs(percent, comps is None), "a long, b long")
+    sizes = rows.groupBy("token").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"), F.greatest(F.ceil(F.sum(F.when(F.col("probe"), F.col("n"))) / BLOCK_TOKENS), F.lit(1)).cast("int").alias("probe_blocks"))
+    placed = rows.join(sizes, "token").withColumns(
+        {"x": F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"), "y": F.pmod(F.xxhash64("key", F.lit(1)), F.col("probe_blocks")).cast("int")}
+    )
+    across = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    same = ["token", "key", "n", "comp", F.col("probe").cast("int").alias("twice")]
+    members = placed.select(*same, "x", across("probe_blocks").alias("y"), F.lit(1).alias("member"), F.lit(0).alias("probe"))
+    probes = placed.filter("probe").select(*same, across("blocks").alias("x"), "y", F.lit(0).alias("member"), F.lit(1).alias("probe"))
+    both = members.unionByName(probes).groupBy("token", "x", "y", "key", "n", "comp", "twice").agg(F.max("member").alias("member"), F.max("probe").alias("probe"))
+    return both.join(sets, "key").groupBy("token", "x", "y").applyInPandas(block_links(percent), "a long, b long")
+
+
+def own_list_links(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of long lists (token, key, n), each set in its longest list only: there a group of near copies falls together."""
+    lengths = lists.groupBy("token").agg(F.count("*").alias("length"))
+    own = lists.join(lengths, "token").groupBy("key", "n").agg(F.max_by("token", F.struct("length", "token")).alias("token"))
+    return dealt(own.select("token", "key", "n", F.col("key").alias("comp"), F.lit(True).alias("probe")), sets, percent)
+
+
+def mixed_list_links(lists: DataFrame, sets: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """Links of long lists between different components: in each list all sets but those of its largest component are probes."""
+    rows = lists.join(comps.select(F.col("node").alias("key"), F.col("root").alias("comp")), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    counts = rows.groupBy("token", "comp").agg(F.count("*").alias("size"))
+    largest = counts.groupBy("token").agg(F.max_by("comp", F.struct("size", "comp")).alias("largest"), F.count("*").alias("comps")).filter("comps > 1")
+    rows = rows.join(largest, "token").withColumn("probe", F.col("comp") != F.col("largest"))
+    return dealt(rows.select("token", "key", "n", "comp", "probe"), sets, percent)
 
 
 def surviving(pairs: DataFrame, facts: DataFrame) -> DataFrame:
@@ -359,9 +383,10 @@ def jaccard_groups(docs: DataFrame, text: str = "text", width: int = WIDTH, perc
 
     Plan. Equal sets become one class. Tokens are counted over all documents, so that frequent ones come last in every
     order. Classes that share a token of their first prefix are candidates; the size, position, further orders' prefixes
-    and then the whole sets decide. Lists of up to SHORT_LIST classes give their pairs. A longer list (a group of near
-    copies) is never expanded: blocks of it are compared by bitmaps that bound the overlap, first for spanning
-    forests, then for what stays in different components. Nothing is capped: all pairs that pass are compared in full.
+    and then the whole sets decide. Lists of up to SHORT_LIST classes give their pairs. Longer ones never do: their sets
+    meet in blocks, where all orders' filters and the whole sets decide, and only links that join something leave. First
+    each set is compared in its longest list, which makes one component of a group of near copies; then, in all lists,
+    sets of different components. Nothing is capped.
     """
 
     def make_keys():
@@ -402,14 +427,15 @@ def jaccard_groups(docs: DataFrame, text: str = "text", width: int = WIDTH, perc
     long_lists = lists.filter("kind = 1").select("token", F.col("a").alias("key"), F.col("b").alias("n")).distinct()
     short_pairs = lists.filter("kind = 0").select("a", "b")
     some_long = not long_lists.isEmpty()
-    bits = pin(bitmaps(long_lists.select("key"), docs, classes, text, width)) if some_long else None
-    pairs = short_pairs.union(long_list_pairs(long_lists, bits, None, percent)) if some_long else short_pairs
-    links = pin(verified(pin(surviving(pairs.distinct(), facts)), docs, classes, text, width, percent))
+    links = pin(verified(pin(surviving(short_pairs.distinct(), facts)), docs, classes, text, width, percent))
+    if some_long:
+        sets = pin(listed_sets(long_lists.select("key"), docs, classes, facts, text, width))
+        links = links.union(pin(own_list_links(long_lists, sets, percent)))
     comps = connected(links)
     if some_long:
-        rest = pin(long_list_pairs(long_lists, bits, comps.select(F.col("node").alias("key"), F.col("root").alias("comp")), percent).distinct())
-        more = pin(verified(pin(surviving(rest, facts)), docs, classes, text, width, percent))
-        comps = connected(comps.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+        more = pin(mixed_list_links(long_lists, sets, comps, percent))
+        if not more.isEmpty():
+            comps = connected(comps.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     named = classes.join(comps.withColumnRenamed("node", "key"), "key", "left")
     firsts = named.filter("root is not null").groupBy("root").agg(F.min("first_id").alias("least_id"))
     known = named.join(firsts, "root", "left").select("key", F.coalesce("least_id", "first_id").alias("component"))
