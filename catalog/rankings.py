@@ -255,3 +255,13 @@ def permutation_importance(spark, folder):
         return metrics.regression_metrics(predicted, actual="response").first()["r2"]
 
     return importance.permutation_importance(rows, ["probability", "fold"], score, order=["wafer"])
+
+
+@query("repeated_permutation_importance", f"""WITH {SCORED}, p AS (SELECT *, row_number() OVER (ORDER BY md5('42|' || wafer), wafer) AS pos, count(*) OVER () AS n FROM scored),
+k AS (SELECT r, CAST('0x' || substr(md5('42|' || r), 1, 15) AS BIGINT) % ((SELECT count(*) FROM scored) - 1) + 1 AS shift FROM range(1, 6) AS t(r)),
+s AS (SELECT r, a.response AS y, 200 + 100 * a.probability + a.fold AS whole, 200 + 100 * b.probability + a.fold AS mp, 200 + 100 * a.probability + b.fold AS mf FROM p a CROSS JOIN k JOIN p b ON b.pos = (a.pos + shift - 1) % a.n + 1),
+d AS (SELECT r, (sum((y - mp) ** 2) - sum((y - whole) ** 2)) / (var_pop(y) * count(*)) AS probability, (sum((y - mf) ** 2) - sum((y - whole) ** 2)) / (var_pop(y) * count(*)) AS fold FROM s GROUP BY r)
+SELECT feature, {r('avg(v)', 'importance_mean')}, {r('stddev_pop(v)', 'importance_std')} FROM (UNPIVOT d ON probability, fold INTO NAME feature VALUE v) GROUP BY feature""")
+def repeated_permutation_importance(spark, folder):
+    rows = scored(spark, folder).withColumn("fold", F.col("fold").cast("double"))
+    return importance.repeated_permutation_importance(rows, ["probability", "fold"], lambda c: 200 + 100 * c["probability"] + c["fold"], "response", order=["wafer"])

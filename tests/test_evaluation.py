@@ -146,6 +146,16 @@ def test_attribution_sums_to_prediction(regression):
     assert drops["a"] > 0.5 and drops["c"] == pytest.approx(0.0)
 
 
+def test_repeated_permutation(regression):
+    rows = regression.fillna(0.0)
+    line = lambda c: 2 * c["a"] - c["b"] + 0 * c["c"]
+    got = {r.feature: r for r in importance.repeated_permutation_importance(rows, ["a", "b", "c"], line, "y", order=["row"]).collect()}
+    assert got["a"].importance_mean > got["b"].importance_mean > 0.1 and got["a"].importance_std > 0
+    assert got["c"].importance_mean == pytest.approx(0.0) and got["c"].importance_std == pytest.approx(0.0)
+    one = importance.repeated_permutation_importance(rows, ["a"], lambda c: 2 * c["a"] - F.col("b"), "y", order=["row"], repeats=1).first()
+    assert one.importance_std == 0.0 and importance.repeated_permutation_importance(rows.limit(0), ["a"], lambda c: c["a"], "y", order=["row"]).count() == 0
+
+
 @pytest.mark.parametrize("block", [10_000, 7])
 def test_knn_equals_brute_force(spark, block):
     rng = np.random.default_rng(5)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,7 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from yieldloom.operators.metrics import confusion_rates
@@ -100,6 +100,34 @@ def permutation_importance(df: DataFrame, features: Sequence[str], score: Callab
     return df.sparkSession.createDataFrame(rows, "feature string, importance double")
 
 
+def repeated_permutation_importance(df: DataFrame, features: Sequence[str], predict: Callable[[Mapping[str, Column]], Column], actual: str, *, order: Sequence[str], repeats: int = 5, seed: int = 42) -> DataFrame:
+    """(feature, importance_mean, importance_std): the drop of r2 when a column is shuffled, over several shuffles.
+
+    Rows stand in a seeded hash order; in each repeat every feature is taken from the row a seeded number of places
+    further on. All features and repeats are one plan: a row meets its donor once a repeat, and squared errors are summed by
+    feature and repeat. ``predict`` maps column expressions to the prediction. With one row nothing can move and all drops are 0;
+    the std (of the population) is 0 for one repeat.
+    """
+    known = df.filter(F.col(actual).isNotNull())
+    placed = pin(row_index(known.withColumn("_h", seeded_md5(seed, *order)), [], ["_h", *order], name="_pos").drop("_h"))
+    n = placed.count()
+    numbers = df.sparkSession.range(1, repeats + 1).select(F.col("id").alias("_repeat"), (seeded_number(seed, "id") % max(n - 1, 1) + 1).alias("_shift"))
+    y, whole = F.col(actual).cast("double"), predict({f: F.col(f"`{f}`") for f in features})
+    # One row a repeat: the shifts.
+    rows = placed.withColumns({"_y": y, "_error": (y - whole) ** 2}).crossJoin(F.broadcast(numbers)).withColumn("_from", (F.col("_pos") + F.col("_shift") - 1) % n + 1)
+    donors = placed.select(F.col("_pos").alias("_from"), *[F.col(f"`{f}`").alias(f"_moved{i}") for i, f in enumerate(features)])
+    met = rows.join(donors, "_from")
+
+    def moved(i: int) -> Column:
+        return predict({f: F.col(f"_moved{i}") if k == i else F.col(f"`{f}`") for k, f in enumerate(features)})
+
+    cells = F.array(*[F.struct(F.lit(f).alias("feature"), ((y - moved(i)) ** 2).alias("e")) for i, f in enumerate(features)])
+    errors = met.select("_repeat", "_y", "_error", F.explode(cells).alias("_c")).groupBy("_c.feature", "_repeat").agg(
+        ((F.sum("_c.e") - F.sum("_error")) / F.nullif(F.var_pop("_y") * F.count("_y"), F.lit(0.0))).alias("drop")
+    )
+    return errors.groupBy("feature").agg(F.avg("drop").alias("importance_mean"), F.stddev_pop("drop").alias("importance_std"))
+
+
 def knn(train: DataFrame, validation: DataFrame, *, key: str = "row", vector: str = "vector", target: str = "target", k: int = 5, block: int = BLOCK) -> DataFrame:
     """Distance-weighted mean target of the k nearest training rows, exact at any size.
 
