@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from yieldloom.llm import bpe, components, jaccard, pseudonyms, quality, roles, templates, wrappers
+from yieldloom.llm import bpe, common, components, jaccard, pseudonyms, quality, roles, templates, wrappers
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -191,3 +191,19 @@ def test_registered():
     names = entry.queries()
     assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
 
+
+def test_lots_and_memory(monkeypatch):
+    """Slices keep order, rows and bounds; a worker forgets what the next operator doesn't ask for."""
+    texts = ["x" * n for n in (10, 0, 70, 500, 5, 5, 5, 5)] + [None, "é" * 40]
+    batch = common.pa.RecordBatch.from_arrays([common.pa.array(range(10)), common.pa.array(texts)], names=["k", "t"])
+    monkeypatch.setattr(common, "BYTES_AT_A_TIME", 80)
+    monkeypatch.setattr(common, "ROWS_AT_A_TIME", 3)
+    cut = [lot.column(0).to_pylist() for lot in common.lots(batch)]
+    assert cut == [[0, 1, 2], [3], [4, 5, 6], [7, 8], [9]] and list(common.lots(batch.slice(0, 0))) == []
+    assert [lot.column(0).to_pylist() for lot in common.lots(batch.slice(2, 3))] == [[2], [3], [4]]
+    with common.only_used():
+        common.once("a", list)
+        kept = common.once("b", list)
+    with common.only_used():
+        assert common.once("b", dict) is kept
+    assert set(common.memory().entries) == {"b"}

@@ -6,8 +6,11 @@ import os
 import sys
 import types
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +23,8 @@ TOKENIZERS = os.environ.get("YIELDLOOM_TOKENIZERS", "/opt/tokenizers")
 WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
 PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
 
-#: Rows of one Arrow batch handed to an operator at a time: long texts stay few in memory.
-ROWS_AT_A_TIME = 512
+#: Rows and bytes of text handed to an operator at a time: long texts stay few in memory. A longer row goes alone.
+ROWS_AT_A_TIME, BYTES_AT_A_TIME = 512, 1 << 20
 #: A side of at most so many rows is broadcast; it is counted first.
 BROADCAST_ROWS = 100_000
 #: Otherwise both sides are dealt by key and salt, so a key with a third of all rows is spread over so many tasks.
@@ -37,6 +40,21 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def lots(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ROWS_AT_A_TIME rows and about BYTES_AT_A_TIME bytes."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    upto, start = np.cumsum(size), 0
+    while start < batch.num_rows:
+        before = upto[start - 1] if start else 0
+        end = int(np.searchsorted(upto, before + BYTES_AT_A_TIME, side="right"))
+        end = min(max(end, start + 1), start + ROWS_AT_A_TIME, batch.num_rows)
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def by_batch(df: DataFrame, schema: str, make: Callable[[], Callable[..., list]]) -> DataFrame:
     """Applies a function of whole columns in each task. ``make`` runs once per task and returns the function,
 
@@ -46,21 +64,41 @@ def by_batch(df: DataFrame, schema: str, make: Callable[[], Callable[..., list]]
     arrow = pa.schema([(name, ARROW[kind]) for name, kind in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = make()
+        with only_used():
+            work = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_A_TIME):
-                columns = [c.to_pylist() for c in batch.slice(at, ROWS_AT_A_TIME).columns]
+            for lot in lots(batch):
+                columns = [c.to_pylist() for c in lot.columns]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(work(*columns), arrow.types, strict=True)], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
 
+def memory() -> types.ModuleType:
+    """Objects that this process keeps from task to task (``entries``), and the keys asked for lately (``asked``)."""
+    if "yieldloom_worker_memory" not in sys.modules:
+        sys.modules["yieldloom_worker_memory"] = types.ModuleType("yieldloom_worker_memory")
+        sys.modules["yieldloom_worker_memory"].__dict__.update(entries={}, asked=set())
+    return sys.modules["yieldloom_worker_memory"]
+
+
 def once(key, make: Callable):
     """An object made once per process: workers outlive tasks, while a task's functions are unpickled anew each time."""
-    memory = sys.modules.setdefault("yieldloom_worker_memory", types.ModuleType("yieldloom_worker_memory")).__dict__
-    if key not in memory:
-        memory[key] = make()
-    return memory[key]
+    kept = memory()
+    kept.asked.add(key)
+    if key not in kept.entries:
+        kept.entries[key] = make()
+    return kept.entries[key]
+
+
+@contextmanager
+def only_used():
+    """Forgets what is not asked for inside: an operator's tables don't stay in a worker that has gone on to another one."""
+    kept = memory()
+    kept.asked.clear()
+    yield
+    for key in kept.entries.keys() - kept.asked:
+        del kept.entries[key]
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:
