@@ -116,18 +116,23 @@ def product_key(generic: Column, part: Column) -> Column:
     return F.when(suffix == "", name).otherwise(F.concat(name, F.lit("_"), suffix))
 
 
+# Date blocks in names, a year first, a year last, a year alone.
+DATE_YEAR_FIRST = r"(?:\b|_|-)((?:20|19)\d{6})(?:\b|_|-)"
+DATE_YEAR_LAST = r"(?:\b|_|-)(\d{4}(?:20|19)\d{2})(?:\b|_|-)"
+YEAR_ALONE = r"(?:\b|_|-)(20\d{2})(?:\b|_|-)"
+
+
 def fiscal_year(text: Column) -> Column:
     """Four-digit year of a date block in a name; the strictest pattern wins."""
     in_range = lambda year: year.try_cast("int").between(2010, 2040)
     tail, head = (lambda m: F.substring(m, 5, 4)), (lambda m: F.substring(m, 1, 4))
     blocks = F.regexp_extract_all(text, F.lit(r"_(\d{8})_"), F.lit(1))
     years = F.transform(blocks, lambda m: F.when(in_range(tail(m)), tail(m)).when(in_range(head(m)), head(m)))
-    edge = r"(?:\b|_|-)"
     return F.coalesce(
         F.get(F.filter(years, lambda y: y.isNotNull()), F.lit(0)),
-        F.substring(_match(text, edge + r"((?:20|19)\d{6})" + edge, 1), 1, 4),
-        F.substring(_match(text, edge + r"(\d{4}(?:20|19)\d{2})" + edge, 1), 5, 4),
-        _match(text, edge + r"(20\d{2})" + edge, 1),
+        F.substring(_match(text, DATE_YEAR_FIRST, 1), 1, 4),
+        F.substring(_match(text, DATE_YEAR_LAST, 1), 5, 4),
+        _match(text, YEAR_ALONE, 1),
         F.lit("Unknown"),
     )
 

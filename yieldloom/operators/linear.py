@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from yieldloom.operators.imputation import long_values, present
-from yieldloom.plans import group_stats, measured
+from yieldloom.plans import bounded, group_stats
 
 #: A column whose variance is below this share of its squared mean is constant but for rounding.
 CONSTANT = 1e-18
@@ -153,7 +153,7 @@ def predicted(df: DataFrame, lines: Mapping[int, Line], features: Sequence[str],
     """Adds the prediction of the line of each row's fold; rows of other folds are left out."""
     rows = [(k, line.intercept, [*map(float, line.weights), *map(float, line.indicators)], [*map(float, line.medians)]) for k, line in lines.items()]
     table = df.sparkSession.createDataFrame(rows, "_fold long, _intercept double, _weights array<double>, _medians array<double>")
-    joined = df.join(measured(table), F.col(fold).cast("long") == F.col("_fold"))
+    joined = df.join(bounded(table, len(rows)), F.col(fold).cast("long") == F.col("_fold"))
     cells = F.array(*[F.coalesce(present(f), F.col("_medians")[i]) for i, f in enumerate(features)], *[present(f).isNull().cast("double") for f in features])
     shares = F.zip_with(cells, F.col("_weights"), lambda x, w: x * w)
     value = F.aggregate(shares, F.col("_intercept"), lambda total, x: total + x)

@@ -105,6 +105,14 @@ def discover_products(files: DataFrame, root: str) -> DataFrame:
     return best.select("family", "product", parts[0].alias("generic"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("partname"), "lot_id", "yield_pct", "path")
 
 
+# Labels of header lines and the forms of part and lot names.
+HEADER_PART = r"(?i)(?:part\s*name|part|ptyp)[\s:=,]+([A-Za-z0-9_\-]+)"
+HEADER_LOT = r"(?i)(?:lot\s*id|lot)[\s:=,]+([A-Za-z0-9_\-]+)"
+HEADER_GENERIC = r"(?i)generic[\s:=,]+([A-Za-z0-9_\-]+)"
+PART_FORM = r"^MT[0-9A-Z]{5,}"
+LOT_FORM = r"^(?:LOT|CDK|WAFER)[0-9A-Z]*"
+
+
 def sniff_metadata(files: DataFrame, tester_map: DataFrame) -> DataFrame:
     """part, lot, generic and tester per file from decoded header facts, header text, file name, then the tester map.
 
@@ -118,9 +126,9 @@ def sniff_metadata(files: DataFrame, tester_map: DataFrame) -> DataFrame:
     first = lambda test: F.get(F.filter(tokens, test), F.lit(0))
     plain = (fact("mir_part").isNull() & fact("mir_lot").isNull())
     header = lambda pattern: F.when(plain, found(pattern))
-    part = F.coalesce(fact("mir_part"), header(r"(?i)(?:part\s*name|part|ptyp)[\s:=,]+([A-Za-z0-9_\-]+)"), F.upper(first(lambda t: F.upper(t).rlike(r"^MT[0-9A-Z]{5,}"))))
-    lot = F.coalesce(fact("mir_lot"), header(r"(?i)(?:lot\s*id|lot)[\s:=,]+([A-Za-z0-9_\-]+)"), first(lambda t: F.upper(t).rlike(r"^(?:LOT|CDK|WAFER)[0-9A-Z]*")))
-    generic = F.coalesce(header(r"(?i)generic[\s:=,]+([A-Za-z0-9_\-]+)"), F.upper(first(lambda t: F.upper(t).isin(*GENERICS))))
+    part = F.coalesce(fact("mir_part"), header(HEADER_PART), F.upper(first(lambda t: F.upper(t).rlike(PART_FORM))))
+    lot = F.coalesce(fact("mir_lot"), header(HEADER_LOT), first(lambda t: F.upper(t).rlike(LOT_FORM)))
+    generic = F.coalesce(header(HEADER_GENERIC), F.upper(first(lambda t: F.upper(t).isin(*GENERICS))))
     rows = files.select("path", part.alias("partname"), lot.alias("lot_id"), generic.alias("generic"), fact("mir_tester").alias("tester"))
     by_part = tester_map.groupBy(F.upper(F.trim("partname")).alias("_part")).agg(F.min("generic").alias("_g"), F.min("tester").alias("_t"))
     by_generic = tester_map.groupBy(F.upper(F.trim("generic")).alias("_gen")).agg(F.min("partname").alias("_p"))
