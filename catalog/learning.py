@@ -105,14 +105,14 @@ def benchmark_runs(spark, folder):
     return out.drop("seconds")
 
 
-@query("chronological_benchmark", f"""WITH {FT}, c AS (SELECT *, CAST(floor(wafer / 100) AS INTEGER) AS campaign FROM ft), last AS (SELECT DISTINCT campaign FROM c ORDER BY 1 DESC LIMIT 3),
+@query("chronological_benchmark", f"""WITH {FT}, c AS (SELECT *, CAST(floor(wafer / 20) AS INTEGER) AS campaign FROM ft), last AS (SELECT DISTINCT campaign FROM c ORDER BY 1 DESC LIMIT 3),
 dev AS (SELECT * FROM c WHERE campaign NOT IN (FROM last)), {GRID.format(rows='dev')}, {ridge('m', TRAIN, FEATURES)}, {ridge('f', 'SELECT 0 AS g, * FROM dev', FEATURES)},
 l AS (SELECT 'development' AS split, 'ridge' AS model, a, p FROM ({_held('m', FEATURES, 'fold')}) UNION ALL
   SELECT 'holdout', 'ridge', response, {line(FEATURES)} FROM c CROSS JOIN f WHERE campaign IN (FROM last) UNION ALL
   SELECT 'holdout', 'mean', response, (SELECT avg(response) FROM dev) FROM c WHERE campaign IN (FROM last))
 SELECT split, model, {METRICS} FROM l GROUP BY split, model""")
 def chronological_benchmark(spark, folder):
-    rows = feature_table(spark, folder).withColumn("campaign", F.floor(F.col("wafer") / 100).cast("int"))
+    rows = feature_table(spark, folder).withColumn("campaign", F.floor(F.col("wafer") / 20).cast("int"))
     ledger = models.chronological_benchmark(rows, ["wafer"], FEATURES, "response", _ridge(), last=3)
     return metrics.regression_metrics(ledger, ["split", "model"])
 

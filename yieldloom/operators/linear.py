@@ -42,6 +42,8 @@ class FoldSums:
         means = self.df.agg(*[F.avg(present(c)).alias(f"_{i}") for i, c in enumerate(columns)]).first()
         self.shift = np.array([means[f"_{i}"] or 0.0 for i in range(len(columns))])
         self.sums = self._collect()
+        if not self.sums:
+            raise ValueError("no rows to learn from")
         self.total = sum(self.sums.values())
         self._medians: dict[tuple, np.ndarray] = {}
 
