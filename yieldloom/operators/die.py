@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from yieldloom.functions.text import normalize_colname
-from yieldloom.plans import HotKeys, bounded, find_hot, group_stats, row_index
+from yieldloom.plans import HotKeys, bounded, find_hot, group_stats, measured, row_index
 
 OUTLIER_SPAN = 3.0
 NEAR_SHARE = 0.05
@@ -47,10 +47,13 @@ def valid_coordinates(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
 
 
 def test_columns(df: DataFrame, test: str = "test_id") -> DataFrame:
-    """Long rows whose test is a measurement, not a die attribute, coordinate or timing."""
+    """Long rows whose test is a measurement, not a die attribute, coordinate or timing.
+
+    Each distinct name is judged once; rows without a name are no tests.
+    """
     name = normalize_colname(F.col(test))
     refused = name.isin(*META_COLUMNS) | name.rlike("|".join(NON_TEST_PARTS))
-    return df.filter(~refused)
+    return df.filter(F.col(test).isNotNull()).join(measured(df.select(test).distinct().filter(refused)), test, "left_anti")
 
 
 def col_stats(df: DataFrame, keys: Sequence[str], value: str = "value", *, limits: DataFrame | None = None, test: str = "test_id", hot: HotKeys | None = None, hot_rows: int | None = None) -> DataFrame:
