@@ -207,3 +207,63 @@ def test_lots_and_memory(monkeypatch):
     with common.only_used():
         assert common.once("b", dict) is kept
     assert set(common.memory().entries) == {"b"}
+
+
+def test_copies_on_a_host_keep_their_text(spark):
+    """Copies are one page: neither what they share nor an element that only they have is boilerplate."""
+    said = [" ".join(f"s{k}w{i}" for i in range(60)) for k in range(4)]
+    body = "".join(f"<p>{x}</p>" for x in said)
+    frames = ("<body><article><h1>T</h1>{}</article></body>", "<body><div id='x'>{}</div></body>", "<body><div id='x'><div id='z'>{}</div></div><div id='y'><p>note</p></div></body>")
+    rows, want = [], {}
+    for h, (frame, copies) in enumerate((f, n) for f in frames for n in (2, 3, 50)):
+        for k in range(copies):
+            key = 100 * h + k
+            rows.append((key, f"http://h{h}.example/{k}", frame.format(body + f"<p>Printed copy {k}</p>")))
+            want[key] = "\n\n".join((["T"] if "article" in frame else []) + said + [f"Printed copy {k}"] + (["note"] if "note" in frame else []))
+    # A group of copies beside other pages, in an element that those don't have.
+    other = [" ".join(f"o{k}w{i}" for i in range(60)) for k in range(6)]
+    rows += [(2000 + k, "http://mixed.example/", "<body><section>" + body + f"<p>Printed copy {k}</p></section></body>") for k in range(9)]
+    rows += [(2100 + k, "http://mixed.example/", f"<body><div><p>{x}</p></div></body>") for k, x in enumerate(other)]
+    want |= {2000 + k: "\n\n".join([*said, f"Printed copy {k}"]) for k in range(9)} | {2100 + k: x for k, x in enumerate(other)}
+    got = {r.page_id: r.text for r in wrappers.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert got == want
+
+
+def test_wrappers_find_what_names_do_not_tell(spark):
+    said = [" ".join(f"a{k}w{i}" for i in range(30)) for k in range(5)]
+    page = "<body><div class='q1'><p>Home</p><p>Shops near you</p></div><div class='q2'><p>{}</p></div><div class='q3'><p>All rights with us</p></div></body>"
+    rows = [(k, "http://a.example/", page.format(x)) for k, x in enumerate(said)]
+    got = wrappers.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)).collect()
+    assert {r.page_id: r.text for r in got} == dict(enumerate(said))
+    assert all(wrappers.main_text(html, None, []) != said[k] for k, _, html in rows)
+
+
+@pytest.mark.parametrize("deep", [10, 150, 198, 199, 200, 201, 250, 1000, 20_000])
+def test_deep_elements(deep):
+    page = "<body><p>top</p>" + "<div>" * deep + "<p>one</p><nav><ul><li>menu<div>more</div>text</li></ul></nav><p>two<section>in</section>three" + "</div>" * deep + "<p>end</p></body>"
+    assert wrappers.main_text(page, None, []) == "top\n\none\n\ntwo\n\nin\n\nthree\n\nend"
+    page = "<body><p>top</p>" + "<div>" * deep + "<article><h1>one</h1><aside><p>bad</p></aside><p>two</p></article>bad" + "</div>" * deep + "</body>"
+    assert wrappers.main_text(page, None, []) == "one\n\ntwo"
+
+
+def test_formulas_stay():
+    math = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding='tex'>bad</annotation></semantics></math>"
+    assert wrappers.main_text(f"<article><p>Let {math} be</p></article>", None, []) == "Let x=2 be"
+
+
+def test_alignment_against_brute_force():
+    """The parts that two pages share are a longest common subsequence of their signatures."""
+    rng = random.Random(4)
+    part = lambda sig: [sig, False, False, "", 0, False, [], 1, set()]
+    for _ in range(200):
+        a, b = ([rng.choice("uvw") for _ in range(rng.randrange(6))] for _ in range(2))
+        a, b = ([x for k, x in enumerate(side) if k == 0 or side[k - 1] != x] for side in (a, b))
+        subsequences = lambda x: {tuple(x[k] for k in range(len(x)) if mask >> k & 1) for mask in range(1 << len(x))}
+        longest = max(len(x) for x in subsequences(a) & subsequences(b))
+        kept = wrappers.folded
+        try:
+            wrappers.folded = lambda parts: parts
+            got = wrappers.aligned([*map(part, a)], [*map(part, b)])
+        finally:
+            wrappers.folded = kept
+        assert len(got) == len(a) + len(b) - longest and sum(not p[wrappers.OPTIONAL] for p in got) == longest

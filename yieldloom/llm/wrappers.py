@@ -6,20 +6,27 @@ import hashlib
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import nsmallest
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from yieldloom.llm.common import by_batch, measured_join
+from yieldloom.llm.common import by_batch, measured_join, pin
 
 # Names of the markup language and of usual page furniture.
-RAW = "script|style|textarea|title|noscript|template|iframe|svg|math|object|select|button|noframes|xmp"
+RAW = "script|style|textarea|title|noscript|template|iframe|svg|annotation|annotation-xml|object|select|button|noframes|xmp"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr br".split())
+INLINE = frozenset(
+    "a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr br "
+    "math semantics maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup "
+    "mtable mtd mtext mtr munder munderover none".split()
+)
 FURNITURE = frozenset("nav footer aside form head menu dialog".split())
 CLASSES = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo banner cookie cookies consent notice notices alert popup modal newsletter subscribe subscription "
@@ -51,77 +58,99 @@ SHARE = 0.6
 SALTS = 64
 #: Hosts whose wrappers a task keeps in memory before it hands them on, or as objects while it cuts pages.
 HOSTS_HELD, WRAPPERS_HELD = 2_000, 256
+#: Hosts' wrappers are broadcast up to so many characters; they are counted first.
+BROADCAST_CHARS = 1 << 26
 #: Text on so many pages of a host, and on all that have its element, is boilerplate; within a marked main element on so many.
+#: The host must have so many pages of which none is a copy of another.
 LEAST_PAGES, LEAST_PAGES_MAIN = 2, 3
-#: Elements deeper than this are read as children of the last one.
+#: Smallest hashes of five-word shingles kept of a page, and the share of them that copies have in common.
+SKETCH, WIDTH, LIKENESS = 64, 5, 0.6
+#: A page of which less than this share is left without constant text is a copy (such sets of shingles are alike at 0.8).
+LEFT = 1 / 9
+#: Elements deeper than this are children of the element at this depth, in page order; they keep what holds for those around them.
 DEEPEST = 200
 
 
 class Node:
     """An element: its signature, its own text blocks and its children in order, and digests of its text (see ``signed``)."""
 
-    __slots__ = ("sig", "name", "words", "items", "own", "whole")
+    __slots__ = ("sig", "name", "words", "around", "items", "own", "whole")
 
-    def __init__(self, sig: str, name: str, words: frozenset):
+    def __init__(self, sig: str, name: str, words: frozenset, around: tuple = (False, False, False)):
+        #: Whether the elements around it, where they are not above it in the tree, are furniture (outside and inside of main elements) or main.
+        self.around = around
         self.sig, self.name, self.words, self.items, self.own, self.whole = sig, name, words, [], "", ""
 
 
-def opened(name: str, attributes: str) -> Node:
+def opened(name: str, attributes: str, around: tuple = (False, False, False)) -> Node:
     named = {k.lower(): (a or b or c).lower() for k, a, b, c in NAMED.findall(attributes)} if attributes else {}
     marks = f"{named.get('class', '')} {named.get('id', '')}".strip()
     words = frozenset(w.rstrip("0123456789-_") for w in marks.split())  # whole names but for their numbers
     if named.get("role") == "main" or named.get("itemprop") == "articlebody":
         words |= {"main"}
     sig = name + "".join(f".{w}" for w in sorted(re.sub(r"\d+", "9", marks).split()))
-    return Node(sig, name, words)
+    return Node(sig, name, words, around)
 
 
 def parse(text: str) -> Node:
     """The tree of a page. Inline elements leave no trace, scripts and the like are skipped, open elements end with the page."""
     root = Node("", "", frozenset())
     stack, pieces = [root], []
+    open_names: Counter = Counter()
 
     def flush():
         if pieces:
             block = SPACES.sub(" ", html.unescape("".join(pieces))).strip()
             pieces.clear()
             if block:
+                if len(stack) > DEEPEST and stack[DEEPEST - 1].items[-1] is not stack[-1]:  # it goes on behind elements inside it
+                    on = stack[-1]
+                    stack[-1] = Node(on.sig, on.name, on.words, on.around)
+                    stack[DEEPEST - 1].items.append(stack[-1])
                 stack[-1].items.append(block)
 
+    def pop() -> str:
+        name = stack.pop().name
+        open_names[name] -= 1
+        return name
+
     at = 0
     while m := TOKEN.match(text, at):
         at = m.end()
         if m["text"] is not None:
             if stack[-1].name == "head" and not m["text"].isspace():
-                stack.pop()
+                pop()
             pieces.append(m["text"])
         elif m["name"] is not None:
             name = m["name"].lower()
             if stack[-1].name == "head" and not m["close"] and name not in HEAD_ONLY:
                 flush()
-                stack.pop()
+                pop()
             if name in INLINE or name == "html":
                 if name == "br":
                     pieces.append(" ")
                 continue
             flush()
             if m["close"]:
-                inner = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name), 0)
-                if inner:
-                    del stack[inner:]
+                if open_names[name]:
+                    while pop() != name:
+                        pass
                 continue
             ends = CLOSED_BY.get(name)
             if ends is None and stack[-1].name == "p":
                 ends = CLOSED_BY["p"]
             while ends and stack[-1].name in ends:
-                stack.pop()
+                pop()
             if name not in VOID:
-                node = opened(name, m["attributes"])
-                stack[-1].items.append(node)
-                if not (m["attributes"].endswith("/") and CLOSED.search(m["attributes"])) and len(stack) < DEEPEST:
+                deep = len(stack) > DEEPEST
+                node = opened(name, m["attributes"], (is_furniture(stack[-1], False), is_furniture(stack[-1], True), is_main(stack[-1])) if deep else (False, False, False))
+                stack[min(len(stack), DEEPEST) - 1].items.append(node)
+                if not (m["attributes"].endswith("/") and CLOSED.search(m["attributes"])):
                     stack.append(node)
+                    open_names[name] += 1
         elif m["raw"] is not None:
-            flush()
+            if not m["raw"].lower().startswith("annotation"):  # within a formula, which is inline
+                flush()
             if not (m["marks"].endswith("/") and CLOSED.search(m["marks"])):
                 end = RAW_ENDS[m["raw"].lower()].search(text, at)
                 at = end.end() if end else len(text)
@@ -143,7 +172,7 @@ def signed(node: Node) -> Node:
 
 
 def is_main(node: Node) -> bool:
-    return node.name in MAIN or bool(node.words & MAIN_CLASSES)
+    return node.around[2] or node.name in MAIN or bool(node.words & MAIN_CLASSES)
 
 
 def is_aside(word: str) -> bool:
@@ -152,6 +181,8 @@ def is_aside(word: str) -> bool:
 
 
 def is_furniture(node: Node, inside: bool) -> bool:
+    if node.around[inside]:
+        return True
     if node.name in NEVER_ASIDE:
         return False
     return node.name in FURNITURE or any(map(is_aside, node.words)) or (not inside and (node.name in OUTSIDE or bool(node.words & OUTSIDE)))
@@ -227,7 +258,7 @@ def expression(node: Node, inside: bool = False) -> list:
     texts = [i for i in node.items if isinstance(i, str)]
     text = "=" + " ".join(texts) if texts else ""
     if len(text) > 200:
-        text = "#"  # long text counts in search of the region, where a host has one page only; ``same`` has its digest
+        text = "=" + digest(text)
     parts = folded([expression(i, inside) for i in node.items if isinstance(i, Node)])
     return [node.sig, False, False, text, sum(map(len, texts)), is_furniture(node, inside), parts, 1, {d for d in (node.own, node.whole) if d}]
 
@@ -341,41 +372,73 @@ def at_region(root: Node, wrapper: list | None, way: list[str]) -> list[tuple[No
     return found
 
 
-def main_text(page: str | None, wrapper: list | None, way: list[str]) -> str:
+def sketch(root: Node) -> list[int]:
+    """The smallest hashes of the five-word shingles of a page's text outside of furniture, or of main elements that hold most of it."""
+    words = " ".join(blocks(root, None, False)).split()
+    main = " ".join(b for node, _ in mains(root, None, float("inf")) for b in blocks(node, None, True)).split()
+    words = main if 2 * len(main) >= len(words) else words
+    if not words:
+        return []
+    return nsmallest(SKETCH, {xxhash.xxh3_64_intdigest(" ".join(words[k : k + WIDTH]).encode("utf-8", "replace")) for k in range(max(1, len(words) - WIDTH + 1))})
+
+
+def are_copies(a: list[int], b: list[int]) -> bool:
+    least, both = nsmallest(SKETCH, {*a, *b}), {*a}.intersection(b)
+    return sum(h in both for h in least) >= LIKENESS * len(least)
+
+
+def distinct_pages(kept: list[list[int]], more: list[list[int]]) -> list[list[int]]:
+    """Sketches of up to LEAST_PAGES_MAIN pages of which none is a copy of another; further ones change nothing."""
+    for one in more:
+        if one and len(kept) < LEAST_PAGES_MAIN and not any(are_copies(one, k) for k in kept):
+            kept = [*kept, one]
+    return kept
+
+
+def main_text(page: str | None, wrapper: list | None, way: list[str], distinct: int = LEAST_PAGES_MAIN) -> str:
     """Blocks of a page in the text slots of its host's expression, without constant text and furniture.
 
-    The slots are those of the marked main elements that hold variable text, or else of the host's region. Where whole
-    pages are the same, and where two pages are for the most part, they are copies and tell nothing of constant text.
+    The slots are those of the marked main elements that hold variable text, or else of the host's region. Only text of
+    as many ``distinct`` pages (none a copy of another, see ``distinct_pages``) can be constant. A page that would lose
+    nearly all of its main text, or of all text outside of furniture, is a copy of others and keeps it.
     """
     if not page:
         return ""
     root = signed(parse(page))
-    least = (LEAST_PAGES, LEAST_PAGES_MAIN)
-    if constant(root.whole, wrapper, 1):
-        least = (float("inf"),) * 2
-    marked = [*mains(root, wrapper, least[1])]
-    chosen = marked or at_region(root, wrapper, way)
-    text = "\n\n".join(b for node, part in chosen for b in blocks(node, part, bool(marked), least))
-    if wrapper and wrapper[PAGES] == LEAST_PAGES:
-        every = "\n\n".join(b for node, part in chosen for b in blocks(node, part, bool(marked)))
-        return text if 2 * len(text) >= len(every) else every
-    return text
+    least = tuple(n if distinct >= n else float("inf") for n in (LEAST_PAGES, LEAST_PAGES_MAIN))
+
+    def text(chosen, inside, least) -> str:
+        return "\n\n".join(b for node, part in chosen for b in blocks(node, part, inside, least))
+
+    def chosen(least) -> str:
+        marked = [*mains(root, wrapper, least[1])]
+        return text(marked or at_region(root, wrapper, way if distinct >= LEAST_PAGES else []), bool(marked), least)
+
+    found, never = chosen(least), (float("inf"),) * 2
+    if wrapper is None or distinct < LEAST_PAGES:
+        return found
+    marked = [*mains(root, wrapper, never[1])]
+    every = text(marked or [(root, wrapper)], bool(marked), never)
+    return found if len(found) >= LEFT * len(every) else every
 
 
 def infer_wrappers(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
-    """host, wrapper (JSON), region (JSON) for each host of ``pages``, aligned over all its pages.
+    """host, wrapper (JSON), region (JSON), distinct (pages that are no copies, up to three) for each host of ``pages``.
 
     Alignment folds page after page into one expression per host within each task; the tasks' expressions are then
     aligned by host and salt and last by host, so a host with a third of all pages is never one task's input.
     """
 
     def fold(batches):
-        held: dict[str, list] = {}
+        held: dict[str, tuple[list, list]] = {}
         for batch in batches:
             for host, page in zip(*[c.to_pylist() for c in batch.columns]):
                 if page:
-                    own = expression(signed(parse(page)))
-                    held[host] = fused(held[host], own) if host in held else own
+                    root = signed(parse(page))
+                    own, (before, kept) = expression(root), held.get(host, (None, []))
+                    if len(kept) < LEAST_PAGES_MAIN:
+                        kept = distinct_pages(kept, [sketch(root)])
+                    held[host] = (fused(before, own) if before else own, kept)
                     if len(held) > HOSTS_HELD:
                         yield handed(held)
                         held = {}
@@ -383,19 +446,22 @@ def infer_wrappers(pages: DataFrame, url: str = "url", source: str = "html") ->
             yield handed(held)
 
     def handed(held):
-        return pa.RecordBatch.from_pydict({"host": [*held], "wrapper": [dumped(w) for w in held.values()]})
+        data = {"host": [*held], "wrapper": [dumped(w) for w, _ in held.values()], "sketches": [json.dumps(k) for _, k in held.values()]}
+        return pa.RecordBatch.from_pydict(data)
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
-        total = None
-        for w in sorted(group["wrapper"]):
+        total, kept = None, []
+        for w, more in sorted(zip(group["wrapper"], group["sketches"])):
             total = fused(total, json.loads(w)) if total else json.loads(w)
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [dumped(total)]})
+            kept = distinct_pages(kept, json.loads(more))
+        return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [dumped(total)], "sketches": [json.dumps(kept)]})
 
-    partial = pages.select(host_of(F.col(url)).alias("host"), source).mapInArrow(fold, "host string, wrapper string")
+    schema = "host string, wrapper string, sketches string"
+    partial = pages.select(host_of(F.col(url)).alias("host"), source).mapInArrow(fold, schema)
     salted = partial.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
-    merged = salted.groupBy("host", "salt").applyInPandas(merge, "host string, wrapper string").groupBy("host").applyInPandas(merge, "host string, wrapper string")
+    merged = salted.groupBy("host", "salt").applyInPandas(merge, schema).groupBy("host").applyInPandas(merge, schema)
     found = F.udf(lambda w: json.dumps(region(json.loads(w))), "string")  # once per host
-    return merged.withColumn("region", found("wrapper"))
+    return merged.select("host", "wrapper", found("wrapper").alias("region"), F.json_array_length("sketches").alias("distinct"))
 
 
 def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
@@ -403,10 +469,11 @@ def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "ur
 
     Wrappers are inferred first; each page is then matched against its host's, whose slots and constant texts decide
     which blocks stay. A null or empty page has an empty text; pages without a host share one wrapper. Repeated rows give
-    repeated rows, other columns are ignored. Wrappers are broadcast when hosts were counted to be few, and joined with
-    salt otherwise.
+    repeated rows, other columns are ignored; copies of one page, however many, tell nothing of constant text. Wrappers are
+    inferred once, broadcast when hosts and characters were counted to be few, and joined with salt otherwise.
     """
-    facts = infer_wrappers(pages, url, source).select("host", "wrapper", "region")
+    facts = pin(infer_wrappers(pages, url, source))
+    few = facts.agg(F.coalesce(F.sum(F.length("wrapper")), F.lit(0))).first()[0] <= BROADCAST_CHARS
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(source).alias("html"), host_of(F.col(url)).alias("host"))
 
     def make():
@@ -414,10 +481,11 @@ def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "ur
         def loaded(wrapper, region):
             return (with_sets(json.loads(wrapper)), json.loads(region)) if wrapper else (None, [])
 
-        def work(ids, urls, sources, wrappers, regions):
-            texts = [main_text(s, *loaded(w, r)) for s, w, r in zip(sources, wrappers, regions)]
+        def work(ids, urls, sources, wrappers, regions, distinct):
+            texts = [main_text(s, *loaded(w, r), d or 0) for s, w, r, d in zip(sources, wrappers, regions, distinct)]
             return [ids, urls, texts, [len(t) for t in texts]]
 
         return work
 
-    return by_batch(measured_join(rows, facts, "host", limit=HOSTS_HELD).select("page_id", "url", "html", "wrapper", "region"), "page_id long, url string, text string, n_chars long", make)
+    joined = measured_join(rows, facts, "host", limit=HOSTS_HELD if few else 0)
+    return by_batch(joined.select("page_id", "url", "html", "wrapper", "region", "distinct"), "page_id long, url string, text string, n_chars long", make)
