@@ -499,3 +499,20 @@ def test_feistel_is_a_derangement(n, key):
     image = [net.pseudonym("k", x, n) for x in range(n)]
     assert sorted(image) == list(range(n)) and all(net.pseudonym("k", y, n, -1) == x != y for x, y in enumerate(image))
 
+
+
+@pytest.mark.parametrize("task", [0, 32_767, 32_768, 40_000, (1 << 22) - 1])
+def test_places_of_many_tasks(task):
+    """Places of a late task fit a long and tell block and word."""
+    for serial in (0, (1 << hmm.SERIAL_BITS) - 1):
+        block = hmm.block_number(task, serial)
+        got = hmm.places(block, 3)
+        assert got.dtype == np.int64 and (got >= 0).all()
+        assert (got >> hmm.PLACE_BITS).tolist() == [block] * 3 and (got & ((1 << hmm.PLACE_BITS) - 1)).tolist() == [0, 1, 2]
+        assert (block >> hmm.SERIAL_BITS, block & ((1 << hmm.SERIAL_BITS) - 1)) == (task, serial)
+
+
+def test_places_beyond_a_long_are_refused():
+    for task, serial in ((1 << 22, 0), (0, 1 << hmm.SERIAL_BITS)):
+        with pytest.raises(OverflowError):
+            hmm.block_number(task, serial)

@@ -27,8 +27,9 @@ LANES, CELLS = 256, 1 << 18
 SMOOTHING, STAY, NOISE, SEED = 0.05, 0.9, 0.3, 6
 BLOCK = pa.schema([("block", pa.int64()), ("docs", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("tokens", pa.binary()), ("words", pa.binary())])
 WORD = pa.schema([("place", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
-#: A place is a block's number and, in the lowest bits, a word's number in the block's list.
-PLACE_BITS = 24
+#: A block's number is its task's (up to 2^22) and, in the lowest bits, its own among the task's blocks; a place is a
+#: block's number and, in the lowest bits, a word's number in the block's list. A text of Spark's largest size has fewer words.
+SERIAL_BITS, PLACE_BITS = 13, 28
 CODED = "block long, docs array<long>, held array<boolean>, sizes array<long>, tokens binary, counts binary, ids binary, hashes binary, shared long"
 COUNTED = "part long, block long, at binary, ids binary, counts binary"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -81,11 +82,23 @@ class Block:
         self.tokens += len(words) + 1
 
     def row(self):
-        block = (TaskContext.get().partitionId() << 24) + self.serial
+        block = block_number(TaskContext.get().partitionId(), self.serial)
+        if len(self.number) >> PLACE_BITS:
+            raise OverflowError(f"{len(self.number)} distinct words in one block")
         data = [[block], [self.docs], [self.held], [self.sizes], [zlib.compress(np.concatenate(self.parts).tobytes(), 1)], [zlib.compress(b" ".join(self.number), 1)]]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(data, BLOCK.types)], schema=BLOCK)
 
 
+def block_number(task: int, serial: int) -> int:
+    if serial >> SERIAL_BITS or task >> (63 - PLACE_BITS - SERIAL_BITS):
+        raise OverflowError(f"block {serial} of task {task}: read the texts with more or fewer tasks")
+    return (task << SERIAL_BITS) + serial
+
+
+def places(block: int, words: int) -> np.ndarray:
+    return (block << PLACE_BITS) + np.arange(words)
+
+
 def token_array(packed: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(packed), np.uint32)
 
@@ -97,7 +110,7 @@ def block_words(packed: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 words = zlib.decompress(row["words"]).split(b" ")
-                data = [(row["block"] << PLACE_BITS) + np.arange(len(words)), words, trained(row, len(words))]
+                data = [places(row["block"], len(words)), words, trained(row, len(words))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(data, WORD.types)], schema=WORD)
 
     return packed.select("block", "held", "sizes", "tokens", "words").mapInArrow(run, "place long, word binary, n long")
