@@ -14,7 +14,7 @@ from catalog.base import query, r, table
 from yieldloom.operators import golden
 from yieldloom.plans import row_index
 from yieldloom.session import scratch_path
-from yieldloom.sources import csvtext, dlog, inventory, provenance, stdf
+from yieldloom.sources import csvtext, dlog, heads, inventory, provenance, stdf
 
 
 @query("scan_semicolon_cp1252", """SELECT CAST(user_id AS VARCHAR) AS lot, count(*) AS rows, count(*) FILTER (event_id % 5 = 0) AS umlauts FROM events GROUP BY user_id""")
@@ -218,6 +218,77 @@ def scan_tester_map(spark, folder):
     return csvtext.generics_by_tester(csvtext.scan_tester_map(raw))
 
 
+def _headed_files(spark, rows, heads, path):
+    """Writes (file, value) rows as text, one file per ``file``, below its own first lines."""
+    first = spark.createDataFrame([(f, n, line) for f, lines in heads.items() for n, line in enumerate(lines)], "file int, place int, value string")
+    every = rows.select(F.col("file").cast("int"), F.lit(1_000).alias("place"), "value").unionByName(first)
+    every.repartition("file").sortWithinPartitions("file", "place").select("file", "value").write.partitionBy("file").text(path)
+
+
+def _spelled(k, *forms):
+    """Text of one of several spellings, by file."""
+    return F.element_at(F.array(*forms), (k % len(forms) + 1).cast("int"))
+
+
+@query("read_limits", f"""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'T' || p_partkey || '.0' WHEN 1 THEN p_partkey || '.0' ELSE 't' || p_partkey || '_0' END AS test_id, p_partkey || '_0' AS test_key, CASE WHEN p_partkey % 5 <> 0 THEN {r('CAST(p_size AS DOUBLE)', 'x').split(' AS x')[0]} END AS lsl, {r('p_retailprice', 'usl')} FROM part""")
+def read_limits(spark, folder):
+    k, low, high = F.col("p_partkey"), F.when(F.col("p_partkey") % 5 != 0, F.col("p_size").cast("string")).otherwise(""), F.col("p_retailprice").cast("string")
+    value = _spelled(
+        k, F.concat(F.lit(" T"), k, F.lit('.0;"a; b";'), low, F.lit(";"), high), F.concat(k, F.lit(".0,"), low, F.lit(","), high), F.concat(F.lit("t"), k, F.lit("_0\tname\t"), high, F.lit("\t"), low)
+    )
+    lines = [["limits of a product", "", "made by;planner", "Test Number;Description;STDF Min;STDF Max"], ["test_num,min_limit,max_limit"], ["revision\t4", "TEST NUM\tName\tMax Limit\tMin Limit"]]
+    path = scratch_path(spark, "limits")
+    _headed_files(spark, table(spark, folder, "part").select((k % 6).alias("file"), value.alias("value")), {f: lines[f % 3] for f in range(6)}, path)
+    return csvtext.read_limits(spark, path).withColumn("p_partkey", F.regexp_extract("test_id", r"(\d+)", 1).cast("long"))
+
+
+@query("read_yield_map", "SELECT CAST(s_suppkey AS VARCHAR) AS lot, CAST(s_nationkey AS DOUBLE) AS \"yield\" FROM supplier WHERE s_suppkey % 4 <> 0")
+def read_yield_map(spark, folder):
+    k = F.col("s_suppkey")
+    value = F.when(k % 4 != 0, F.col("s_nationkey").cast("string")).otherwise("n/a")
+    row = _spelled(k, F.concat(k, F.lit(".1,"), value), F.concat(value, F.lit(";"), k, F.lit(".1;x")), F.concat(k, F.lit("|"), value))
+    path = scratch_path(spark, "yields")
+    heads = {0: ["LotId,YieldActual"], 1: ["report of a week", "CYActual;FabLotId;Note"], 2: ["Lot_ID|Yield"]}
+    _headed_files(spark, table(spark, folder, "supplier").select((k % 3).alias("file"), row.alias("value")), heads, path)
+    return csvtext.read_yield_map(spark, path)
+
+
+@query("read_tester_map", "WITH m AS (SELECT 'G' || (p_partkey % 40) AS generic, CASE p_size % 4 WHEN 0 THEN 'J750' WHEN 1 THEN 'J750' WHEN 2 THEN 'EAGLE' ELSE 'OTHER' END AS family FROM part) SELECT family, list_sort(list(DISTINCT generic)) AS generics FROM m GROUP BY family")
+def read_tester_map(spark, folder):
+    k, s = F.col("p_partkey"), F.col("p_size") % 4
+    name = F.when(s == 0, "ets300_c2").when(s == 1, "J750EX").when(s == 2, "eagle_C1").otherwise("other_C5")
+    generic = F.concat(F.lit("G"), k % 40)
+    path = scratch_path(spark, "testers")
+    rows = table(spark, folder, "part").select((k % 2).alias("file"), _spelled(k, F.concat(generic, F.lit(","), name, F.lit(",P"), k), F.concat(name, F.lit(" ; "), generic)).alias("value"))
+    _headed_files(spark, rows, {0: ["Generic Name,Tester,Part"], 1: ["testers in use", "TESTER TYPE;Generic"]}, path)
+    return csvtext.generics_by_tester(csvtext.read_tester_map(spark, path))
+
+
+@query("sniff_files", """SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'MTX' || s_suppkey WHEN 1 THEN 'MT40A1G' WHEN 2 THEN 'MTMIR' ELSE 'MT40A1G' END AS partname, CASE s_suppkey % 4 WHEN 0 THEN 'LX' || s_nationkey WHEN 1 THEN 'LOT' || s_nationkey WHEN 2 THEN 'MIR' || s_nationkey END AS lot_id,
+CASE s_suppkey % 4 WHEN 2 THEN 'NAND' WHEN 0 THEN 'LPDDR5' ELSE 'DDR4SDRAM' END AS generic, CASE s_suppkey % 4 WHEN 1 THEN 'J750' WHEN 2 THEN 'HP94' END AS tester FROM supplier""")
+def sniff_files(spark, folder):
+    path = scratch_path(spark, "heads")
+
+    def write(frames):
+        for frame in frames:
+            for k, n in zip(frame["s_suppkey"], frame["s_nationkey"]):
+                master = _record(0, 10, bytes([2, 4])) + _record(1, 10, struct.pack("<II", 1_700_000_000, 0) + bytes(7) + b"".join(map(_text, (f"MIR{n}", "MTMIR", "node", "HP94", "job"))))
+                name, content = [
+                    ("file.csv", f"site 1\nPart Name: MTX{k}\nLot ID = LX{n}\nGeneric,LPDDR5\n".encode() + b"1,2,3\n" * 20_000), (f"DDR4SDRAM_mt40a1g_LOT{n}.csv", b"1,2,3\n"),
+                    ("file.std", master + bytes(100_000)), ("file.txt", b"lot\nx\ngeneric: DDR4SDRAM\n" + b"-\n" * 40 + b"lot id: LATE\n"),
+                ][k % 4]
+                system, root = heads.located(path)
+                system.create_dir(f"{root}/{k}", recursive=True)
+                with system.open_output_stream(f"{root}/{k}/{name}", compression=None) as out:
+                    out.write(content)
+            yield frame[["s_suppkey"]]
+
+    table(spark, folder, "supplier").select("s_suppkey", "s_nationkey").mapInPandas(write, "s_suppkey long").count()
+    tester_map = spark.createDataFrame([("DDR4SDRAM", "J750", "MT40A1G"), ("NAND", "EAGLE", "mtmir")], "generic string, tester string, partname string")
+    out = inventory.sniff_files(spark, path, tester_map)
+    return out.select(F.element_at(F.split("path", "/"), -2).cast("long").alias("s_suppkey"), "partname", "lot_id", "generic", "tester")
+
+
 def _files(spark, folder):
     """One probe data file per order: lot = customer, yield from the order key, written at the order date."""
     k = F.col("o_orderkey")

@@ -22,6 +22,14 @@ def test_col_stats_and_proximity(spark, hot):
     assert got["one"].std == 0.0 and got["one"].near_usl_pct is None
 
 
+def test_names_are_judged_once(spark):
+    """Rows of die attributes, coordinates and timings go under any spelling, and rows without a name; repeated rows stay."""
+    names = ["T1.0", "T1.0", " Bin ", "X_DIE location", "site", "index time", None, "width"]
+    df = spark.createDataFrame([(n, float(k)) for k, n in enumerate(names)], "test_id string, value double").repartition(3)
+    assert sorted((r.test_id, r.value) for r in die.test_columns(df).collect()) == [("T1.0", 0.0), ("T1.0", 1.0), ("width", 7.0)]
+    assert die.test_columns(df.limit(0)).collect() == []
+
+
 def test_psi_and_spc(spark):
     base, cur = values(spark, range(1, 11)), values(spark, [3, 4, 5, 6, 11])
     assert monitor.psi(cur, base).first().psi == pytest.approx(3.79699735)

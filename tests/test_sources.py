@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from yieldloom.operators import cleaning
-from yieldloom.sources import csvtext, dlog, inventory, provenance, stdf
+from yieldloom.operators.contracts import ContractError
+from yieldloom.sources import csvtext, dlog, heads, inventory, provenance, stdf
 
 LOG = """Created from DLOG: x.std
 Test Program: prog
@@ -130,6 +131,57 @@ def test_limits(spark):
     assert got == {"1_0": ("T1.0", 1.14, 1.26), "2_0": ("2.0", None, 5.0)}
 
 
+def test_limits_files(spark, tmp_path):
+    """Each file has its own delimiter, encoding, header and first lines."""
+    (tmp_path / "a.csv").write_bytes("für X\n\nby;me\nTest Number;Größe;STDF Min;STDF Max\nT1.0;\"a;ü\";1.14;1.26\n;x;1;2\nT3.0;y;;\n".encode("cp1252"))
+    (tmp_path / "b.csv").write_text("Max Limit,test_num,Min Limit\n5,2.0,\n")
+    (tmp_path / "c.csv").write_text("")
+    got = {r.test_key: (r.test_id, r.lsl, r.usl) for r in csvtext.read_limits(spark, str(tmp_path)).collect()}
+    assert got == {"1_0": ("T1.0", 1.14, 1.26), "2_0": ("2.0", None, 5.0), "3_0": ("T3.0", None, None)}
+    (tmp_path / "d.csv").write_text("test_num,low,high\n1,2,3\n")
+    with pytest.raises(ContractError, match="minimum"):
+        csvtext.read_limits(spark, str(tmp_path))
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "e.csv").write_text("\n")
+    with pytest.raises(ContractError, match="no table"):
+        csvtext.read_yield_map(spark, str(tmp_path / "empty"))
+
+
+def test_maps_of_files(spark, tmp_path):
+    (tmp_path / "y.csv").write_text("LotId,Yield,YieldActual\nA.1,9,80\nA.2,9,85.5\nB,9,n/a\n")
+    assert [tuple(r) for r in csvtext.read_yield_map(spark, str(tmp_path / "y.csv")).collect()] == [("A", 85.5)]
+    (tmp_path / "t.csv").write_text("Generic|Tester Name|Part Name\nNAND|ets300_c1|MT1\nnan|J750|MT2\nDRAM||MT3\n")
+    assert [tuple(r) for r in csvtext.read_tester_map(spark, str(tmp_path / "t.csv")).collect()] == [("NAND", "ets300_c1", "MT1", "J750")]
+
+
+def test_file_heads(spark, tmp_path):
+    """First bytes only, hidden files left out, one file or a folder, more files than one task reads."""
+    for k in range(3):
+        (tmp_path / f"d{k}").mkdir()
+        (tmp_path / f"d{k}" / "f.bin").write_bytes(bytes([k]) * 10 * k)
+    (tmp_path / "d0" / "_SUCCESS").write_text("x")
+    got = {(r.path[len(str(tmp_path)) :], r.length, bytes(r.head)) for r in heads.file_heads(spark, str(tmp_path), 12).collect()}
+    assert got == {(f"/d{k}/f.bin", 10 * k, (bytes([k]) * 10 * k)[:12]) for k in range(3)}
+    assert [r.length for r in heads.file_heads(spark, (tmp_path / "d2" / "f.bin").as_uri()).collect()] == [20]
+    (tmp_path / "none").mkdir()
+    assert heads.file_heads(spark, str(tmp_path / "none")).collect() == []
+    reader = heads.HeadReader(str(tmp_path), 1)
+    before, heads.FILES_AT_A_TIME = heads.FILES_AT_A_TIME, 2
+    try:
+        assert [len(p.files) for p in reader.partitions()] == [2, 1]
+    finally:
+        heads.FILES_AT_A_TIME = before
+    with pytest.raises(FileNotFoundError):
+        heads.HeadReader(str(tmp_path / "absent"), 1).partitions()
+
+
+def test_facts_of_heads(spark):
+    master = struct.pack(">HBBBB", 2, 0, 10, 1, 4) + struct.pack(">HBB", 15 + 8, 1, 10) + bytes(15) + b"\x02L1\x02P1\x01n\x00"
+    rows = [("/a", master), ("/b", b"Lot\nPart Name : P2\r\nlot=L2"), ("/c", None), ("/d", master[:-2])]
+    got = {r.path: tuple(r)[1:] for r in inventory.header_facts(spark.createDataFrame(rows, "path string, head binary")).collect()}
+    assert got["/a"][1:] == ("L1", "P1", "n") and got["/b"] == ("Lot|Part Name : P2|lot=L2", "", "", "") and got["/c"] == ("", "", "", "") and got["/d"][1:] == ("", "", "")
+
+
 def test_inventory(spark, tmp_path):
     base = tmp_path / "J750" / "DDR4_MT40"
     for name, size in (("SYN_0053_PRB_04252026_89.78%.std_1.csv", 20_000), ("SYN_0053_PRB_91.0%.csv", 20_000), ("SYN_0054_PRB_70%.csv", 20_000), ("SYN_0055_PRB_95%.csv", 10), ("x_limits.csv", 20_000), ("SYN_0053_FIN_90%.csv", 20_000)):

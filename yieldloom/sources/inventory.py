@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from yieldloom.functions import text
 from yieldloom.operators.sets import latest_per_key
+from yieldloom.sources.heads import file_heads
+from yieldloom.sources.stdf import master_texts
 
 SMALLEST_FILE = 10_240
 DATA_ENDINGS = (".stdf", ".std", ".std_1", ".stdf.gz", ".std.gz", ".std_1.gz")
@@ -138,6 +140,34 @@ def sniff_metadata(files: DataFrame, tester_map: DataFrame) -> DataFrame:
     )
 
 
+#: Bytes and lines of a text file in which header lines are looked for.
+TEXT_BYTES, TEXT_LINES = 4_096, 25
+
+
+def header_facts(heads: DataFrame) -> DataFrame:
+    """(path, head, mir_lot, mir_part, mir_tester) of (path, head bytes): decoded master records, and the first lines as text.
+
+    Lines are parted by ``|``, so that a label and its value are found on one line only.
+    """
+
+    @F.pandas_udf("head string, mir_lot string, mir_part string, mir_tester string")
+    def read(column: pd.Series) -> pd.DataFrame:
+        rows = []
+        for data in column:
+            data = bytes(data or b"")
+            (lot, part, node, tester), _ = master_texts(data)
+            lines = data[:TEXT_BYTES].decode("utf-8", "ignore").splitlines()[:TEXT_LINES]
+            rows.append(("|".join(line.strip() for line in lines), lot, part, tester or node))
+        return pd.DataFrame(rows, columns=["head", "mir_lot", "mir_part", "mir_tester"])
+
+    return heads.select("path", read("head").alias("_f")).select("path", "_f.*")
+
+
+def sniff_files(spark: SparkSession, path: str, tester_map: DataFrame) -> DataFrame:
+    """``sniff_metadata`` of all files below ``path``; only their first bytes are read."""
+    return sniff_metadata(header_facts(file_heads(spark, path)), tester_map)
+
+
 def archive_lot_folder(members: DataFrame, archive: str = "archive", path: str = "path") -> DataFrame:
     """Lot folder of each archive: its first top-level folder with a valid name, else one in the archive's own path."""
     top = F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/")[0]
