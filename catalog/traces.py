@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from catalog.base import HOUR_TRACE, HOURS, TRACE, hour_trace, query, r, table, trace
 from yieldloom.functions import text
 from yieldloom.functions.numeric import recover_spreadsheet_decimal
-from yieldloom.operators import cleaning, cmp, etch, profile, rul, sets, signal, traces
+from yieldloom.operators import cleaning, cmp, components, etch, profile, rul, sets, signal, traces
 
 UT = ["user_id", "event_type"]
 TO = ["us", "event_id"]
@@ -386,6 +387,46 @@ def waveform_pca(spark, folder):
     return out.select("vec_id", F.size("scores").alias("components"), "reconstruction_rmse")
 
 
+def embedded(spark, folder):
+    return table(spark, folder, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("waveform"))
+
+
+POINTS = "v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)"
+AMPLITUDE = ", ".join(r(e, n) for e, n in (("avg(x)", "mean"), ("stddev_pop(x)", "std"), ("min(x)", "min"), ("max(x)", "max"), ("arg_max(x, i) - arg_min(x, i)", "change"), ("sqrt(avg(x * x))", "rms")))
+
+
+@query("amplitude_stats", f"WITH {POINTS} SELECT vec_id, {AMPLITUDE} FROM v GROUP BY vec_id")
+def amplitude_stats(spark, folder):
+    return embedded(spark, folder).select("vec_id", *[c.alias(n) for n, c in components.amplitude_stats("waveform").items()])
+
+
+@query("project_waveforms", f"""WITH {POINTS}, a AS (SELECT vec_id, {AMPLITUDE}, avg(x) AS m, stddev_pop(x) AS s FROM v GROUP BY vec_id), z AS (SELECT vec_id, i // 16 AS block, (x - m) / CASE WHEN s > 1e-10 THEN s ELSE 1 END AS z FROM v JOIN a USING (vec_id)),
+b AS (SELECT *, avg(z) OVER (PARTITION BY vec_id, block) AS mz FROM z), e AS (SELECT vec_id, {r('sqrt(avg((z - mz) * (z - mz)))', 'reconstruction_rmse')}, {r('sum(z) FILTER (block = 0)', 'first_score')}, {r('sum(z) FILTER (block = 3)', 'last_score')} FROM b GROUP BY vec_id)
+SELECT vec_id, mean, std, min, max, change, rms, reconstruction_rmse, first_score, last_score FROM a JOIN e USING (vec_id)""")
+def project_waveforms(spark, folder):
+    """Onto four blocks of sixteen points: a score is a block's sum, the way back its mean."""
+    out = components.project_waveforms(embedded(spark, folder), np.kron(np.eye(4), np.ones((16, 1))))
+    return out.select(*[c for c in out.columns if c not in ("waveform", "scores")], F.col("scores")[0].alias("first_score"), F.col("scores")[3].alias("last_score"))
+
+
+@query("encode_waveforms")
+def encode_waveforms(spark, folder):
+    """Vectors on a basis of those that are not of every fifth id, and of the sensors' waveforms as the external bank."""
+    rows = embedded(spark, folder)
+    external = signal.waveform_bank(traces.trace_arrays(hour_trace(spark, folder), ["wafer", "sensor"], samples=HOURS), points=64)
+    basis = components.waveform_basis(rows.filter("vec_id % 5 <> 0"), 8, external=external)
+    out = components.encode_waveforms(rows, basis)
+    return out.select(*[c for c in out.columns if c not in ("waveform", "scores")], F.size("scores").alias("components"))
+
+
+@query("principal_axes", f"""WITH c AS (SELECT var_pop(l_quantity) AS a, var_pop(l_tax * 100) AS b, covar_pop(l_quantity, l_tax * 100) AS ab FROM lineitem), e AS (SELECT (a + b) / 2 AS mid, sqrt((a - b) * (a - b) / 4 + ab * ab) AS reach FROM c)
+SELECT CAST(1 AS INTEGER) AS component, {r('mid + reach', 'variance')} FROM e UNION ALL SELECT 2, {r('mid - reach', 'variance')} FROM e""")
+def principal_axes(spark, folder):
+    rows = table(spark, folder, "lineitem").select(F.array(F.col("l_quantity").cast("double"), F.col("l_tax").cast("double") * 100).alias("v"))
+    basis = components.principal_axes(rows, "v", 2)
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(basis.variances, 1)], "component int, variance double")
+
+
 @query("sufficiently_observed", f"""WITH {HOUR_TRACE}, f AS (SELECT wafer, sensor || '__t' || lpad(CAST(ts_idx AS VARCHAR), 3, '0') AS feature FROM grid), k AS (SELECT feature FROM f GROUP BY feature HAVING count(*) >= 40)
 SELECT feature, count(*) AS rows FROM f JOIN k USING (feature) GROUP BY feature""")
 def sufficiently_observed(spark, folder):

@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from yieldloom.operators import folds, importance, metrics, models, ranking, sets
+from yieldloom.operators import components, folds, importance, metrics, models, ranking, sets
 
 
 def test_dynamic_top_n_and_class_means(spark):
@@ -121,7 +121,7 @@ def test_nested_tuning_searches_every_fold(regression):
 def test_input_names_follow_the_filters(regression):
     fitted = models.pipeline(["a", "b", "c"], "y", LinearRegression(), select=2).fit(models.indicator_columns(regression.withColumn("y", F.col("y").cast("double")), ["a", "b", "c"]))
     assert models.input_names(fitted, ["a", "b", "c"]) == ["a", "b"]
-    assert [models.component_count(n) for n in (1, 10, 1000)] == [1, 7, 25]
+    assert [components.component_count(n) for n in (1, 10, 1000)] == [1, 7, 25]
 
 
 def test_hurdle_means(regression):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Mapping, Sequence
-from functools import reduce
+from functools import partial, reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from yieldloom.functions.numeric import clip
+from yieldloom.operators.components import RuledPCA
 from yieldloom.operators.imputation import MedianImputer
 from yieldloom.operators.importance import NeighbourRegressor
 from yieldloom.operators.linear import ridge_ledger, ridge_tuning
@@ -61,11 +62,6 @@ def observed_features(df: DataFrame, features: Sequence[str]) -> list[str]:
     return [f for i, f in enumerate(features) if row[f"_{i}"]]
 
 
-def component_count(rows: int, most: int = 25) -> int:
-    """Principal components for a table of so many rows: seven tenths of them, at most ``most``, at least one."""
-    return max(1, min(int(rows * 0.7), most))
-
-
 def input_names(model, features: Sequence[str]) -> list[str]:
     """Names of a fitted pipeline's model inputs, followed back through its variance filter and its selector."""
     names = [*features, *(f"{f}__missing" for f in features)]
@@ -75,8 +71,11 @@ def input_names(model, features: Sequence[str]) -> list[str]:
     return names
 
 
-def preprocessing(features: Sequence[str], label: str, *, select: int | None = None, scale: bool = False, components: int | None = None, categorical_label: bool = False) -> list:
-    """Imputation, missing indicators, zero-variance filter, F-test filter, scaling and PCA as stages."""
+def preprocessing(features: Sequence[str], label: str, *, select: int | None = None, scale: bool = False, components: int | str | None = None, categorical_label: bool = False) -> list:
+    """Imputation, missing indicators, zero-variance filter, F-test filter, scaling and PCA as stages.
+
+    ``components`` may be "rule": then each fit chooses their number by its own rows.
+    """
     stages: list = [
         median_impute(features),
         VectorAssembler(inputCols=[f"{f}__filled" for f in features] + [f"{f}__missing" for f in features], outputCol="_raw"),
@@ -92,7 +91,8 @@ def preprocessing(features: Sequence[str], label: str, *, select: int | None = N
         stages.append(StandardScaler(withMean=True, withStd=True, inputCol=last, outputCol="_scaled"))
         last = "_scaled"
     if components:
-        stages.append(PCA(k=components, inputCol=last, outputCol="_components"))
+        reduce_to = RuledPCA if components == "rule" else partial(PCA, k=components)
+        stages.append(reduce_to(inputCol=last, outputCol="_components"))
         last = "_components"
     return [*stages, last]
 
@@ -160,6 +160,11 @@ def candidate_sets(name: str, profile: str = "balanced") -> dict[str, tuple[Esti
     return {model: table[model] for model in CANDIDATE_SETS[name]}
 
 
+def component_candidates(name: str, profile: str = "balanced") -> dict[str, tuple[Estimator, dict]]:
+    """``candidate_sets`` whose scaled models see principal components, as many as each fit's rows allow; trees see the features."""
+    return {model: (e, options | {"components": "rule"} if options.get("scale") else options) for model, (e, options) in candidate_sets(name, profile).items()}
+
+
 def balanced_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
     """Row weight n / (2 * class size), so both classes weigh the same."""
     counts = df.agg(F.count(F.lit(1)).alias("_n"), F.sum(label).alias("_bad"))
