@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import sys
 import types
@@ -96,9 +97,22 @@ def only_used():
     """Forgets what is not asked for inside: an operator's tables don't stay in a worker that has gone on to another one."""
     kept = memory()
     kept.asked.clear()
+    hand_back()
     yield
-    for key in kept.entries.keys() - kept.asked:
+    forgotten = kept.entries.keys() - kept.asked
+    for key in forgotten:
         del kept.entries[key]
+    if forgotten:
+        hand_back()
+
+
+def hand_back() -> None:
+    """Gives memory that this process has freed, but still holds, back to the system: an earlier stage's arrays are gone by now."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:
