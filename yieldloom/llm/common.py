@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from yieldloom.session import pin, shared_folder
 
-__all__ = ["PIECES", "WORD_BPE", "by_batch", "fold_of", "measured_join", "once", "pin", "read", "shared_folder"]
+__all__ = ["PIECES", "WORD_BPE", "by_batch", "fold_of", "freed", "measured_join", "once", "pin", "read", "shared_folder"]
 
 #: Folder with the public tokenizers' files; a parameter of every operator that needs one.
 TOKENIZERS = os.environ.get("YIELDLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -115,6 +115,18 @@ def hand_back() -> None:
         pass
 
 
+@contextmanager
+def freed(spark: SparkSession):
+    """Plans made and run to their end inside leave no shuffle files: what they wrote or pinned replaces them."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32 of the id's text modulo ``folds``; a null id counts as an empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from itertools import pairwise
 from math import log
 
 import numpy as np
@@ -13,8 +14,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from yieldloom.llm.common import fold_of, pin
+from yieldloom.llm.common import fold_of, freed, pin
 from yieldloom.llm.jaccard import MIX, mixed
+from yieldloom.session import scratch_path
 
 FOLDS, HELD_OUT = 7, 2
 STATES, ROUNDS = 8, 4
@@ -30,11 +32,18 @@ WORD = pa.schema([("place", pa.int64()), ("word", pa.binary()), ("n", pa.int64()
 #: A block's number is its task's (up to 2^22) and, in the lowest bits, its own among the task's blocks; a place is a
 #: block's number and, in the lowest bits, a word's number in the block's list. A text of Spark's largest size has fewer words.
 SERIAL_BITS, PLACE_BITS = 13, 28
-CODED = "block long, docs array<long>, held array<boolean>, sizes array<long>, tokens binary, counts binary, ids binary, hashes binary, shared long"
-COUNTED = "part long, block long, at binary, ids binary, counts binary"
+PACKED = "block long, docs array<long>, held array<boolean>, sizes array<long>, tokens binary, words binary"
+CODED = f"{PACKED}, counts binary, ids binary, shared long, total long, distinct long, first array<double>"
+COUNTED = "part long, block long, ids binary, sizes binary, shares binary, sums array<double>"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-#: Parts of the counts that are no sums of shared words: the sums of starts, steps and states' emissions; a block's own words follow.
+#: Sums over blocks and words, which are no rows of a block.
 SUMS = -1
+#: A word's share of a state is kept as a root in so many steps: three bytes, fine for small shares, too.
+STEPS, WIDTH = (1 << 24) - 1, 3
+#: Sums are exact at ten decimals, whatever order tasks end in.
+EXACT = "decimal(28,10)"
+#: Tasks that blocks are dealt to, beyond the session's own number of shuffle partitions.
+MOST_TASKS = 1 << 14
 
 
 def noise(hashes: np.ndarray) -> np.ndarray:
@@ -63,7 +72,7 @@ def blocks(docs: DataFrame, text: str) -> DataFrame:
             yield held.row()
 
     rows = docs.select("doc_id", (fold_of(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), text)
-    return rows.mapInArrow(run, "block long, docs array<long>, held array<boolean>, sizes array<long>, tokens binary, words binary")
+    return rows.mapInArrow(run, PACKED)
 
 
 class Block:
@@ -130,44 +139,47 @@ def unpacked(x: bytes, kind) -> np.ndarray:
     return np.frombuffer(zlib.decompress(x), kind)
 
 
-def first_sums(words: DataFrame) -> tuple[int, int, np.ndarray]:
-    """Tokens and distinct words of the training texts, and the sum over all words of a state's first emissions."""
-    names = [f"s{k}" for k in range(STATES)]
+def named(rows: list[tuple], schema: str) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=[f.split(" ")[0] for f in schema.split(", ")])
+    return frame.astype({"doc_id": "Int64"}) if "doc_id" in frame else frame
 
-    def run(batches):
-        for batch in batches:
-            n = batch.column("n").to_numpy()
-            first = ((n + 1)[:, None] * np.exp(noise(hashes_of(batch.column("word").to_pylist())))).sum(axis=0)
-            data = [[int(n.sum())], [len(n)], *[[x] for x in first]]
-            yield pa.RecordBatch.from_pydict(dict(zip(["total", "distinct", *names], data)))
 
-    summed = words.filter("n > 0").groupBy("word").agg(F.sum("n").alias("n"))
-    parts = summed.mapInArrow(run, "total long, distinct long, " + ", ".join(f"{x} double" for x in names))
-    row = parts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in parts.columns]).first()
-    return row["total"], row["distinct"], np.array([row[x] for x in names])
+def exact_sums(rows: DataFrame, column: str) -> np.ndarray:
+    """Sums of an array column by place, combined within tasks; empty without rows."""
+    cells = rows.select(F.posexplode(column).alias("at", "x")).groupBy("at").agg(F.sum(F.col("x").cast(EXACT)).alias("x"))
+    return np.array([float(r["x"]) for r in cells.orderBy("at").collect()])  # at most STATES * (STATES + 2) rows
 
 
 def coded_blocks(packed: DataFrame) -> DataFrame:
-    """One row per block: its texts with counts in all training texts, numbers and hashes of its words.
+    """One row per block: its texts and words with counts in all training texts and numbers of its words.
 
     Counts of words that several blocks have come back to each of them, with the smallest place as the word's number; a
-    block knows those of all its other words (number -1). So no list of all words is ever in one place.
+    block knows those of all its other words (number -1). So no list of all words is ever in one place. The block of a
+    word's smallest place adds it to the number of distinct words and to the sums of first emissions.
     """
     words = block_words(packed)
     every = Window.partitionBy("word")
     found = words.select("place", F.sum("n").over(every).alias("c"), F.min("place").over(every).alias("id"), F.count("*").over(every).alias("blocks"))
-    answers = found.filter("blocks > 1").select(F.shiftright("place", PLACE_BITS).alias("block"), F.expr(f"place & {(1 << PLACE_BITS) - 1}").alias("at"), "c", "id")
+    answers = found.filter("blocks > 1").select(F.shiftright("place", PLACE_BITS).alias("block"), F.expr(f"place & {(1 << PLACE_BITS) - 1}").cast("int").alias("at"), "c", "id")
 
     def code(blocks_: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         out, at = [], replies["at"].to_numpy()
         for row in blocks_.to_dict("records"):
             names = zlib.decompress(row["words"]).split(b" ")
-            c, ids = trained(row, len(names)), np.full(len(names), -1)
+            own = trained(row, len(names))
+            c, ids = own.copy(), np.full(len(names), -1)
             c[at], ids[at] = replies["c"].to_numpy(), replies["id"].to_numpy()
-            out.append((*[row[x] for x in ("block", "docs", "held", "sizes", "tokens")], packed_array(c), packed_array(ids), packed_array(hashes_of(names)), len(at)))
-        return pd.DataFrame(out, columns=[f.split(" ")[0] for f in CODED.split(", ")])
+            mine = np.flatnonzero((c > 0) & ((ids < 0) | (ids == places(row["block"], len(names)))))
+            first = (first_emissions([names[k] for k in mine], c[mine])).sum(axis=0)
+            out.append((*row.values(), packed_array(c), packed_array(ids), len(at), int(own.sum()), len(mine), first))
+        return named(out, CODED)
+
+    columns = [f.split(" ")[0] for f in PACKED.split(", ")]
+    return packed.select(*columns).groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(code, CODED)
 
-    return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(code, CODED)
+
+def first_emissions(words: list[bytes], counts: np.ndarray) -> np.ndarray:
+    return (counts + 1)[:, None] * np.exp(noise(hashes_of(words)))
 
 
 class Model:
@@ -240,17 +252,47 @@ class Round:
     def __init__(self, number: int, start: np.ndarray, step: np.ndarray, sums: np.ndarray, distinct: int):
         self.number, self.start, self.step, self.sums, self.distinct = number, start, step, sums, distinct
 
-    def model(self, row: dict, replies: pd.DataFrame) -> tuple[Model, np.ndarray]:
+    def model(self, row: dict, replies: pd.DataFrame | None, parts: int) -> tuple[Model, np.ndarray]:
         """The model with emissions of this block's words, and their counts. Unknown words are one."""
         c = unpacked(row["counts"], np.int64)
         if not self.number:
-            emit = (c + 1)[:, None] * np.exp(noise(unpacked(row["hashes"], np.uint64)))
+            emit = first_emissions(zlib.decompress(row["words"]).split(b" "), c)
             emit[c == 0] = 1
             return Model(self.start, self.step, emit / (self.sums + 1)), c
-        counts = np.zeros((len(c), STATES))
-        for at, values in zip(replies["at"], replies["counts"]):
-            counts[unpacked(at, np.uint32)] = unpacked(values, np.float32).reshape(-1, STATES)
-        return Model(self.start, self.step, (counts + SMOOTHING) / (self.sums + SMOOTHING * (self.distinct + 1))), c
+        at, _, _ = routes(row, c, parts)
+        counts = np.full((len(c), STATES), SMOOTHING)
+        if len(at):
+            counts[at] += c[at, None] * shares_of(b"".join(replies.sort_values("part")["shares"]))
+        return Model(self.start, self.step, counts / (self.sums + SMOOTHING * (self.distinct + 1))), c
+
+
+def routes(row: dict, c: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's trained words in the order of their parts and numbers, these numbers, and the parts.
+
+    Both ways between blocks and parts keep this order, so no list of words travels back. Words of one block only have a
+    part of their own.
+    """
+    ids = unpacked(row["ids"], np.int64)
+    at = np.flatnonzero(c > 0)
+    ids = ids[at]
+    part = np.where(ids < 0, parts + row["block"], (mixed(ids.astype(np.uint64)) % np.uint64(parts)).astype(np.int64))
+    order = np.lexsort((ids, part))
+    return at[order], ids[order], part[order]
+
+
+def kept_shares(counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Roots of the shares of all states but the last, as bytes, one row per word. The last one has the rest."""
+    roots = np.rint(np.sqrt(np.clip(counts[:, :-1] / sizes[:, None], 0, 1)) * STEPS).astype("<u4")
+    return np.ascontiguousarray(roots).view(np.uint8).reshape(len(counts), STATES - 1, 4)[:, :, :WIDTH].reshape(len(counts), -1)
+
+
+def shares_of(kept: bytes | np.ndarray) -> np.ndarray:
+    """Words by states."""
+    low = np.frombuffer(kept, np.uint8) if isinstance(kept, bytes) else kept
+    roots = np.zeros((low.size // (WIDTH * (STATES - 1)), STATES - 1, 4), np.uint8)
+    roots[:, :, :WIDTH] = low.reshape(-1, STATES - 1, WIDTH)
+    shares = (roots.view("<u4")[:, :, 0] / STEPS) ** 2
+    return np.column_stack([shares, np.maximum(1 - shares.sum(axis=1), 0)])
 
 
 def texts_in(row: dict, some: np.ndarray) -> list[np.ndarray]:
@@ -260,65 +302,66 @@ def texts_in(row: dict, some: np.ndarray) -> list[np.ndarray]:
 
 
 def by_block(coded: DataFrame, replies: DataFrame | None, work, schema: str) -> DataFrame:
-    """Applies ``work`` to each block's row and the counts of its words."""
-    names = [f.split(" ")[0] for f in schema.split(", ")]
+    """Applies ``work`` to each block's row and the shares of its words."""
 
     def run(blocks_: pd.DataFrame, answers: pd.DataFrame | None = None) -> pd.DataFrame:
-        frame = pd.DataFrame([out for row in blocks_.to_dict("records") for out in work(row, answers)], columns=names)
-        return frame.astype({"doc_id": "Int64"}) if "doc_id" in names else frame
+        return named([out for row in blocks_.to_dict("records") for out in work(row, answers)], schema)
 
     if replies is None:
         return coded.groupBy("block").applyInPandas(lambda rows: run(rows), schema)
     return coded.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(run, schema)
 
 
-def baum_welch(coded: DataFrame, replies: DataFrame | None, now: Round, parts: int) -> tuple[DataFrame, Round]:
-    """One round over all training texts: counts by word and state for the blocks that have the word, and the next round.
+def baum_welch(coded: DataFrame, replies: DataFrame | None, now: Round, parts: int, path: str) -> tuple[DataFrame, Round]:
+    """One round over all training texts: shares by word and state for the blocks that have the word, and the next round.
 
-    Each block sends the counts of the words it shares, packed by part; a part's counts are summed by word and go back to
-    each of these blocks. Words of one block only are not summed, but take the same way.
+    Each block sends the counts of its words by part; a part's counts are summed by word and go back to each of these
+    blocks. Words of one block only are not summed, but take the same way. The rows are written to ``path``.
     """
     shared = coded.sparkSession.sparkContext.broadcast(now)
 
     def count(row: dict, answers: pd.DataFrame | None):
-        model, c = shared.value.model(row, answers)
+        model, c = shared.value.model(row, answers, parts)
         start, steps, emitted = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((len(c), STATES))
-        texts = texts_in(row, np.flatnonzero(~np.array(row["held"], bool)))
-        for _, table, sizes in groups(texts):
-            met, local = np.unique(table, return_inverse=True)
-            a, b, e, _ = Model(model.start, model.step, model.emit[met]).expected(local.reshape(table.shape), sizes)
+        local = np.zeros(len(c), np.int64)
+        for _, table, sizes in groups(texts_in(row, np.flatnonzero(~np.array(row["held"], bool)))):
+            met = np.flatnonzero(np.bincount(table.ravel(), minlength=len(c)))
+            local[met] = np.arange(len(met))
+            a, b, e, _ = Model(model.start, model.step, model.emit[met]).expected(local[table], sizes)
             start, steps = start + a, steps + b
             emitted[met] += e
-        sums = np.concatenate([start, steps.ravel(), emitted.sum(axis=0)])
-        yield SUMS, row["block"], b"", b"", sums.tobytes()
-        ids, known = unpacked(row["ids"], np.int64), c > 0
-        part = np.where(ids < 0, parts + row["block"], (mixed(ids.astype(np.uint64)) % np.uint64(parts)).astype(np.int64))
-        at = np.flatnonzero(known)
-        at = at[np.argsort(part[at], kind="stable")]
-        for some in np.split(at, np.flatnonzero(np.diff(part[at])) + 1):
-            if len(some):
-                yield part[some[0]], row["block"], packed_array(some.astype(np.uint32)), packed_array(ids[some]), packed_array(emitted[some].astype(np.float32))
+        yield SUMS - 1 - row["block"] % parts, row["block"], b"", b"", b"", np.concatenate([start, steps.ravel(), np.zeros(STATES)])
+        at, ids, part = routes(row, c, parts)
+        n = trained(row, len(c))[at]
+        # A word that only other blocks' training texts have keeps its place with a count of 0.
+        kept = kept_shares(emitted[at], np.maximum(n, 1))
+        for x, y in pairwise([0, *(np.flatnonzero(np.diff(part)) + 1), len(at)] if len(at) else []):
+            yield part[x], row["block"], packed_array(np.diff(ids[x:y], prepend=0)), packed_array(n[x:y]), kept[x:y].tobytes(), None
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("block")
         part = group["part"].iloc[0]
-        if part == SUMS:
-            total = np.sum([np.frombuffer(x) for x in group["counts"]], axis=0)
-            return group.head(1).assign(block=SUMS, counts=[total.tobytes()])
-        if part < parts:
-            ids = [unpacked(x, np.int64) for x in group["ids"]]
-            _, word = np.unique(np.concatenate(ids), return_inverse=True)
-            counts = np.concatenate([unpacked(x, np.float32) for x in group["counts"]]).reshape(-1, STATES)
-            sums = np.stack([np.bincount(word, counts[:, k]) for k in range(STATES)], axis=1).astype(np.float32)[word]
-            cuts = np.cumsum([len(x) for x in ids])[:-1]
-            group = group.assign(counts=[packed_array(x) for x in np.split(sums, cuts)])
-        return group.assign(ids=b"")
-
-    summed = pin(by_block(coded, replies, count, COUNTED).groupBy("part").applyInPandas(merge, COUNTED))
-    sums = np.frombuffer(summed.filter(F.col("part") == SUMS).first()["counts"])
+        if part < 0:
+            return named([(part, SUMS, None, None, None, np.sum(list(group["sums"]), axis=0))], COUNTED)
+        sizes = np.concatenate([unpacked(x, np.int64) for x in group["sizes"]])
+        shares = shares_of(b"".join(group["shares"]))
+        ids = [np.cumsum(unpacked(x, np.int64)) for x in group["ids"]]
+        word = np.unique(np.concatenate(ids), return_inverse=True)[1] if part < parts else np.arange(len(sizes))
+        whole = np.bincount(word, sizes)
+        kept = kept_shares(np.stack([np.bincount(word, sizes * shares[:, k]) for k in range(STATES)], axis=1), whole)
+        # The sums that emissions are divided by are those of the shares as kept.
+        emitted = whole @ shares_of(kept)
+        cuts = np.cumsum([len(x) for x in ids])[:-1]
+        rows = [(part, block, None, None, x.tobytes(), None) for block, x in zip(group["block"], np.split(kept[word], cuts))]
+        return named([*rows, (part, SUMS, None, None, None, np.concatenate([np.zeros(STATES + STATES**2), emitted]))], COUNTED)
+
+    with freed(coded.sparkSession):
+        by_block(coded, replies, count, COUNTED).groupBy("part").applyInPandas(merge, COUNTED).select("part", "block", "shares", "sums").write.mode("overwrite").parquet(path)
+    stored = coded.sparkSession.read.parquet(path)
+    sums = exact_sums(stored.filter(F.col("block") == SUMS), "sums")
     start, steps, emitted = sums[:STATES], sums[STATES : STATES + STATES**2].reshape(STATES, STATES), sums[-STATES:]
     smooth = lambda x, axis: (x + SMOOTHING) / (x + SMOOTHING).sum(axis=axis, keepdims=True)
-    return summed.filter(F.col("part") != SUMS), Round(now.number + 1, smooth(start, 0), smooth(steps, 1), emitted, now.distinct)
+    return stored.filter(F.col("block") != SUMS).select("part", "block", "shares"), Round(now.number + 1, smooth(start, 0), smooth(steps, 1), emitted, now.distinct)
 
 
 def score_texts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -331,22 +374,28 @@ def score_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     the model is its first guess. Repeated rows give repeated rows; other columns are ignored; whole texts are read.
 
     Blocks of about four million tokens list their distinct words once; each round's counts are summed by word and state
-    and sent back to the blocks that have the word, so memory is bounded by a block, however many words there are.
+    and sent back to the blocks that have the word, so memory is bounded by a block, however many words there are. Between
+    rounds a word's count is exact and its shares of the states are kept in three bytes each; what emissions are divided by is summed from
+    these shares, so probabilities add up to one.
     """
+    spark = docs.sparkSession
     packed = pin(blocks(docs, text))
-    total, distinct, sums = first_sums(block_words(packed))
-    coded = pin(coded_blocks(packed))
-    shared_words = coded.agg(F.coalesce(F.sum("shared"), F.lit(0))).first()[0]
-    parts = max(16, -(-shared_words // GROUP_WORDS))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(2 * packed.count(), MOST_TASKS))
+    with freed(spark):
+        coded = pin(coded_blocks(packed).repartition(tasks, "block"))  # dealt once: a round shuffles no texts
+    facts = coded.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("shared", "total", "distinct")]).first()
+    total, distinct, parts = facts["total"], facts["distinct"], max(16, -(-facts["shared"] // GROUP_WORDS))
     step = np.full((STATES, STATES), (1 - STAY) / (STATES - 1))
     np.fill_diagonal(step, STAY)  # states that tend to stay, and words' shares with a fixed noise: rounds then tell states apart
-    now, replies = Round(0, np.full(STATES, 1 / STATES), step, sums, distinct), None
-    for _ in range(ROUNDS if total else 0):
-        replies, now = baum_welch(coded, replies, now, parts)
-    shared = docs.sparkSession.sparkContext.broadcast(now)
+    first = exact_sums(coded, "first")
+    now, replies = Round(0, np.full(STATES, 1 / STATES), step, first if len(first) else np.zeros(STATES), distinct), None
+    paths = [scratch_path(spark, "word-counts") for _ in range(2)]  # a round's rows replace those of the round before the last
+    for k in range(ROUNDS if total else 0):
+        replies, now = baum_welch(coded, replies, now, parts, paths[k % 2])
+    shared = spark.sparkContext.broadcast(now)
 
     def score(row: dict, answers: pd.DataFrame | None):
-        model, c = shared.value.model(row, answers)
+        model, c = shared.value.model(row, answers, parts)
         base = np.log10((c + 1) / (total + distinct + 1))
         texts = texts_in(row, np.arange(len(row["sizes"])))
         result = np.zeros(len(texts))
