@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from yieldloom.session import pin, shared_folder
 
-__all__ = ["PIECES", "WORD_BPE", "by_batch", "fold_of", "freed", "measured_join", "once", "pin", "read", "shared_folder"]
+__all__ = ["PIECES", "WORD_BPE", "by_batch", "fold_of", "freed", "measured_join", "once", "pin", "read", "settings", "shared_folder"]
 
 #: Folder with the public tokenizers' files; a parameter of every operator that needs one.
 TOKENIZERS = os.environ.get("YIELDLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -116,15 +116,21 @@ def hand_back() -> None:
 
 
 @contextmanager
-def freed(spark: SparkSession):
-    """Plans made and run to their end inside leave no shuffle files: what they wrote or pinned replaces them."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
+def settings(spark: SparkSession, wanted: dict[str, str]):
+    """Plans made inside have these settings; what was set before is set again."""
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def freed(spark: SparkSession):
+    """Plans made and run to their end inside leave no shuffle files: what they wrote or pinned replaces them."""
+    return settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"})
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:

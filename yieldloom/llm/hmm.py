@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from yieldloom.llm.common import fold_of, freed, pin
+from yieldloom.llm.common import fold_of, freed, pin, settings
 from yieldloom.llm.jaccard import MIX, mixed
 from yieldloom.session import scratch_path
 
@@ -25,7 +25,7 @@ GROUP_WORDS = 1 << 19
 #: Tokens of a block: its distinct words are looked up together.
 BLOCK_TOKENS = 1 << 22
 #: Texts processed side by side, and cells (texts by longest length) of such a group.
-LANES, CELLS = 256, 1 << 18
+LANES, CELLS = 512, 1 << 18
 SMOOTHING, STAY, NOISE, SEED = 0.05, 0.9, 0.3, 6
 BLOCK = pa.schema([("block", pa.int64()), ("docs", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("tokens", pa.binary()), ("words", pa.binary())])
 WORD = pa.schema([("place", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
@@ -188,48 +188,51 @@ class Model:
     def __init__(self, start: np.ndarray, step: np.ndarray, emit: np.ndarray):
         self.start, self.step, self.emit = start, step, emit
 
-    def forward(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scaled forward recursion. symbols: time by text, padded; sizes fall. Returns alpha and ln of the scales."""
+    def forward(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scaled forward recursion. symbols: time by text, padded; sizes fall. Returns alpha, the scales (1 beyond a text's end) and the emissions."""
         t_max, lanes = symbols.shape
+        seen = self.emit[symbols]
         alpha = np.zeros((t_max, lanes, len(self.start)))
-        scale = np.zeros((t_max, lanes))
-        live = lanes
-        for t in range(t_max):
-            while sizes[live - 1] <= t:
-                live -= 1
-            now = self.start if t == 0 else alpha[t - 1, :live] @ self.step
-            now = now * self.emit[symbols[t, :live]]
-            total = now.sum(axis=1)
-            alpha[t, :live] = now / total[:, None]
-            scale[t, :live] = np.log(total)
-        return alpha, scale
+        scale = np.ones((t_max, lanes))
+        lives = live_lanes(sizes, t_max)
+        for t, live in enumerate(lives):
+            now = alpha[t, :live]
+            if t:
+                np.matmul(alpha[t - 1, :live], self.step, out=now)
+            else:
+                now[:] = self.start
+            now *= seen[t, :live]
+            np.sum(now, axis=1, out=scale[t, :live])
+            now /= scale[t, :live, None]
+        return alpha, scale, seen
 
     def log_likelihood(self, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        return self.forward(symbols, sizes)[1].sum(axis=0)
+        return np.log(self.forward(symbols, sizes)[1]).sum(axis=0)
 
     def expected(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """Baum-Welch counts: starts, steps, emissions (symbol by state), and the total ln likelihood."""
-        alpha, scale = self.forward(symbols, sizes)
+        alpha, scale, ahead = self.forward(symbols, sizes)
         t_max, lanes = symbols.shape
-        beta = np.zeros_like(alpha)
-        steps = np.zeros_like(self.step)
-        seen = self.emit[symbols]
-        live = 0
-        for t in range(t_max - 1, -1, -1):
-            while live < lanes and sizes[live] > t + 1:
-                live += 1
-            ends = live
-            while ends < lanes and sizes[ends] > t:
-                ends += 1
-            beta[t, live:ends] = 1
-            if live:
-                ahead = seen[t + 1, :live] * beta[t + 1, :live] / np.exp(scale[t + 1, :live])[:, None]
-                beta[t, :live] = ahead @ self.step.T
-                steps += alpha[t, :live].T @ ahead
-        share = alpha * beta
-        there = np.arange(t_max)[:, None] < sizes[None, :]
-        emitted = np.stack([np.bincount(symbols[there], share[..., k][there], len(self.emit)) for k in range(len(self.start))], axis=1)
-        return share[0].sum(axis=0), steps * self.step, emitted, float(scale.sum())
+        states = len(self.start)
+        ahead /= scale[..., None]  # from here on: emission by scale, times beta
+        beta = np.ones((t_max, lanes, states))
+        lives = live_lanes(sizes, t_max)
+        back = np.ascontiguousarray(self.step.T)
+        for t in range(t_max - 1, 0, -1):
+            live = lives[t]
+            ahead[t, :live] *= beta[t, :live]
+            ahead[t, live:] = 0
+            np.matmul(ahead[t, :live], back, out=beta[t - 1, :live])
+        steps = alpha[:-1].reshape(-1, states).T @ ahead[1:].reshape(-1, states) * self.step
+        beta *= alpha  # 0 beyond a text's end, as alpha is
+        cells = (symbols[..., None] * states + np.arange(states)).ravel()
+        emitted = np.bincount(cells, beta.ravel(), len(self.emit) * states).reshape(-1, states)
+        return beta[0].sum(axis=0), steps, emitted, float(np.log(scale).sum())
+
+
+def live_lanes(sizes: np.ndarray, t_max: int) -> list[int]:
+    """How many texts (sizes fall) are longer than each time."""
+    return np.searchsorted(-sizes, -np.arange(t_max), side="left").tolist()
 
 
 def groups(symbols: list[np.ndarray]):
@@ -379,17 +382,20 @@ def score_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     these shares, so probabilities add up to one.
     """
     spark = docs.sparkSession
-    packed = pin(blocks(docs, text))
+    paths = [scratch_path(spark, "word-counts") for _ in range(2)]  # a round's rows replace those of the round before the last
+    # Rows are large, so their memory is checked row by row. The second round replaces them.
+    blocks(docs, text).write.option("parquet.page.size.row.check.min", "1").parquet(paths[1])
+    packed = spark.read.parquet(paths[1])
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(2 * packed.count(), MOST_TASKS))
-    with freed(spark):
-        coded = pin(coded_blocks(packed).repartition(tasks, "block"))  # dealt once: a round shuffles no texts
+    # Dealt once, by a plan whose partitioning the checkpoint keeps: a round then shuffles no texts.
+    with freed(spark), settings(spark, {"spark.sql.adaptive.enabled": "false"}):
+        coded = pin(coded_blocks(packed).repartition(tasks, "block"))
     facts = coded.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("shared", "total", "distinct")]).first()
     total, distinct, parts = facts["total"], facts["distinct"], max(16, -(-facts["shared"] // GROUP_WORDS))
     step = np.full((STATES, STATES), (1 - STAY) / (STATES - 1))
     np.fill_diagonal(step, STAY)  # states that tend to stay, and words' shares with a fixed noise: rounds then tell states apart
     first = exact_sums(coded, "first")
     now, replies = Round(0, np.full(STATES, 1 / STATES), step, first if len(first) else np.zeros(STATES), distinct), None
-    paths = [scratch_path(spark, "word-counts") for _ in range(2)]  # a round's rows replace those of the round before the last
     for k in range(ROUNDS if total else 0):
         replies, now = baum_welch(coded, replies, now, parts, paths[k % 2])
     shared = spark.sparkContext.broadcast(now)
