@@ -358,6 +358,15 @@ def dataset_version(spark, folder):
     return provenance.dataset_version(files, ["conv_id"])
 
 
+@query("tree_version", """WITH e AS (SELECT source, sha256(concat_ws(':', doc_id, sha256(text))) AS h, count(*) AS n FROM documents GROUP BY ALL),
+leaves AS (SELECT source, substr(h, 1, 4) AS p, sha256(string_agg(h || ':' || n, '|' ORDER BY h)) AS d, sum(n) AS n FROM e GROUP BY ALL),
+inner_nodes AS (SELECT source, substr(p, 1, 2) AS q, sha256(string_agg(d, '|' ORDER BY p)) AS d, sum(n) AS n FROM leaves GROUP BY ALL)
+SELECT source, CAST(sum(n) AS BIGINT) AS files, substr(sha256(string_agg(d, '|' ORDER BY q)), 1, 16) AS version FROM inner_nodes GROUP BY source""")
+def tree_version(spark, folder):
+    files = table(spark, folder, "documents").select("source", F.col("doc_id").cast("string").alias("name"), F.sha2("text", 256).alias("digest"))
+    return provenance.tree_version(files, ["source"])
+
+
 @query("write_evidence", "SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT c_custkey, c_name, c_nationkey FROM customer")
 def write_evidence(spark, folder):
     path = scratch_path(spark, "evidence")

@@ -171,6 +171,30 @@ def test_knn_equals_brute_force(spark, block):
     assert got[9] == pytest.approx(y[3])
 
 
+@pytest.mark.parametrize("clusters", [8, 16])
+def test_knn_visits_few_blocks_of_clustered_rows(spark, clusters):
+    rng = np.random.default_rng(7)
+    centre = rng.normal(size=(clusters, 3)) * 1000
+    x, v = np.repeat(centre, 50, axis=0) + rng.normal(size=(clusters * 50, 3)), np.repeat(centre, 10, axis=0) + rng.normal(size=(clusters * 10, 3))
+    train = spark.createDataFrame([(i, x[i].tolist(), float(i)) for i in range(len(x))], "row int, vector array<double>, target double")
+    valid = spark.createDataFrame([(i, v[i].tolist()) for i in range(len(v))], "row int, vector array<double>")
+    near, pairs = importance.nearest_rows(train, valid, key="row", vector="vector", target="target", k=3, block=10)
+    got = {}
+    for r in near.collect():
+        got.setdefault(r["_id"], []).append(r["_dist"])
+    for i, point in enumerate(v):
+        assert sorted(got[i])[:3] == pytest.approx(np.sort(np.sqrt(((x - point) ** 2).sum(axis=1)))[:3])
+    assert pairs.count() < clusters * 60  # linear in the clusters; all pairs of blocks are 5 * clusters**2 at least
+
+
+def test_knn_of_few_equal_and_no_rows(spark):
+    valid = spark.createDataFrame([(0, [1.0, 2.0]), (1, [5.0, 5.0])], "row int, vector array<double>")
+    train = spark.createDataFrame([(i, [1.0, 2.0], float(i)) for i in range(30)], "row int, vector array<double>, target double")
+    assert importance.knn(train.limit(0), valid).collect() == [] and importance.knn(train, valid.limit(0)).collect() == []
+    assert {r.row: r.predicted for r in importance.knn(train, valid, k=4, block=7).collect()} == {0: 1.5, 1: pytest.approx(1.5)}
+    assert {r.row: r.neighbours for r in importance.knn(train.filter("row < 2"), valid, k=4, block=1).collect()} == {0: 2, 1: 2}
+
+
 def test_bootstrap_interval(spark):
     counts = spark.createDataFrame([(f"l{i}", 5, 1, 2, 10 + i) for i in range(8)], "lot string, tp long, fp long, fn long, tn long")
     same = {r.metric: r for r in importance.bootstrap_ci(counts, counts, draws=200).collect()}

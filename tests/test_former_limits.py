@@ -85,6 +85,30 @@ def test_versions_of_lists_and_keys(spark):
     assert {tuple(r) for r in provenance.dataset_version(df, ["part"]).collect()} == {(p, 150, want([r for r in rows if r[0] == p])) for p in (0, 1)}
 
 
+def test_tree_versions_depend_on_entries_alone(spark):
+    import hashlib
+
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    rows = [(k % 2, f"f{k:03d}", f"d{k}") for k in range(300)] + [(0, "f000", "d0")] * 3 + [(1, None, "d"), (1, "n", None)]
+    df = spark.createDataFrame(rows, "part int, name string, digest string")
+
+    def root(some):
+        counts = {}
+        for _, n, d in some:
+            h = sha(":".join(x for x in (n, d) if x is not None))
+            counts[h] = counts.get(h, 0) + 1
+        nodes = {h: f"{h}:{c}" for h, c in counts.items()}
+        for digits in (4, 2, 0):
+            nodes = {p: sha("|".join(nodes[h] for h in sorted(nodes) if h.startswith(p))) for p in {h[:digits] for h in nodes}}
+        return nodes[""][:16]
+
+    want = root(rows)
+    assert {tuple(provenance.tree_version(df.repartition(n)).first()) for n in (1, 50)} == {(305, want)}
+    per_key = {r.part: (r.files, r.version) for r in provenance.tree_version(df, ["part"]).collect()}
+    assert per_key == {p: (len(own := [r for r in rows if r[0] == p]), root(own)) for p in (0, 1)}
+    assert provenance.tree_version(df.limit(0)).collect() == []
+
+
 def test_shared_folder_is_needed_off_one_machine():
     context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
     cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context)

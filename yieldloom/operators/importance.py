@@ -21,6 +21,8 @@ from yieldloom.session import pin
 
 BLOCK = 20_000
 TILE = 256
+#: Pivots whose vectors go to all tasks, at most.
+PIVOTS = 1024
 
 
 def feature_importance(model, names: Sequence[str], spark) -> DataFrame:
@@ -128,18 +130,85 @@ def repeated_permutation_importance(df: DataFrame, features: Sequence[str], pred
     return errors.groupBy("feature").agg(F.avg("drop").alias("importance_mean"), F.stddev_pop("drop").alias("importance_std"))
 
 
-def knn(train: DataFrame, validation: DataFrame, *, key: str = "row", vector: str = "vector", target: str = "target", k: int = 5, block: int = BLOCK) -> DataFrame:
-    """Distance-weighted mean target of the k nearest training rows, exact at any size.
+class Rings:
+    """Pivots and, around each, rings of training rows: cell, least and greatest distance and size of each ring."""
+
+    def __init__(self, pivots: np.ndarray, cells: np.ndarray, low: np.ndarray, high: np.ndarray, sizes: np.ndarray):
+        self.pivots, self.cells, self.low, self.high, self.sizes = pivots, cells, low, high, sizes
+        self.tile = max(1, min(TILE, (1 << 22) // max(1, len(cells))))  # points looked at together
+
+    def distances(self, points: np.ndarray) -> np.ndarray:
+        squares = (points**2).sum(axis=1, keepdims=True) - 2 * points @ self.pivots.T + (self.pivots**2).sum(axis=1)
+        return np.sqrt(np.maximum(squares, 0))
+
+    def nearer(self, points: np.ndarray) -> np.ndarray:
+        """Points by rings: no row of the ring is nearer than this (triangle inequality, less what rounding may add)."""
+        d = self.distances(points)[:, self.cells]
+        return np.maximum(np.maximum(d - self.high, self.low - d), 0) - 1e-6 * (1 + d)
+
+
+def _rings(train: DataFrame, key: str, vector: str, target: str, block: int) -> tuple[DataFrame, Rings | None]:
+    """Training rows by ring (at most ``block`` rows, numbered ``_tb``) and the rings; None without rows."""
+    rows = train.select(F.col(key).alias("_key"), F.col(vector).cast("array<double>").alias("_x"), F.col(target).cast("double").alias("_y"))
+    some = rows.orderBy(F.xxhash64("_key"), "_key").limit(min(PIVOTS, max(1, -(-rows.count() // block)))).select("_x").collect()
+    if not some:
+        return rows, None
+    pivots = Rings(np.array([r["_x"] for r in some]), *[np.zeros(0)] * 4)
+
+    def nearest_pivot(batches):
+        for rows in batches:
+            for at in range(0, len(rows), TILE):
+                tile = rows.iloc[at : at + TILE]
+                d = pivots.distances(np.stack(tile["_x"].to_numpy()))
+                cell = d.argmin(axis=1)
+                yield tile.assign(_cell=cell, _d=d[np.arange(len(d)), cell])
+
+    kind = rows.schema["_key"].dataType.simpleString()
+    celled = pin(rows.mapInPandas(nearest_pivot, f"_key {kind}, _x array<double>, _y double, _cell long, _d double"))
+    ringed = pin(row_index(celled, ["_cell"], ["_d", "_key"], name="_at").withColumn("_ring", F.expr(f"(_at - 1) div {block}")))
+    found = ringed.groupBy("_cell", "_ring").agg(F.min("_d").alias("low"), F.max("_d").alias("high"), F.count(F.lit(1)).alias("size")).orderBy("_cell", "_ring").toPandas()  # one row a block
+    rings = Rings(pivots.pivots, found["_cell"].to_numpy(), found["low"].to_numpy(), found["high"].to_numpy(), found["size"].to_numpy())
+    numbers = train.sparkSession.createDataFrame(found[["_cell", "_ring"]].assign(_tb=range(len(found))), "_cell long, _ring long, _tb long")
+    return ringed.join(F.broadcast(numbers), ["_cell", "_ring"]).select("_tb", "_x", "_y"), rings
+
+
+def _visits(validation: DataFrame, rings: Rings, key: str, vector: str, k: int, block: int) -> DataFrame:
+    """Validation rows at home: ``_home`` is the ring that may have the nearest rows and has k of them, ``_vb`` a block of its rows."""
+
+    def home(batches):
+        enough = rings.sizes >= k
+        for rows in batches:
+            for at in range(0, len(rows), rings.tile):
+                tile = rows.iloc[at : at + rings.tile]
+                least = rings.nearer(np.stack(tile["_x"].to_numpy()))
+                yield tile.assign(_home=np.where(enough, least, np.inf).argmin(axis=1))
+
+    kind = validation.schema[key].dataType.simpleString()
+    rows = validation.select(F.col(key).alias("_id"), F.col(vector).cast("array<double>").alias("_x"))
+    at_home = pin(rows.mapInPandas(home, f"_id {kind}, _x array<double>, _home long"))
+    return pin(row_index(at_home, ["_home"], ["_id"], name="_at").select("_id", "_x", "_home", F.expr(f"(_at - 1) div {block}").alias("_vb")))
 
-    Both sides are hashed into blocks of bounded size; every pair of blocks is one
-    task that returns at most k candidates per validation row, and the best k of
-    those are the true neighbours. A training row at distance zero decides alone.
-    """
-    sizes = [max(1, -(-df.count() // block)) for df in (train, validation)]
-    blocks_t, blocks_v = sizes
-    grid = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = validation.select(F.col(key).alias("_id"), F.col(vector).alias("_x"), F.pmod(F.xxhash64(key), F.lit(blocks_v)).cast("int").alias("_vb"), grid(blocks_t).alias("_tb"))
-    right = train.select(F.col(vector).alias("_x"), F.col(target).cast("double").alias("_y"), F.pmod(F.xxhash64(key), F.lit(blocks_t)).cast("int").alias("_tb"), grid(blocks_v).alias("_vb"))
+
+def _further(near: DataFrame, homes: DataFrame, rings: Rings, k: int) -> DataFrame:
+    """Validation rows once for each other ring that may have a row as near as the k-th one at home."""
+    limits = near.groupBy("_id").agg(F.when(F.count(F.lit(1)) >= k, F.max("_dist")).alias("_limit"))
+
+    def others(batches):
+        for rows in batches:
+            for at in range(0, len(rows), rings.tile):
+                tile = rows.iloc[at : at + rings.tile]
+                limit = tile["_limit"].fillna(np.inf).to_numpy(float)
+                may = rings.nearer(np.stack(tile["_x"].to_numpy())) <= limit[:, None]
+                may[np.arange(len(tile)), tile["_home"].to_numpy()] = False
+                row, ring = np.nonzero(may)
+                yield tile.iloc[row][["_id", "_x", "_home", "_vb"]].assign(_tb=ring)
+
+    kind = homes.schema["_id"].dataType.simpleString()
+    return homes.join(limits, "_id", "left").mapInPandas(others, f"_id {kind}, _x array<double>, _home long, _vb long, _tb long")
+
+
+def nearest_rows(train: DataFrame, validation: DataFrame, *, key: str, vector: str, target: str, k: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(_id, _dist, _y) that hold each validation row's k nearest training rows, and the pairs of blocks visited."""
 
     def nearest(v: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         out, chosen = {"_id": [], "_dist": [], "_y": []}, []
@@ -161,8 +230,34 @@ def knn(train: DataFrame, validation: DataFrame, *, key: str = "row", vector: st
                 out["_y"].extend(y[best])
         return pd.DataFrame(out)
 
-    kind = validation.schema[key].dataType.simpleString()
-    near = left.groupBy("_vb", "_tb").cogroup(right.groupBy("_vb", "_tb")).applyInPandas(nearest, f"_id {kind}, _dist double, _y double")
+    spark, kind = train.sparkSession, validation.schema[key].dataType.simpleString()
+    schema = f"_id {kind}, _dist double, _y double"
+    placed, rings = _rings(train, key, vector, target, block)
+    if rings is None:
+        return spark.createDataFrame([], schema), spark.createDataFrame([], "_home long, _vb long, _tb long")
+    homes = _visits(validation, rings, key, vector, k, block)
+
+    def meet(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        pairs = rows.select("_home", "_vb", "_tb").distinct()
+        copies = placed.join(pairs.toDF("_h", "_v", "_t"), F.col("_tb") == F.col("_t")).select("_h", "_v", "_t", F.col("_x").alias("_x"), "_y")
+        met = rows.groupBy("_home", "_vb", "_tb").cogroup(copies.groupBy("_h", "_v", "_t")).applyInPandas(nearest, schema)
+        return met, pairs
+
+    first, pairs = meet(homes.withColumn("_tb", F.col("_home")))
+    first = pin(first)
+    second, more = meet(pin(_further(first, homes, rings, k)))
+    return first.unionByName(second), pairs.unionByName(more)
+
+
+def knn(train: DataFrame, validation: DataFrame, *, key: str = "row", vector: str = "vector", target: str = "target", k: int = 5, block: int = BLOCK) -> DataFrame:
+    """Distance-weighted mean target of the k nearest training rows, exact at any size.
+
+    Training rows lie in rings around pivots, at most ``block`` rows each. A validation row first meets the ring it lies
+    in, then only the rings that may have a row as near as its k-th so far by the triangle inequality. Validation rows
+    of one ring travel together, so a training block is copied once for each block of them that needs it. A training
+    row at distance zero decides alone. Without training rows there is no result.
+    """
+    near, _ = nearest_rows(train, validation, key=key, vector=vector, target=target, k=k, block=block)
     ranked = near.withColumn("_rank", F.row_number().over(Window.partitionBy("_id").orderBy("_dist", "_y"))).filter(F.col("_rank") <= k)
     exact = F.col("_dist") == 0
     weight = 1 / F.when(~exact, F.col("_dist"))

@@ -32,7 +32,8 @@ def source_fingerprint(files: DataFrame) -> DataFrame:
 def dataset_version(fingerprints: DataFrame, keys: Iterable[str] = ()) -> DataFrame:
     """First sixteen hex digits of the hash over the sorted ``name:digest`` list, per key.
 
-    The list is sorted by Spark and streamed through the hash, so a list of any length is read in constant memory.
+    The list is sorted by Spark and streamed through the hash, so a list of any length is read in constant memory, but by one
+    task a key; ``tree_version`` hashes a long list in parallel.
     """
     keys = list(keys)
     entries = fingerprints.select(*keys, F.concat_ws(":", "name", "digest").alias("_entry"))
@@ -61,6 +62,25 @@ def dataset_version(fingerprints: DataFrame, keys: Iterable[str] = ()) -> DataFr
     return ordered.mapInArrow(stream, schema)
 
 
+def tree_version(fingerprints: DataFrame, keys: Iterable[str] = (), levels: int = 2) -> DataFrame:
+    """First sixteen hex digits of the root of a digest tree over ``name:digest`` entries, and the number of files, per key.
+
+    An entry is the sha256 of ``name:digest`` with the number of its rows. Entries whose hash begins with the same
+    ``2 * levels`` digits are a leaf: the sha256 of them in order, joined by ``|``. A level up, up to 256 digests are
+    hashed in order in the same way, until one is left. Leaves are cut by content, so the version depends neither on
+    partitions nor on row order, and no task holds more than a leaf, however many files a key has.
+    """
+    keys = list(keys)
+    entry = F.sha2(F.concat_ws(":", "name", "digest"), 256)
+    nodes = fingerprints.select(*keys, entry.alias("_at")).groupBy(*keys, "_at").agg(F.count(F.lit(1)).alias("files"))
+    nodes = nodes.withColumn("_digest", F.concat_ws(":", "_at", F.col("files").cast("string")))
+    for digits in range(2 * levels, -1, -2):
+        ordered = F.transform(F.sort_array(F.collect_list(F.struct("_at", "_digest"))), lambda x: x["_digest"])
+        parents = nodes.groupBy(*keys, F.substring("_at", 1, digits).alias("_parent"))
+        nodes = parents.agg(F.sha2(F.concat_ws("|", ordered), 256).alias("_digest"), F.sum("files").alias("files")).withColumnRenamed("_parent", "_at")
+    return nodes.select(*keys, "files", F.substring("_digest", 1, 16).alias("version"))
+
+
 def assert_functions_allowed(lane: str, functions: Iterable[str]) -> None:
     if lane not in LANES:
         raise KeyError(f"unknown lane {lane!r}")
