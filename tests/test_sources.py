@@ -84,6 +84,36 @@ def test_stdf(spark, tmp_path, order):
     assert stdf.stdf_die_tests(records).count() == 12
 
 
+def _busy_log():
+    """Two sites in turn; site 0 begins anew once, repeats a test and ends twice, site 1 never ends."""
+    test = lambda number, site, value, flags=0: _record(15, 10, struct.pack("<IBBBBf", number, 1, site, flags, 0, value) + _text("X_DIE" if number == 7 else "V"))
+    result = _record(5, 20, struct.pack("<BBBHHHhh", 1, 0, 0, 3, 9, 65535, 0, 0))
+    return b"".join(
+        [_record(0, 10, bytes([2, 4])), test(5, 0, 1.0), _record(5, 10, bytes([1, 0])), test(5, 1, 9.0), test(200_000, 0, 2.0, 0x80), test(7, 0, 3.0)]
+        + [test(200_000, 0, 4.0, 0x81), result, result, test(5, 0, 6.0), result, test(3, 1, 1.0)]
+    )
+
+
+@pytest.mark.parametrize("held", [1, 4, 1_000])
+def test_parts_over_several_runs_of_records(spark, monkeypatch, held):
+    """Parts are the same however few records are held at a time; all rows know the file's smallest test."""
+    monkeypatch.setattr(stdf, "RECORDS_AT_A_TIME", held)
+    schema = stdf.to_arrow_schema(stdf.StructType.fromDDL(stdf.RECORD))
+    rows = [r for rows in stdf._decode("/a.std", stdf.pa.py_buffer(_busy_log()), schema, 1) for r in rows.to_pylist()]
+    parts, tests = [r for r in rows if r["kind"] == "part"], [r for r in rows if r["kind"] == "test"]
+    assert [(p["seq"], [(t["test_num"], t["value"]) for t in p["tests"]], p["fails"], p["alarms"], p["x_named"]) for p in parts] == [
+        (1, [(200_000, 4.0), (7, 3.0)], [200_000, 200_000], [200_000], 3.0), (2, [(5, 6.0)], [], [], None),
+    ]
+    assert [t["test_num"] for t in tests] == [5, 200_000, 7, 3] and {r["lowest_test"] for r in rows} == {3}
+
+
+def test_logs_are_decoded_once(spark):
+    """Codes need the file's smallest test number, but no second decoding of all files."""
+    records = stdf.decode_stdf(spark.createDataFrame([("/a.std", _log())], "path string, content binary"))
+    for out in (stdf.stdf_die_rows(records), stdf.stdf_tests(records)):
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_overrunning_text_is_empty():
     assert stdf._texts(b"\x02ab\x09cd", 0, 3) == (["ab", "", ""], 6)
 

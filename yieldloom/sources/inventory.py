@@ -7,6 +7,7 @@ import zipfile
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -180,7 +181,7 @@ def expand_archives(files: DataFrame, endings: Sequence[str] = DATA_ENDINGS) ->
     """(archive, path, content) of every data file, nested zips opened in the task that holds them."""
     wanted = tuple(endings)
 
-    def leaves(name: str, data: bytes) -> Iterator[tuple[str, bytes]]:
+    def leaves(name: str, data: bytes | memoryview) -> Iterator[tuple[str, bytes | memoryview]]:
         if name.lower().endswith(".zip") or data[:4] == b"PK\x03\x04":
             with zipfile.ZipFile(io.BytesIO(data)) as archive:
                 for member in archive.namelist():
@@ -189,10 +190,13 @@ def expand_archives(files: DataFrame, endings: Sequence[str] = DATA_ENDINGS) ->
         elif name.lower().endswith(wanted):
             yield name, data
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = pa.schema([("archive", pa.string()), ("path", pa.string()), ("content", pa.binary())])
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            for path, content in zip(frame["path"], frame["content"]):
-                for member, data in leaves(path, bytes(content)):
-                    yield pd.DataFrame({"archive": [path], "path": [member], "content": [data]})
+            # One archive's bytes at a time are copied, and one member's are handed on at a time.
+            for path, content in zip(frame.column("path"), frame.column("content"), strict=True):
+                for member, data in leaves(path.as_py(), memoryview(content.as_buffer()).cast("B")):
+                    yield pa.RecordBatch.from_pydict({"archive": [path.as_py()], "path": [member], "content": [data]}, schema=schema)
 
-    return files.select("path", "content").mapInPandas(run, "archive string, path string, content binary")
+    return files.select("path", "content").mapInArrow(run, "archive string, path string, content binary")
