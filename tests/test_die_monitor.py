@@ -109,3 +109,34 @@ def test_current_mapping_and_limits(spark):
     files = spark.createDataFrame([("p", "l1", "own"), ("p", None, "shared")], "product string, lot string, limit_file string")
     found = {(r.product, r.lot): r.limit_file for r in joins.resolve_limits(wafers, files).collect()}
     assert found == {("p", "l1"): "own", ("p", "l2"): "shared", ("q", "l1"): None}
+
+
+def test_tiles_meet_over_their_edges(spark):
+    """Whole-numbered positions, met as maps of tiles, have the counts of fractional types, met one by one; repeats, gaps and nulls, too."""
+    rows = [(w, x, y, None if (x * y) % 11 == 5 else (x + y * y) % 3 > 0, k) for w in ("a", None) for k, (x, y) in enumerate((i % 13 - 9, i * i % 19 - 4) for i in range(90))]
+    rows += [("b", 2**40 + i % 3, -(2**40) + i // 3, i % 2 == 0, i) for i in range(9)] + [("a", None, y, y > 1, 0) for y in range(4)] + [("a", 7, None, False, 0), ("a", None, None, False, 0)]
+    dies = spark.createDataFrame(rows, "wafer string, x long, y long, is_pass boolean, row int")
+    plain = dies.withColumns({"x": F.col("x").cast("double"), "y": F.col("y").cast("double")})
+    for met in (spatial.neighbour_join, spatial.gdbn):
+        one, other = ([str([None if v is None else int(v) if not isinstance(v, str) else v for v in r]) for r in met(d).collect()] for d in (dies, plain))
+        assert len(one) > 90 and sorted(one) == sorted(other)
+    assert "Generate explode" in spatial.neighbour_join(dies)._jdf.queryExecution().optimizedPlan().toString()
+    assert spatial.neighbour_join(dies).schema["x"].dataType.simpleString() == "bigint"
+    assert spatial.edge_fails(dies)._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == 1
+    assert {r.wafer: r.total_dies for r in spatial.spatial_summary(dies).collect()} == {"a": 90, "b": 9}
+
+
+def test_one_feature_with_most_rows_is_not_gathered(spark):
+    """Kept features are broadcast and hashed: rows are not sorted by feature."""
+    rows = [(lot, lot % 2, "common") for lot in range(5) for _ in range(20)] + [(1, 1, "rare"), (2, 0, None)]
+    df = spark.createDataFrame(rows, "lot int, wafer int, feature string")
+    out = die.common_features(df)
+    assert "strategy=broadcast" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.groupBy("feature").count().collect()[0].asDict() == {"feature": "common", "count": 100} and out.count() == 100
+
+
+def test_spec_proximity_hashes_sigmas(spark):
+    rows = values(spark, [1, 2, 4, 8, 16, 23, 100])
+    out = die.spec_proximity(rows, ["test_id"], spark.createDataFrame([("t", 0.0, 100.0)], "test_id string, lsl double, usl double"))
+    assert "strategy=shuffle_hash" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.first().near_lsl_sigma == pytest.approx(5 / 7)
