@@ -122,3 +122,10 @@ def test_grades(spark):
     assert one(spark, grades.normalised_yield(num(-1), num(0.5))) == pytest.approx(46)
     assert one(spark, grades.normalised_yield(num(0.9), num(0.5))) == pytest.approx(90)
     assert one(spark, numeric.coordinate_columns(F.lit(30000), F.lit(40000))["coordinate__radius"]) == pytest.approx(0.5)
+
+
+def test_tokens_without_numbers_are_not_cast(spark):
+    """Empty matches are NULL before they are cast, so that no error is raised for each of a name's tokens."""
+    out = text.wafer_from_filename(spark.createDataFrame([("AB_HB7_PRB_J750.std", "HB7_[01-26]_97.9%")], "filename string, folder string"))
+    assert "try_cast(regexp_extract" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.first().wafer_info.asDict() == {"lot": "HB7", "wafer": None, "prefix": "AB_", "suffix": "WS"}
