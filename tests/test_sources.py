@@ -235,3 +235,11 @@ def test_provenance(spark, tmp_path):
     provenance.write_evidence(tables, str(tmp_path / "e"))
     back = provenance.read_evidence(spark, str(tmp_path / "e"), ["ledger"])
     assert back["ledger"].count() == 5
+
+
+def test_one_product_with_all_files_is_not_gathered(spark):
+    """Whether a product has probe files is broadcast; its final files go, and a product without probes keeps them."""
+    paths = [f"/d/F/{p}_X/L{k}/L{k}_{s}_.csv" for p, s in (("A", "PRB"), ("A", "FIN"), ("B", "FIN")) for k in range(3)]
+    out = inventory.discover_products(spark.createDataFrame([(p,) for p in paths], "path string"), "/d")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == 1
+    assert sorted((r.generic, r.lot_id) for r in out.collect()) == [("A", f"L{k}_PRB_") for k in range(3)] + [("B", f"L{k}_FIN_") for k in range(3)]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from yieldloom.functions import text
 from yieldloom.operators.sets import latest_per_key
+from yieldloom.plans import measured
 from yieldloom.sources.heads import file_heads
 from yieldloom.sources.stdf import master_texts
 
@@ -102,7 +103,8 @@ def discover_products(files: DataFrame, root: str) -> DataFrame:
         F.contains(upper, F.lit("_PRB_")).alias("_probe"), F.coalesce(text.yield_from_path(F.concat_ws(" ", name, _folder(F.col("path")))), F.lit(0.0)).alias("yield_pct"),
     )
     probes = described.groupBy("family", "product").agg(F.max("_probe").alias("_has_probe"))
-    kept = described.join(probes, ["family", "product"]).filter(~(F.col("_has_probe") & F.col("_final")))
+    # A product may have most files: few products are broadcast, so its files need not meet.
+    kept = described.join(measured(probes), ["family", "product"]).filter(~(F.col("_has_probe") & F.col("_final")))
     best = latest_per_key(kept, ["family", "product", "lot_id"], F.asc("path"))
     parts = F.split("product", "_", 2)
     return best.select("family", "product", parts[0].alias("generic"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("partname"), "lot_id", "yield_pct", "path")
