@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from yieldloom.operators.signal import normalize_waveform
+from yieldloom.session import pin
 
 #: Directions sought beyond the wanted ones, most passes over the rows, and the residual (of the largest variance) that ends them.
 OVERSAMPLE, PASSES, TOLERANCE = 10, 12, 1e-9
@@ -158,7 +159,8 @@ def waveform_basis(train: DataFrame, components: int, *, external: DataFrame | N
     """Axes of the z-scored waveforms of ``train`` together with an external bank's, z-scored, too."""
     shaped = lambda df: normalize_waveform(df.select(F.col(column).cast("array<double>").alias("waveform")).filter("waveform IS NOT NULL"))
     bank = shaped(train) if external is None else shaped(train).unionByName(shaped(external))
-    return principal_axes(bank, "waveform", components)
+    # Every pass reads the bank: it is built once.
+    return principal_axes(pin(bank), "waveform", components)
 
 
 def encode_waveforms(apply: DataFrame, basis: Basis, column: str = "waveform") -> DataFrame:
