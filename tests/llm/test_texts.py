@@ -516,3 +516,25 @@ def test_places_beyond_a_long_are_refused():
     for task, serial in ((1 << 22, 0), (0, 1 << hmm.SERIAL_BITS)):
         with pytest.raises(OverflowError):
             hmm.block_number(task, serial)
+
+
+def test_hidden_markov_groups_share_memory():
+    rng = np.random.default_rng(3)
+    start, step, emit = np.full(hmm.STATES, 1 / hmm.STATES), rng.dirichlet(np.ones(hmm.STATES), hmm.STATES), rng.random((9, hmm.STATES))
+    model = hmm.Model(start, step, emit)
+    for lengths in ((7, 3, 3, 1), (4, 4), (9, 1, 1), (5,)):  # what a longer group leaves is not counted by the next one
+        table = rng.integers(0, 9, (lengths[0], len(lengths)))
+        alone = hmm.Model(start, step, emit).expected(table, np.array(lengths))
+        for x, y in zip(model.expected(table, np.array(lengths)), alone):
+            assert np.array_equal(x, y)
+        starts, steps, emitted, _ = alone
+        assert np.isclose(starts.sum(), len(lengths)) and np.isclose(emitted.sum(), sum(lengths)) and np.isclose(steps.sum(), sum(lengths) - len(lengths))
+    assert {x.size for x in model.spaces.values()} == {7 * 4 * hmm.STATES}
+
+
+def test_hidden_markov_numbers():
+    block = hmm.Block()
+    block.add(1, False, "b A b\x0ba")
+    block.add(2, True, None)
+    assert list(block.number) == [b"", b"b", b"a"] and np.concatenate(block.parts).tolist() == [1, 2, 1, 2, 0, 0]
+    assert isinstance(block.number, hmm.Numbers) and block.sizes == [5, 1]

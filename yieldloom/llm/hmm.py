@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from yieldloom.llm.common import fold_of, freed, pin, settings
+from yieldloom.llm.common import fold_of, freed, hand_back, pin, settings
 from yieldloom.llm.jaccard import MIX, mixed
 from yieldloom.session import scratch_path
 
@@ -61,6 +61,7 @@ def blocks(docs: DataFrame, text: str) -> DataFrame:
     """Texts as numbers into their block's own list of words; the empty word is the end of a text. One row per block."""
 
     def run(batches):
+        hand_back()
         held = Block()
         for batch in batches:
             for doc, out, value in zip(*[c.to_pylist() for c in batch.columns]):
@@ -68,6 +69,7 @@ def blocks(docs: DataFrame, text: str) -> DataFrame:
                 if held.tokens >= BLOCK_TOKENS:
                     yield held.row()
                     held = Block(held.serial + 1)
+                    hand_back()
         if held.docs:
             yield held.row()
 
@@ -75,16 +77,24 @@ def blocks(docs: DataFrame, text: str) -> DataFrame:
     return rows.mapInArrow(run, PACKED)
 
 
+class Numbers(dict):
+    """Words by number, in the order in which they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 class Block:
     def __init__(self, serial: int = 0):
         self.serial, self.tokens, self.docs, self.held, self.sizes, self.parts = serial, 0, [], [], [], []
-        self.number: dict[bytes, int] = {b"": 0}
+        self.number = Numbers({b"": 0})
 
     def add(self, doc, held, text) -> None:
         words = text.encode("utf-8").lower().split() if text else []
-        number = self.number
-        ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.uint32, len(words))
-        self.parts += [ids, np.zeros(1, np.uint32)]
+        ids = np.zeros(len(words) + 1, np.uint32)
+        ids[:-1] = np.fromiter(map(self.number.__getitem__, words), np.uint32, len(words))
+        self.parts.append(ids)
         self.docs.append(doc)
         self.held.append(held)
         self.sizes.append(len(words) + 1)
@@ -116,6 +126,7 @@ def block_words(packed: DataFrame) -> DataFrame:
     """place, word, n (in the block's training texts) for each distinct word of each block."""
 
     def run(batches):
+        hand_back()
         for batch in batches:
             for row in batch.to_pylist():
                 words = zlib.decompress(row["words"]).split(b" ")
@@ -163,6 +174,7 @@ def coded_blocks(packed: DataFrame) -> DataFrame:
     answers = found.filter("blocks > 1").select(F.shiftright("place", PLACE_BITS).alias("block"), F.expr(f"place & {(1 << PLACE_BITS) - 1}").cast("int").alias("at"), "c", "id")
 
     def code(blocks_: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        hand_back()
         out, at = [], replies["at"].to_numpy()
         for row in blocks_.to_dict("records"):
             names = zlib.decompress(row["words"]).split(b" ")
@@ -185,27 +197,34 @@ def first_emissions(words: list[bytes], counts: np.ndarray) -> np.ndarray:
 class Model:
     """Start, step and emission probabilities. Emission is symbol by state."""
 
-    def __init__(self, start: np.ndarray, step: np.ndarray, emit: np.ndarray):
-        self.start, self.step, self.emit = start, step, emit
+    def __init__(self, start: np.ndarray, step: np.ndarray, emit: np.ndarray, spaces: dict[str, np.ndarray] | None = None):
+        self.start, self.step, self.emit, self.spaces = start, step, emit, {} if spaces is None else spaces
 
     def forward(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scaled forward recursion. symbols: time by text, padded; sizes fall. Returns alpha, the scales (1 beyond a text's end) and the emissions."""
         t_max, lanes = symbols.shape
-        seen = self.emit[symbols]
-        alpha = np.zeros((t_max, lanes, len(self.start)))
+        seen = np.take(self.emit, symbols, axis=0, out=self.space("seen", symbols.shape), mode="clip")
+        alpha = self.space("alpha", symbols.shape)
         scale = np.ones((t_max, lanes))
-        lives = live_lanes(sizes, t_max)
-        for t, live in enumerate(lives):
-            now = alpha[t, :live]
+        for t, live in enumerate(live_lanes(sizes, t_max)):
+            now, all_ = alpha[t, :live], scale[t, :live]
             if t:
                 np.matmul(alpha[t - 1, :live], self.step, out=now)
             else:
                 now[:] = self.start
+            alpha[t, live:] = 0
             now *= seen[t, :live]
-            np.sum(now, axis=1, out=scale[t, :live])
-            now /= scale[t, :live, None]
+            np.add.reduce(now, axis=1, out=all_)
+            now /= all_[:, None]
         return alpha, scale, seen
 
+    def space(self, name: str, shape: tuple[int, int]) -> np.ndarray:
+        """An array of a group (time by text by state) with any content, in memory that all groups share."""
+        size = shape[0] * shape[1] * len(self.start)
+        if name not in self.spaces or self.spaces[name].size < size:
+            self.spaces[name] = np.empty(size)
+        return self.spaces[name][:size].reshape(*shape, len(self.start))
+
     def log_likelihood(self, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         return np.log(self.forward(symbols, sizes)[1]).sum(axis=0)
 
@@ -214,15 +233,17 @@ class Model:
         alpha, scale, ahead = self.forward(symbols, sizes)
         t_max, lanes = symbols.shape
         states = len(self.start)
-        ahead /= scale[..., None]  # from here on: emission by scale, times beta
-        beta = np.ones((t_max, lanes, states))
-        lives = live_lanes(sizes, t_max)
+        beta = self.space("beta", symbols.shape)
+        lives = [*live_lanes(sizes, t_max), 0]
         back = np.ascontiguousarray(self.step.T)
-        for t in range(t_max - 1, 0, -1):
-            live = lives[t]
-            ahead[t, :live] *= beta[t, :live]
-            ahead[t, live:] = 0
-            np.matmul(ahead[t, :live], back, out=beta[t - 1, :live])
+        for t in range(t_max - 1, -1, -1):
+            live, now = lives[t], ahead[t, : lives[t]]
+            beta[t, lives[t + 1] :] = 1  # texts that end here; of no account beyond their end
+            if t:  # from here on: emission by scale, times beta
+                now /= scale[t, :live, None]
+                now *= beta[t, :live]
+                ahead[t, live:] = 0
+                np.matmul(now, back, out=beta[t - 1, :live])
         steps = alpha[:-1].reshape(-1, states).T @ ahead[1:].reshape(-1, states) * self.step
         beta *= alpha  # 0 beyond a text's end, as alpha is
         cells = (symbols[..., None] * states + np.arange(states)).ravel()
@@ -300,7 +321,7 @@ def shares_of(kept: bytes | np.ndarray) -> np.ndarray:
 
 def texts_in(row: dict, some: np.ndarray) -> list[np.ndarray]:
     ends = np.cumsum(row["sizes"])
-    tokens = token_array(row["tokens"]).astype(np.int64)
+    tokens = token_array(row["tokens"])
     return [tokens[ends[k] - row["sizes"][k] : ends[k]] for k in some]
 
 
@@ -308,6 +329,7 @@ def by_block(coded: DataFrame, replies: DataFrame | None, work, schema: str) ->
     """Applies ``work`` to each block's row and the shares of its words."""
 
     def run(blocks_: pd.DataFrame, answers: pd.DataFrame | None = None) -> pd.DataFrame:
+        hand_back()
         return named([out for row in blocks_.to_dict("records") for out in work(row, answers)], schema)
 
     if replies is None:
@@ -326,22 +348,25 @@ def baum_welch(coded: DataFrame, replies: DataFrame | None, now: Round, parts: i
     def count(row: dict, answers: pd.DataFrame | None):
         model, c = shared.value.model(row, answers, parts)
         start, steps, emitted = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((len(c), STATES))
-        local = np.zeros(len(c), np.int64)
-        for _, table, sizes in groups(texts_in(row, np.flatnonzero(~np.array(row["held"], bool)))):
+        local, n = np.zeros(len(c), np.int64), np.zeros(len(c), np.int64)
+        for some, table, sizes in groups(texts := texts_in(row, np.flatnonzero(~np.array(row["held"], bool)))):
+            n += np.bincount(np.concatenate([texts[k] for k in some]), minlength=len(c))
             met = np.flatnonzero(np.bincount(table.ravel(), minlength=len(c)))
             local[met] = np.arange(len(met))
-            a, b, e, _ = Model(model.start, model.step, model.emit[met]).expected(local[table], sizes)
+            a, b, e, _ = Model(model.start, model.step, model.emit[met], model.spaces).expected(local[table], sizes)
             start, steps = start + a, steps + b
             emitted[met] += e
         yield SUMS - 1 - row["block"] % parts, row["block"], b"", b"", b"", np.concatenate([start, steps.ravel(), np.zeros(STATES)])
+        del model, local, answers
         at, ids, part = routes(row, c, parts)
-        n = trained(row, len(c))[at]
+        n = n[at]
         # A word that only other blocks' training texts have keeps its place with a count of 0.
         kept = kept_shares(emitted[at], np.maximum(n, 1))
         for x, y in pairwise([0, *(np.flatnonzero(np.diff(part)) + 1), len(at)] if len(at) else []):
             yield part[x], row["block"], packed_array(np.diff(ids[x:y], prepend=0)), packed_array(n[x:y]), kept[x:y].tobytes(), None
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
+        hand_back()
         group = group.sort_values("block")
         part = group["part"].iloc[0]
         if part < 0:
