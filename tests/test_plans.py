@@ -107,3 +107,15 @@ def test_blocks_are_even_whatever_the_values(spark, value):
     assert len(sizes) >= 15 and max(sizes) <= 300 and sum(sizes) == 2_000
     numbered = row_index(rows, ["k"], ["v", "id"], name="n", hot_rows=100).orderBy("v", "id").collect()
     assert [r.n for r in numbered] == list(range(1, 2_001))
+
+
+def test_scored_rows_meet_by_shuffle(spark, tmp_path):
+    """A small file of customers is not broadcast: in memory it is many times larger, and each fit would send it again."""
+    from catalog.base import scored
+
+    spark.createDataFrame([(k, k % 3, 100.0 * k) for k in range(6)], "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(k % 5, 1000.0 * k) for k in range(20)], "o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    rows = scored(spark, str(tmp_path))
+    assert {(r.wafer, r.response) for r in rows.collect()} == {(k, (1000.0 * k + 1000.0 * (15 + k)) / 2000) for k in range(5)}
+    plan = rows._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
