@@ -51,6 +51,26 @@ def test_die_table_round_trip(spark, tmp_path):
     assert [by_site[0, x] for x in (0, 2, 4)] == [1, 2, 3]
 
 
+def test_die_table_positions_are_worked_out_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    rows = [(w, 1, i % 2, i, 10 - i, [], [], float(i)) for w, n in (("w1", 9), ("w2", 4), (None, 5)) for i in range(n)]
+    dies = spark.createDataFrame(rows, "wafer string, bin int, site int, x int, y int, fails array<string>, alarms array<string>, v double").withColumn("x", counted("x"))
+    path = str(tmp_path / "out")
+    dlog.write_die_table(dies, path, [("T1.0", "V", "v")], rows_per_file=4)
+    assert seen.value == len(rows)  # not a second time for the heads
+    lines = dlog.read_lines(spark, path)
+    assert {tuple(r) for r in lines.filter("line like 'Device #%'").select(F.regexp_extract("source_file", "wafer=([^/]*)/chunk=[0-9]+", 0)).collect()} == {
+        (f"wafer={w}/chunk={c}",) for w, n in (("w1", 3), ("w2", 1), ("__HIVE_DEFAULT_PARTITION__", 2)) for c in range(n)
+    }
+    assert dlog.scan_dlog(lines).count() == len(rows)
+
+
 def _record(kind, sub, body, order="<"):
     return struct.pack(order + "HBB", len(body), kind, sub) + body
 

@@ -57,9 +57,9 @@ def _kind(line: Column) -> Column:
     names = F.contains(low, F.lit("device")) & F.contains(low, F.lit("bin")) & F.contains(line, F.lit(","))
     return (
         F.when(names, "names")
+        .when(line.rlike(r"^\s*\d+\s*,"), "die")  # most lines; never blank in front, so these come first
         .when(line.rlike(BLANKS) & line.rlike(r"T\d+"), "codes")
         .when(line.rlike(BLANKS), "units")
-        .when(line.rlike(r"^\s*\d+\s*,"), "die")
         .otherwise("meta")
     )
 
@@ -131,7 +131,10 @@ def write_die_table(dies: DataFrame, path: str, tests: Sequence[tuple[str, str,
     chunk = F.floor((F.col("_pos") - 1) / rows_per_file).cast("int").alias("chunk")
     body = placed.select(F.col(wafer).alias("wafer"), chunk, F.lit(len(HEAD)).alias("_o"), "_pos", line.alias("line"))
     heads = _head_lines(tests, created)
-    starts = body.select("wafer", "chunk").distinct()
+    # A wafer's chunks follow from its number of dies, so heads need no positions.
+    sizes = dies.groupBy(F.col(wafer).alias("wafer")).agg(F.count(F.lit(1)).alias("_n"))
+    last = F.floor((F.col("_n") - 1) / rows_per_file).cast("int")
+    starts = sizes.select("wafer", F.explode(F.sequence(F.lit(0), last)).alias("chunk"))
     head = starts.withColumn("_h", F.explode(F.array(*[F.struct(F.lit(i).alias("o"), F.lit(h).alias("line")) for i, h in enumerate(heads)])))
     head = head.select("wafer", "chunk", F.col("_h.o").alias("_o"), F.lit(0).cast("long").alias("_pos"), F.col("_h.line").alias("line"))
     out = head.unionByName(body).repartition("wafer", "chunk").sortWithinPartitions("wafer", "chunk", "_o", "_pos")
