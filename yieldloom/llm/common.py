@@ -41,8 +41,8 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
-def lots(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of at most ROWS_AT_A_TIME rows and about BYTES_AT_A_TIME bytes."""
+def lots(batch: pa.RecordBatch, rows: int = ROWS_AT_A_TIME, room: int = BYTES_AT_A_TIME) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most so many rows and about so many bytes."""
     size = np.zeros(batch.num_rows, np.int64)
     for column in batch.columns:
         if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
@@ -50,8 +50,8 @@ def lots(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     upto, start = np.cumsum(size), 0
     while start < batch.num_rows:
         before = upto[start - 1] if start else 0
-        end = int(np.searchsorted(upto, before + BYTES_AT_A_TIME, side="right"))
-        end = min(max(end, start + 1), start + ROWS_AT_A_TIME, batch.num_rows)
+        end = int(np.searchsorted(upto, before + room, side="right"))
+        end = min(max(end, start + 1), start + rows, batch.num_rows)
         yield batch.slice(start, end - start)
         start = end
 

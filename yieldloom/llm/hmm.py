@@ -2,46 +2,55 @@
 
 from __future__ import annotations
 
-import zlib
-from itertools import pairwise
+from itertools import chain
 from math import log
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from yieldloom.llm.common import fold_of, freed, hand_back, pin, settings
+from yieldloom.llm.common import fold_of, freed, hand_back, lots, pin, settings
 from yieldloom.llm.jaccard import MIX, mixed
 from yieldloom.session import scratch_path
 
 FOLDS, HELD_OUT = 7, 2
 STATES, ROUNDS = 8, 4
-#: Words whose counts are summed in one group.
-GROUP_WORDS = 1 << 19
+#: Words (of all blocks) whose counts are summed in one group, and the bytes that long words may have there on average.
+GROUP_WORDS, WORD_BYTES = 1 << 19, 16
 #: Tokens of a block: its distinct words are looked up together.
 BLOCK_TOKENS = 1 << 22
+#: Texts, and their bytes, that are split into words at a time.
+LOT_ROWS, LOT_BYTES = 1 << 13, 1 << 23
 #: Texts processed side by side, and cells (texts by longest length) of such a group.
 LANES, CELLS = 512, 1 << 18
+#: Every so many words probabilities are scaled to add up to one: far fewer than take them below the least number.
+SCALED = 8
 SMOOTHING, STAY, NOISE, SEED = 0.05, 0.9, 0.3, 6
-BLOCK = pa.schema([("block", pa.int64()), ("docs", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("tokens", pa.binary()), ("words", pa.binary())])
-WORD = pa.schema([("place", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
+BLOCK = pa.schema([("block", pa.int64()), ("docs", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("tokens", pa.binary()), ("words", pa.binary()), ("load", pa.int64())])
+LIST = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("words", pa.binary()), ("n", pa.binary())])
+REPLY = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("shares", pa.binary())])
 #: A block's number is its task's (up to 2^22) and, in the lowest bits, its own among the task's blocks; a place is a
 #: block's number and, in the lowest bits, a word's number in the block's list. A text of Spark's largest size has fewer words.
 SERIAL_BITS, PLACE_BITS = 13, 28
-PACKED = "block long, docs array<long>, held array<boolean>, sizes array<long>, tokens binary, words binary"
-CODED = f"{PACKED}, counts binary, ids binary, shared long, total long, distinct long, first array<double>"
-COUNTED = "part long, block long, ids binary, sizes binary, shares binary, sums array<double>"
+PACKED = "block long, docs array<long>, held array<boolean>, sizes array<long>, tokens binary, words binary, load long"
+NUMBERED = "part long, block long, counts binary, ranks binary, first binary"
+CODED = "block long, docs array<long>, held array<boolean>, sizes array<long>, tokens binary, counts binary, at binary, ranks binary, ways binary, total long, distinct long, first array<double>"
+COUNTED = "part long, block long, ranks binary, sizes binary, shares binary, sums array<double>"
+MERGED = "part long, blocks binary, sizes binary, ranks binary, shares binary, sums array<double>"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-#: Sums over blocks and words, which are no rows of a block.
+#: Sums over blocks and words have parts from here down.
 SUMS = -1
 #: A word's share of a state is kept as a root in so many steps: three bytes, fine for small shares, too.
 STEPS, WIDTH = (1 << 24) - 1, 3
 #: Sums are exact at ten decimals, whatever order tasks end in.
 EXACT = "decimal(28,10)"
+#: Rows are large, so a writer checks their memory row by row.
+ROW_BY_ROW = ("parquet.page.size.row.check.min", "1")
 #: Tasks that blocks are dealt to, beyond the session's own number of shuffle partitions.
 MOST_TASKS = 1 << 14
 
@@ -63,9 +72,10 @@ def blocks(docs: DataFrame, text: str) -> DataFrame:
     def run(batches):
         hand_back()
         held = Block()
-        for batch in batches:
-            for doc, out, value in zip(*[c.to_pylist() for c in batch.columns]):
-                held.add(doc, out, value)
+        for lot in (lot for batch in batches for lot in lots(batch, LOT_ROWS, LOT_BYTES)):
+            at = 0
+            while at < lot.num_rows:
+                at += held.extend(*lot.slice(at).columns)
                 if held.tokens >= BLOCK_TOKENS:
                     yield held.row()
                     held = Block(held.serial + 1)
@@ -91,20 +101,37 @@ class Block:
         self.number = Numbers({b"": 0})
 
     def add(self, doc, held, text) -> None:
-        words = text.encode("utf-8").lower().split() if text else []
-        ids = np.zeros(len(words) + 1, np.uint32)
-        ids[:-1] = np.fromiter(map(self.number.__getitem__, words), np.uint32, len(words))
+        self.extend(*(pa.array([x], t) for x, t in zip((doc, held, text), (pa.int64(), pa.bool_(), pa.string()))))
+
+    def extend(self, docs: pa.Array, held: pa.Array, texts: pa.Array) -> int:
+        """Adds texts up to the one that fills the block; returns how many. Only a lot's distinct words are looked up."""
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        words, sizes = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        real = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # white space at either end leaves empty words
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[real], minlength=len(sizes)) + 1
+        ends = np.cumsum(sizes)
+        taken = min(int(np.searchsorted(ends, BLOCK_TOKENS - self.tokens)) + 1, len(ends))
+        ends = ends[:taken]
+        coded = words.filter(pa.array(real)).slice(0, int(ends[-1]) - taken).dictionary_encode()
+        names = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), " ")[0].as_buffer().to_pybytes().split()
+        numbers = np.fromiter(map(self.number.__getitem__, names), np.uint32, len(names))
+        ids, inner = np.zeros(ends[-1], np.uint32), np.ones(ends[-1], bool)
+        inner[ends - 1] = False
+        ids[inner] = numbers[coded.indices.to_numpy()]
         self.parts.append(ids)
-        self.docs.append(doc)
-        self.held.append(held)
-        self.sizes.append(len(words) + 1)
-        self.tokens += len(words) + 1
+        self.docs.extend(docs[:taken].to_pylist())
+        self.held.extend(held[:taken].to_pylist())
+        self.sizes.extend(sizes[:taken].tolist())
+        self.tokens += int(ends[-1])
+        return taken
 
     def row(self):
         block = block_number(TaskContext.get().partitionId(), self.serial)
         if len(self.number) >> PLACE_BITS:
             raise OverflowError(f"{len(self.number)} distinct words in one block")
-        data = [[block], [self.docs], [self.held], [self.sizes], [zlib.compress(np.concatenate(self.parts).tobytes(), 1)], [zlib.compress(b" ".join(self.number), 1)]]
+        words = b" ".join(self.number)
+        load = max(len(self.number), len(words) // WORD_BYTES)
+        data = [[block], [self.docs], [self.held], [self.sizes], [packed_array(np.concatenate(self.parts))], [squeezed(words)], [load]]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(data, BLOCK.types)], schema=BLOCK)
 
 
@@ -115,39 +142,86 @@ def block_number(task: int, serial: int) -> int:
 
 
 def places(block: int, words: int) -> np.ndarray:
+    """Numbers that tell apart the words of all blocks."""
     return (block << PLACE_BITS) + np.arange(words)
 
 
-def token_array(packed: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(packed), np.uint32)
+def squeezed(x: bytes) -> bytes:
+    """Compressed, after the number of bytes."""
+    return len(x).to_bytes(8, "little") + pa.compress(x, codec="zstd", asbytes=True)
 
 
-def block_words(packed: DataFrame) -> DataFrame:
-    """place, word, n (in the block's training texts) for each distinct word of each block."""
+def restored(x: bytes) -> bytes:
+    return pa.decompress(memoryview(x)[8:], int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True)
 
-    def run(batches):
-        hand_back()
-        for batch in batches:
-            for row in batch.to_pylist():
-                words = zlib.decompress(row["words"]).split(b" ")
-                data = [places(row["block"], len(words)), words, trained(row, len(words))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(data, WORD.types)], schema=WORD)
 
-    return packed.select("block", "held", "sizes", "tokens", "words").mapInArrow(run, "place long, word binary, n long")
+def packed_array(x: np.ndarray) -> bytes:
+    """First the lowest bytes of all numbers, then the next ones: the high bytes, mostly zero, take little room."""
+    return squeezed(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
+
+
+def unpacked(x: bytes, kind) -> np.ndarray:
+    planes = np.frombuffer(restored(x), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def steps_of(x: np.ndarray) -> bytes:
+    """Numbers that mostly rise, by their differences."""
+    return packed_array(np.diff(x, prepend=0).astype(np.int32))
+
+
+def from_steps(x: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(x, np.int32), dtype=np.int64)
+
+
+def names_in(words: bytes) -> list[bytes]:
+    return restored(words).split(b" ")
+
+
+def dealt(names: list[bytes], parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of a block's words in the order of their parts, which their hashes tell, and how many each part has."""
+    part = (hashes_of(names) % np.uint64(parts)).astype(np.int64)
+    return np.argsort(part, kind="stable"), np.bincount(part, minlength=parts)
 
 
 def trained(row: dict, words: int) -> np.ndarray:
     """Counts of a block's words in its training texts."""
     train = np.repeat(~np.array(row["held"], bool), row["sizes"])
-    return np.bincount(token_array(row["tokens"])[train], minlength=words)
+    return np.bincount(unpacked(row["tokens"], np.uint32)[train], minlength=words)
 
 
-def packed_array(x: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(x).tobytes(), 1)
-
+def block_words(packed: DataFrame, parts: int) -> DataFrame:
+    """One row per part and block: the block's distinct words of the part and their counts in its training texts."""
 
-def unpacked(x: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(x), kind)
+    def run(batches):
+        hand_back()
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (row,) = batch.slice(k, 1).to_pylist()
+                names = names_in(row["words"])
+                n = trained(row, len(names))
+                order, sizes = dealt(names, parts)
+                names = np.array(names, object)
+                lists = [(part, x) for part, x in enumerate(np.split(order, np.cumsum(sizes)[:-1])) if len(x)]
+                data = [[part for part, _ in lists], [row["block"]] * len(lists), [squeezed(b" ".join(names[x])) for _, x in lists], [packed_array(n[x]) for _, x in lists]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(data, LIST.types)], schema=LIST)
+
+    return packed.select("block", "held", "sizes", "tokens", "words").mapInArrow(run, "part long, block long, words binary, n binary")
+
+
+def numbered(group: pd.DataFrame) -> pd.DataFrame:
+    """Counts of a part's words in all training texts and ranks of those that several blocks have, for each block that lists them."""
+    hand_back()
+    group = group.sort_values("block")
+    lists = [names_in(x) for x in group["words"]]
+    cuts = np.cumsum([len(x) for x in lists])[:-1]
+    word = pa.array(chain.from_iterable(lists), pa.large_binary()).dictionary_encode().indices.to_numpy().astype(np.int64)
+    c = np.bincount(word, np.concatenate([unpacked(x, np.int64) for x in group["n"]])).astype(np.int64)
+    shared = (c > 0) & (np.bincount(word) > 1)
+    rank = np.where(shared, np.cumsum(shared) - 1, -1)
+    first = np.diff(np.maximum.accumulate(word), prepend=-1) > 0  # words are told apart in the order in which they first come
+    columns = [c[word], rank[word], first.astype(np.uint8)]
+    return named([*zip(group["part"], group["block"], *(map(packed_array, np.split(x, cuts)) for x in columns))], NUMBERED)
 
 
 def named(rows: list[tuple], schema: str) -> pd.DataFrame:
@@ -161,33 +235,37 @@ def exact_sums(rows: DataFrame, column: str) -> np.ndarray:
     return np.array([float(r["x"]) for r in cells.orderBy("at").collect()])  # at most STATES * (STATES + 2) rows
 
 
-def coded_blocks(packed: DataFrame) -> DataFrame:
-    """One row per block: its texts and words with counts in all training texts and numbers of its words.
+def coded_blocks(packed: DataFrame, parts: int) -> DataFrame:
+    """One row per block: its texts, its words' counts in all training texts, and the way of its trained words.
 
-    Counts of words that several blocks have come back to each of them, with the smallest place as the word's number; a
-    block knows those of all its other words (number -1). So no list of all words is ever in one place. The block of a
-    word's smallest place adds it to the number of distinct words and to the sums of first emissions.
+    A block lists its words by part, and a part answers with counts and ranks, so no list of all words is ever in one
+    place. The first block that has a word adds it to the number of distinct words and to the sums of first emissions.
+    ``at`` has a block's trained words in the order of their parts and ranks (``ways`` counts them by part; those that no
+    other block has come last). Both ways between blocks and parts keep this order, so no list of words travels back.
     """
-    words = block_words(packed)
-    every = Window.partitionBy("word")
-    found = words.select("place", F.sum("n").over(every).alias("c"), F.min("place").over(every).alias("id"), F.count("*").over(every).alias("blocks"))
-    answers = found.filter("blocks > 1").select(F.shiftright("place", PLACE_BITS).alias("block"), F.expr(f"place & {(1 << PLACE_BITS) - 1}").cast("int").alias("at"), "c", "id")
 
     def code(blocks_: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         hand_back()
-        out, at = [], replies["at"].to_numpy()
+        replies, out = replies.sort_values("part"), []
         for row in blocks_.to_dict("records"):
-            names = zlib.decompress(row["words"]).split(b" ")
-            own = trained(row, len(names))
-            c, ids = own.copy(), np.full(len(names), -1)
-            c[at], ids[at] = replies["c"].to_numpy(), replies["id"].to_numpy()
-            mine = np.flatnonzero((c > 0) & ((ids < 0) | (ids == places(row["block"], len(names)))))
-            first = (first_emissions([names[k] for k in mine], c[mine])).sum(axis=0)
-            out.append((*row.values(), packed_array(c), packed_array(ids), len(at), int(own.sum()), len(mine), first))
+            names = names_in(row["words"])
+            order, sizes = dealt(names, parts)
+            c, rank, part, first = (np.empty(len(names), np.int64) for _ in range(4))
+            c[order], rank[order] = (np.concatenate([unpacked(x, np.int64) for x in replies[y]]) for y in ("counts", "ranks"))
+            first[order] = np.concatenate([unpacked(x, np.uint8) for x in replies["first"]])
+            part[order] = np.repeat(np.arange(parts), sizes)
+            at = np.flatnonzero(c > 0)
+            part = np.where(rank < 0, parts, part)[at]
+            by = np.lexsort((rank[at], part))
+            mine = np.flatnonzero((c > 0) & (first > 0))
+            sums = first_emissions([names[k] for k in mine], c[mine]).sum(axis=0)
+            facts = [packed_array(c), packed_array(at[by].astype(np.uint32)), steps_of(rank[at][by]), packed_array(np.bincount(part, minlength=parts + 1))]
+            kept = [row[x] for x in ("block", "docs", "held", "sizes", "tokens")]
+            out.append((*kept, *facts, int(trained(row, len(names)).sum()), len(mine), sums))
         return named(out, CODED)
 
-    columns = [f.split(" ")[0] for f in PACKED.split(", ")]
-    return packed.select(*columns).groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(code, CODED)
+    answers = block_words(packed, parts).groupBy("part").applyInPandas(numbered, NUMBERED)
+    return packed.drop("load").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(code, CODED)
 
 
 def first_emissions(words: list[bytes], counts: np.ndarray) -> np.ndarray:
@@ -200,23 +278,28 @@ class Model:
     def __init__(self, start: np.ndarray, step: np.ndarray, emit: np.ndarray, spaces: dict[str, np.ndarray] | None = None):
         self.start, self.step, self.emit, self.spaces = start, step, emit, {} if spaces is None else spaces
 
-    def forward(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Scaled forward recursion. symbols: time by text, padded; sizes fall. Returns alpha, the scales (1 beyond a text's end) and the emissions."""
+    def forward(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Forward recursion, scaled after every SCALED words. symbols: time by text, padded; sizes fall.
+
+        Returns alpha, the scales (1 beyond a text's end), the emissions and what alpha adds up to at each text's end.
+        """
         t_max, lanes = symbols.shape
         seen = np.take(self.emit, symbols, axis=0, out=self.space("seen", symbols.shape), mode="clip")
         alpha = self.space("alpha", symbols.shape)
-        scale = np.ones((t_max, lanes))
+        scale = np.ones((t_max // SCALED, lanes))
         for t, live in enumerate(live_lanes(sizes, t_max)):
-            now, all_ = alpha[t, :live], scale[t, :live]
+            now = alpha[t, :live]
             if t:
                 np.matmul(alpha[t - 1, :live], self.step, out=now)
             else:
                 now[:] = self.start
-            alpha[t, live:] = 0
+            if live < lanes:
+                alpha[t, live:] = 0
             now *= seen[t, :live]
-            np.add.reduce(now, axis=1, out=all_)
-            now /= all_[:, None]
-        return alpha, scale, seen
+            if t % SCALED == SCALED - 1:
+                scale[t // SCALED, :live] = now.sum(axis=1)
+                now /= scale[t // SCALED, :live, None]
+        return alpha, scale, seen, alpha[sizes - 1, np.arange(lanes)].sum(axis=1)
 
     def space(self, name: str, shape: tuple[int, int]) -> np.ndarray:
         """An array of a group (time by text by state) with any content, in memory that all groups share."""
@@ -226,29 +309,33 @@ class Model:
         return self.spaces[name][:size].reshape(*shape, len(self.start))
 
     def log_likelihood(self, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        return np.log(self.forward(symbols, sizes)[1]).sum(axis=0)
+        _, scale, _, ends = self.forward(symbols, sizes)
+        return np.log(scale).sum(axis=0) + np.log(ends)
 
     def expected(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """Baum-Welch counts: starts, steps, emissions (symbol by state), and the total ln likelihood."""
-        alpha, scale, ahead = self.forward(symbols, sizes)
+        alpha, scale, ahead, ends = self.forward(symbols, sizes)
         t_max, lanes = symbols.shape
         states = len(self.start)
         beta = self.space("beta", symbols.shape)
         lives = [*live_lanes(sizes, t_max), 0]
-        back = np.ascontiguousarray(self.step.T)
+        back, last = np.ascontiguousarray(self.step.T), 1 / ends[:, None]
         for t in range(t_max - 1, -1, -1):
             live, now = lives[t], ahead[t, : lives[t]]
-            beta[t, lives[t + 1] :] = 1  # texts that end here; of no account beyond their end
+            if lives[t + 1] < lanes:
+                beta[t, lives[t + 1] :] = last[lives[t + 1] :]  # texts that end here; of no account beyond their end
             if t:  # from here on: emission by scale, times beta
-                now /= scale[t, :live, None]
+                if t % SCALED == SCALED - 1:
+                    now /= scale[t // SCALED, :live, None]
                 now *= beta[t, :live]
-                ahead[t, live:] = 0
+                if live < lanes:
+                    ahead[t, live:] = 0
                 np.matmul(now, back, out=beta[t - 1, :live])
         steps = alpha[:-1].reshape(-1, states).T @ ahead[1:].reshape(-1, states) * self.step
         beta *= alpha  # 0 beyond a text's end, as alpha is
         cells = (symbols[..., None] * states + np.arange(states)).ravel()
         emitted = np.bincount(cells, beta.ravel(), len(self.emit) * states).reshape(-1, states)
-        return beta[0].sum(axis=0), steps, emitted, float(np.log(scale).sum())
+        return beta[0].sum(axis=0), steps, emitted, float(np.log(scale).sum() + np.log(ends).sum())
 
 
 def live_lanes(sizes: np.ndarray, t_max: int) -> list[int]:
@@ -276,32 +363,24 @@ class Round:
     def __init__(self, number: int, start: np.ndarray, step: np.ndarray, sums: np.ndarray, distinct: int):
         self.number, self.start, self.step, self.sums, self.distinct = number, start, step, sums, distinct
 
-    def model(self, row: dict, replies: pd.DataFrame | None, parts: int) -> tuple[Model, np.ndarray]:
-        """The model with emissions of this block's words, and their counts. Unknown words are one."""
+    def model(self, row: dict, replies: pd.DataFrame | None) -> tuple[Model, np.ndarray]:
+        """The model with emissions of this block's words, and their counts. Unknown words are one.
+
+        Replies are the block's words in the first round, and then the shares of the trained ones by part.
+        """
         c = unpacked(row["counts"], np.int64)
         if not self.number:
-            emit = first_emissions(zlib.decompress(row["words"]).split(b" "), c)
-            emit[c == 0] = 1
+            emit = np.ones((len(c), STATES))
+            if replies is not None:
+                emit = first_emissions(names_in(replies["words"].iloc[0]), c)
+                emit[c == 0] = 1
             return Model(self.start, self.step, emit / (self.sums + 1)), c
-        at, _, _ = routes(row, c, parts)
-        counts = np.full((len(c), STATES), SMOOTHING)
+        at = unpacked(row["at"], np.uint32)
+        emit = np.full((len(c), STATES), SMOOTHING)
         if len(at):
-            counts[at] += c[at, None] * shares_of(b"".join(replies.sort_values("part")["shares"]))
-        return Model(self.start, self.step, counts / (self.sums + SMOOTHING * (self.distinct + 1))), c
-
-
-def routes(row: dict, c: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A block's trained words in the order of their parts and numbers, these numbers, and the parts.
-
-    Both ways between blocks and parts keep this order, so no list of words travels back. Words of one block only have a
-    part of their own.
-    """
-    ids = unpacked(row["ids"], np.int64)
-    at = np.flatnonzero(c > 0)
-    ids = ids[at]
-    part = np.where(ids < 0, parts + row["block"], (mixed(ids.astype(np.uint64)) % np.uint64(parts)).astype(np.int64))
-    order = np.lexsort((ids, part))
-    return at[order], ids[order], part[order]
+            emit[at] += c[at, None] * shares_of(b"".join(replies.sort_values("part")["shares"]))
+        emit /= self.sums + SMOOTHING * (self.distinct + 1)
+        return Model(self.start, self.step, emit), c
 
 
 def kept_shares(counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -321,12 +400,29 @@ def shares_of(kept: bytes | np.ndarray) -> np.ndarray:
 
 def texts_in(row: dict, some: np.ndarray) -> list[np.ndarray]:
     ends = np.cumsum(row["sizes"])
-    tokens = token_array(row["tokens"])
+    tokens = unpacked(row["tokens"], np.uint32)
     return [tokens[ends[k] - row["sizes"][k] : ends[k]] for k in some]
 
 
+def replied(merged: DataFrame) -> DataFrame:
+    """part, block, shares: a part's shares by word, dealt to the blocks that have the words, in each block's order."""
+
+    def run(batches):
+        hand_back()
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (row,) = batch.slice(k, 1).to_pylist()
+                kept = np.frombuffer(row["shares"], np.uint8).reshape(-1, WIDTH * (STATES - 1))
+                to, sizes = unpacked(row["blocks"], np.int64), unpacked(row["sizes"], np.int64)
+                lists = np.split(from_steps(row["ranks"]), np.cumsum(sizes)[:-1]) if row["ranks"] else [slice(None)]
+                data = [[row["part"]] * len(to), to, [kept[x].tobytes() for x in lists]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(data, REPLY.types)], schema=REPLY)
+
+    return merged.filter(F.col("part") > SUMS).select("part", "blocks", "sizes", "ranks", "shares").mapInArrow(run, "part long, block long, shares binary")
+
+
 def by_block(coded: DataFrame, replies: DataFrame | None, work, schema: str) -> DataFrame:
-    """Applies ``work`` to each block's row and the shares of its words."""
+    """Applies ``work`` to each block's row and what was sent to the block."""
 
     def run(blocks_: pd.DataFrame, answers: pd.DataFrame | None = None) -> pd.DataFrame:
         hand_back()
@@ -337,16 +433,17 @@ def by_block(coded: DataFrame, replies: DataFrame | None, work, schema: str) ->
     return coded.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(run, schema)
 
 
-def baum_welch(coded: DataFrame, replies: DataFrame | None, now: Round, parts: int, path: str) -> tuple[DataFrame, Round]:
+def baum_welch(coded: DataFrame, replies: DataFrame, now: Round, parts: int, path: str) -> tuple[DataFrame, Round]:
     """One round over all training texts: shares by word and state for the blocks that have the word, and the next round.
 
-    Each block sends the counts of its words by part; a part's counts are summed by word and go back to each of these
-    blocks. Words of one block only are not summed, but take the same way. The rows are written to ``path``.
+    Each block sends the counts of its words by part; a part's counts are summed by word. ``path`` gets the shares once per
+    word, and they are dealt to the blocks that have it when these rows are read. Words of one block only are not summed,
+    but take the same way.
     """
     shared = coded.sparkSession.sparkContext.broadcast(now)
 
     def count(row: dict, answers: pd.DataFrame | None):
-        model, c = shared.value.model(row, answers, parts)
+        model, c = shared.value.model(row, answers)
         start, steps, emitted = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((len(c), STATES))
         local, n = np.zeros(len(c), np.int64), np.zeros(len(c), np.int64)
         for some, table, sizes in groups(texts := texts_in(row, np.flatnonzero(~np.array(row["held"], bool)))):
@@ -358,38 +455,41 @@ def baum_welch(coded: DataFrame, replies: DataFrame | None, now: Round, parts: i
             emitted[met] += e
         yield SUMS - 1 - row["block"] % parts, row["block"], b"", b"", b"", np.concatenate([start, steps.ravel(), np.zeros(STATES)])
         del model, local, answers
-        at, ids, part = routes(row, c, parts)
+        at, rank, ways = unpacked(row["at"], np.uint32), from_steps(row["ranks"]), unpacked(row["ways"], np.int64)
         n = n[at]
         # A word that only other blocks' training texts have keeps its place with a count of 0.
         kept = kept_shares(emitted[at], np.maximum(n, 1))
-        for x, y in pairwise([0, *(np.flatnonzero(np.diff(part)) + 1), len(at)] if len(at) else []):
-            yield part[x], row["block"], packed_array(np.diff(ids[x:y], prepend=0)), packed_array(n[x:y]), kept[x:y].tobytes(), None
+        for part, x, y in zip(range(parts + 1), np.cumsum(ways) - ways, np.cumsum(ways)):
+            if x < y:
+                alone = part == parts
+                yield part + alone * row["block"], row["block"], b"" if alone else steps_of(rank[x:y]), packed_array(n[x:y]), kept[x:y].tobytes(), None
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         hand_back()
         group = group.sort_values("block")
         part = group["part"].iloc[0]
-        if part < 0:
-            return named([(part, SUMS, None, None, None, np.sum(list(group["sums"]), axis=0))], COUNTED)
-        sizes = np.concatenate([unpacked(x, np.int64) for x in group["sizes"]])
-        shares = shares_of(b"".join(group["shares"]))
-        ids = [np.cumsum(unpacked(x, np.int64)) for x in group["ids"]]
-        word = np.unique(np.concatenate(ids), return_inverse=True)[1] if part < parts else np.arange(len(sizes))
+        if part <= SUMS:
+            return named([(part, None, None, None, None, np.sum(list(group["sums"]), axis=0))], MERGED)
+        counts = [unpacked(x, np.int64) for x in group["sizes"]]
+        sizes, shares = np.concatenate(counts), shares_of(b"".join(group["shares"]))
+        word = np.concatenate([from_steps(x) for x in group["ranks"]]) if part < parts else np.arange(len(sizes))
         whole = np.bincount(word, sizes)
         kept = kept_shares(np.stack([np.bincount(word, sizes * shares[:, k]) for k in range(STATES)], axis=1), whole)
         # The sums that emissions are divided by are those of the shares as kept.
-        emitted = whole @ shares_of(kept)
-        cuts = np.cumsum([len(x) for x in ids])[:-1]
-        rows = [(part, block, None, None, x.tobytes(), None) for block, x in zip(group["block"], np.split(kept[word], cuts))]
-        return named([*rows, (part, SUMS, None, None, None, np.concatenate([np.zeros(STATES + STATES**2), emitted]))], COUNTED)
-
-    with freed(coded.sparkSession):
-        by_block(coded, replies, count, COUNTED).groupBy("part").applyInPandas(merge, COUNTED).select("part", "block", "shares", "sums").write.mode("overwrite").parquet(path)
-    stored = coded.sparkSession.read.parquet(path)
-    sums = exact_sums(stored.filter(F.col("block") == SUMS), "sums")
+        sums = np.concatenate([np.zeros(STATES + STATES**2), whole @ shares_of(kept)])
+        lengths = np.array([len(x) for x in counts])
+        return named([(part, packed_array(group["block"].to_numpy()), packed_array(lengths), steps_of(word) if part < parts else b"", kept.tobytes(), sums)], MERGED)
+
+    spark = coded.sparkSession
+    # What lies there from earlier on goes first: the plan below would replace it only after its shuffles.
+    spark.range(0).write.mode("overwrite").parquet(path)
+    with freed(spark):
+        by_block(coded, replies, count, COUNTED).groupBy("part").applyInPandas(merge, MERGED).write.mode("overwrite").option(*ROW_BY_ROW).option("compression", "none").parquet(path)
+    stored = spark.read.schema(MERGED).parquet(path)
+    sums = exact_sums(stored, "sums")
     start, steps, emitted = sums[:STATES], sums[STATES : STATES + STATES**2].reshape(STATES, STATES), sums[-STATES:]
     smooth = lambda x, axis: (x + SMOOTHING) / (x + SMOOTHING).sum(axis=axis, keepdims=True)
-    return stored.filter(F.col("block") != SUMS).select("part", "block", "shares"), Round(now.number + 1, smooth(start, 0), smooth(steps, 1), emitted, now.distinct)
+    return replied(stored), Round(now.number + 1, smooth(start, 0), smooth(steps, 1), emitted, now.distinct)
 
 
 def score_texts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -408,25 +508,25 @@ def score_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     spark = docs.sparkSession
     paths = [scratch_path(spark, "word-counts") for _ in range(2)]  # a round's rows replace those of the round before the last
-    # Rows are large, so their memory is checked row by row. The second round replaces them.
-    blocks(docs, text).write.option("parquet.page.size.row.check.min", "1").parquet(paths[1])
-    packed = spark.read.parquet(paths[1])
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(2 * packed.count(), MOST_TASKS))
+    blocks(docs, text).write.option(*ROW_BY_ROW).option("compression", "none").parquet(paths[1])  # the second round replaces these rows
+    packed = spark.read.schema(PACKED).parquet(paths[1])
+    listed = packed.agg(F.count("*").alias("blocks"), F.coalesce(F.sum("load"), F.lit(0)).alias("load")).first()
+    tasks, parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(2 * listed["blocks"], MOST_TASKS)), max(16, -(-listed["load"] // GROUP_WORDS))
     # Dealt once, by a plan whose partitioning the checkpoint keeps: a round then shuffles no texts.
     with freed(spark), settings(spark, {"spark.sql.adaptive.enabled": "false"}):
-        coded = pin(coded_blocks(packed).repartition(tasks, "block"))
-    facts = coded.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("shared", "total", "distinct")]).first()
-    total, distinct, parts = facts["total"], facts["distinct"], max(16, -(-facts["shared"] // GROUP_WORDS))
+        coded = pin(coded_blocks(packed, parts).repartition(tasks, "block"))
+    facts = coded.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("total", "distinct")]).first()
+    total, distinct = facts["total"], facts["distinct"]
     step = np.full((STATES, STATES), (1 - STAY) / (STATES - 1))
     np.fill_diagonal(step, STAY)  # states that tend to stay, and words' shares with a fixed noise: rounds then tell states apart
     first = exact_sums(coded, "first")
-    now, replies = Round(0, np.full(STATES, 1 / STATES), step, first if len(first) else np.zeros(STATES), distinct), None
+    now, replies = Round(0, np.full(STATES, 1 / STATES), step, first if len(first) else np.zeros(STATES), distinct), packed.select("block", "words") if total else None
     for k in range(ROUNDS if total else 0):
         replies, now = baum_welch(coded, replies, now, parts, paths[k % 2])
     shared = spark.sparkContext.broadcast(now)
 
     def score(row: dict, answers: pd.DataFrame | None):
-        model, c = shared.value.model(row, answers, parts)
+        model, c = shared.value.model(row, answers)
         base = np.log10((c + 1) / (total + distinct + 1))
         texts = texts_in(row, np.arange(len(row["sizes"])))
         result = np.zeros(len(texts))
