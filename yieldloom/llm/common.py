@@ -41,8 +41,9 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
-def lots(batch: pa.RecordBatch, rows: int = ROWS_AT_A_TIME, room: int = BYTES_AT_A_TIME) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of at most so many rows and about so many bytes."""
+def lots(batch: pa.RecordBatch, rows: int | None = None, room: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``rows`` rows (or ROWS_AT_A_TIME) and about ``room`` bytes (or BYTES_AT_A_TIME)."""
+    rows, room = rows or ROWS_AT_A_TIME, room or BYTES_AT_A_TIME
     size = np.zeros(batch.num_rows, np.int64)
     for column in batch.columns:
         if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
