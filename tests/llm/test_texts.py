@@ -189,6 +189,29 @@ def test_inconsistent_slots(spark):
     assert [r.doc_id for r in got] == [1]
 
 
+def test_long_texts_share_no_rows_with_their_words(spark, monkeypatch):
+    """A text whose every pair of words anchors a window needs memory in proportion to its words, not to their square."""
+    item = " ".join(["alpha beta"] * 5)
+    docs = spark.createDataFrame([(1, " ".join(["alpha beta"] * 20_000)), (2, "alpha"), (None, item)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for slots in (templates.SLOTS, 1):  # with one row of bits, too
+        monkeypatch.setattr(templates, "SLOTS", slots)
+        assert {tuple(r) for r in templates.decontaminate(docs, items).collect()} == {(1, 1, 3, 3, 0, 0), (None, 1, 3, 3, 0, 0)}
+
+
+def test_windows_over_cuts_of_blocks(spark, monkeypatch):
+    """Windows that lie over cuts, at a text's start and at its end are found as in one block; a benchmark not broadcast finds the same."""
+    items = spark.createDataFrame([*enumerate(ITEMS)], "item_id long, text string")
+    texts = [f"{'so and so. ' * n}{i}{' thanks' * (n % 3)}" for n in range(12) for i in ITEMS[:3]]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    found = {tuple(r) for r in templates.decontaminate(docs, items).collect()}
+    assert {r[:2] for r in found} >= {(n * 3 + i, i) for n in range(12) for i in range(3)}
+    for name, value in (("BLOCK", 1), ("BLOCK", 5), ("BROADCAST_ROWS", 0)):
+        with monkeypatch.context() as patch:
+            patch.setattr(templates, name, value)
+            assert {tuple(r) for r in templates.decontaminate(docs, items).collect()} == found
+
+
 @pytest.fixture(scope="module")
 def library():
     from tokenizers import Tokenizer
