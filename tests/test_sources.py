@@ -7,6 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import files
 from yieldloom.operators import cleaning
 from yieldloom.operators.contracts import ContractError
 from yieldloom.sources import csvtext, dlog, heads, inventory, provenance, stdf
@@ -104,6 +105,27 @@ def test_stdf(spark, tmp_path, order):
     assert stdf.stdf_die_tests(records).count() == 12
 
 
+def test_die_tests_keep_what_is_known_of_the_die(spark):
+    """Resolved bin and place, the master record's facts and T-coded fails and alarms stand beside each test's value."""
+    records = stdf.decode_stdf(spark.createDataFrame([("/a.std", _log())], "path string, content binary"))
+    for rows in (records, stdf.stdf_die_rows(records)):
+        got = stdf.stdf_die_tests(rows).select("lot", "program", "site", "bin", "x", "y", "test_num", "test_id", "value", F.array_contains("fails", F.col("test_id")).alias("fails"), F.array_contains("alarms", F.col("test_id")).alias("alarms"))
+        assert sorted(map(tuple, got.collect())) == [
+            ("LOT1", "job", site, *die, number, code, value, code == "T1.1", code == "T1.2")
+            for site, die in enumerate([(1, 5.0, 6.0), (9, 7.0, 8.0)])
+            for number, code, value in ((100, "T1.0", 1.5), (101, "T1.1", 7.0), (102, "T1.2", 8.0))
+        ]
+
+
+def test_query_of_die_rows_resolves_dies(spark, tmp_path):
+    """The query tells bins, places, fails and alarms of the dies, with the place that a test names where the result has none."""
+    rows = [(7, 1001, 3, 2, 10.0, "N"), (7, 100, 50, 4, 20.0, "R")]
+    spark.createDataFrame(rows, "l_suppkey long, l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = files.stdf_die_rows(spark, str(tmp_path)).select("lot", "program", "created", "test_num", "test_id", "rows", "total", "passing", "x", "y", "failing", "alarms")
+    head = ("L7", "job", 1_700_000_000)
+    assert sorted(map(tuple, got.collect())) == [(*head, 1001, "T10.1", 2, 30.0, 1, 5.0, 3.0, 1, 0), (*head, 1002, "T10.2", 2, 6.0, 1, 5.0, 3.0, 0, 0)]
+
+
 def _busy_log():
     """Two sites in turn; site 0 begins anew once, repeats a test and ends twice, site 1 never ends."""
     test = lambda number, site, value, flags=0: _record(15, 10, struct.pack("<IBBBBf", number, 1, site, flags, 0, value) + _text("X_DIE" if number == 7 else "V"))
